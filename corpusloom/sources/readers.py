@@ -98,7 +98,7 @@ TRAINING_REPORT_SCHEMA = T.StructType(
 def read_raw(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = RAW_SCHEMA) -> DataFrame:
     """Raw article table from ``csv``, ``json`` (one object per line), ``parquet`` or ``orc``.
 
-    CSV fields may hold quotes and line breaks, which makes a CSV file one task: spread a large corpus
+    An empty CSV cell reads as NULL, as an empty cell of a sheet does. CSV fields may hold quotes and line breaks, which makes a CSV file one task: spread a large corpus
     over many files, or take one of the splittable formats.
     """
     reader = spark.read.schema(schema)
