@@ -14,7 +14,7 @@ from corpusloom.functions import text as tx
 from corpusloom.functions.vectors import hashed_counts
 from corpusloom.operators import attention, consistency, filters, graph, ngram_scores, profile, records, runlog, splits, standardize
 from corpusloom.operators import sentences as so
-from corpusloom.shared import computed_once, new_folder
+from corpusloom.shared import computed_once, cut_lineage, new_folder
 from corpusloom.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -347,7 +347,7 @@ def clean_funnel(spark, sf_dir):
 
 @query
 def trim_p99(spark, sf_dir):
-    docs = v.docs_clean(spark, sf_dir).select("doc_id", "compression_ratio")
+    docs = v.docs_measures(spark, sf_dir).select("doc_id", "compression_ratio")
     return profile.below_quantile(docs, "compression_ratio")
 
 
@@ -380,7 +380,7 @@ def split_report(spark, sf_dir):
 @query
 def eval_slice(spark, sf_dir):
     docs = v.standard_rows(spark, sf_dir).where(filters.long_enough()).select("doc_id", F.length("articles_clean").alias("n_chars"))
-    return splits.position_slice(docs, "doc_id", 0.9, 50)
+    return splits.position_slice(cut_lineage(docs), "doc_id", 0.9, 50)
 
 
 @query
@@ -443,18 +443,18 @@ def schema_report(spark, sf_dir):
 
 @query
 def histogram(spark, sf_dir):
-    return profile.histogram(v.docs_clean(spark, sf_dir), "article_token_count")
+    return profile.histogram(v.docs_measures(spark, sf_dir), "article_token_count")
 
 
 @query
 def ratio_histogram(spark, sf_dir):
-    return profile.histogram(profile.below_quantile(v.docs_clean(spark, sf_dir).select("compression_ratio"), "compression_ratio"), "compression_ratio")
+    return profile.histogram(profile.below_quantile(v.docs_measures(spark, sf_dir).select("compression_ratio"), "compression_ratio"), "compression_ratio")
 
 
 @query
 def cluster_histogram(spark, sf_dir):
     sizes = v.docs_clean(spark, sf_dir).where(F.col("source").isNotNull()).groupBy("source").agg(F.count("*").alias("n"))
-    return profile.histogram(sizes, "n")
+    return profile.histogram(cut_lineage(sizes), "n")
 
 
 @query
@@ -464,23 +464,23 @@ def top8_share(spark, sf_dir):
 
 @query
 def boxplot(spark, sf_dir):
-    return profile.box_plot(v.docs_clean(spark, sf_dir), "category", "article_token_count", 6)
+    return profile.box_plot(v.docs_measures(spark, sf_dir), "category", "article_token_count", 6)
 
 
 @query
 def boxplot_summary(spark, sf_dir):
-    return profile.box_plot(v.docs_clean(spark, sf_dir), "category", "summary_token_count", 6)
+    return profile.box_plot(v.docs_measures(spark, sf_dir), "category", "summary_token_count", 6)
 
 
 @query
 def length_pairs(spark, sf_dir):
-    docs = v.docs_clean(spark, sf_dir).select("doc_id", "article_token_count", "summary_token_count")
+    docs = v.docs_measures(spark, sf_dir).select("doc_id", "article_token_count", "summary_token_count")
     return splits.sample(docs, "doc_id", 10_000)
 
 
 @query
 def length_grid(spark, sf_dir):
-    return profile.length_grid(v.docs_clean(spark, sf_dir), "article_token_count", "summary_token_count")
+    return profile.length_grid(v.docs_measures(spark, sf_dir), "article_token_count", "summary_token_count")
 
 
 @query
@@ -568,8 +568,8 @@ def gat_two_layer(spark, sf_dir):
 
 @query
 def extract_summary(spark, sf_dir):
-    nodes = v.cluster_nodes(spark, sf_dir)
-    return graph.extract_summaries(v.cluster_sentence_rows(spark, sf_dir), graph.adjacency(nodes), 3)
+    nodes = cut_lineage(v.cluster_nodes(spark, sf_dir))
+    return graph.extract_summaries(nodes.select("cluster_id", "pos", "sentence"), graph.adjacency(nodes), 3)
 
 
 # Scores

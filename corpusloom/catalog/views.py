@@ -12,7 +12,7 @@ from corpusloom.functions.vectors import hashed_counts
 from corpusloom.operators import ranking as rk
 from corpusloom.operators import sentences as so
 from corpusloom.plans import corpus
-from corpusloom.shared import computed_once, spread
+from corpusloom.shared import computed_once, cut_lineage, spread
 
 RAW_NAMES = ("newspaper_name", "published_date", "headline", "article_text", "human_summary", "news_category")
 
@@ -54,6 +54,11 @@ def docs_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.clean_corpus(raw_corpus(spark, sf_dir))
 
 
+def docs_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean corpus without its texts, computed once, for queries that read it several times."""
+    return cut_lineage(docs_clean(spark, sf_dir).drop("headline", "articles_clean", "summary_clean"))
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, source, text)`` of every document with its cleaned text."""
     docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")

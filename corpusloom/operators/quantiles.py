@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import ranking as rk
+from corpusloom.shared import cut_lineage
 
 
 def exact_quantiles(
@@ -15,12 +16,12 @@ def exact_quantiles(
 
     Spark's ``percentile`` holds every distinct value of a group in one task. Here equal values are
     counted first, the distinct values of a group are spread over buckets between quantiles of the whole
-    column, and only the buckets that hold a wanted rank are ordered.
+    column, and only the buckets that hold a wanted rank are ordered. ``df`` is read once: the counts are
+    checkpointed, and all further steps read them.
     """
     values = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_value"))
-    distinct = rk.range_bucket(values, "_value", "_bucket").groupBy(*keys, "_bucket", "_value").agg(
-        F.count("*").alias("_n")
-    )
+    counts = cut_lineage(values.groupBy(*keys, "_value").agg(F.count("*").alias("_n")))
+    distinct = rk.range_bucket(counts, "_value", "_bucket")
     totals = distinct.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_rows"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

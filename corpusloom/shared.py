@@ -53,10 +53,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
+    """Reliable checkpoint in the shared folder: computed once, and it survives the loss of executors.
+
+    For narrow tables that several later steps read and that are dear to compute, such as ids and counts
+    drawn from cleaned texts.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -78,8 +82,10 @@ def lookup_join(
 
     A table of at most ``max_rows`` rows is broadcast. A larger one is shuffled, with the key salted:
     each lookup row is copied ``salts`` times and ``rows`` spread over the copies by ``salt_by``, so a
-    key holding a third of all rows is handled by ``salts`` tasks.
+    key holding a third of all rows is handled by ``salts`` tasks. The table is checkpointed first, since
+    counting its rows would otherwise compute it twice.
     """
+    table = cut_lineage(table)
     if fits_broadcast(table, max_rows):
         return rows.join(F.broadcast(table), on, how)
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
