@@ -13,16 +13,17 @@ WORD_PATTERN = r"\p{Lu}\p{Ll}+"
 _MONTH = (
     "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 )
+# The look-ahead lets the search skip a position by its first character.
 DATE_PATTERN = (
-    rf"{_MONTH} [0-9]{{1,2}}, [0-9]{{4}}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}}|{_MONTH} [0-9]{{4}}"
-    r"|[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    rf"(?=[0-9JFMASOND])(?:{_MONTH} [0-9]{{1,2}}, [0-9]{{4}}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}}|{_MONTH} [0-9]{{4}}"
+    r"|[0-9]{4}-[0-9]{2}-[0-9]{2})"
 )
 MONEY_PATTERN = (
-    r"(?:[$€£₹]|Rs\.?|USD|EUR|INR) ?[0-9][0-9,]*(?:\.[0-9]+)?(?: (?:million|billion|crore|lakh))?"
+    r"(?=[$€£₹RUEI])(?:[$€£₹]|Rs\.?|USD|EUR|INR) ?[0-9][0-9,]*(?:\.[0-9]+)?(?: (?:million|billion|crore|lakh))?"
 )
 
 
 def mentions(text: Column, pattern: str = NAME_PATTERN) -> Column:
     """Distinct lower-case matches of ``pattern`` in the whole text, sorted; empty for NULL text."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda m: F.lower(m))))
+    return F.sort_array(F.array_distinct(F.transform(found, lambda m: F.lower(m))))

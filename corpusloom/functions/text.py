@@ -25,12 +25,17 @@ def _single_blanks(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "  ++", " "))
 
 
+def blank_space(text: Column) -> Column:
+    """Every white space character becomes a blank."""
+    return F.regexp_replace(text, f"[{_OTHER_SPACE}]", " ")
+
+
 def collapse_space(text: Column) -> Column:
     """Runs of white space become one blank; none is left at either end.
 
     Single blanks, by far the most frequent case, are never rewritten.
     """
-    return _single_blanks(F.regexp_replace(text, f"[{_OTHER_SPACE}]", " "))
+    return _single_blanks(blank_space(text))
 
 
 def strip_tags(text: Column) -> Column:
@@ -105,7 +110,7 @@ def keywords(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     Punctuation stays part of its token, also when the length is measured. Expects collapsed text.
     """
     kept = F.filter(tokens(text), lambda t: (F.length(t) > 3) & ~F.lower(t).isin(*stop_words))
-    return F.array_sort(F.array_distinct(F.transform(kept, lambda t: F.lower(t))))
+    return F.sort_array(F.array_distinct(F.transform(kept, lambda t: F.lower(t))))
 
 
 def excerpt(text: Column, n: int) -> Column:

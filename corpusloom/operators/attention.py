@@ -53,7 +53,7 @@ def gat_layer(
         state.select("cluster_id", F.col("node").alias("dst"), "other", "wh"), ["cluster_id", "dst"]
     )
     inbox = messages.groupBy("cluster_id", F.col("src").alias("node")).agg(
-        F.array_sort(F.collect_list(F.struct("dst", "other", "wh"))).alias("inbox")
+        F.sort_array(F.collect_list(F.struct("dst", "other", "wh"))).alias("inbox")
     )
     received = state.select("cluster_id", "node", "own").join(inbox, ["cluster_id", "node"], "left")
     scores = F.transform("inbox", lambda m: _leaky(F.col("own") + m["other"], slope))

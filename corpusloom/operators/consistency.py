@@ -55,7 +55,7 @@ def add_entity_scores(with_entities: DataFrame) -> DataFrame:
             "entity_precision": _share(F.array_intersect(gen, src), gen, 1.0),
             "entity_recall": _share(F.array_intersect(gen, ref), ref, 1.0),
             "n_entities": F.size(gen).cast("bigint"),
-            "hallucinated": F.array_sort(F.array_except(gen, src)),
+            "hallucinated": F.sort_array(F.array_except(gen, src)),
         }
     )
     p, r = F.col("entity_precision"), F.col("entity_recall")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.sentences import SLOTS
+from corpusloom.functions.vectors import let
 
 THRESHOLD = 0.75
 
@@ -29,7 +30,7 @@ def pack_nodes(nodes: DataFrame, slots: int = SLOTS) -> DataFrame:
         F.transform("vec", lambda x: x.cast("double")).alias("vec"),
         F.col("entities"),
     )
-    return used.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.when(filled, node))).alias("nodes"))
+    return used.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.when(filled, node))).alias("nodes"))
 
 
 def _similar_pairs(threshold: float, slots: int):
@@ -71,8 +72,10 @@ def _entity_codes(slots: int) -> Column:
 
 
 def _mirrored(codes: Column, slots: int) -> Column:
-    back = F.transform(codes, lambda c: F.pmod(c, F.lit(slots)) * slots + F.floor(c / slots).cast("int"))
-    return F.concat(codes, back)
+    def turned(c: Column) -> Column:
+        return F.pmod(c, F.lit(slots)) * slots + F.floor(c / slots).cast("int")
+
+    return let(codes, lambda found: F.concat(found, F.transform(found, turned)))
 
 
 def _edges(df: DataFrame, codes: Column, slots: int) -> DataFrame:
@@ -134,7 +137,7 @@ def extract_summaries(sentences: DataFrame, edges: DataFrame, k: int = 3) -> Dat
     scored = sentences.join(degrees(edges).withColumnRenamed("node", "pos"), ["cluster_id", "pos"])
     best = Window.partitionBy("cluster_id").orderBy(F.desc("degree"), "pos")
     chosen = scored.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "sentence")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "sentence")))
     return chosen.groupBy("cluster_id").agg(
         F.count("*").alias("n_sentences"),
         F.array_join(F.transform(ordered, lambda s: s["sentence"]), " ").alias("summary"),

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
-from corpusloom.shared import BROADCAST_ROWS, lookup_join
+from corpusloom.shared import BROADCAST_ROWS, computed_once, lookup_join
 
 BLOCK = 64
+# One number counts a gram on both sides: 1 per occurrence in the generated text, 2^31 per one in the
+# reference. An array has fewer than 2^31 elements, so the two counts cannot run into each other.
+_REF = 1 << 31
 _BEST = T.StructType([T.StructField(side, T.ArrayType(T.DoubleType())) for side in ("gen", "ref")])
 
 
@@ -29,11 +32,11 @@ def bleu_tokens(text: Column) -> Column:
     for entity, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         line = F.replace(line, F.lit(entity), F.lit(char))
     line = F.concat(F.lit(" "), line, F.lit(" "))
-    line = F.regexp_replace(line, r"([{-~\[-` -&(-+:-@/])", " $1 ")
+    line = F.regexp_replace(line, r"([{-~\[-`!-&(-+:-@/])", " $1 ")
     line = F.regexp_replace(line, r"([^0-9])([.,])", "$1 $2 ")
     line = F.regexp_replace(line, r"([.,])([^0-9])", " $1 $2")
     line = F.regexp_replace(line, r"([0-9])(-)", "$1 $2 ")
-    return tx.tokens(tx.collapse_space(line))
+    return tx.tokens(tx.blank_space(line))
 
 
 def token_pairs(pairs: DataFrame, tokenizer=rouge_tokens) -> DataFrame:
@@ -57,49 +60,57 @@ def stem_pairs(tokens: DataFrame, stems: DataFrame, max_rows: int = BROADCAST_RO
 
     def side(name: str) -> Column:
         kept = F.collect_list(F.when(F.col("side") == name, F.struct("pos", stemmed.alias("token"))))
-        return F.transform(F.array_sort(kept), lambda t: t["token"]).alias(name)
+        return F.transform(F.sort_array(kept), lambda t: t["token"]).alias(name)
 
     return found.groupBy("pair_id").agg(side("gen"), side("ref"))
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    if n == 1:
-        return tokens
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    joined = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
+def _next_order(tokens: Column, grams: Column, n: int) -> Column:
+    """Grams of order n from those of order n - 1."""
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    return F.zip_with(F.slice(grams, F.lit(1), count), F.slice(tokens, F.lit(n), count), lambda g, t: F.concat(g, F.lit(" "), t))
 
 
-def _marked(grams: Column, n: int, gen: int, ref: int) -> Column:
-    return F.transform(
-        grams,
-        lambda g: F.struct(
-            F.lit(n).alias("n"), g.alias("gram"), F.lit(gen).cast("bigint").alias("g"), F.lit(ref).cast("bigint").alias("r")
-        ),
-    )
+def _repeats(ordered: Column) -> Column:
+    """Of a sorted array, every element but the first of its equals."""
+    rest = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0)))
+    return F.filter(rest, lambda x, i: x == F.get(ordered, i))
+
+
+def _counted(grams: Column, n: int, unit: int) -> Column:
+    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(unit).cast("bigint").alias("unit")))
 
 
 def ngram_matches(tokens: DataFrame, orders: tuple[int, ...]) -> DataFrame:
     """``(pair_id, gen_len, ref_len, match_<n>...)``: clipped matches of each order, one row per pair.
 
-    Pairs are hashed by id while still packed; counting grams and summing matches then both find their
-    rows in place, so the much larger table of grams is never shuffled.
+    A gram on both sides matches once, plus as often as its further occurrences do. The first part is the
+    size of a set intersection on the row of the pair. Only further occurrences, few beyond single words,
+    become rows and are counted. Pairs are hashed by id while still packed, so these rows are in place for
+    both groupings and are never shuffled.
     """
-    parts = []
-    for n in orders:
-        parts.append(_marked(_grams(F.col("gen"), n), n, 1, 0))
-        parts.append(_marked(_grams(F.col("ref"), n), n, 0, 1))
-    rows = tokens.repartition("pair_id").select(
-        "pair_id",
-        F.size("gen").cast("bigint").alias("gen_len"),
-        F.size("ref").cast("bigint").alias("ref_len"),
-        F.inline_outer(F.concat(*parts)),
-    )
-    counts = rows.groupBy("pair_id", "gen_len", "ref_len", "n", "gram").agg(F.sum("g").alias("g"), F.sum("r").alias("r"))
-    clipped = F.least("g", "r")
-    return counts.groupBy("pair_id", "gen_len", "ref_len").agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == n, clipped)), F.lit(0)).alias(f"match_{n}") for n in orders]
+    state = tokens.repartition("pair_id").select("pair_id", F.col("gen").alias("gen_1"), F.col("ref").alias("ref_1"))
+    sides = ("gen", "ref")
+    for n in range(2, max(orders) + 1):
+        longer = {f"{s}_{n}": _next_order(F.col(f"{s}_1"), F.col(f"{s}_{n - 1}"), n) for s in sides}
+        state = computed_once(state, longer)
+    ordered = {f"{s}_{n}": F.sort_array(f"{s}_{n}") for s in sides for n in orders}
+    state = computed_once(
+        state.select("pair_id", *[F.size(f"{s}_1").cast("bigint").alias(f"{s}_len") for s in sides], *ordered), ordered
     )
+    pair = ["pair_id", "gen_len", "ref_len", *[f"first_{n}" for n in orders]]
+    further = [
+        _counted(_repeats(F.col(f"{s}_{n}")), n, unit) for n in orders for s, unit in (("gen", 1), ("ref", _REF))
+    ]
+    once = {f"first_{n}": F.size(F.array_intersect(f"gen_{n}", f"ref_{n}")) for n in orders}
+    # Finished before the arrays are opened: whatever stands beside a generator runs once per row it makes.
+    packed = computed_once(state, {**once, "further": F.concat(*further)}).select(*pair, "further")
+    rows = packed.select(*pair, F.inline_outer("further"))
+    counts = rows.groupBy(*pair, "n", "gram").agg(F.sum("unit").alias("both"))
+    clipped = F.least(F.col("both").bitwiseAND(F.lit(_REF - 1)), F.shiftright("both", 31))
+    return counts.groupBy(*pair).agg(
+        *[F.coalesce(F.sum(F.when(F.col("n") == n, clipped)), F.lit(0)).alias(f"_more_{n}") for n in orders]
+    ).select("pair_id", "gen_len", "ref_len", *[(F.col(f"first_{n}") + F.col(f"_more_{n}")).alias(f"match_{n}") for n in orders])
 
 
 def _n_grams(length: Column, n: int) -> Column:
@@ -215,7 +226,7 @@ def greedy_vector_f1(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     per token leaves a comparison. A pair with an empty side scores 0.
     """
     blocks = vectors.groupBy("pair_id", "side", F.floor(F.col("pos") / block).alias("block")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda t: t["vec"]).alias("vecs")
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "vec"))), lambda t: t["vec"]).alias("vecs")
     )
     gen = blocks.where("side = 0").select("pair_id", F.col("block").alias("gen_block"), F.col("vecs").alias("gen_vecs"))
     ref = blocks.where("side = 1").select("pair_id", F.col("block").alias("ref_block"), F.col("vecs").alias("ref_vecs"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
@@ -179,10 +179,8 @@ def below_quantile(df: DataFrame, column: str, p: float = 0.99) -> DataFrame:
 def top_shares(df: DataFrame, column: str, top: int = 8) -> DataFrame:
     """Largest groups with their share among the groups shown."""
     largest = value_counts(df, column, top).select(column, "n_rows")
-    total = largest.agg(F.sum("n_rows").alias("_total"))
-    return largest.crossJoin(F.broadcast(total)).select(
-        column, "n_rows", (F.col("n_rows") * 100 / F.col("_total")).alias("percent_shown")
-    )
+    shown = F.sum("n_rows").over(Window.partitionBy(F.lit(0)))
+    return largest.select(column, "n_rows", (F.col("n_rows") * 100 / shown).alias("percent_shown"))
 
 
 def box_plot(df: DataFrame, group: str, column: str, top: int = 6) -> DataFrame:

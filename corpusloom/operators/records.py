@@ -33,25 +33,20 @@ def encode(df: DataFrame, id_col: str, texts: dict[str, Column], vocabulary: Dat
 
     All arrays of a row travel together: one look-up and one shuffle, of numbers rather than texts.
     """
-    words = F.concat(
-        *[
-            F.transform(c, _word(name))
-            for name, c in texts.items()
-        ]
-    )
+    words = F.concat(*[F.transform(c, _word(part)) for part, c in enumerate(texts.values())])
     rows = df.select(id_col, F.inline_outer(words))
     found = lookup_join(rows, vocabulary, ["token"], F.struct(id_col, "pos"), "left", max_rows)
     number = F.coalesce("token_id", F.lit(UNKNOWN))
 
-    def ids(name: str) -> Column:
-        kept = F.collect_list(F.when(F.col("name") == name, F.struct("pos", number.alias("id"))))
-        return F.transform(F.array_sort(kept), lambda t: t["id"]).alias(name)
+    def ids(part: int, name: str) -> Column:
+        kept = F.collect_list(F.when(F.col("part") == part, F.struct("pos", number.alias("id"))))
+        return F.transform(F.sort_array(kept), lambda t: t["id"]).alias(name)
 
-    return found.groupBy(id_col).agg(*[ids(name) for name in texts])
+    return found.groupBy(id_col).agg(*[ids(part, name) for part, name in enumerate(texts)])
 
 
-def _word(name: str):
-    return lambda t, i: F.struct(F.lit(name).alias("name"), i.alias("pos"), t.alias("token"))
+def _word(part: int):
+    return lambda t, i: F.struct(F.lit(part).alias("part"), i.alias("pos"), t.alias("token"))
 
 
 def pad(ids: Column, length: int, value: int = PAD) -> Column:
@@ -83,7 +78,7 @@ def sentence_records(
     rows = df.select(id_col, F.inline_outer(words))
     found = lookup_join(rows, vocabulary, ["token"], F.struct(id_col, "slot", "pos"), "left")
     item = F.struct("slot", "pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id"))
-    gathered = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("slot").isNotNull(), item))).alias("items"))
+    gathered = found.groupBy(id_col).agg(F.sort_array(F.collect_list(F.when(F.col("slot").isNotNull(), item))).alias("items"))
 
     def slot_ids(slot: Column) -> Column:
         return F.transform(F.filter("items", lambda x: x["slot"] == slot), lambda x: x["id"])

@@ -67,7 +67,7 @@ def periodic(df: DataFrame, step: str, every: int) -> DataFrame:
 
 def loss_tail(reports: DataFrame, k: int = 5) -> DataFrame:
     """``(model, back, step, loss, is_nan)``: the last ``k`` entries of each report's loss log, last first."""
-    ordered = F.array_sort("training.loss_log")
+    ordered = F.sort_array("training.loss_log")
     last = F.slice(F.reverse(ordered), 1, k)
     return reports.select("model", F.posexplode(last).alias("back", "entry")).select(
         "model",

@@ -24,8 +24,8 @@ def without_sentences(df: DataFrame, text_col: str, min_len: int = 10) -> DataFr
     return df.where(sentences == 0)
 
 
-def _labelled(entities: Column, label: str) -> Column:
-    return F.transform(entities, lambda e: F.struct(e.alias("entity"), F.lit(label).alias("label")))
+def _labelled(entities: Column, label: str | None) -> Column:
+    return F.transform(entities, lambda e: F.struct(e.alias("entity"), F.lit(label).cast("string").alias("label")))
 
 
 def entity_rows(
@@ -38,20 +38,16 @@ def entity_rows(
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Distinct ``(id, entity, label)``: name mentions that the gazetteer ``(entity, label)`` lists, plus
-    dates and sums of money, which are found by their form."""
+    dates and sums of money, which are found by their form. The texts are read once for all kinds."""
     text = F.col(text_col)
-    names = df.select(id_col, F.explode(en.mentions(text, pattern)).alias("entity"))
-    listed = gazetteer.where(F.col("label").isin(*labels)).select("entity", "label")
-    found = lookup_join(names, listed, ["entity"], F.col(id_col), max_rows=max_rows).select(id_col, "entity", "label")
-    by_form = [
-        _labelled(en.mentions(text, form), label)
-        for label, form in (("DATE", en.DATE_PATTERN), ("MONEY", en.MONEY_PATTERN))
-        if label in labels
-    ]
-    if not by_form:
-        return found
-    formed = df.select(id_col, F.inline(F.concat(*by_form)))
-    return found.unionByName(formed).distinct()
+    forms = [(label, form) for label, form in (("DATE", en.DATE_PATTERN), ("MONEY", en.MONEY_PATTERN)) if label in labels]
+    found = [_labelled(en.mentions(text, pattern), None), *[_labelled(en.mentions(text, form), label) for label, form in forms]]
+    rows = df.select(id_col, F.inline(F.concat(*found)))
+    listed = gazetteer.where(F.col("label").isin(*labels)).select("entity", F.col("label").alias("listed"))
+    by_form = F.col("label").isNotNull()
+    joined = lookup_join(rows, listed, ["entity"], F.col(id_col), "left", max_rows)
+    kept = joined.select(id_col, "entity", F.when(by_form, F.col("label")).otherwise(F.col("listed")).alias("label")).where("label is not null")
+    return kept.distinct() if forms else kept
 
 
 def cluster_text(
@@ -65,7 +61,7 @@ def cluster_text(
     """
     part = F.floor(F.col(pos_col) / docs_per_part).alias("part")
     grouped = docs.select(cluster_col, part, F.struct(F.col(pos_col).alias("pos"), F.col(text_col).alias("text")).alias("doc"))
-    ordered = F.array_sort(F.collect_list("doc"))
+    ordered = F.sort_array(F.collect_list("doc"))
     return grouped.groupBy(cluster_col, "part").agg(
         F.count("*").alias("n_docs"), F.array_join(F.transform(ordered, lambda d: d["text"]), separator).alias("text")
     )

@@ -10,10 +10,10 @@ from corpusloom.operators import filters, standardize
 from corpusloom.shared import computed_once, spread
 
 
-def standardized(raw: DataFrame) -> DataFrame:
+def standardized(raw: DataFrame, texts: tuple[str, ...] = standardize.TEXT_COLUMNS) -> DataFrame:
     """Standard names, cleaned text columns, dates and years; every input row is kept."""
     named = standardize.standardize_names(raw)
-    texts = [c for c in standardize.TEXT_COLUMNS if c in named.columns]
+    texts = [c for c in texts if c in named.columns]
     cleaned = computed_once(spread(named), {f"{c}_clean": tx.clean_text(F.col(c)) for c in texts})
     return standardize.add_dates(cleaned)
 
@@ -21,9 +21,10 @@ def standardized(raw: DataFrame) -> DataFrame:
 def clean_corpus(raw: DataFrame, id_col: str = "doc_id", null_label: str | None = None) -> DataFrame:
     """Clean, filter by length, drop exact copies (smallest id stays), count tokens; ``id_col`` comes first.
 
-    The order matters: copies are looked for among the rows that pass the length filters.
+    The order matters: copies are looked for among the rows that pass the length filters. The headline is
+    kept as it came.
     """
-    kept = standardized(raw).where(filters.long_enough())
+    kept = standardized(raw, ("articles", "summary")).where(filters.long_enough())
     unique = filters.drop_exact_copies(kept.drop("articles", "summary"), "articles_clean", id_col)
     counted = standardize.add_token_counts(unique)
     named = standardize.strings_only(counted, ("source", "headline", "category"), null_label)
