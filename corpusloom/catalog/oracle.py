@@ -625,6 +625,11 @@ def build() -> dict[str, str]:
               JOIN (SELECT cluster_id, src, count(*) - 1 AS d FROM v_cluster_adj GROUP BY cluster_id, src) g ON g.cluster_id = s.cluster_id AND g.src = s.pos)
         WHERE rn <= 3 GROUP BY cluster_id"""
     )
+    q["cluster_inputs"] = _with(
+        f"""
+        SELECT cluster_id, count(*) AS n_sentences, {_join("list_resize(list(sentence ORDER BY pos), 30, '')", "|||")} AS packed
+        FROM v_cluster_sentences GROUP BY cluster_id"""
+    )
     f1 = "CASE WHEN p + c > 0 THEN 2 * p * c / (p + c) ELSE 0 END"
     q["entity_prf"] = _with(
         f"""

@@ -11,9 +11,9 @@ from corpusloom.catalog import views as v
 from corpusloom.functions import entities as en
 from corpusloom.functions import sentences as st
 from corpusloom.functions import text as tx
-from corpusloom.functions.vectors import hashed_counts
 from corpusloom.operators import attention, consistency, filters, graph, ngram_scores, profile, records, runlog, splits, standardize
 from corpusloom.operators import sentences as so
+from corpusloom.plans import evaluation
 from corpusloom.shared import computed_once, cut_lineage, new_folder
 from corpusloom.sources import readers, writers
 
@@ -568,8 +568,12 @@ def gat_two_layer(spark, sf_dir):
 
 @query
 def extract_summary(spark, sf_dir):
-    nodes = cut_lineage(v.cluster_nodes(spark, sf_dir))
-    return graph.extract_summaries(nodes.select("cluster_id", "pos", "sentence"), graph.adjacency(nodes), 3)
+    return evaluation.summarize(v.cluster_docs(spark, sf_dir), "cluster_id", "doc_pos", "text", v.with_features)
+
+
+@query
+def cluster_inputs(spark, sf_dir):
+    return evaluation.cluster_inputs(v.cluster_docs(spark, sf_dir), "cluster_id", "doc_pos", "text")
 
 
 # Scores
@@ -649,6 +653,19 @@ def rouge_report(spark, sf_dir):
     return ngram_scores.rouge_report(_rouge_tokens(spark, sf_dir))
 
 
+@query
+def rouge_stemmed(spark, sf_dir):
+    tokens = evaluation.stemmed_tokens(v.pairs(spark, sf_dir))
+    return ngram_scores.rouge_n(tokens, 1)
+
+
+@query
+def score_report(spark, sf_dir):
+    pairs = v.pairs(spark, sf_dir).select("pair_id", "generated", "reference")
+    report = evaluation.score_report(pairs, "third-overlap", v.latency_log(spark, sf_dir))
+    return report.select("model", "num_samples", "scores.*", "inference.*")
+
+
 @query
 def bleu(spark, sf_dir):
     return ngram_scores.corpus_bleu(ngram_scores.token_pairs(v.pairs(spark, sf_dir), ngram_scores.bleu_tokens))

@@ -26,7 +26,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", "html")
 
 
 def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,19 +131,20 @@ def cluster_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cluster_sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return so.cluster_sentences(cluster_docs(spark, sf_dir), "cluster_id", "doc_pos", "text")
-
-
-def cluster_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots of document clusters with bag-of-words vectors and capitalized words as entities."""
-    return cluster_sentence_rows(spark, sf_dir).select(
-        "cluster_id", "pos", "sentence",
+def with_features(rows: DataFrame) -> DataFrame:
+    """Add bag-of-words vectors and capitalized words as entities to sentence rows."""
+    return rows.select(
+        "*",
         hashed_counts(F.split("sentence", " ")).alias("vec"),
         en.mentions(F.col("sentence"), "[A-Z][a-z]{3,}").alias("entities"),
     )
 
 
+def cluster_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of document clusters with their features."""
+    return with_features(so.cluster_sentences(cluster_docs(spark, sf_dir), "cluster_id", "doc_pos", "text"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
@@ -158,9 +159,10 @@ def latency_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a type as steps of a run in time order, one hundred steps per epoch; log(1 + value) is the loss."""
-    hour = F.date_diff(F.col("ts").cast("date"), F.lit("2000-01-01").cast("date")) * 24 + F.hour("ts")
-    rows = events(spark, sf_dir).select(F.col("event_type").alias("run"), "ts", "event_id", F.log1p("value").alias("loss"), hour.alias("_hour"))
-    ranked = rk.add_rank(rows, ["ts", "event_id"], "_hour", ("run",))
+    days = F.date_diff(F.col("ts").cast("date"), F.lit("2000-01-01").cast("date"))
+    minute = (days * 24 + F.hour("ts")) * 60 + F.minute("ts")
+    rows = events(spark, sf_dir).select(F.col("event_type").alias("run"), "ts", "event_id", F.log1p("value").alias("loss"), minute.alias("_minute"))
+    ranked = rk.add_rank(rows, ["ts", "event_id"], "_minute", ("run",))
     return ranked.select(
         "run", F.col("rank").alias("step"), (F.floor((F.col("rank") - 1) / 100) + 1).alias("epoch"), "loss"
     )

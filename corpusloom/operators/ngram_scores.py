@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
-from corpusloom.shared import BROADCAST_ROWS, computed_once, lookup_join
+from corpusloom.shared import BROADCAST_ROWS, SALTS, computed_once, lookup_join
 
 BLOCK = 64
 # One number counts a gram on both sides: 1 per occurrence in the generated text, 2^31 per one in the
@@ -222,15 +222,24 @@ def greedy_vector_f1(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Every token takes its most similar token on the other side; precision averages over the generated
     tokens, recall over the reference. ``pos`` numbers the tokens of a side. Tokens are compared in blocks
-    of at most ``block`` vectors, which bounds what a task holds for a long text, and only the best value
-    per token leaves a comparison. A pair with an empty side scores 0.
+    of at most ``block`` vectors, and only the best value per token leaves a comparison. The generated
+    blocks of a long text go to different tasks, each with its own copy of the reference blocks; a text of
+    one block is not copied. A pair with an empty side scores 0.
     """
-    blocks = vectors.groupBy("pair_id", "side", F.floor(F.col("pos") / block).alias("block")).agg(
+    number = F.floor(F.col("pos") / block)
+    sizes = vectors.groupBy("pair_id").agg(F.max(F.when(F.col("side") == 0, number)).alias("_last"))
+    blocks = vectors.groupBy("pair_id", "side", number.alias("block")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "vec"))), lambda t: t["vec"]).alias("vecs")
     )
-    gen = blocks.where("side = 0").select("pair_id", F.col("block").alias("gen_block"), F.col("vecs").alias("gen_vecs"))
+    gen = blocks.where("side = 0").select(
+        "pair_id", F.pmod("block", F.lit(SALTS)).alias("_salt"), F.col("block").alias("gen_block"), F.col("vecs").alias("gen_vecs")
+    )
     ref = blocks.where("side = 1").select("pair_id", F.col("block").alias("ref_block"), F.col("vecs").alias("ref_vecs"))
-    compared = gen.join(ref, "pair_id").select("pair_id", "gen_block", "ref_block", _best_matches("gen_vecs", "ref_vecs").alias("best"))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.least("_last", F.lit(SALTS - 1)))
+    copies = ref.join(sizes.where("_last is not null"), "pair_id").select("*", F.explode(salts).alias("_salt"))
+    compared = gen.join(copies, ["pair_id", "_salt"]).select(
+        "pair_id", "gen_block", "ref_block", _best_matches("gen_vecs", "ref_vecs").alias("best")
+    )
 
     def tagged(side: int, block_col: str, values: str) -> Column:
         return F.transform(
@@ -244,7 +253,7 @@ def greedy_vector_f1(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         F.avg(F.when(F.col("side") == 0, F.col("best"))).alias("p"), F.avg(F.when(F.col("side") == 1, F.col("best"))).alias("r")
     )
     p, r = F.coalesce("p", F.lit(0.0)), F.coalesce("r", F.lit(0.0))
-    everyone = vectors.select("pair_id").distinct().join(scored, "pair_id", "left")
+    everyone = sizes.join(scored, "pair_id", "left")
     return everyone.select(
         "pair_id", p.alias("precision"), r.alias("recall"), F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1")
     )

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import filters, standardize
-from corpusloom.shared import computed_once, spread
+from corpusloom.shared import computed_once
 
 
 def standardized(raw: DataFrame, texts: tuple[str, ...] = standardize.TEXT_COLUMNS) -> DataFrame:
     """Standard names, cleaned text columns, dates and years; every input row is kept."""
     named = standardize.standardize_names(raw)
     texts = [c for c in texts if c in named.columns]
-    cleaned = computed_once(spread(named), {f"{c}_clean": tx.clean_text(F.col(c)) for c in texts})
+    cleaned = computed_once(named, {f"{c}_clean": tx.clean_text(F.col(c)) for c in texts})
     return standardize.add_dates(cleaned)
 
 
