@@ -39,8 +39,7 @@ STEP_4 = (
 Rule = tuple[str, str, Callable[["Word"], Column]]
 
 
-def _shape(word: Column) -> Column:
-    """``c`` or ``v`` per letter; y is a vowel after a consonant."""
+def _shape_by_letter(word: Column) -> Column:
     return F.aggregate(
         F.split(word, ""),
         F.lit(""),
@@ -53,6 +52,17 @@ def _shape(word: Column) -> Column:
     )
 
 
+def _shape(word: Column) -> Column:
+    """``c`` or ``v`` per letter; y is a vowel after a consonant.
+
+    Only a double y needs the letters to be gone through one by one.
+    """
+    marked = F.translate(word, "aeiouv", "vvvvvc")
+    consonant_y = F.regexp_replace(marked, "(^|v)y", "$1c")
+    quick = F.regexp_replace(F.translate(consonant_y, "y", "v"), "[^v]", "c")
+    return F.when(F.contains(word, F.lit("yy")), _shape_by_letter(word)).otherwise(quick)
+
+
 class Word:
     """A word column, its shape column, and the tests the rules make on them."""
 
@@ -170,7 +180,7 @@ STEPS = (_plural, _past, _repair, _final_y, _alli, _double_suffix, _suffix, _lon
 
 
 def stem_table(tokens: DataFrame, min_len: int = 4) -> DataFrame:
-    """``(token, stem)`` of the distinct tokens of at least ``min_len`` letters.
+    """``(token, stem)`` of the distinct tokens of at least ``min_len`` letters that differ from their stem.
 
     Every step is finished before the next one starts from it; nested in one expression, each would run
     the one before it once per use.
@@ -180,4 +190,5 @@ def stem_table(tokens: DataFrame, min_len: int = 4) -> DataFrame:
         shaped = computed_once(words, {"_shape": _shape(F.col("_word"))})
         words = computed_once(shaped, {"_word": step(Word(F.col("_word"), F.col("_shape")))}).drop("_shape")
     special = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
-    return words.select("token", F.coalesce(F.try_element_at(special, F.col("token")), F.col("_word")).alias("stem"))
+    stems = words.select("token", F.coalesce(F.try_element_at(special, F.col("token")), F.col("_word")).alias("stem"))
+    return stems.where("token <> stem")
