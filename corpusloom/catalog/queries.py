@@ -719,12 +719,12 @@ def run_steps(spark, sf_dir):
 
 @query
 def running_loss(spark, sf_dir):
-    return runlog.running_mean(v.run_log(spark, sf_dir), ["run"], "step", "loss", block=500)
+    return runlog.running_mean(cut_lineage(v.run_log(spark, sf_dir)), ["run"], "step", "loss", block=500)
 
 
 @query
 def running_epoch_loss(spark, sf_dir):
-    return runlog.running_mean(v.run_log(spark, sf_dir), ["run", "epoch"], "step", "loss")
+    return runlog.running_mean(cut_lineage(v.run_log(spark, sf_dir)), ["run", "epoch"], "step", "loss")
 
 
 @query
@@ -735,7 +735,7 @@ def epoch_loss(spark, sf_dir):
 @query
 def best_so_far(spark, sf_dir):
     epochs = runlog.epoch_means(v.run_log(spark, sf_dir), ["run", "epoch"], "loss")
-    return runlog.best_so_far(epochs, ["run"], "epoch", "avg_loss", block=8)
+    return runlog.best_so_far(cut_lineage(epochs), ["run"], "epoch", "avg_loss", block=8)
 
 
 @query

@@ -77,10 +77,12 @@ def gat_layers(
     slope: float = SLOPE,
     slots: int = SLOTS,
 ) -> DataFrame:
-    """Stacked layers. From the third layer on the state is checkpointed before it is used again."""
+    """Stacked layers. Edges and the state between layers, which are used several times, are checkpointed."""
     state = nodes
+    if len(layers) > 1:
+        edges = cut_lineage(edges)
     for depth, (weight, attention) in enumerate(layers):
-        if depth >= 2:
+        if depth > 0:
             state = cut_lineage(state)
         state = gat_layer(state, edges, weight, attention, slope, slots)
     return state

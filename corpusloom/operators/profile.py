@@ -125,13 +125,13 @@ def schema_report(df: DataFrame) -> DataFrame:
     return wide.select(F.inline(F.array(*wide.columns)))
 
 
-def _bin(x: Column, low: Column, high: Column, bins: int) -> Column:
+def _bin(x: Column, low: float, high: float, bins: int) -> Column:
     """Index of the equal-width bin; the last one is closed on the right.
 
     The quotient may land next to the right bin by rounding, so it is checked against the bin edges.
     """
-    step = (high - low) / F.lit(bins)
-    guess = F.least(F.floor((x - low) / (high - low) * F.lit(bins)), F.lit(bins - 1))
+    step = (high - low) / bins
+    guess = F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1))
     lower = low + guess * step
     upper = low + (guess + 1) * step
     return F.when(x < lower, guess - 1).when((x >= upper) & (guess < bins - 1), guess + 1).otherwise(guess)
@@ -141,39 +141,33 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """``(bin, low, high, n, mean, median)``: every bin has a row, also an empty one.
 
     Mean and median of the column, the marks drawn into the plot, repeat on each row. A constant column
-    is given a range of one around its value.
+    is given a range of one around its value. The range is found by a job of its own, so ``df`` should be
+    cheap to read.
     """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
-    span = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"))
-    same = F.col("lo") == F.col("hi")
-    bounds = span.select(
-        F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-        "mean",
-    ).crossJoin(F.broadcast(exact_quantiles(values, "x", {"median": 0.5})))
-    counted = (
-        values.crossJoin(F.broadcast(bounds.select("lo", "hi")))
-        .select(_bin(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-        .groupBy("bin")
-        .agg(F.count("*").alias("n"))
-    )
-    width = (F.col("hi") - F.col("lo")) / bins
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))
-    grid = bounds.select("*", F.explode(numbers).alias("bin"))
-    return grid.join(F.broadcast(counted), "bin", "left").select(
+    span = values.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean")).first()
+    empty = span.low is None
+    median = None if empty else exact_quantiles(values, "x", {"median": 0.5}).first().median
+    low, high = (0.0, 1.0) if empty else (span.low, span.high)
+    if low == high:
+        low, high = low - 0.5, high + 0.5
+    counted = values.groupBy(_bin(F.col("x"), low, high, bins).alias("bin")).agg(F.count("*").alias("n"))
+    width = (high - low) / bins
+    every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    return every.join(F.broadcast(counted), "bin", "left").select(
         "bin",
-        (F.col("lo") + F.col("bin") * width).alias("low"),
-        (F.col("lo") + (F.col("bin") + 1) * width).alias("high"),
+        (F.lit(low) + F.col("bin") * width).alias("low"),
+        (F.lit(low) + (F.col("bin") + 1) * width).alias("high"),
         F.coalesce("n", F.lit(0)).alias("n"),
-        "mean",
-        "median",
+        F.lit(span["mean"]).cast("double").alias("mean"),
+        F.lit(median).cast("double").alias("median"),
     )
 
 
 def below_quantile(df: DataFrame, column: str, p: float = 0.99) -> DataFrame:
     """Rows whose value is smaller than the column's own quantile; NULL rows go."""
-    cut = exact_quantiles(df, column, {"_cut": p})
-    return df.crossJoin(F.broadcast(cut)).where(F.col(column) < F.col("_cut")).drop("_cut")
+    cut = exact_quantiles(df, column, {"cut": p}).first()
+    return df.where(F.lit(False)) if cut is None else df.where(F.col(column) < F.lit(cut.cut))
 
 
 def top_shares(df: DataFrame, column: str, top: int = 8) -> DataFrame:
@@ -217,13 +211,14 @@ def box_plot(df: DataFrame, group: str, column: str, top: int = 6) -> DataFrame:
 
 def length_grid(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     """Counts of two lengths over a grid: a scatter plot of every row, at any number of rows."""
-    span = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    span = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
 
-    def cell(c: str, low: str, high: str) -> Column:
-        lo, hi = F.col(low).cast("double"), F.col(high).cast("double")
-        return F.when(lo == hi, F.lit(0)).otherwise(_bin(F.col(c).cast("double"), lo, hi, bins))
+    def cell(c: str, low: float | None, high: float | None) -> Column:
+        if low is None or low == high:
+            return F.lit(0).cast("bigint")
+        return _bin(F.col(c).cast("double"), float(low), float(high), bins)
 
-    cells = df.crossJoin(F.broadcast(span)).select(cell(x, "x0", "x1").alias("x_bin"), cell(y, "y0", "y1").alias("y_bin"))
+    cells = df.select(cell(x, span.x0, span.x1).alias("x_bin"), cell(y, span.y0, span.y1).alias("y_bin"))
     return cells.groupBy("x_bin", "y_bin").agg(F.count("*").alias("n"))
 
 

@@ -6,10 +6,14 @@ numbers, give every bucket the rank at which it starts; ranks inside a bucket ne
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from corpusloom.shared import cut_lineage
+
 HASH_DIGITS = 3
 RANGE_BUCKETS = 1024
 
@@ -32,8 +36,9 @@ def range_bucket(df: DataFrame, column: str, target: str, buckets: int = RANGE_B
     """
     probabilities = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(column, probabilities, 0.25 / buckets)))
+    if not cuts:
+        return df.withColumn(target, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
-    # The bucketizer takes no infinite value and no NaN as ordinary input; callers rank finite numbers.
     source = f"_{target}_value"
     with_value = df.withColumn(source, F.col(column).cast("double"))
     bucketed = Bucketizer(splits=splits, inputCol=source, outputCol=target, handleInvalid="keep").transform(with_value)
@@ -71,20 +76,32 @@ def add_rank(df: DataFrame, order_by: list[str], bucket: str, keys: tuple[str, .
     )
 
 
-def rank_keys(df: DataFrame, order_by: list[str], bucket: str, positions: dict[str, Column]) -> DataFrame:
-    """One row with, per name, the sort key at a 1-based position as a struct, plus ``total``.
+def rank_keys(df: DataFrame, order_by: list[str], bucket: str, positions: Callable[[int], dict[str, int]]) -> dict[str, Row | None]:
+    """Per name, the sort key of the row at a 1-based position; None where there is no such row.
 
-    A position is a column over ``total`` (the row count). It may be 0 or beyond the end, which gives
-    NULL. Only buckets that hold a wanted position are ranked; the rest of the data is only counted.
+    ``positions`` maps the row count to named positions. Two small jobs run at once: one counts rows per
+    bucket, one ranks the buckets that hold a wanted position. What comes back is one key per name, to be
+    used as a constant, so the rows themselves are later compared with it wherever they lie.
     """
-    offsets = bucket_offsets(df.select(*order_by, bucket), bucket)
-    wanted = F.array(*[F.struct(F.lit(n).alias("name"), p.cast("bigint").alias("pos")) for n, p in positions.items()])
-    targets = offsets.select(bucket, "n_rows", "start", "total", F.inline(wanted))
+    offsets = cut_lineage(bucket_offsets(df.select(*order_by, bucket), bucket))
+    total = offsets.agg(F.max("total")).first()[0] or 0
+    keys: dict[str, Row | None] = dict.fromkeys(positions(total))
+    places = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).cast("bigint").alias("pos")) for n, p in positions(total).items()])
+    targets = offsets.select(bucket, "n_rows", "start", F.inline(places))
     hits = targets.where((F.col("pos") > F.col("start")) & (F.col("pos") <= F.col("start") + F.col("n_rows")))
     hits = hits.select(bucket, "name", (F.col("pos") - F.col("start")).alias("_local"))
     inside = Window.partitionBy(bucket).orderBy(*order_by)
     needed = df.select(*order_by, bucket).join(F.broadcast(hits.select(bucket).distinct()), bucket, "left_semi")
     ranked = needed.withColumn("_local", F.row_number().over(inside).cast("bigint"))
-    found = ranked.join(F.broadcast(hits), [bucket, "_local"]).select("name", F.struct(*order_by).alias("key"))
-    keys = found.agg(*[F.max(F.when(F.col("name") == n, F.col("key"))).alias(n) for n in positions])
-    return keys.crossJoin(F.broadcast(offsets.agg(F.max("total").alias("total"))))
+    for row in ranked.join(F.broadcast(hits), [bucket, "_local"]).select("name", F.struct(*order_by).alias("key")).collect():
+        keys[row.name] = row.key
+    return keys
+
+
+def not_after(order_by: list[str], key: Row) -> Column:
+    """The row's sort key is at most ``key``, compared column by column."""
+    name, rest = order_by[0], order_by[1:]
+    cut = F.lit(key[name])
+    if not rest:
+        return F.col(name) <= cut
+    return (F.col(name) < cut) | ((F.col(name) == cut) & not_after(rest, key))

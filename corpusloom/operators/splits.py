@@ -1,12 +1,15 @@
 """Seeded order, exact splits, positional slices and samples.
 
-Rows are never moved to be split: the job finds the sort keys at the cut positions, and a comparison with
-these few keys then labels or filters the rows where they lie.
+Rows are never moved to be split: small jobs find the sort keys at the cut positions, and a comparison with
+these constants then labels or filters the rows where they lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from math import floor
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import ranking as rk
@@ -24,31 +27,22 @@ def shuffle_rank(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     return rk.add_rank(_hashed(df.select(id_col), id_col, seed), ["_key", id_col], "_bucket").select(id_col, "rank")
 
 
-def _after(key: Column, cut: Column) -> Column:
-    """``key`` lies behind the key at the cut; everything does where the cut is at position 0."""
-    return F.coalesce(key > cut, F.lit(True))
-
-
 def add_split(
     df: DataFrame, id_col: str, train_ratio: float = 0.8, val_ratio: float = 0.1, seed: int = 42
 ) -> DataFrame:
     """Add ``split``: of n rows in seeded order floor(n * train) are train, up to floor(n * (train + val)) val."""
-    narrow = _hashed(df.select(id_col), id_col, seed)
-    total = F.col("total")
+    order = ["_key", id_col]
     cuts = rk.rank_keys(
-        narrow,
-        ["_key", id_col],
+        _hashed(df.select(id_col), id_col, seed),
+        order,
         "_bucket",
-        {"_train": F.floor(total * F.lit(train_ratio)), "_val": F.floor(total * F.lit(train_ratio + val_ratio))},
-    ).drop("total")
-    key = F.struct(F.col("_key"), F.col(id_col))
-    label = (
-        F.when(~_after(key, F.col("_train")), SPLITS[0])
-        .when(~_after(key, F.col("_val")), SPLITS[1])
-        .otherwise(SPLITS[2])
+        lambda n: {"train": floor(n * train_ratio), "val": floor(n * (train_ratio + val_ratio))},
     )
-    keyed = df.withColumn("_key", rk.hash_key(F.col(id_col), seed)).crossJoin(F.broadcast(cuts))
-    return keyed.withColumn("split", label).drop("_key", "_train", "_val")
+    label = F.lit(SPLITS[2])
+    for name in ("val", "train"):
+        if cuts[name] is not None:
+            label = F.when(rk.not_after(order, cuts[name]), name).otherwise(label)
+    return df.withColumn("_key", rk.hash_key(F.col(id_col), seed)).withColumn("split", label).drop("_key")
 
 
 def split_report(df: DataFrame, means: tuple[str, ...] = ()) -> DataFrame:
@@ -56,40 +50,43 @@ def split_report(df: DataFrame, means: tuple[str, ...] = ()) -> DataFrame:
     per_split = df.groupBy("split").agg(
         F.count("*").alias("n_rows"), *[F.avg(c).alias(f"avg_{c}") for c in means]
     )
-    total = per_split.agg(F.sum("n_rows").alias("_total"))
-    return per_split.crossJoin(F.broadcast(total)).select(
-        "split", "n_rows", (F.col("n_rows") / F.col("_total")).alias("share"), *[f"avg_{c}" for c in means]
-    )
+    total = F.sum("n_rows").over(Window.partitionBy(F.lit(0)))  # over one row per split
+    return per_split.select("split", "n_rows", (F.col("n_rows") / total).alias("share"), *[f"avg_{c}" for c in means])
 
 
-def _between_positions(df: DataFrame, id_col: str, first: Column, last: Column) -> DataFrame:
+def _between_positions(df: DataFrame, id_col: str, positions: Callable[[int], dict[str, int]]) -> DataFrame:
+    """Rows behind position ``before`` up to position ``last``; the filter reaches the scan as a range of ids."""
     narrow = rk.range_bucket(df.select(id_col), id_col, "_bucket")
-    cuts = rk.rank_keys(narrow, [id_col], "_bucket", {"_before": first - 1, "_last": last}).drop("total")
-    key = F.struct(F.col(id_col))
-    marked = df.crossJoin(F.broadcast(cuts))
-    inside = _after(key, F.col("_before")) & F.coalesce(key <= F.col("_last"), F.lit(True))
-    return marked.where(inside).drop("_before", "_last")
+    cuts = rk.rank_keys(narrow, [id_col], "_bucket", positions)
+    if cuts["before"] is not None:
+        df = df.where(F.col(id_col) > cuts["before"][id_col])
+    if cuts["last"] is not None:
+        df = df.where(F.col(id_col) <= cuts["last"][id_col])
+    return df
 
 
 def head(df: DataFrame, id_col: str, n: int) -> DataFrame:
     """The first ``n`` rows in id order (all of them if there are fewer)."""
-    return _between_positions(df, id_col, F.lit(1), F.lit(n))
+    return _between_positions(df, id_col, lambda total: {"before": 0, "last": n})
 
 
 def position_slice(df: DataFrame, id_col: str, start_ratio: float, n: int | None = None) -> DataFrame:
     """``n`` rows (or all) from position floor(rows * start_ratio) on, in id order."""
-    start = F.floor(F.col("total") * F.lit(start_ratio))
-    last = F.lit(None).cast("bigint") if n is None else start + n
-    return _between_positions(df, id_col, start + 1, last)
+
+    def positions(total: int) -> dict[str, int]:
+        start = floor(total * start_ratio)
+        return {"before": start, "last": total if n is None else start + n}
+
+    return _between_positions(df, id_col, positions)
 
 
 def sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows drawn without replacement (all of them if there are fewer)."""
-    narrow = _hashed(df.select(id_col), id_col, seed)
-    cut = rk.rank_keys(narrow, ["_key", id_col], "_bucket", {"_last": F.lit(n)}).drop("total")
-    keyed = df.withColumn("_key", rk.hash_key(F.col(id_col), seed)).crossJoin(F.broadcast(cut))
-    key = F.struct(F.col("_key"), F.col(id_col))
-    return keyed.where(F.coalesce(key <= F.col("_last"), F.lit(True))).drop("_key", "_last")
+    order = ["_key", id_col]
+    cut = rk.rank_keys(_hashed(df.select(id_col), id_col, seed), order, "_bucket", lambda total: {"last": n})["last"]
+    if cut is None:
+        return df
+    return df.withColumn("_key", rk.hash_key(F.col(id_col), seed)).where(rk.not_after(order, cut)).drop("_key")
 
 
 def batch_manifest(df: DataFrame, id_col: str, epochs: int, batch_size: int, accumulation: int = 1, seed: int = 42) -> DataFrame:
@@ -116,8 +113,6 @@ def split_overlap(df: DataFrame, id_col: str, start_ratio: float = 0.9) -> DataF
     """Per split, how many of its rows also lie in the positional evaluation slice."""
     labelled = add_split(df, id_col)
     narrow = rk.range_bucket(df.select(id_col), id_col, "_bucket")
-    start = {"_before": F.floor(F.col("total") * F.lit(start_ratio))}
-    cut = rk.rank_keys(narrow, [id_col], "_bucket", start).drop("total")
-    marked = labelled.crossJoin(F.broadcast(cut))
-    in_slice = _after(F.struct(F.col(id_col)), F.col("_before"))
-    return marked.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_if(in_slice).alias("n_in_eval_slice"))
+    cut = rk.rank_keys(narrow, [id_col], "_bucket", lambda total: {"before": floor(total * start_ratio)})["before"]
+    in_slice = F.lit(True) if cut is None else F.col(id_col) > cut[id_col]
+    return labelled.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_if(in_slice).alias("n_in_eval_slice"))

@@ -154,3 +154,17 @@ def test_statistics_read_only_their_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = splits.split_report(splits.add_split(docs, "doc_id"), ("n_chars",))._jdf.queryExecution().executedPlan().toString()
     assert "text:string" not in plan
+
+
+def test_positions_become_a_range_for_the_scan(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = splits.position_slice(docs, "doc_id", 0.5, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(doc_id,99)" in plan and "LessThanOrEqual(doc_id,109)" in plan and "Exchange" not in plan
+
+
+def test_empty_inputs(spark):
+    none = spark.createDataFrame([], "id long, x double")
+    assert splits.head(none, "id", 3).count() == splits.sample(none, "id", 3).count() == 0
+    assert profile.histogram(none, "x").agg(F.sum("n")).first()[0] == 0
+    assert profile.below_quantile(none, "x").count() == 0
+    assert profile.length_grid(none, "id", "id").count() == 0
