@@ -770,5 +770,6 @@ def corpus_by_language(spark, sf_dir):
         F.max("article_token_count").alias("max_tokens"),
         F.avg("compression_ratio").alias("mean_ratio"),
     )
+    per = cut_lineage(per)
     total = per.agg(F.sum("n_docs").alias("_total"))
     return per.crossJoin(F.broadcast(total)).select("*", (F.col("n_docs") * 100 / F.col("_total")).alias("percent")).drop("_total")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.quantiles import exact_quantiles
+from corpusloom.shared import cut_lineage
 
 
 def length_stats(df: DataFrame, columns: tuple[str, ...], approx: bool = False) -> DataFrame:
@@ -45,8 +46,11 @@ def compression_stats(df: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
-    """Rows per value and share of all rows (NULL rows count in the share's base), largest first."""
-    grouped = df.groupBy(column).agg(F.count("*").alias("n_rows"))
+    """Rows per value and share of all rows (NULL rows count in the share's base), largest first.
+
+    The counts are checkpointed, so ``df`` is read once although the total is needed beside them.
+    """
+    grouped = cut_lineage(df.groupBy(column).agg(F.count("*").alias("n_rows")))
     total = grouped.agg(F.sum("n_rows").alias("_total"))
     counts = (
         grouped.where(F.col(column).isNotNull())

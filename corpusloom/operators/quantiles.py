@@ -12,14 +12,14 @@ from corpusloom.shared import cut_lineage
 def exact_quantiles(
     df: DataFrame, column: str, probabilities: dict[str, float], keys: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``(keys, name...)``: one column per named probability; rows with a NULL value are left out.
+    """``(keys, name...)``: one column per named probability; NULL and NaN are left out.
 
     Spark's ``percentile`` holds every distinct value of a group in one task. Here equal values are
     counted first, the distinct values of a group are spread over buckets between quantiles of the whole
     column, and only the buckets that hold a wanted rank are ordered. ``df`` is read once: the counts are
     checkpointed, and all further steps read them.
     """
-    values = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_value"))
+    values = df.select(*keys, F.col(column).cast("double").alias("_value")).where("_value is not null and not isnan(_value)")
     counts = cut_lineage(values.groupBy(*keys, "_value").agg(F.count("*").alias("_n")))
     distinct = rk.range_bucket(counts, "_value", "_bucket")
     totals = distinct.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_rows"))
