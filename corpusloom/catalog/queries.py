@@ -337,7 +337,7 @@ def batch_manifest(spark, sf_dir):
 
 @query
 def len_filter(spark, sf_dir):
-    return v.standard_rows(spark, sf_dir).where(filters.long_enough()).select("doc_id", F.length("articles_clean").alias("n_chars"))
+    return v.standard_rows(spark, sf_dir).where(filters.long_enough(F.col("articles_clean"), F.col("summary_clean"))).select("doc_id", F.length("articles_clean").alias("n_chars"))
 
 
 @query
@@ -379,7 +379,7 @@ def split_report(spark, sf_dir):
 
 @query
 def eval_slice(spark, sf_dir):
-    docs = v.standard_rows(spark, sf_dir).where(filters.long_enough()).select("doc_id", F.length("articles_clean").alias("n_chars"))
+    docs = v.standard_rows(spark, sf_dir).where(filters.long_enough(F.col("articles_clean"), F.col("summary_clean"))).select("doc_id", F.length("articles_clean").alias("n_chars"))
     return splits.position_slice(cut_lineage(docs), "doc_id", 0.9, 50)
 
 

@@ -185,9 +185,10 @@ def consistency_report(scored: DataFrame, model: str) -> DataFrame:
     )
 
 
-def sample_table(scored: DataFrame, excerpt: int = 500, listed: int = 5) -> DataFrame:
-    """One row per pair for the samples file."""
-    return scored.select(
+def sample_table(scored: DataFrame, first: int | None = None, excerpt: int = 500, listed: int = 5) -> DataFrame:
+    """One row per pair for the samples file; ``first`` keeps that many, in id order, for a short report."""
+    rows = scored if first is None else scored.orderBy("pair_id").limit(first)
+    return rows.select(
         F.col("pair_id").alias("id"),
         tx.excerpt(F.col("source"), excerpt).alias("source_excerpt"),
         "reference",

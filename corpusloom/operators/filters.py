@@ -15,10 +15,12 @@ def long_enough(
     min_article: int = MIN_ARTICLE_CHARS,
     min_summary: int = MIN_SUMMARY_CHARS,
 ) -> Column:
-    """Both texts longer than their bound; NULL counts as too short."""
-    article = F.col("articles_clean") if article is None else article
-    summary = F.col("summary_clean") if summary is None else summary
-    return F.coalesce((F.length(article) > min_article) & (F.length(summary) > min_summary), F.lit(False))
+    """Every given text is longer than its bound; NULL counts as too short."""
+    kept = F.lit(True)
+    for text, bound in ((article, min_article), (summary, min_summary)):
+        if text is not None:
+            kept = kept & F.coalesce(F.length(text) > bound, F.lit(False))
+    return kept
 
 
 def text_key(text: Column) -> Column:

@@ -168,3 +168,17 @@ def test_empty_inputs(spark):
     assert profile.histogram(none, "x").agg(F.sum("n")).first()[0] == 0
     assert profile.below_quantile(none, "x").count() == 0
     assert profile.length_grid(none, "id", "id").count() == 0
+
+
+def test_clean_corpus_without_some_columns(spark):
+    rows = [(1, "w " * 60), (2, "w " * 60), (3, "short")]
+    only_articles = spark.createDataFrame(rows, "doc_id long, article_text string")
+    assert [(r.doc_id, r.article_token_count) for r in corpus.clean_corpus(only_articles).collect()] == [(1, 60)]
+    no_text = spark.createDataFrame([(1, "a")], "doc_id long, newspaper_name string")
+    assert corpus.clean_corpus(no_text).columns == ["doc_id", "source"]
+
+
+def test_funnel(spark):
+    rows = [(1, "x" * 101, "s" * 21), (2, "x" * 101, "s" * 30), (3, "x" * 100, "s" * 21), (4, None, "s" * 21)]
+    df = spark.createDataFrame(rows, "doc_id long, articles_clean string, summary_clean string")
+    assert tuple(filters.removal_counts(df).first()) == (4, 2, 1, 1)

@@ -186,3 +186,11 @@ def test_zip_pairs(spark):
     g = spark.createDataFrame([(2, " g2 "), (3, "g3")], "pair_id long, generated string")
     r = spark.createDataFrame([(1, "r1"), (2, "r2")], "pair_id long, reference string")
     assert [tuple(x) for x in consistency.zip_pairs(s, g, r).collect()] == [(2, "s2", "g2", "r2")]
+
+
+def test_samples_in_order(spark):
+    schema = "pair_id long, source string, reference string, generated string, entity_precision double, hallucinated array<string>, entailment double, topic_overlap double"
+    rows = [(i, "s" * 600, "r", "g", 1.0, list("abcdefg"), None, 0.5) for i in (5, 3, 9, 1)]
+    out = consistency.sample_table(spark.createDataFrame(rows, schema), first=2).collect()
+    assert [r.id for r in out] == [1, 3]
+    assert len(out[0].source_excerpt) == 500 and out[0].hallucinated_entities == list("abcde") and out[0].entailment is None
