@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import packing, simhash, simple8b
+from corpusloom.llm import chat, oracle, packing, simhash, simple8b
+from corpusloom.llm import support
 from corpusloom.llm.support import table
 
 
@@ -13,6 +14,19 @@ def op1_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, whose texts look like control strings."""
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    formatted = support.staged(chat.format_conversations(turns.unionByName(probe)), "chat")
+    return chat.digests(formatted)
+
+
 def op5_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
     return found.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
@@ -23,4 +37,6 @@ def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {name: f for name, f in globals().items() if name.startswith("op")}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_chat_segments": oracle.CHAT,
+}
