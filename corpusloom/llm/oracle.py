@@ -16,3 +16,33 @@ SELECT conv_id, count(*) AS n_turns,
     + length(regexp_replace(replace(role, '\', '\\'), '\[/?SYS\]|\[/?INST\]|</?s>|\[/?TURN\]|\[NAME\]', '\0#', 'g')) END)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+def secrets() -> str:
+    """Positions from the lengths of the matches and of the text between them."""
+    kinds = [
+        ("assign", r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+        ("access", r"AKIA[A-Z0-9]+", 0, 16),
+        ("hex", r"[0-9a-f]{32,}", 0, 32),
+        ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+        ("code_host", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
+        ("bearer", r"(?i:bearer)\x20+([A-Za-z0-9+/_.=-]+)", 1, 20),
+        ("web_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1),
+    ]
+    parts = [
+        f"""SELECT rid, {place} AS place, '{kind}' AS kind, m[i] AS hit, v[i] AS value, {least} AS least,
+          list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+        FROM (SELECT rid, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}', 0) AS m,
+                regexp_extract_all(text, '{p}', {group}) AS v FROM d WHERE regexp_matches(text, '{p}')), unnest(range(1, len(m) + 1)) AS t(i)"""
+        for place, (kind, p, group, least) in enumerate(kinds)
+    ]
+    line = "kind || ':' || start || ':' || (start + length(hit))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE length(value) >= least)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg({line}, ',' ORDER BY start, place) FILTER (place < 3), '')) AS base_sha256,
+  coalesce(string_agg({line}, ',' ORDER BY start, place), '') AS spans
+FROM d LEFT JOIN s USING (rid) GROUP BY rid, doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, oracle, packing, simhash, simple8b
+from corpusloom.llm import chat, oracle, packing, secret_scan, simhash, simple8b
 from corpusloom.llm import support
 from corpusloom.llm.support import table
 
@@ -27,6 +27,10 @@ def op3_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(formatted)
 
 
+def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
     return found.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
@@ -39,4 +43,5 @@ def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {name: f for name, f in globals().items() if name.startswith("op")}
 ORACLES = {
     "op3_chat_segments": oracle.CHAT,
+    "op4_trigram_secrets": oracle.secrets(),
 }
