@@ -46,3 +46,32 @@ SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (k
   coalesce(string_agg({line}, ',' ORDER BY start, place), '') AS spans
 FROM d LEFT JOIN s USING (rid) GROUP BY rid, doc_id
 """
+
+
+MIXING = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+    CASE WHEN regexp_matches(t, '(?i)licen[sc]e|all rights reserved|copyright') THEN 'license'
+      WHEN regexp_matches(t, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]|[0-9]{3}[ .-][0-9]{3}') THEN 'contact'
+      WHEN contains(t, ' | ') THEN 'table' WHEN regexp_matches(t, '[0-9]') THEN 'numbers' ELSE 'general' END AS topic,
+    len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) + 1 AS n_tokens
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents)
+), cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
+s AS (SELECT source, pow(sum(tokens), 0.5) AS a, a / sum(a) OVER () AS share FROM cells GROUP BY source),
+l AS (SELECT lang, pow(sum(tokens), 0.7) AS a, a / sum(a) OVER () AS share FROM cells GROUP BY lang),
+k AS (SELECT topic, pow(sum(tokens), 0.7) AS a, a / sum(a) OVER () AS share FROM cells GROUP BY topic),
+start AS (
+  SELECT c.*, s.share AS s_share, l.share AS l_share, k.share AS k_share
+  FROM cells c JOIN s USING (source) JOIN l USING (lang) JOIN k USING (topic)
+), fit AS (
+  SELECT 0 AS i, *, tokens / (SELECT sum(tokens) FROM cells) AS w FROM start
+  UNION ALL
+  SELECT i + 1, source, lang, topic, tokens, s_share, l_share, k_share,
+    w * CASE i % 3 WHEN 0 THEN s_share / sum(w) OVER (PARTITION BY source)
+      WHEN 1 THEN l_share / sum(w) OVER (PARTITION BY lang) ELSE k_share / sum(w) OVER (PARTITION BY topic) END
+  FROM fit WHERE i < 180
+), p AS (SELECT source, lang, topic, w / tokens / max(w / tokens) OVER () AS p FROM fit WHERE i = 180)
+SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability,
+  ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, '17')), 1, 12))::BIGINT / pow(16, 12) < p AS kept
+FROM d JOIN p USING (source, lang, topic)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, oracle, packing, secret_scan, simhash, simple8b
+from corpusloom.llm import chat, mixing, oracle, packing, secret_scan, simhash, simple8b
 from corpusloom.llm import support
 from corpusloom.llm.support import table
 
@@ -14,6 +14,11 @@ def op1_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.probabilities(table(spark, sf_dir, "documents"))
+    return drawn.withColumn("probability", F.round("probability", 6))
+
+
 def op3_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1, whose texts look like control strings."""
     probe = spark.range(2).select(
@@ -42,6 +47,7 @@ def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {name: f for name, f in globals().items() if name.startswith("op")}
 ORACLES = {
+    "op2_raked_mixture": oracle.MIXING,
     "op3_chat_segments": oracle.CHAT,
     "op4_trigram_secrets": oracle.secrets(),
 }
