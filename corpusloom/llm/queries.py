@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, mixing, oracle, packing, secret_scan, simhash, simple8b
+from corpusloom.llm import byte_net, chat, mixing, oracle, packing, quality_rules, secret_scan, simhash, simple8b
 from corpusloom.llm import support
 from corpusloom.llm.support import table
 
@@ -41,10 +41,19 @@ def op5_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
 
 
+def op6_byte_net_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_net.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op10_voted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality_rules.FEATURES[:5], "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
 QUERIES = {name: f for name, f in globals().items() if name.startswith("op")}
 ORACLES = {
     "op2_raked_mixture": oracle.MIXING,
