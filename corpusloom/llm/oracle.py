@@ -75,3 +75,22 @@ SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability,
   ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, '17')), 1, 12))::BIGINT / pow(16, 12) < p AS kept
 FROM d JOIN p USING (source, lang, topic)
 """
+
+
+SEARCH = r"""
+WITH w AS (
+  SELECT doc_id, term, count(*) AS tf FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term FROM documents
+  ) GROUP BY ALL
+), size AS (SELECT doc_id, sum(tf) AS n FROM w GROUP BY doc_id),
+total AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(n) FROM size) / (SELECT count(*) FROM documents) AS mean),
+df AS (SELECT term, count(*) AS df FROM w GROUP BY term),
+hit AS (
+  SELECT q.doc_id AS query_id, w.doc_id,
+    round(sum(q.tf * ln(1 + (docs - df + 0.5) / (df + 0.5)) * w.tf * 2.2 / (w.tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
+  FROM w AS q JOIN w ON w.term = q.term JOIN df ON df.term = q.term JOIN size ON size.doc_id = w.doc_id, total
+  WHERE q.doc_id % 100 = 0 GROUP BY ALL
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM hit QUALIFY rank <= 10
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_net, chat, mixing, oracle, packing, quality_rules, secret_scan, simhash, simple8b
+from corpusloom.llm import byte_net, chat, mixing, oracle, packing, quality_rules, search, secret_scan, simhash, simple8b, unigram_counts
 from corpusloom.llm import support
 from corpusloom.llm.support import table
 
@@ -45,10 +45,19 @@ def op6_byte_net_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_net.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op9_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 100 = 0"))
+
+
 def op10_voted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality_rules.FEATURES[:5], "base_failed", "kept", F.round("quality", 6).alias("quality"))
@@ -59,4 +68,5 @@ ORACLES = {
     "op2_raked_mixture": oracle.MIXING,
     "op3_chat_segments": oracle.CHAT,
     "op4_trigram_secrets": oracle.secrets(),
+    "op9_bm25_top_k": oracle.SEARCH,
 }
