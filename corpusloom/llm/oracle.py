@@ -57,9 +57,9 @@ WITH RECURSIVE d AS (
     len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) + 1 AS n_tokens
   FROM (SELECT *, coalesce(text, '') AS t FROM documents)
 ), cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
-s AS (SELECT source, pow(sum(tokens), 0.5) AS a, a / sum(a) OVER () AS share FROM cells GROUP BY source),
-l AS (SELECT lang, pow(sum(tokens), 0.7) AS a, a / sum(a) OVER () AS share FROM cells GROUP BY lang),
-k AS (SELECT topic, pow(sum(tokens), 0.7) AS a, a / sum(a) OVER () AS share FROM cells GROUP BY topic),
+s AS (SELECT source, pow(sum(tokens), 0.8) AS a, a / sum(a) OVER () AS share FROM cells GROUP BY source),
+l AS (SELECT lang, pow(sum(tokens), 0.9) AS a, a / sum(a) OVER () AS share FROM cells GROUP BY lang),
+k AS (SELECT topic, pow(sum(tokens), 0.9) AS a, a / sum(a) OVER () AS share FROM cells GROUP BY topic),
 start AS (
   SELECT c.*, s.share AS s_share, l.share AS l_share, k.share AS k_share
   FROM cells c JOIN s USING (source) JOIN l USING (lang) JOIN k USING (topic)
