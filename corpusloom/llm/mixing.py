@@ -60,7 +60,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     """Add ``weight`` to ``cells`` (``tokens``, a column a dimension): shares whose sums by each dimension are its target shares.
 
     ``targets``: for each dimension ``value`` and ``share``; a value that is not named gets weight 0, shares of values without
-    tokens are dealt over the others. Two sweeps are one job; its result is staged, and only the largest deviation comes back.
+    tokens are dealt over the others. A sweep is one job; its result is staged, and only the largest deviation comes back.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     fitted = support.staged(cells.withColumn("weight", F.col("tokens") / F.lit(float(total))), "cells")
@@ -69,12 +69,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         live = target.select(F.col("value").alias(dimension), F.col("share").cast("double").alias("share")).join(cells.select(dimension).distinct(), dimension, "left_semi")
         whole = live.agg(F.sum("share").alias("whole"))
         wanted[dimension] = support.staged(live.join(F.broadcast(whole)).select(dimension, (F.col("share") / F.col("whole")).alias("share")), "targets")
-    for _ in range(0, sweeps, 2):
-        for dimension in [*targets] * 2:
+    for sweep in range(1, sweeps + 1):
+        for dimension in targets:
             sums = fitted.groupBy(dimension).agg(F.sum("weight").alias("held"))
             factor = sums.join(wanted[dimension], dimension, "left").select(dimension, F.when(F.col("held") > 0, F.coalesce("share", F.lit(0.0)) / F.col("held")).otherwise(0.0).alias("factor"))
             fitted = fitted.join(factor, dimension).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         fitted = support.staged(fitted, "raked")
+        if sweep % 3:
+            continue
         off = [
             fitted.groupBy(d).agg(F.sum("weight").alias("held")).join(wanted[d], d).agg(F.max(F.abs(F.col("held") - F.col("share"))).alias("off"))
             for d in targets
@@ -87,10 +89,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     return fitted
 
 
-def cell_probabilities(docs: DataFrame, targets: dict[str, DataFrame | float] | None = None, rate: float = 1.0) -> DataFrame:
+def cell_probabilities(measured: DataFrame, targets: dict[str, DataFrame | float] | None = None, rate: float = 1.0) -> DataFrame:
     """One row a cell: ``source``, ``lang``, ``topic``, ``probability`` of its documents. A target is a table or a power."""
-    found = _measured(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
-    cells = support.staged(found, "counted")
+    cells = support.staged(measured.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "counted")
     chosen = {**TEMPER, **(targets or {})}
     tables = {d: t if isinstance(t, DataFrame) else tempered(cells, d, t) for d, t in chosen.items()}
     fitted = rake(cells, tables)
@@ -111,14 +112,15 @@ def probabilities(docs: DataFrame, targets: dict[str, DataFrame | float] | None
     Null sources, languages and texts count as empty ones, which are values like any other. Rows that share a ``doc_id``
     draw the same number; all rows without one share a draw. An empty table gives no rows.
     """
-    cells = cell_probabilities(docs, targets, rate)
-    rows = support.with_lookup(_measured(docs), cells, list(DIMENSIONS), "inner")
+    measured = support.staged(_measured(docs), "measured")
+    cells = cell_probabilities(measured, targets, rate)
+    rows = support.with_lookup(measured, cells, list(DIMENSIONS), "inner")
     return rows.select("doc_id", *DIMENSIONS, "n_tokens", "probability", (draw(F.col("doc_id"), seed) < F.col("probability")).alias("kept"))
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame | float] | None = None, rate: float = 1.0, seed: int = SEED) -> DataFrame:
     """The drawn rows of ``docs``, all columns."""
-    cells = cell_probabilities(docs, targets, rate).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
+    cells = cell_probabilities(_measured(docs), targets, rate).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
     row = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row")
     text = F.coalesce("text", F.lit(""))
     marked = docs.select(row, F.coalesce("source", F.lit("")).alias("_source"), F.coalesce("lang", F.lit("")).alias("_lang"), topic_of(text).alias("_topic"))
