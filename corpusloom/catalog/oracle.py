@@ -95,12 +95,13 @@ _VIEWS: dict[str, str] = {
                array_to_string(list_slice(w, 1, len(w) - len(w) // 3), ' ') AS reference
         FROM (SELECT doc_id, text, {_tokens("text")} AS w FROM v_cleaned)""",
     "v_chat": f"""
-        SELECT u.conv_id * 1000 + u.turn AS pair_id, {_clean("u.text")} AS source, {_clean("a.text")} AS generated
+        SELECT u.conv_id || '-' || u.turn AS pair_id, {_clean("u.text")} AS source, {_clean("a.text")} AS generated
         FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
         WHERE u.role = 'user' AND a.role = 'assistant'""",
     "v_gazetteer": f"""
         SELECT entity, (['PERSON','ORG','GPE','LOC','EVENT','DATE','MONEY'])[length(entity) % 7 + 1] AS label
-        FROM (SELECT DISTINCT unnest({_mentions("text", _WORD)}) AS entity FROM benchmark)""",
+        FROM (SELECT unnest({_mentions("text", _WORD)}) AS entity FROM benchmark
+              UNION SELECT unnest({_mentions("text", _WORD + " " + _WORD)}) FROM documents)""",
     "v_pair_entities": f"""
         SELECT pair_id, {_mentions("source", _CAPITALIZED)} AS s, {_mentions("generated", _CAPITALIZED)} AS g,
                {_mentions("reference", _CAPITALIZED)} AS r
@@ -111,7 +112,7 @@ _VIEWS: dict[str, str] = {
                list_sort(list_filter(g, lambda x: NOT list_contains(r, x))) AS missing
         FROM v_pair_entities""",
     "v_vec": """
-        SELECT vec_id // 30 AS cluster_id, vec_id % 30 AS pos, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec,
+        SELECT CAST(label AS BIGINT) AS cluster_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec,
                vec_id % 7 AS entity
         FROM embeddings""",
     "v_sim": """
@@ -123,7 +124,7 @@ _VIEWS: dict[str, str] = {
         FROM v_vec a JOIN v_vec b ON a.cluster_id = b.cluster_id AND a.entity = b.entity AND a.pos <> b.pos""",
     "v_adj": """
         SELECT * FROM v_sim UNION SELECT * FROM v_shared
-        UNION SELECT cluster_id, i, i FROM (SELECT DISTINCT cluster_id FROM v_vec), range(30) t(i)""",
+        UNION SELECT cluster_id, i, i FROM (SELECT cluster_id, pos AS i FROM v_vec)""",
     "v_logits": """
         SELECT pair_id, exp(l0 - m) / z AS contradiction, exp(l1 - m) / z AS entailment, exp(l2 - m) / z AS neutral
         FROM (SELECT *, exp(l0 - m) + exp(l1 - m) + exp(l2 - m) AS z
@@ -135,8 +136,8 @@ _VIEWS: dict[str, str] = {
         SELECT cluster_id, rn - 1 AS pos, sentence
         FROM (SELECT cluster_id, sentence, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_pos, i) AS rn
               FROM (SELECT cluster_id, doc_pos, unnest(s) AS sentence, generate_subscripts(s, 1) AS i
-                    FROM (SELECT cluster_id, doc_pos, {_sentences("text")} AS s FROM v_cluster_docs)))
-        WHERE rn <= 30""",
+                    FROM (SELECT cluster_id, doc_pos, {_sentences("text")} AS s FROM v_cluster_docs)))""",
+    "v_cluster_slots": "SELECT * FROM v_cluster_sentences WHERE pos < 30",
     "v_cluster_nodes": f"""
         SELECT cluster_id, pos, sentence, e,
                list_transform(range(64), lambda d: CAST(len(list_filter(cells, lambda c: c = d)) AS DOUBLE)) AS vec
@@ -149,11 +150,11 @@ _VIEWS: dict[str, str] = {
         FROM v_cluster_nodes a JOIN v_cluster_nodes b ON a.cluster_id = b.cluster_id AND a.pos <> b.pos
         WHERE list_dot_product(a.vec, b.vec) / greatest(sqrt(list_dot_product(a.vec, a.vec)), 1e-12)
               / greatest(sqrt(list_dot_product(b.vec, b.vec)), 1e-12) > 0.75 OR list_has_any(a.e, b.e)
-        UNION SELECT cluster_id, i, i FROM (SELECT DISTINCT cluster_id FROM v_cluster_nodes), range(30) t(i)""",
+        UNION SELECT cluster_id, i, i FROM (SELECT cluster_id, pos AS i FROM v_cluster_nodes)""",
     "v_vocab": f"""
         SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 2 AS BIGINT) AS token_id
         FROM (SELECT token, count(*) AS n FROM (SELECT unnest({_tokens("lower(text)")}) AS token FROM v_cleaned)
-              GROUP BY token ORDER BY n DESC, token LIMIT 5000)""",
+              GROUP BY token)""",
     "v_latency": """
         SELECT event_type AS model, value / 100 AS latency, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens FROM events""",
     "v_stats": """
@@ -380,8 +381,8 @@ def _join(ids: str, separator: str = " ") -> str:
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["src_raw"] = _with("SELECT * REPLACE (nullif(headline, '') AS headline, nullif(human_summary, '') AS human_summary) FROM v_raw")
-    q["sink_roundtrip"] = _with("SELECT doc_id, source, strftime(date, '%Y-%m-%d') AS date, year, articles_clean, article_token_count FROM v_docs")
-    q["sink_splits"] = _with("SELECT doc_id, source, d.n_chars, split FROM v_split JOIN documents d USING (doc_id) WHERE split = 'val'")
+    q["sink_roundtrip"] = _with(f"SELECT doc_id, source, strftime(date, '%Y-%m-%d') AS date, year, headline, articles_clean, summary_clean, category, article_token_count, summary_token_count, {_r('compression_ratio')} AS compression_ratio FROM v_docs")
+    q["sink_splits"] = _with("SELECT doc_id, source, d.n_chars, split FROM v_split JOIN documents d USING (doc_id)")
     q["eval_report"] = _with(
         """
         SELECT 'third-overlap' AS model, num_samples, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1,
@@ -446,7 +447,9 @@ def build() -> dict[str, str]:
     )
 
     def found(view: str) -> str:
-        return f"SELECT doc_id, unnest({_mentions('text', _WORD)}) AS entity FROM {view}"
+        runs = f"(SELECT doc_id, string_split(lower(run), ' ') AS w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_NAME}')) AS run FROM {view}))"
+        pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+        return f"SELECT doc_id, unnest(w) AS entity FROM {runs} UNION SELECT doc_id, unnest({pairs}) FROM {runs}"
 
     q["entities"] = _with(
         f"SELECT doc_id, entity, label FROM ({found('v_cleaned')}) JOIN v_gazetteer USING (entity) WHERE label IN ('PERSON', 'ORG', 'GPE', 'LOC')"
@@ -466,7 +469,7 @@ def build() -> dict[str, str]:
     prompt = f"{opening} || articles_clean || chr(10) || chr(10) || 'Summary:'"
     q["sft_records"] = _with(f"SELECT doc_id, {prompt} AS prompt, {prompt} || ' ' || summary_clean || '[EOS]' AS full_text FROM v_docs")
     q["cluster_concat"] = _with(
-        "SELECT cluster_id, CAST(0 AS BIGINT) AS part, count(*) AS n_docs, string_agg(text, ' [DOC] ' ORDER BY doc_pos) AS text FROM v_cluster_docs GROUP BY cluster_id"
+        "SELECT cluster_id, count(*) AS n_docs, string_agg(text, ' [DOC] ' ORDER BY doc_pos) AS text FROM v_cluster_docs GROUP BY cluster_id"
     )
     q["vocabulary_ids"] = _with("SELECT * FROM v_vocab")
     q["encode_tokens"] = _with(f"SELECT doc_id, {_join('ids')} AS ids FROM v_ids", _encoded("v_cleaned", "doc_id", _tokens("lower(text)"), "v_ids"))
@@ -494,14 +497,14 @@ def build() -> dict[str, str]:
         both,
     )
     chats = {
-        **_encoded("v_chat", "pair_id", f"list_slice({_tokens('lower(source)')}, 1, 256)", "v_p"),
-        **_encoded("v_chat", "pair_id", f"list_slice({_tokens('lower(generated)')}, 1, 256)", "v_c"),
-        "v_full": "SELECT pair_id, len(v_p.ids) AS n, list_slice(list_concat(list_concat(v_p.ids, v_c.ids), [2]), 1, 256) AS ids FROM v_p JOIN v_c USING (pair_id)",
+        **_encoded("v_chat", "pair_id", f"list_slice({_tokens('lower(source)')}, 1, 2048)", "v_p"),
+        **_encoded("v_chat", "pair_id", f"list_slice({_tokens('lower(generated)')}, 1, 2048)", "v_c"),
+        "v_full": "SELECT pair_id, len(v_p.ids) AS n, list_slice(list_concat(list_concat(v_p.ids, v_c.ids), [2]), 1, 2048) AS ids FROM v_p JOIN v_c USING (pair_id)",
     }
     q["rec_causal"] = _with(
         f"""
-        SELECT pair_id, n AS prompt_len, {_join(_padded('ids', 256, 0))} AS input_ids, {_join(_mask('ids', 256))} AS attention_mask,
-               {_join(_padded("list_transform(ids, lambda x, i: CASE WHEN i <= n THEN -100 ELSE x END)", 256, -100))} AS labels FROM v_full""",
+        SELECT pair_id, n AS prompt_len, {_join(_padded('ids', 2048, 0))} AS input_ids, {_join(_mask('ids', 2048))} AS attention_mask,
+               {_join(_padded("list_transform(ids, lambda x, i: CASE WHEN i <= n THEN -100 ELSE x END)", 2048, -100))} AS labels FROM v_full""",
         chats,
     )
     q["head_n"] = "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 500"
@@ -628,7 +631,7 @@ def build() -> dict[str, str]:
     q["cluster_inputs"] = _with(
         f"""
         SELECT cluster_id, count(*) AS n_sentences, {_join("list_resize(list(sentence ORDER BY pos), 30, '')", "|||")} AS packed
-        FROM v_cluster_sentences GROUP BY cluster_id"""
+        FROM v_cluster_slots GROUP BY cluster_id"""
     )
     f1 = "CASE WHEN p + c > 0 THEN 2 * p * c / (p + c) ELSE 0 END"
     q["entity_prf"] = _with(
@@ -665,7 +668,7 @@ def build() -> dict[str, str]:
                left(source, 200) AS source, left(generated, 200) AS generated, left(source, 200) AS reference
         FROM (SELECT *, CASE WHEN len(g) = 0 THEN 1.0 ELSE len(list_intersect(g, s)) / CAST(len(g) AS DOUBLE) END AS p
               FROM (SELECT *, {_mentions("generated", _CAPITALIZED)} AS g, {_mentions("source", _CAPITALIZED)} AS s FROM ({topic})))
-        LEFT JOIN v_logits USING (pair_id) ORDER BY p, pair_id LIMIT 5"""
+        LEFT JOIN (SELECT * REPLACE (pair_id || '-0' AS pair_id) FROM v_logits) USING (pair_id) ORDER BY p, pair_id LIMIT 5"""
     )
     q["verdict"] = _with(
         f"""

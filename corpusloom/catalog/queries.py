@@ -46,14 +46,14 @@ def sink_roundtrip(spark, sf_dir):
     path = new_folder(spark, "corpus")
     writers.write_corpus(v.docs_clean(spark, sf_dir), path)
     back = readers.read_corpus(spark, path)
-    return back.select("doc_id", "source", F.col("date").cast("date").cast("string").alias("date"), "year", "articles_clean", "article_token_count")
+    return back.withColumn("date", F.col("date").cast("date").cast("string"))
 
 
 @query
 def sink_splits(spark, sf_dir):
     path = new_folder(spark, "splits")
     writers.write_splits(splits.add_split(v.documents(spark, sf_dir).select("doc_id", "source", "n_chars"), "doc_id"), path)
-    return spark.read.parquet(path).where("split = 'val'").select("doc_id", "source", "n_chars", "split")
+    return spark.read.parquet(path).select("doc_id", "source", "n_chars", "split")
 
 
 def _scored_pairs(spark, sf_dir):
@@ -286,7 +286,7 @@ def cluster_concat(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir):
-    return records.vocabulary_ids(profile.token_counts(v.cleaned(spark, sf_dir), "text"), 5000)
+    return records.vocabulary_ids(profile.token_counts(v.cleaned(spark, sf_dir), "text"))
 
 
 @query
@@ -317,7 +317,7 @@ def rec_seq2seq(spark, sf_dir):
 def rec_causal(spark, sf_dir):
     chats = v.chat_pairs(spark, sf_dir)
     rows = records.causal_records(
-        chats, "pair_id", tx.tokens(F.lower(F.col("source"))), tx.tokens(F.lower(F.col("generated"))), _vocabulary(spark, sf_dir), 256
+        chats, "pair_id", tx.tokens(F.lower(F.col("source"))), tx.tokens(F.lower(F.col("generated"))), _vocabulary(spark, sf_dir), 2048
     )
     return v.joined_arrays(rows, "input_ids", "attention_mask", "labels")
 
@@ -615,7 +615,7 @@ def topic_report(spark, sf_dir):
 def worst_k(spark, sf_dir):
     chats = v.chat_pairs(spark, sf_dir).withColumn("reference", F.col("source"))
     scored = consistency.add_topic_overlap(consistency.add_entity_scores(consistency.add_entities(chats, "[A-Z][a-z]{3,}")))
-    entailment = consistency.add_entailment(v.logits(spark, sf_dir)).select("pair_id", "entailment")
+    entailment = consistency.add_entailment(v.logits(spark, sf_dir)).select(F.concat(F.col("pair_id"), F.lit("-0")).alias("pair_id"), "entailment")
     return v.joined_arrays(consistency.worst_pairs(scored.join(entailment, "pair_id", "left")), "hallucinated", separator="|")
 
 

@@ -12,7 +12,7 @@ from corpusloom.functions.vectors import hashed_counts
 from corpusloom.operators import ranking as rk
 from corpusloom.operators import sentences as so
 from corpusloom.plans import corpus
-from corpusloom.shared import computed_once, cut_lineage, spread
+from corpusloom.shared import computed_once, cut_lineage
 
 RAW_NAMES = ("newspaper_name", "published_date", "headline", "article_text", "human_summary", "news_category")
 
@@ -22,11 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages")).select("page_id", "html")
+    return table(spark, sf_dir, "pages").select("page_id", "html")
 
 
 def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,27 +80,30 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn as source, the assistant's next turn as generated text."""
-    turns = spread(table(spark, sf_dir, "conversations"))
+    turns = table(spark, sf_dir, "conversations")
     user = turns.where("role = 'user'").select("conv_id", "turn", tx.clean_text(F.col("text")).alias("source"))
     reply = turns.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), tx.clean_text(F.col("text")).alias("generated")
     )
     both = user.join(reply, ["conv_id", "turn"])
-    return both.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "source", "generated")
+    return both.select(F.concat_ws("-", "conv_id", "turn").alias("pair_id"), "source", "generated")
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capitalized words of the benchmark texts; the label follows from the length of the word."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(en.mentions(F.col("text"), en.WORD_PATTERN)).alias("entity")).distinct()
+    """Capitalized words of the benchmark texts, and pairs of them in the documents; the label follows from the length."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(en.mentions(F.col("text"), en.WORD_PATTERN)).alias("entity"))
+    pair = f"{en.WORD_PATTERN} {en.WORD_PATTERN}"
+    names = documents(spark, sf_dir).select(F.explode(en.mentions(F.col("text"), pair)).alias("entity"))
     labels = F.array(*[F.lit(label) for label in en.ALL_LABELS])
-    return words.select("entity", F.get(labels, F.length("entity") % len(en.ALL_LABELS)).alias("label"))
+    return words.union(names).distinct().select("entity", F.get(labels, F.length("entity") % len(en.ALL_LABELS)).alias("label"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as graphs of thirty slots; every seventh node of a graph shares an entity."""
-    return spread(table(spark, sf_dir, "embeddings")).select(
-        F.floor(F.col("vec_id") / 30).alias("cluster_id"),
-        (F.col("vec_id") % 30).alias("pos"),
+    """Embeddings as graphs, one for each label, in the order of their ids; every seventh node of a graph shares an entity."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("_bucket", F.floor(F.col("vec_id") / 4096))
+    return rk.add_rank(rows, ["vec_id"], "_bucket", ("label",)).select(
+        F.col("label").cast("bigint").alias("cluster_id"),
+        (F.col("rank") - 1).alias("pos"),
         F.col("embedding").alias("vec"),
         F.array((F.col("vec_id") % 7).cast("string")).alias("entities"),
     )
@@ -108,7 +111,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id = F.col("vec_id")
-    return spread(table(spark, sf_dir, "embeddings")).select(
+    return table(spark, sf_dir, "embeddings").select(
         F.floor(vec_id / 20).alias("pair_id"), (vec_id % 2).alias("side"), F.floor(vec_id % 20 / 2).alias("pos"), F.col("embedding").alias("vec")
     )
 
@@ -141,7 +144,7 @@ def with_features(rows: DataFrame) -> DataFrame:
 
 
 def cluster_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots of document clusters with their features."""
+    """Sentences of document clusters with their features."""
     return with_features(so.cluster_sentences(cluster_docs(spark, sf_dir), "cluster_id", "doc_pos", "text"))
 
 

@@ -27,3 +27,14 @@ def mentions(text: Column, pattern: str = NAME_PATTERN) -> Column:
     """Distinct lower-case matches of ``pattern`` in the whole text, sorted; empty for NULL text."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
     return F.sort_array(F.array_distinct(F.transform(found, lambda m: F.lower(m))))
+
+
+def parts(runs: Column, longest: int) -> Column:
+    """Distinct parts of ``runs``, arrays of blank-separated words, that have up to ``longest`` words."""
+
+    def of(words: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.least(F.size(words), F.lit(longest)))
+        pick = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.flatten(F.transform(sizes, pick))
+
+    return F.array_distinct(F.flatten(F.transform(runs, lambda run: of(F.split(run, " ")))))

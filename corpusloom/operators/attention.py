@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.sentences import SLOTS
 from corpusloom.functions.vectors import dot, let, softmax
 from corpusloom.shared import cut_lineage
 
@@ -37,19 +36,16 @@ def gat_layer(
     weight: list[list[float]],
     attention: list[float],
     slope: float = SLOPE,
-    slots: int = SLOTS,
 ) -> DataFrame:
     """One attention layer followed by ReLU: ``(cluster_id, node, vec)`` in, the same out.
 
     ``weight`` is input size x output size, ``attention`` has twice the output size. A node attends to
-    the ``dst`` of its edges; one without edges gets zeros. Node numbers are slots below ``slots``, which
-    bounds the neighbours gathered per node; they are gathered in slot order, so sums do not depend on
-    how rows were distributed.
+    the ``dst`` of its edges; one without edges gets zeros. A node's neighbours are gathered in their order,
+    so sums do not depend on how rows were distributed.
     """
     size = len(weight[0])
     state = _projected(nodes, weight, attention)
-    inside = edges.where((F.col("src") < slots) & (F.col("dst") < slots))
-    messages = inside.join(
+    messages = edges.join(
         state.select("cluster_id", F.col("node").alias("dst"), "other", "wh"), ["cluster_id", "dst"]
     )
     inbox = messages.groupBy("cluster_id", F.col("src").alias("node")).agg(
@@ -75,7 +71,6 @@ def gat_layers(
     edges: DataFrame,
     layers: list[tuple[list[list[float]], list[float]]],
     slope: float = SLOPE,
-    slots: int = SLOTS,
 ) -> DataFrame:
     """Stacked layers. Edges and the state between layers, which are used several times, are checkpointed."""
     state = nodes
@@ -84,5 +79,5 @@ def gat_layers(
     for depth, (weight, attention) in enumerate(layers):
         if depth > 0:
             state = cut_lineage(state)
-        state = gat_layer(state, edges, weight, attention, slope, slots)
+        state = gat_layer(state, edges, weight, attention, slope)
     return state

@@ -1,7 +1,7 @@
 """Sentence graphs: edges by similarity and by shared entities, degrees, extractive summaries.
 
-A graph has a fixed number of slots (30 in the model input), so all nodes of a cluster fit one row. Nodes
-are gathered once per cluster; pairs are then formed inside the row and only edges leave it.
+Nodes of a cluster are cut into blocks by their position; each pair of blocks is one group, so a cluster of any size is
+spread over tasks, pairs are formed inside a group, and only edges leave it. A small cluster is one group.
 """
 
 from __future__ import annotations
@@ -11,103 +11,116 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.sentences import SLOTS
 from corpusloom.functions.vectors import let
 
 THRESHOLD = 0.75
+BLOCK = 256
+LOW = 0xFFFFFFFF
 
 
-def pack_nodes(nodes: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``(cluster_id, nodes)`` from ``(cluster_id, pos, vec, entities[, sentence])``.
+def block_pairs(nodes: DataFrame, slots: int | None = None, block: int = BLOCK) -> DataFrame:
+    """``(cluster_id, i, j, nodes)``, i <= j: the nodes of two blocks (or one) of a cluster, in order of position.
 
-    ``pos`` is the slot, from 0; nodes beyond the last slot do not exist in the model's input. Slots with
-    a blank sentence take part in no edge.
+    ``nodes`` is ``(cluster_id, pos, vec, entities[, sentence])``; ``pos`` counts from 0. With ``slots``, nodes beyond the
+    last slot do not exist. Nodes with a blank sentence take part in no edge.
     """
-    used = nodes.where(F.col("pos") < slots)
-    filled = F.trim(F.col("sentence")) != "" if "sentence" in nodes.columns else F.lit(True)
+    used = nodes if slots is None else nodes.where(F.col("pos") < slots)
+    filled = F.coalesce(F.trim(F.col("sentence")) != "", F.lit(False)) if "sentence" in nodes.columns else F.lit(True)
     node = F.struct(
-        F.col("pos").cast("int").alias("pos"),
+        F.col("pos").cast("long").alias("pos"),
         F.transform("vec", lambda x: x.cast("double")).alias("vec"),
         F.col("entities"),
+        filled.alias("filled"),
     )
-    return used.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.when(filled, node))).alias("nodes"))
-
-
-def _similar_pairs(threshold: float, slots: int):
-    """Arrow UDF: slot numbers and vectors of a cluster -> coded pairs ``src * slots + dst``, src < dst."""
-
-    @F.pandas_udf("array<int>")
-    def pairs(positions: pd.Series, vectors: pd.Series) -> pd.Series:
+    rows = used.select("cluster_id", F.floor(F.col("pos") / block).alias("_own"), node.alias("_node"))
+    if slots is not None and slots <= block:
+        rows = rows.withColumn("_last", F.lit(0).cast("long"))
+    else:
+        last = used.groupBy("cluster_id").agg(F.floor(F.max("pos") / block).alias("_last"))
+        rows = rows.join(last, "cluster_id")
+    paired = rows.select("cluster_id", "_own", "_node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_other"))
+    pair = [F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j")]
+    return paired.groupBy("cluster_id", *pair).agg(F.sort_array(F.collect_list("_node")).alias("nodes"))
+
+
+def _similar_pairs(threshold: float, block: int):
+    """Arrow UDF: positions and vectors of a group -> coded pairs, src < dst, from the group's two blocks."""
+
+    @F.pandas_udf("array<long>")
+    def pairs(lower: pd.Series, upper: pd.Series, positions: pd.Series, vectors: pd.Series) -> pd.Series:
         found = []
-        for pos, vecs in zip(positions, vectors):
+        for i, j, pos, vecs in zip(lower, upper, positions, vectors):
             if len(pos) < 2:
                 found.append([])
                 continue
             matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vecs])
             norms = np.linalg.norm(matrix, axis=1, keepdims=True)
             unit = matrix / np.maximum(norms, 1e-12)
-            above = np.triu(unit @ unit.T > threshold, k=1)
-            i, j = np.nonzero(above)
             number = np.asarray(pos, dtype=np.int64)
-            found.append((number[i] * slots + number[j]).tolist())
+            first, second = number // block == i, number // block == j
+            a, b = np.nonzero(unit[first] @ unit[second].T > threshold)
+            src, dst = number[first][a], number[second][b]
+            kept = src < dst
+            found.append((src[kept] << 32 | dst[kept]).tolist())
         return pd.Series(found)
 
     return pairs
 
 
-def _similarity_codes(threshold: float, slots: int) -> Column:
-    positions = F.transform("nodes", lambda n: n["pos"])
-    vectors = F.transform("nodes", lambda n: n["vec"])
-    return _similar_pairs(threshold, slots)(positions, vectors)
+def _similarity_codes(threshold: float, block: int) -> Column:
+    filled = F.filter("nodes", lambda n: n["filled"])
+    positions = F.transform(filled, lambda n: n["pos"])
+    return _similar_pairs(threshold, block)("i", "j", positions, F.transform(filled, lambda n: n["vec"]))
 
 
-def _entity_codes(slots: int) -> Column:
+def _code(src: Column, dst: Column) -> Column:
+    return F.shiftleft(src, 32).bitwiseOR(dst)
+
+
+def _entity_codes(block: int) -> Column:
     def partners(a: Column) -> Column:
-        shared = F.filter(
-            "nodes", lambda b: (b["pos"] > a["pos"]) & F.arrays_overlap(a["entities"], b["entities"])
-        )
-        return F.transform(shared, lambda b: a["pos"] * slots + b["pos"])
+        meets = F.floor(a["pos"] / block) == F.col("i")
+
+        def shared(b: Column) -> Column:
+            other = (b["pos"] > a["pos"]) & (F.floor(b["pos"] / block) == F.col("j"))
+            return meets & a["filled"] & b["filled"] & other & F.arrays_overlap(a["entities"], b["entities"])
+
+        return F.transform(F.filter("nodes", shared), lambda b: _code(a["pos"], b["pos"]))
 
     return F.flatten(F.transform("nodes", partners))
 
 
-def _mirrored(codes: Column, slots: int) -> Column:
+def _mirrored(codes: Column) -> Column:
     def turned(c: Column) -> Column:
-        return F.pmod(c, F.lit(slots)) * slots + F.floor(c / slots).cast("int")
+        return _code(c.bitwiseAND(F.lit(LOW)), F.shiftright(c, 32))
 
     return let(codes, lambda found: F.concat(found, F.transform(found, turned)))
 
 
-def _edges(df: DataFrame, codes: Column, slots: int) -> DataFrame:
+def _edges(df: DataFrame, codes: Column) -> DataFrame:
     exploded = df.select("cluster_id", F.explode(codes).alias("_code"))
-    return exploded.select(
-        "cluster_id",
-        F.floor(F.col("_code") / slots).cast("bigint").alias("src"),
-        F.pmod(F.col("_code"), F.lit(slots)).cast("bigint").alias("dst"),
-    )
+    return exploded.select("cluster_id", F.shiftright("_code", 32).alias("src"), F.col("_code").bitwiseAND(F.lit(LOW)).alias("dst"))
 
 
-def similarity_edges(nodes: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS) -> DataFrame:
+def similarity_edges(nodes: DataFrame, threshold: float = THRESHOLD, slots: int | None = None, block: int = BLOCK) -> DataFrame:
     """``(cluster_id, src, dst)``, both directions: cosine strictly above the threshold."""
-    return _edges(pack_nodes(nodes, slots), _mirrored(_similarity_codes(threshold, slots), slots), slots)
+    return _edges(block_pairs(nodes, slots, block), _mirrored(_similarity_codes(threshold, block)))
 
 
-def entity_edges(nodes: DataFrame, slots: int = SLOTS) -> DataFrame:
+def entity_edges(nodes: DataFrame, slots: int | None = None, block: int = BLOCK) -> DataFrame:
     """``(cluster_id, src, dst)``, both directions: at least one entity in common."""
-    return _edges(pack_nodes(nodes, slots), _mirrored(_entity_codes(slots), slots), slots)
-
+    return _edges(block_pairs(nodes, slots, block), _mirrored(_entity_codes(block)))
 
-def adjacency(nodes: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS) -> DataFrame:
-    """``(cluster_id, src, dst)``: similarity and entity edges and a self loop on every slot, each once.
 
-    Gathering the nodes is the only shuffle.
-    """
-    packed = pack_nodes(nodes, slots).select(
-        "cluster_id", "nodes", _similarity_codes(threshold, slots).alias("_similar")
-    )
-    loops = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: i * slots + i)
-    codes = F.array_distinct(F.concat("_similar", _entity_codes(slots)))
-    return _edges(packed, F.concat(_mirrored(codes, slots), loops), slots)
+def adjacency(nodes: DataFrame, threshold: float = THRESHOLD, slots: int | None = None, block: int = BLOCK) -> DataFrame:
+    """``(cluster_id, src, dst)``: similarity and entity edges, each once, and a self loop on every node, or on every
+    slot if there are ``slots``."""
+    packed = block_pairs(nodes, slots, block).select("*", _similarity_codes(threshold, block).alias("_similar"))
+    places = F.transform("nodes", lambda n: n["pos"]) if slots is None else F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))
+    once = F.col("i") == F.col("j") if slots is None else F.col("j") == 0
+    loops = F.when(once, F.transform(places, lambda p: _code(p, p))).otherwise(F.array().cast("array<long>"))
+    codes = F.array_distinct(F.concat("_similar", _entity_codes(block)))
+    return _edges(packed, F.concat(_mirrored(codes), loops))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -132,7 +145,7 @@ def degree_report(edges: DataFrame) -> DataFrame:
 def extract_summaries(sentences: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
     """``(cluster_id, n_sentences, summary)``: the ``k`` best connected sentences of a cluster in text order.
 
-    ``sentences`` is ``(cluster_id, pos, sentence)`` of the graph's slots. Earlier sentences win ties.
+    ``sentences`` is ``(cluster_id, pos, sentence)`` of the graph's nodes. Earlier sentences win ties.
     """
     scored = sentences.join(degrees(edges).withColumnRenamed("node", "pos"), ["cluster_id", "pos"])
     best = Window.partitionBy("cluster_id").orderBy(F.desc("degree"), "pos")

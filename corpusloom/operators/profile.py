@@ -105,9 +105,14 @@ def temporal_coverage(df: DataFrame, year: str = "year") -> DataFrame:
     )
 
 
+def _missing(column: str, kind: str) -> Column:
+    value = F.col(f"`{column}`")
+    return value.isNull() | F.isnan(value) if kind in ("double", "float") else value.isNull()
+
+
 def missing_values(df: DataFrame) -> DataFrame:
-    """Per column: NULLs and their percentage to two decimals."""
-    wide = df.agg(F.count("*").alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    """Per column: missing values (NULL, and NaN in floating columns) and their percentage to two decimals."""
+    wide = df.agg(F.count("*").alias("_rows"), *[F.count_if(_missing(c, kind)).alias(c) for c, kind in df.dtypes])
     long = wide.unpivot(["_rows"], list(df.columns), "column", "n_missing")
     percent = F.round(F.try_divide(F.col("n_missing") * 100, F.col("_rows")), 2)
     return long.select("column", "n_missing", percent.alias("percent_missing"))
@@ -144,11 +149,11 @@ def _bin(x: Column, low: float, high: float, bins: int) -> Column:
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """``(bin, low, high, n, mean, median)``: every bin has a row, also an empty one.
 
-    Mean and median of the column, the marks drawn into the plot, repeat on each row. A constant column
+    Mean and median of the column, the marks drawn into the plot, repeat on each row. NaN counts as missing. A constant column
     is given a range of one around its value. The range is found by a job of its own, so ``df`` should be
     cheap to read.
     """
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    values = df.where(~_missing(column, dict(df.dtypes)[column])).select(F.col(column).cast("double").alias("x"))
     span = values.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean")).first()
     empty = span.low is None
     median = None if empty else exact_quantiles(values, "x", {"median": 0.5}).first().median

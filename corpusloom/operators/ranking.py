@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from corpusloom.shared import cut_lineage
 
 HASH_DIGITS = 3
+# Stands for the key of a position before the first row.
+BEFORE_FIRST = Row(position=0)
 RANGE_BUCKETS = 1024
 
 
@@ -28,12 +31,22 @@ def hash_bucket(key: Column, digits: int = HASH_DIGITS) -> Column:
     return F.substring(key, 1, digits)
 
 
+def range_part(df: DataFrame, order_by: list[str], target: str) -> DataFrame:
+    """Add a bucket that never falls along ``order_by``, of any types: the partition of a range shuffle.
+
+    ``df`` should be narrow; the result is checkpointed, since another shuffle might draw other bounds.
+    """
+    return cut_lineage(df.repartitionByRange(*order_by).withColumn(target, F.spark_partition_id()))
+
+
 def range_bucket(df: DataFrame, column: str, target: str, buckets: int = RANGE_BUCKETS) -> DataFrame:
-    """Add the bucket of a numeric column between quantiles of the data (one job that returns them).
+    """Add the bucket of a column between quantiles of the data (one job that returns them).
 
     Bounds follow the data, so no stretch of values can crowd one bucket; only equal values must share.
     The bounds become constants of the plan, hence the same for every use of the result.
     """
+    if not isinstance(df.schema[column].dataType, NumericType):
+        return range_part(df, [column], target)
     probabilities = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(column, probabilities, 0.25 / buckets)))
     if not cuts:
@@ -77,7 +90,9 @@ def add_rank(df: DataFrame, order_by: list[str], bucket: str, keys: tuple[str, .
 
 
 def rank_keys(df: DataFrame, order_by: list[str], bucket: str, positions: Callable[[int], dict[str, int]]) -> dict[str, Row | None]:
-    """Per name, the sort key of the row at a 1-based position; None where there is no such row.
+    """Per name, the sort key of the row at a 1-based position.
+
+    A position before the first row gives ``BEFORE_FIRST``, one behind the last row None.
 
     ``positions`` maps the row count to named positions. Two small jobs run at once: one counts rows per
     bucket, one ranks the buckets that hold a wanted position. What comes back is one key per name, to be
@@ -85,7 +100,7 @@ def rank_keys(df: DataFrame, order_by: list[str], bucket: str, positions: Callab
     """
     offsets = cut_lineage(bucket_offsets(df.select(*order_by, bucket), bucket))
     total = offsets.agg(F.max("total")).first()[0] or 0
-    keys: dict[str, Row | None] = dict.fromkeys(positions(total))
+    keys: dict[str, Row | None] = {name: BEFORE_FIRST if place < 1 else None for name, place in positions(total).items()}
     places = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).cast("bigint").alias("pos")) for n, p in positions(total).items()])
     targets = offsets.select(bucket, "n_rows", "start", F.inline(places))
     hits = targets.where((F.col("pos") > F.col("start")) & (F.col("pos") <= F.col("start") + F.col("n_rows")))
@@ -98,8 +113,10 @@ def rank_keys(df: DataFrame, order_by: list[str], bucket: str, positions: Callab
     return keys
 
 
-def not_after(order_by: list[str], key: Row) -> Column:
-    """The row's sort key is at most ``key``, compared column by column."""
+def not_after(order_by: list[str], key: Row | None) -> Column:
+    """The row's sort key is at most ``key``, as ``rank_keys`` gives it, compared column by column."""
+    if key is None or key is BEFORE_FIRST:
+        return F.lit(key is None)
     name, rest = order_by[0], order_by[1:]
     cut = F.lit(key[name])
     if not rest:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import sentences as st
 from corpusloom.functions import text as tx
+from corpusloom.operators import ranking as rk
 from corpusloom.shared import BROADCAST_ROWS, lookup_join
 
 # Fixed value: labels with this id do not enter the loss.
@@ -18,11 +19,15 @@ PROMPT = "Summarize the articles below in a few factual sentences; state nothing
 PROMPT_END = "\n\nSummary:"
 
 
-def vocabulary_ids(token_counts: DataFrame, size: int) -> DataFrame:
-    """``(token, token_id)`` of the ``size`` most frequent tokens; ids 0 to 2 are padding, unknown, end.
+def vocabulary_ids(token_counts: DataFrame, size: int | None = None) -> DataFrame:
+    """``(token, token_id)`` of all tokens, or of the ``size`` most frequent ones; ids 0 to 2 are padding, unknown, end.
 
-    Ordering the chosen tokens takes one task, over at most ``size`` rows.
+    All tokens are ranked in ranges of (frequency, token); a bounded choice is ordered in one task.
     """
+    if size is None:
+        counts = token_counts.select("token", (-F.col("n")).alias("_down"))
+        ranked = rk.add_rank(rk.range_part(counts, ["_down", "token"], "_part"), ["_down", "token"], "_part")
+        return ranked.select("token", (F.col("rank") + (len(SPECIALS) - 1)).cast("int").alias("token_id"))
     top = token_counts.orderBy(F.desc("n"), "token").limit(size)
     order = Window.orderBy(F.desc("n"), "token")
     return top.select("token", (F.row_number().over(order) + (len(SPECIALS) - 1)).cast("int").alias("token_id"))

@@ -34,14 +34,17 @@ def entity_rows(
     text_col: str,
     gazetteer: DataFrame,
     labels: tuple[str, ...] = en.NAME_LABELS,
-    pattern: str = en.WORD_PATTERN,
+    pattern: str = en.NAME_PATTERN,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Distinct ``(id, entity, label)``: name mentions that the gazetteer ``(entity, label)`` lists, plus
-    dates and sums of money, which are found by their form. The texts are read once for all kinds."""
+    dates and sums of money, which are found by their form. The texts are read once for all kinds.
+
+    A run of capitalized words is looked up whole and in all its parts of as many words as the longest listed name."""
     text = F.col(text_col)
     forms = [(label, form) for label, form in (("DATE", en.DATE_PATTERN), ("MONEY", en.MONEY_PATTERN)) if label in labels]
-    found = [_labelled(en.mentions(text, pattern), None), *[_labelled(en.mentions(text, form), label) for label, form in forms]]
+    longest = gazetteer.agg(F.max(F.size(F.split("entity", " ")))).first()[0] or 1
+    found = [_labelled(en.parts(en.mentions(text, pattern), longest), None), *[_labelled(en.mentions(text, form), label) for label, form in forms]]
     rows = df.select(id_col, F.inline(F.concat(*found)))
     listed = gazetteer.where(F.col("label").isin(*labels)).select("entity", F.col("label").alias("listed"))
     by_form = F.col("label").isNotNull()
@@ -50,36 +53,32 @@ def entity_rows(
     return kept.distinct() if forms else kept
 
 
-def cluster_text(
-    docs: DataFrame, cluster_col: str, pos_col: str, text_col: str, separator: str = " ", docs_per_part: int = 1000
-) -> DataFrame:
-    """``(cluster, part, n_docs, text)``: the documents of a cluster joined in order.
-
-    ``pos`` numbers the documents of a cluster from 0. A cluster of more than ``docs_per_part`` documents
-    comes in several rows, so that no task has to hold all of a very large one; joining the parts with the
-    same separator gives the whole text.
-    """
-    part = F.floor(F.col(pos_col) / docs_per_part).alias("part")
-    grouped = docs.select(cluster_col, part, F.struct(F.col(pos_col).alias("pos"), F.col(text_col).alias("text")).alias("doc"))
-    ordered = F.sort_array(F.collect_list("doc"))
-    return grouped.groupBy(cluster_col, "part").agg(
+def cluster_text(docs: DataFrame, cluster_col: str, pos_col: str, text_col: str, separator: str = " ") -> DataFrame:
+    """``(cluster, n_docs, text)``: the documents of a cluster joined in order, a row a cluster of any size."""
+    doc = F.struct(F.col(pos_col).alias("pos"), F.col(text_col).alias("text"))
+    ordered = F.sort_array(F.collect_list(doc))
+    return docs.groupBy(cluster_col).agg(
         F.count("*").alias("n_docs"), F.array_join(F.transform(ordered, lambda d: d["text"]), separator).alias("text")
     )
 
 
 def cluster_sentences(
-    docs: DataFrame, cluster_col: str, pos_col: str, text_col: str, slots: int = st.SLOTS, min_len: int = 10
+    docs: DataFrame, cluster_col: str, pos_col: str, text_col: str, slots: int | None = None, min_len: int = 10
 ) -> DataFrame:
-    """``(cluster, pos, sentence)``: the sentences that fill a cluster's slots, in document order.
+    """``(cluster, pos, sentence)``: the sentences of a cluster in document order, or those that fill its ``slots``.
 
-    A sentence does not run on into the next document. No document can fill more than ``slots`` slots, and
-    every task drops what lies beyond them before the shuffle, so the size of a cluster does not matter.
+    A sentence does not run on into the next document. Without ``slots`` a document's sentences start at the number of
+    sentences before it, which is one row a document, so texts are not moved, however large the cluster. With ``slots``
+    every task drops what lies beyond them before the shuffle.
     """
-    rows = docs.select(
-        cluster_col,
-        F.col(pos_col).alias("_doc"),
-        F.posexplode(st.first_sentences(st.split_sentences(F.col(text_col), min_len), slots)).alias("_pos", "sentence"),
-    )
+    sentences = st.split_sentences(F.col(text_col), min_len)
+    if slots is None:
+        sizes = docs.select(cluster_col, F.col(pos_col).alias("_doc"), F.coalesce(F.size(sentences), F.lit(0)).cast("bigint").alias("_n"))
+        before = Window.partitionBy(cluster_col).orderBy("_doc").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+        rows = docs.select(cluster_col, F.col(pos_col).alias("_doc"), F.posexplode(sentences).alias("_pos", "sentence"))
+        return rows.join(starts, [cluster_col, "_doc"]).select(cluster_col, (F.col("_start") + F.col("_pos")).alias("pos"), "sentence")
+    rows = docs.select(cluster_col, F.col(pos_col).alias("_doc"), F.posexplode(st.first_sentences(sentences, slots)).alias("_pos", "sentence"))
     order = Window.partitionBy(cluster_col).orderBy("_doc", "_pos")
     ranked = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= slots)
-    return ranked.select(cluster_col, (F.col("_rank") - 1).alias("pos"), "sentence")
+    return ranked.select(cluster_col, (F.col("_rank") - 1).cast("bigint").alias("pos"), "sentence")

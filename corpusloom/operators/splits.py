@@ -40,8 +40,7 @@ def add_split(
     )
     label = F.lit(SPLITS[2])
     for name in ("val", "train"):
-        if cuts[name] is not None:
-            label = F.when(rk.not_after(order, cuts[name]), name).otherwise(label)
+        label = F.when(rk.not_after(order, cuts[name]), name).otherwise(label)
     return df.withColumn("_key", rk.hash_key(F.col(id_col), seed)).withColumn("split", label).drop("_key")
 
 
@@ -58,15 +57,13 @@ def _between_positions(df: DataFrame, id_col: str, positions: Callable[[int], di
     """Rows behind position ``before`` up to position ``last``; the filter reaches the scan as a range of ids."""
     narrow = rk.range_bucket(df.select(id_col), id_col, "_bucket")
     cuts = rk.rank_keys(narrow, [id_col], "_bucket", positions)
-    if cuts["before"] is not None:
-        df = df.where(F.col(id_col) > cuts["before"][id_col])
-    if cuts["last"] is not None:
-        df = df.where(F.col(id_col) <= cuts["last"][id_col])
-    return df
+    if cuts["before"] is not rk.BEFORE_FIRST:
+        df = df.where(~rk.not_after([id_col], cuts["before"]))
+    return df if cuts["last"] is None else df.where(rk.not_after([id_col], cuts["last"]))
 
 
 def head(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    """The first ``n`` rows in id order (all of them if there are fewer)."""
+    """The first ``n`` rows in id order (all of them if there are fewer, none for 0). Ids may be numbers or texts."""
     return _between_positions(df, id_col, lambda total: {"before": 0, "last": n})
 
 
@@ -84,8 +81,6 @@ def sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows drawn without replacement (all of them if there are fewer)."""
     order = ["_key", id_col]
     cut = rk.rank_keys(_hashed(df.select(id_col), id_col, seed), order, "_bucket", lambda total: {"last": n})["last"]
-    if cut is None:
-        return df
     return df.withColumn("_key", rk.hash_key(F.col(id_col), seed)).where(rk.not_after(order, cut)).drop("_key")
 
 
@@ -114,5 +109,5 @@ def split_overlap(df: DataFrame, id_col: str, start_ratio: float = 0.9) -> DataF
     labelled = add_split(df, id_col)
     narrow = rk.range_bucket(df.select(id_col), id_col, "_bucket")
     cut = rk.rank_keys(narrow, [id_col], "_bucket", lambda total: {"before": floor(total * start_ratio)})["before"]
-    in_slice = F.lit(True) if cut is None else F.col(id_col) > cut[id_col]
+    in_slice = ~rk.not_after([id_col], cut)
     return labelled.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_if(in_slice).alias("n_in_eval_slice"))

@@ -70,15 +70,17 @@ def summarize(
     add_features: Callable[[DataFrame], DataFrame] | None = None,
     generator: Callable | None = None,
     k: int = 3,
-    slots: int = st.SLOTS,
+    slots: int | None = None,
 ) -> DataFrame:
     """Summaries of document clusters: by the user's ``generator`` (see ``hooks``), or by extraction.
 
+    All sentences take part unless ``slots`` limits them; a generator's input always has slots.
+
     Extraction needs ``add_features``, which adds ``vec`` and ``entities`` to ``(cluster_id, pos,
     sentence)`` rows, and takes the ``k`` best connected sentences.
     """
     if generator is not None:
-        inputs = cluster_inputs(docs, cluster_col, pos_col, text_col, slots)
+        inputs = cluster_inputs(docs, cluster_col, pos_col, text_col, slots or st.SLOTS)
         return hooks.generate_summaries(inputs.select("cluster_id", F.col("packed").alias("sentences")), generator)
     if add_features is None:
         raise ValueError("extraction needs add_features; abstraction needs generator")

@@ -43,16 +43,6 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], made)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Shuffle a scan that has fewer partitions than there are cores; leave any larger one as it is.
-
-    Meant in front of CPU-heavy text work on small files; a large table never has so few partitions. ``df``
-    should be a plain scan: asking for its partitions would run any shuffle it holds.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: computed once, and it survives the loss of executors.
 

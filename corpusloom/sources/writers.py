@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 def write_raw(df: DataFrame, path: str, fmt: str = "csv") -> None:
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.options(header=True, quote='"', escape='"', emptyValue='""')
+        writer = writer.options(header=True, quote='"', escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     writer.format(fmt).save(path)
 
 

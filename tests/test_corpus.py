@@ -87,6 +87,31 @@ def test_ranges_with_an_outlier(spark):
     assert buckets.agg(F.max("count")).first()[0] < 60
 
 
+def test_positions_at_the_ends(spark):
+    for ids in (spark.range(10), spark.range(10).select(F.format_string("k%02d", "id").alias("id"))):
+        assert [splits.head(ids, "id", n).count() for n in (0, 1, 10, 11)] == [0, 1, 10, 10]
+        assert [splits.sample(ids, "id", n).count() for n in (0, 1, 10, 11)] == [0, 1, 10, 10]
+        assert [splits.position_slice(ids, "id", start, n).count() for start, n in ((0.0, 0), (0.0, None), (0.5, 2), (0.9, 5), (1.0, 3))] == [0, 10, 2, 1, 0]
+        assert splits.split_overlap(ids, "id").agg(F.sum("n_in_eval_slice")).first()[0] == 1
+    first = spark.range(10).select(F.format_string("k%02d", "id").alias("id"))
+    assert sorted(r.id for r in splits.head(first, "id", 3).collect()) == ["k00", "k01", "k02"]
+
+
+def test_nan_is_missing(spark):
+    rows = spark.createDataFrame([(1.0, 1), (2.0, None), (float("nan"), 3), (None, 4)], "x double, n long")
+    assert {r.column: r.n_missing for r in profile.missing_values(rows).collect()} == {"x": 2, "n": 1}
+    bins = profile.histogram(rows, "x", 2).orderBy("bin").collect()
+    assert [(r.low, r.high, r.n) for r in bins] == [(1.0, 1.5, 1), (1.5, 2.0, 1)] and bins[0].mean == 1.5
+
+
+def test_csv_keeps_blanks(spark, tmp_path):
+    text = "  lead, \"quoted\"\n and tail  "
+    raw = spark.createDataFrame([(1, "a", None, text, text, " s ", "c")], "doc_id long, newspaper_name string, published_date string, headline string, article_text string, human_summary string, news_category string")
+    writers.write_raw(raw, str(tmp_path / "raw"), "csv")
+    back = readers.read_raw(spark, str(tmp_path / "raw"), "csv").first()
+    assert back.headline == back.article_text == text and back.human_summary == " s "
+
+
 def test_batch_manifest(spark):
     rows = splits.batch_manifest(spark.range(5), "id", epochs=2, batch_size=2, accumulation=2).collect()
     for epoch in (1, 2):

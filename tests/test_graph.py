@@ -36,12 +36,26 @@ def test_threshold_is_strict(spark):
     assert edges_of(graph.similarity_edges(nodes, 0.59)) == [(1, 0, 1), (1, 1, 0)]
 
 
-def test_adjacency_has_one_shuffle(spark):
+def test_adjacency_of_slots_has_one_shuffle(spark):
     nodes = spark.createDataFrame([(1, 0, [1.0], ["a"], "s")], NODES)
-    plan = graph.adjacency(nodes)._jdf.queryExecution().executedPlan().toString()
+    plan = graph.adjacency(nodes, slots=30)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_blocks_lose_no_edge(spark, block):
+    rng = np.random.default_rng(4)
+    rows = [(c, i, [float(x) for x in rng.normal(size=3)], [f"e{x}" for x in rng.integers(0, 9, 2)], "s") for c, n in ((1, 40), (2, 1), (3, 7)) for i in range(n)]
+    got = edges_of(graph.adjacency(spark.createDataFrame(rows, NODES), 0.5, block=block))
+    want = set()
+    for c, i, u, e, _ in rows:
+        for d, j, w, f, _ in rows:
+            cosine = np.dot(u, w) / np.linalg.norm(u) / np.linalg.norm(w)
+            if c == d and (i == j or cosine > 0.5 or set(e) & set(f)):
+                want.add((c, i, j))
+    assert got == sorted(want)
+
+
 def dense_layer(h, adj, w, a, slope=0.2):
     wh = h @ w
     size = wh.shape[1]
@@ -80,11 +94,22 @@ def test_cluster_sentences_of_a_hot_cluster(spark):
     assert "WindowGroupLimit" in rows._jdf.queryExecution().toString()
 
 
-def test_cluster_text_in_parts(spark):
+def test_cluster_text(spark):
     docs = spark.createDataFrame([(1, i, f"d{i}") for i in (2, 0, 1, 4, 3)], "c long, p long, t string")
-    parts = so.cluster_text(docs, "c", "p", "t", " | ", docs_per_part=2).orderBy("part").collect()
-    assert [r.text for r in parts] == ["d0 | d1", "d2 | d3", "d4"]
-    assert so.cluster_text(docs, "c", "p", "t").first().text == "d0 d1 d2 d3 d4"
+    assert [tuple(r) for r in so.cluster_text(docs, "c", "p", "t", " | ").collect()] == [(1, 5, "d0 | d1 | d2 | d3 | d4")]
+
+
+def test_all_sentences_of_a_cluster(spark):
+    docs = spark.createDataFrame([(1, 1, "Third sentence. Fourth sentence."), (1, 0, "First sentence. Second sentence."), (1, 2, None), (2, 0, "Sentence alone.")], "c long, p long, t string")
+    rows = so.cluster_sentences(docs, "c", "p", "t").orderBy("c", "pos").collect()
+    assert [(r.c, r.pos, r.sentence.split()[0]) for r in rows] == [(1, 0, "First"), (1, 1, "Second"), (1, 2, "Third"), (1, 3, "Fourth"), (2, 0, "Sentence")]
+
+
+def test_names_of_several_words(spark):
+    docs = spark.createDataFrame([(1, "He flew from New York to Paris"), (2, "New York Paris London"), (3, None)], "id long, t string")
+    listed = spark.createDataFrame([("new york", "GPE"), ("paris", "GPE"), ("york paris london", "ORG")], "entity string, label string")
+    got = sorted(tuple(r) for r in so.entity_rows(docs, "id", "t", listed).collect())
+    assert got == [(1, "new york", "GPE"), (1, "paris", "GPE"), (2, "new york", "GPE"), (2, "paris", "GPE"), (2, "york paris london", "ORG")]
 
 
 def test_summaries(spark):

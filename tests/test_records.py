@@ -20,6 +20,13 @@ def test_vocabulary(vocabulary):
     assert {r.token: r.token_id for r in vocabulary.collect()} == {"c": 3, "a": 4, "b": 5}
 
 
+def test_whole_vocabulary(spark):
+    counts = spark.createDataFrame([(f"t{i:03d}", 1 + i % 3) for i in range(300)], "token string, n long")
+    ids = {r.token: r.token_id for r in records.vocabulary_ids(counts).collect()}
+    order = sorted(ids, key=lambda t: (-(1 + int(t[1:]) % 3), t))
+    assert [ids[t] for t in order] == list(range(3, 303))
+
+
 def test_seq2seq(spark, vocabulary):
     df = spark.createDataFrame([(1, "a b rare c", "b"), (2, "", "a a a")], "id long, t string, s string")
     out = {r.id: r for r in records.seq2seq_records(df, "id", "t", "s", vocabulary, 3, 2).collect()}
