@@ -188,10 +188,10 @@ def _with(body: str, extra: dict[str, str] | None = None) -> str:
     views = {**_VIEWS, **(extra or {})}
     ordered: list[str] = []
 
-    def need(text: str) -> None:
+    def need(text: str, inside: str = "") -> None:
         for name in views:
-            if name not in ordered and re.search(rf"\b{name}\b", text):
-                need(views[name])
+            if name not in ordered and name != inside and re.search(rf"\b{name}\b", text):
+                need(views[name], name)
                 if name not in ordered:
                     ordered.append(name)
 
@@ -677,6 +677,26 @@ def build() -> dict[str, str]:
         FROM (SELECT pair_id % 10 AS model, avg(entailment) AS e, avg(1 - contradiction) AS p, avg(1 - neutral) AS t FROM v_logits GROUP BY pair_id % 10)"""
     )
     q["rouge1"] = _rouge_query(1)
+    # Row by row: the best of the cells above and of a match across, then the running maximum along the row.
+    longest = """
+        SELECT pair_id, g, r, 0 AS i, list_transform(range(0, len(r)), lambda j: 0) AS row FROM v_chat_tokens
+        UNION ALL
+        SELECT pair_id, g, r, i + 1, list_transform(range(1, len(r) + 1), lambda j: list_max(cand[1:j])) FROM (
+          SELECT *, list_transform(range(1, len(r) + 1),
+            lambda j: greatest(row[j], CASE WHEN j > 1 THEN row[j - 1] ELSE 0 END + CASE WHEN g[i + 1] = r[j] THEN 1 ELSE 0 END)) AS cand
+          FROM v_longest WHERE i < len(g))"""
+    chat_tokens = (
+        "SELECT pair_id, "
+        + ", ".join(f"list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '') AS {n}" for c, n in (("generated", "g"), ("source", "r")))
+        + " FROM v_chat"
+    )
+    q["rouge_l_chat"] = _with(
+        f"""
+        SELECT pair_id, CAST(l AS BIGINT) AS lcs, {_r("p")} AS precision, {_r("c")} AS recall, {_r("CASE WHEN p + c > 0 THEN 2 * p * c / (p + c) ELSE 0.0 END")} AS f1
+        FROM (SELECT *, CASE WHEN len(g) > 0 THEN l / CAST(len(g) AS DOUBLE) ELSE 0.0 END AS p, CASE WHEN len(r) > 0 THEN l / CAST(len(r) AS DOUBLE) ELSE 0.0 END AS c
+              FROM (SELECT pair_id, g, r, coalesce(list_max(row), 0) AS l FROM v_longest WHERE i = len(g)))""",
+        {"v_chat_tokens": chat_tokens, "v_longest": longest},
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
     q["rouge2"] = _rouge_query(2)
     q["rouge_report"] = _with(
         f"SELECT count(*) AS n_pairs, {_r('avg(a.f)')} AS rouge1, {_r('avg(b.f)')} AS rouge2 FROM v_rouge1 a JOIN v_rouge2 b USING (pair_id)",

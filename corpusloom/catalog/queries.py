@@ -648,6 +648,13 @@ def rouge_l(spark, sf_dir):
     return ngram_scores.rouge_l(_rouge_tokens(spark, sf_dir))
 
 
+@query
+def rouge_l_chat(spark, sf_dir):
+    """The assistant's turn against the user's."""
+    chats = v.chat_pairs(spark, sf_dir).withColumn("reference", F.col("source"))
+    return ngram_scores.rouge_l(ngram_scores.token_pairs(chats))
+
+
 @query
 def rouge_report(spark, sf_dir):
     return ngram_scores.rouge_report(_rouge_tokens(spark, sf_dir))

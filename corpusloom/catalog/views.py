@@ -161,11 +161,12 @@ def latency_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a type as steps of a run in time order, one hundred steps per epoch; log(1 + value) is the loss."""
-    days = F.date_diff(F.col("ts").cast("date"), F.lit("2000-01-01").cast("date"))
-    minute = (days * 24 + F.hour("ts")) * 60 + F.minute("ts")
-    rows = events(spark, sf_dir).select(F.col("event_type").alias("run"), "ts", "event_id", F.log1p("value").alias("loss"), minute.alias("_minute"))
-    ranked = rk.add_rank(rows, ["ts", "event_id"], "_minute", ("run",))
+    """Events of a type as steps of a run in time order, one hundred steps per epoch; log(1 + value) is the loss.
+
+    Ranges of (run, time, id) keep tasks even, whether one run or one moment holds most events.
+    """
+    rows = events(spark, sf_dir).select(F.col("event_type").alias("run"), "ts", "event_id", F.log1p("value").alias("loss"))
+    ranked = rk.add_rank(rk.range_part(rows, ["run", "ts", "event_id"], "_part"), ["ts", "event_id"], "_part", ("run",))
     return ranked.select(
         "run", F.col("rank").alias("step"), (F.floor((F.col("rank") - 1) / 100) + 1).alias("epoch"), "loss"
     )

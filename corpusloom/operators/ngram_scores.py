@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
-from corpusloom.shared import BROADCAST_ROWS, SALTS, computed_once, lookup_join
+from corpusloom.shared import BROADCAST_ROWS, SALTS, computed_once, cut_lineage, fits_broadcast, lookup_join
 
 BLOCK = 64
-# One number counts a gram on both sides: 1 per occurrence in the generated text, 2^31 per one in the
-# reference. An array has fewer than 2^31 elements, so the two counts cannot run into each other.
-_REF = 1 << 31
 _BEST = T.StructType([T.StructField(side, T.ArrayType(T.DoubleType())) for side in ("gen", "ref")])
 
 
@@ -49,7 +46,21 @@ def token_pairs(pairs: DataFrame, tokenizer=rouge_tokens) -> DataFrame:
 
 
 def stem_pairs(tokens: DataFrame, stems: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Replace tokens by their stem where the table ``(token, stem)`` has one."""
+    """Replace tokens by their stem where the table ``(token, stem)`` has one.
+
+    A table of at most ``max_rows`` rows goes to the tasks as a dictionary, and tokens are replaced where they lie.
+    A larger one is joined to a row for each token.
+    """
+    stems = cut_lineage(stems)
+    if fits_broadcast(stems, max_rows):
+        known = tokens.sparkSession.sparkContext.broadcast({r["token"]: r["stem"] for r in stems.collect()})
+
+        @F.pandas_udf("string")
+        def replaced(text: pd.Series) -> pd.Series:
+            table = known.value
+            return pd.Series([" ".join([table.get(t, t) for t in line.split(" ")]) for line in text], dtype="object")
+
+        return tokens.select("pair_id", *[tx.tokens(replaced(F.array_join(side, " "))).alias(side) for side in ("gen", "ref")])
     words = F.concat(
         F.transform("gen", lambda t, i: F.struct(F.lit("gen").alias("side"), i.alias("pos"), t.alias("token"))),
         F.transform("ref", lambda t, i: F.struct(F.lit("ref").alias("side"), i.alias("pos"), t.alias("token"))),
@@ -65,52 +76,42 @@ def stem_pairs(tokens: DataFrame, stems: DataFrame, max_rows: int = BROADCAST_RO
     return found.groupBy("pair_id").agg(side("gen"), side("ref"))
 
 
-def _next_order(tokens: Column, grams: Column, n: int) -> Column:
-    """Grams of order n from those of order n - 1."""
-    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-    return F.zip_with(F.slice(grams, F.lit(1), count), F.slice(tokens, F.lit(n), count), lambda g, t: F.concat(g, F.lit(" "), t))
-
-
-def _repeats(ordered: Column) -> Column:
-    """Of a sorted array, every element but the first of its equals."""
-    rest = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0)))
-    return F.filter(rest, lambda x, i: x == F.get(ordered, i))
-
-
-def _counted(grams: Column, n: int, unit: int) -> Column:
-    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(unit).cast("bigint").alias("unit")))
+def _clipped(gen: list[str], ref: list[str], orders: tuple[int, ...]) -> list[int]:
+    """Matches of each order, a gram counting at most as often as it occurs on the other side."""
+    number: dict[str, int] = {}
+    ids = np.array([number.setdefault(t, len(number)) for t in (*gen, *ref)], dtype=np.int64)
+    cut = len(gen)
+    first, second = ids[:cut], ids[cut:]
+    found = []
+    for n in range(1, max(orders) + 1):
+        if n > 1:
+            # A gram is the number of its beginning and the number of its last token; both fit 31 bits.
+            first, second = first[: max(cut - n + 1, 0)], second[: max(len(ids) - cut - n + 1, 0)]
+            both = np.concatenate([first * len(number) + ids[n - 1 : cut], second * len(number) + ids[cut + n - 1 :]])
+            both = np.unique(both, return_inverse=True)[1]
+            first, second = both[: len(first)], both[len(first) :]
+        if n in orders:
+            size = max(first.max(initial=-1), second.max(initial=-1)) + 1
+            found.append(int(np.minimum(np.bincount(first, minlength=size), np.bincount(second, minlength=size)).sum()))
+    return found
 
 
 def ngram_matches(tokens: DataFrame, orders: tuple[int, ...]) -> DataFrame:
     """``(pair_id, gen_len, ref_len, match_<n>...)``: clipped matches of each order, one row per pair.
 
-    A gram on both sides matches once, plus as often as its further occurrences do. The first part is the
-    size of a set intersection on the row of the pair. Only further occurrences, few beyond single words,
-    become rows and are counted. Pairs are hashed by id while still packed, so these rows are in place for
-    both groupings and are never shuffled.
+    Both sides of a pair lie on its row, so all orders are counted there, in Arrow batches, and nothing is shuffled.
     """
-    state = tokens.repartition("pair_id").select("pair_id", F.col("gen").alias("gen_1"), F.col("ref").alias("ref_1"))
-    sides = ("gen", "ref")
-    for n in range(2, max(orders) + 1):
-        longer = {f"{s}_{n}": _next_order(F.col(f"{s}_1"), F.col(f"{s}_{n - 1}"), n) for s in sides}
-        state = computed_once(state, longer)
-    ordered = {f"{s}_{n}": F.sort_array(f"{s}_{n}") for s in sides for n in orders}
-    state = computed_once(
-        state.select("pair_id", *[F.size(f"{s}_1").cast("bigint").alias(f"{s}_len") for s in sides], *ordered), ordered
+
+    @F.pandas_udf("array<long>")
+    def matches(gen: pd.Series, ref: pd.Series) -> pd.Series:
+        return pd.Series([_clipped(g.split(" ") if g else [], r.split(" ") if r else [], orders) for g, r in zip(gen, ref)], dtype="object")
+
+    sizes = [F.size(side).cast("bigint").alias(f"{side}_len") for side in ("gen", "ref")]
+    counted = computed_once(
+        tokens.select("pair_id", *sizes, matches(F.array_join("gen", " "), F.array_join("ref", " ")).alias("_found")), {"_found": F.col("_found")}
     )
-    pair = ["pair_id", "gen_len", "ref_len", *[f"first_{n}" for n in orders]]
-    further = [
-        _counted(_repeats(F.col(f"{s}_{n}")), n, unit) for n in orders for s, unit in (("gen", 1), ("ref", _REF))
-    ]
-    once = {f"first_{n}": F.size(F.array_intersect(f"gen_{n}", f"ref_{n}")) for n in orders}
-    # Finished before the arrays are opened: whatever stands beside a generator runs once per row it makes.
-    packed = computed_once(state, {**once, "further": F.concat(*further)}).select(*pair, "further")
-    rows = packed.select(*pair, F.inline_outer("further"))
-    counts = rows.groupBy(*pair, "n", "gram").agg(F.sum("unit").alias("both"))
-    clipped = F.least(F.col("both").bitwiseAND(F.lit(_REF - 1)), F.shiftright("both", 31))
-    return counts.groupBy(*pair).agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == n, clipped)), F.lit(0)).alias(f"_more_{n}") for n in orders]
-    ).select("pair_id", "gen_len", "ref_len", *[(F.col(f"first_{n}") + F.col(f"_more_{n}")).alias(f"match_{n}") for n in orders])
+    ordered = sorted(orders)
+    return counted.select("pair_id", "gen_len", "ref_len", *[F.get("_found", F.lit(ordered.index(n))).alias(f"match_{n}") for n in orders])
 
 
 def _n_grams(length: Column, n: int) -> Column:
@@ -133,14 +134,16 @@ def rouge_n(tokens: DataFrame, n: int) -> DataFrame:
 
 
 def _common_subsequence(a: list, b: list) -> int:
-    """Length of the longest common subsequence, one bit per element of ``b``."""
+    """Length of the longest common subsequence, one bit per element of ``b``; tokens that only one side has are left out."""
+    shared = set(a) & set(b)
+    a, b = [t for t in a if t in shared], [t for t in b if t in shared]
     places: dict = {}
     for i, token in enumerate(b):
         places[token] = places.get(token, 0) | (1 << i)
     everywhere = (1 << len(b)) - 1
     row = everywhere
     for token in a:
-        hits = row & places.get(token, 0)
+        hits = row & places[token]
         if hits:
             row = ((row + hits) | (row - hits)) & everywhere
     return len(b) - row.bit_count()
@@ -148,13 +151,14 @@ def _common_subsequence(a: list, b: list) -> int:
 
 @F.pandas_udf(T.LongType())
 def lcs_length(gen: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([_common_subsequence(list(a), list(b)) for a, b in zip(gen, ref)], dtype="int64")
+    """Of two texts of blank-separated tokens."""
+    return pd.Series([_common_subsequence(a.split(), b.split()) for a, b in zip(gen, ref)], dtype="int64")
 
 
 def rouge_l(tokens: DataFrame) -> DataFrame:
     """``(pair_id, lcs, precision, recall, f1)`` from the longest common subsequence of the whole texts."""
     measured = tokens.select(
-        "pair_id", lcs_length("gen", "ref").alias("lcs"), F.size("gen").alias("gen_len"), F.size("ref").alias("ref_len")
+        "pair_id", lcs_length(F.array_join("gen", " "), F.array_join("ref", " ")).alias("lcs"), F.size("gen").alias("gen_len"), F.size("ref").alias("ref_len")
     )
     scores = f_measure(F.col("lcs"), F.col("gen_len"), F.col("ref_len"))
     return measured.select("pair_id", "lcs", *[c.alias(name) for name, c in scores.items()])
