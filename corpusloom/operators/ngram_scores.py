@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
-from corpusloom.shared import BROADCAST_ROWS, SALTS, computed_once, cut_lineage, fits_broadcast, lookup_join
+from corpusloom.shared import DICTIONARY_BYTES, SALTS, computed_once, cut_lineage, dictionary, lookup_join
 
 BLOCK = 64
 _BEST = T.StructType([T.StructField(side, T.ArrayType(T.DoubleType())) for side in ("gen", "ref")])
@@ -45,15 +45,15 @@ def token_pairs(pairs: DataFrame, tokenizer=rouge_tokens) -> DataFrame:
     return pairs.select("pair_id", split("generated").alias("gen"), split("reference").alias("ref"))
 
 
-def stem_pairs(tokens: DataFrame, stems: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def stem_pairs(tokens: DataFrame, stems: DataFrame, max_bytes: int = DICTIONARY_BYTES) -> DataFrame:
     """Replace tokens by their stem where the table ``(token, stem)`` has one.
 
-    A table of at most ``max_rows`` rows goes to the tasks as a dictionary, and tokens are replaced where they lie.
+    A table of at most ``max_bytes`` goes to the tasks as a dictionary, and tokens are replaced where they lie.
     A larger one is joined to a row for each token.
     """
-    stems = cut_lineage(stems)
-    if fits_broadcast(stems, max_rows):
-        known = tokens.sparkSession.sparkContext.broadcast({r["token"]: r["stem"] for r in stems.collect()})
+    stems = cut_lineage(stems.select("token", "stem"))
+    known = dictionary(stems, max_bytes)
+    if known is not None:
 
         @F.pandas_udf("string")
         def replaced(text: pd.Series) -> pd.Series:
@@ -66,7 +66,7 @@ def stem_pairs(tokens: DataFrame, stems: DataFrame, max_rows: int = BROADCAST_RO
         F.transform("ref", lambda t, i: F.struct(F.lit("ref").alias("side"), i.alias("pos"), t.alias("token"))),
     )
     rows = tokens.select("pair_id", F.inline_outer(words))
-    found = lookup_join(rows, stems, ["token"], F.struct("pair_id", "pos"), "left", max_rows)
+    found = lookup_join(rows, stems, ["token"], F.struct("pair_id", "pos"), "left")
     stemmed = F.coalesce("stem", "token")
 
     def side(name: str) -> Column:

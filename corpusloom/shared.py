@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+#: Bytes of keys and values that a dictionary in every Python worker may hold; there it takes some five times as much.
+DICTIONARY_BYTES = 24_000_000
 SALTS = 16
 
 
@@ -60,6 +63,18 @@ def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return table.limit(max_rows + 1).count() <= max_rows
 
 
+def dictionary(table: DataFrame, max_bytes: int = DICTIONARY_BYTES) -> Broadcast[dict] | None:
+    """A checkpointed two-column table as a dictionary in every task, or None if its rows hold more than ``max_bytes``.
+
+    For tasks that look words up where they lie, instead of moving a row a word.
+    """
+    key, value = table.columns
+    size = F.octet_length(F.col(key).cast("string")) + F.octet_length(F.col(value).cast("string")) + 16
+    if (table.agg(F.sum(size)).first()[0] or 0) > max_bytes:
+        return None
+    return table.sparkSession.sparkContext.broadcast({row[0]: row[1] for row in table.collect()})
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,

@@ -42,6 +42,16 @@ def test_causal(spark, vocabulary):
     assert out[3].input_ids == [4, 2, 0, 0, 0] and out[3].labels == [4, 2, -100, -100, -100]
 
 
+def test_tokens_are_looked_up_in_place_or_by_a_join(spark, vocabulary):
+    df = spark.createDataFrame([(1, "a b rare c. And c a b.", "b"), (2, "", "a"), (3, "c c c c c c c c c.", None)], "id long, t string, s string")
+    texts = {"x": tx.tokens(F.col("t")), "y": tx.tokens(F.coalesce("s", F.lit("")))}
+    for job in (lambda n: records.encode(df, "id", texts, vocabulary, n), lambda n: records.sentence_records(df, "id", "t", vocabulary, 3, 4, n)):
+        one, other = (sorted(map(tuple, job(n).collect())) for n in (10**6, 0))
+        assert one == other
+    plan = records.encode(df, "id", texts, vocabulary)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_sentence_records(spark, vocabulary):
     df = spark.createDataFrame([(1, "A b c rare. A a a a a a a."), (2, "")], "id long, t string")
     out = {r.id: r for r in records.sentence_records(df, "id", "t", vocabulary, slots=3, length=4).collect()}
