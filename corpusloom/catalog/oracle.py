@@ -390,7 +390,8 @@ def build() -> dict[str, str]:
                round(pe, 1) AS pct_entailed, round(pc, 1) AS pct_contradicted, round(t, 4) AS avg_overlap, round(po, 1) AS pct_off_topic,
                CASE WHEN p > 0.7 AND e > 0.5 AND t > 0.5 THEN 'GOOD' WHEN p > 0.5 AND e > 0.3 THEN 'FAIR' ELSE 'POOR' END AS verdict,
                CAST(p > 0.7 AS VARCHAR) AS pass_entity_precision, CAST(e > 0.5 AS VARCHAR) AS pass_entailment,
-               CAST(t > 0.5 AS VARCHAR) AS pass_topic_overlap, CAST(h < 0.2 AS VARCHAR) AS pass_hallucination_rate
+               CAST(t > 0.5 AS VARCHAR) AS pass_topic_overlap, CAST(h < 0.2 AS VARCHAR) AS pass_hallucination_rate,
+               (SELECT string_agg(pair_id, ' ' ORDER BY pair_id) FROM (SELECT pair_id FROM v_scored2 ORDER BY pair_id LIMIT 30)) AS sample_ids
         FROM (SELECT count(*) AS num_samples, avg(prec) AS p, avg(rec) AS r, avg(f1) AS f, sum(len(hall)) / greatest(sum(n_ent), 1) AS h,
                      avg(entailment) AS e, avg(contradiction) AS c, count(*) FILTER (entailment > 0.5) * 100.0 / greatest(count(entailment), 1) AS pe,
                      count(*) FILTER (contradiction > 0.5) * 100.0 / greatest(count(entailment), 1) AS pc, avg(topic) AS t,
@@ -739,6 +740,34 @@ def build() -> dict[str, str]:
             for name, rule in rules
         )
     )
+    languages = {
+        "v_languages": """
+            SELECT lang AS model, count(*) AS n, sum(d.n_chars) AS chars, avg(a.f) AS rouge1, avg(b.f) AS rouge2
+            FROM documents d JOIN v_rouge1 a ON a.pair_id = doc_id JOIN v_rouge2 b ON b.pair_id = doc_id GROUP BY lang""",
+        **_rouge(1),
+        **_rouge(2),
+    }
+    q["trainings_flatten"] = _with(
+        f"""
+        SELECT model, n AS train_samples, 1::BIGINT AS epochs, (n + 7) // 8 AS total_steps, {_r("chars / 1000")} AS training_time_sec, 1::BIGINT AS n_losses,
+               n AS eval_samples, {_r("rouge1")} AS rouge1, {_r("rouge2")} AS rouge2 FROM v_languages""",
+        languages,
+    )
+    # No report has a ROUGE-L, so rules on it are unknown, and a range holds only if no known part breaks it.
+    q["rouge_rules"] = _with(
+        """
+        SELECT 'rouge2 <= rouge1' AS rule, count(*) AS n_rows, count(*) FILTER (rouge2 > rouge1) AS n_broken, 0::BIGINT AS n_unknown FROM v_languages
+        UNION ALL SELECT 'rougeL <= rouge1', count(*), 0, count(*) FROM v_languages
+        UNION ALL SELECT 'scores in [0, 1]', count(*), count(*) FILTER (rouge1 NOT BETWEEN 0 AND 1 OR rouge2 NOT BETWEEN 0 AND 1),
+               count(*) FILTER (rouge1 BETWEEN 0 AND 1 AND rouge2 BETWEEN 0 AND 1) FROM v_languages""",
+        languages,
+    )
+    q["quality_board"] = _with(
+        f"""
+        SELECT 'rouge1' AS metric, model, {_r("rouge1")} AS value, rank() OVER (ORDER BY rouge1 DESC) AS place FROM v_languages
+        UNION ALL SELECT 'rouge2', model, {_r("rouge2")}, rank() OVER (ORDER BY rouge2 DESC) FROM v_languages""",
+        languages,
+    )
     q["run_steps"] = _with(f"SELECT run, step, epoch, {_r('loss')} AS loss FROM v_run")
     q["running_loss"] = _with(
         f"SELECT run, step, epoch, {_r('loss')} AS loss, {_r('avg(loss) OVER (PARTITION BY run ORDER BY step)')} AS running_mean FROM v_run"

@@ -74,6 +74,7 @@ def eval_report(spark, sf_dir):
     return back.select(
         "model", "num_samples", "entity_consistency.*", "nli_consistency.*", "topic_consistency.*", "verdict",
         *[F.col(f"passes.{c}").cast("string").alias(f"pass_{c}") for c in ("entity_precision", "entailment", "topic_overlap", "hallucination_rate")],
+        F.array_join(F.transform("samples", lambda s: s["id"].cast("string")), " ").alias("sample_ids"),
     )
 
 
@@ -155,7 +156,7 @@ def compression(spark, sf_dir):
 
 @query
 def token_counts(spark, sf_dir):
-    return v.standard_rows(spark, sf_dir).select(
+    return v.standard_rows(spark, sf_dir, v.BODY).select(
         "doc_id",
         tx.count_tokens(F.col("articles_clean"), collapsed=True).alias("article_tokens"),
         tx.count_tokens(F.col("summary_clean"), collapsed=True).alias("summary_tokens"),
@@ -198,7 +199,7 @@ def clean_pages(spark, sf_dir):
 
 @query
 def vocab(spark, sf_dir):
-    rows = v.standard_rows(spark, sf_dir)
+    rows = v.standard_rows(spark, sf_dir, v.BODY)
     texts = rows.select(F.explode(F.create_map(F.lit("articles"), "articles_clean", F.lit("summaries"), "summary_clean")).alias("part", "text"))
     words = texts.select("part", F.explode(tx.tokens(F.lower(F.col("text")))).alias("token"))
     counts = words.groupBy("part", "token").agg(F.count("*").alias("n"))
@@ -261,7 +262,7 @@ def entities(spark, sf_dir):
 
 @query
 def entities_typed(spark, sf_dir):
-    docs = v.standard_rows(spark, sf_dir).select(
+    docs = v.standard_rows(spark, sf_dir, ("articles",)).select(
         "doc_id", F.concat_ws(" ", F.col("date").cast("date").cast("string"), F.concat(F.lit("$"), F.length("articles_clean")), "articles_clean").alias("text")
     )
     return so.entity_rows(docs, "doc_id", "text", v.gazetteer(spark, sf_dir), en.ALL_LABELS)
@@ -309,7 +310,7 @@ def rec_sentences(spark, sf_dir):
 
 @query
 def rec_seq2seq(spark, sf_dir):
-    rows = records.seq2seq_records(v.standard_rows(spark, sf_dir), "doc_id", "articles_clean", "summary_clean", _vocabulary(spark, sf_dir), 1024, 128)
+    rows = records.seq2seq_records(v.standard_rows(spark, sf_dir, v.BODY), "doc_id", "articles_clean", "summary_clean", _vocabulary(spark, sf_dir), 1024, 128)
     return v.joined_arrays(rows, "input_ids", "attention_mask", "labels")
 
 
@@ -337,12 +338,12 @@ def batch_manifest(spark, sf_dir):
 
 @query
 def len_filter(spark, sf_dir):
-    return v.standard_rows(spark, sf_dir).where(filters.long_enough(F.col("articles_clean"), F.col("summary_clean"))).select("doc_id", F.length("articles_clean").alias("n_chars"))
+    return v.standard_rows(spark, sf_dir, v.BODY).where(filters.long_enough(F.col("articles_clean"), F.col("summary_clean"))).select("doc_id", F.length("articles_clean").alias("n_chars"))
 
 
 @query
 def clean_funnel(spark, sf_dir):
-    return filters.removal_counts(v.standard_rows(spark, sf_dir))
+    return filters.removal_counts(v.standard_rows(spark, sf_dir, v.BODY))
 
 
 @query
@@ -379,7 +380,7 @@ def split_report(spark, sf_dir):
 
 @query
 def eval_slice(spark, sf_dir):
-    docs = v.standard_rows(spark, sf_dir).where(filters.long_enough(F.col("articles_clean"), F.col("summary_clean"))).select("doc_id", F.length("articles_clean").alias("n_chars"))
+    docs = v.standard_rows(spark, sf_dir, v.BODY).where(filters.long_enough(F.col("articles_clean"), F.col("summary_clean"))).select("doc_id", F.length("articles_clean").alias("n_chars"))
     return splits.position_slice(cut_lineage(docs), "doc_id", 0.9, 50)
 
 
@@ -669,8 +670,14 @@ def rouge_stemmed(spark, sf_dir):
 @query
 def score_report(spark, sf_dir):
     pairs = v.pairs(spark, sf_dir).select("pair_id", "generated", "reference")
-    report = evaluation.score_report(pairs, "third-overlap", v.latency_log(spark, sf_dir))
-    return report.select("model", "num_samples", "scores.*", "inference.*")
+    report = evaluation.score_report(
+        pairs, "third-overlap", v.latency_log(spark, sf_dir), vectors=v.token_vectors(spark, sf_dir), scored=_scored_pairs(spark, sf_dir)
+    )
+    path = new_folder(spark, "scores")
+    writers.write_report(report, path)
+    back = readers.read_reports(spark, path, report.schema, multi_line=False)
+    facts = [F.col(f"factual_consistency.{part}.*") for part in ("entity_consistency", "nli_consistency", "topic_consistency")]
+    return back.select("model", "num_samples", "scores.*", "inference.*", "bertscore_f1", *facts, "factual_consistency.verdict")
 
 
 @query
@@ -716,6 +723,56 @@ def report_checks(spark, sf_dir):
     return runlog.check_reports(flat, rules)
 
 
+def _language_reports(spark, sf_dir):
+    """A report a language: its documents as training rows, the scores of its pairs."""
+    tokens = ngram_scores.token_pairs(v.pairs(spark, sf_dir))
+    scores = ngram_scores.rouge_n(tokens, 1).select("pair_id", F.col("f1").alias("rouge1")).join(
+        ngram_scores.rouge_n(tokens, 2).select("pair_id", F.col("f1").alias("rouge2")), "pair_id"
+    )
+    docs = v.documents(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.col("lang").alias("model"), "n_chars")
+    sums = docs.join(scores, "pair_id").groupBy("model").agg(
+        F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.avg("rouge1").alias("rouge1"), F.avg("rouge2").alias("rouge2")
+    )
+    none = F.lit(None).cast("double")
+    return sums.select(
+        "model",
+        F.lit("seq2seq").alias("architecture"),
+        F.lit("full").alias("training_strategy"),
+        F.struct(
+            F.col("n").alias("train_samples"), F.lit(1).cast("long").alias("epochs"), F.ceil(F.col("n") / 8).alias("total_steps"),
+            (F.col("chars") / 1000).alias("training_time_sec"), F.array(F.struct(F.lit(1).cast("long").alias("step"), none.alias("loss"))).alias("loss_log"),
+        ).alias("training"),
+        F.struct(F.col("n").alias("eval_samples"), "rouge1", "rouge2", none.alias("rougeL"), none.alias("bertscore_f1")).alias("evaluation"),
+        F.struct(none.alias("mean_latency_sec"), none.alias("median_latency_sec"), none.alias("throughput_samples_per_sec")).alias("inference"),
+    )
+
+
+def _read_trainings(spark, sf_dir):
+    path = new_folder(spark, "training_reports")
+    writers.write_reports(_language_reports(spark, sf_dir), path)
+    return runlog.flatten_trainings(readers.read_reports(spark, path, readers.TRAINING_REPORT_SCHEMA))
+
+
+@query
+def trainings_flatten(spark, sf_dir):
+    return _read_trainings(spark, sf_dir).select("model", "train_samples", "epochs", "total_steps", "training_time_sec", "n_losses", "eval_samples", "rouge1", "rouge2")
+
+
+@query
+def rouge_rules(spark, sf_dir):
+    return runlog.check_reports(_read_trainings(spark, sf_dir), runlog.REPORT_RULES)
+
+
+@query
+def quality_board(spark, sf_dir):
+    """Leaderboard of a published score table."""
+    path = new_folder(spark, "score_table")
+    table = _language_reports(spark, sf_dir).select(F.col("model").alias("Model"), F.col("evaluation.rouge1").alias("ROUGE-1"), F.col("evaluation.rouge2").alias("ROUGE-2"))
+    writers.write_raw(table, path, "csv")
+    scores = readers.read_score_table(spark, path, table.schema).toDF("model", "rouge1", "rouge2")
+    return runlog.leaderboard(scores, "model", {"rouge1": True, "rouge2": True})
+
+
 # Run logs
 
 

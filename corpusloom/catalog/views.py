@@ -14,6 +14,8 @@ from corpusloom.operators import sentences as so
 from corpusloom.plans import corpus
 from corpusloom.shared import computed_once, cut_lineage
 
+#: Texts to be cleaned where headlines are not asked for.
+BODY = ("articles", "summary")
 RAW_NAMES = ("newspaper_name", "published_date", "headline", "article_text", "human_summary", "news_category")
 
 
@@ -45,9 +47,9 @@ def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def standard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All raw rows with standard names, cleaned columns and dates."""
-    return corpus.standardized(raw_corpus(spark, sf_dir))
+def standard_rows(spark: SparkSession, sf_dir: str, texts: tuple[str, ...]) -> DataFrame:
+    """All raw rows with standard names, cleaned ``texts`` and dates."""
+    return corpus.standardized(raw_corpus(spark, sf_dir), texts)
 
 
 def docs_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,8 +141,8 @@ def verdict(precision: Column, entailment: Column, topic: Column) -> Column:
     return F.when(good, "GOOD").when(fair, "FAIR").otherwise("POOR")
 
 
-def consistency_report(scored: DataFrame, model: str) -> DataFrame:
-    """One nested row: entity, entailment and topic sections, verdict and pass marks.
+def consistency_report(scored: DataFrame, model: str, samples: int = 30) -> DataFrame:
+    """One nested row: entity, entailment and topic sections, verdict, pass marks and the first ``samples`` pairs.
 
     ``scored`` holds the columns of ``add_entity_scores``, ``add_topic_overlap`` and ``add_entailment``.
     """
@@ -160,6 +160,9 @@ def consistency_report(scored: DataFrame, model: str) -> DataFrame:
         F.avg("topic_overlap").alias("overlap"),
         (F.count_if(F.col("topic_overlap") < OFF_TOPIC) * 100 / F.greatest(F.count("*"), F.lit(1))).alias("pct_off_topic"),
     )
+    listed = sample_table(scored, samples)
+    listed = listed.agg(F.sort_array(F.collect_list(F.struct(*listed.columns))).alias("samples"))
+    sums = sums.crossJoin(F.broadcast(listed))  # one row on either side
 
     def rounded(name: str, digits: int, alias: str) -> Column:
         return F.round(name, digits).alias(alias)
@@ -182,6 +185,7 @@ def consistency_report(scored: DataFrame, model: str) -> DataFrame:
             (p > GOOD_PRECISION).alias("entity_precision"), (e > GOOD_ENTAILMENT).alias("entailment"),
             (t > GOOD_TOPIC).alias("topic_overlap"), (h < MAX_HALLUCINATION).alias("hallucination_rate"),
         ).alias("passes"),
+        "samples",
     )
 
 

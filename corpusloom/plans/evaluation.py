@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import sentences as st
-from corpusloom.operators import graph, hooks, ngram_scores, stemming
+from corpusloom.operators import consistency, graph, hooks, ngram_scores, stemming
 from corpusloom.operators import sentences as so
 from corpusloom.shared import cut_lineage
 
@@ -20,11 +20,18 @@ def stemmed_tokens(pairs: DataFrame) -> DataFrame:
     return ngram_scores.stem_pairs(tokens, stemming.stem_table(words))
 
 
-def score_report(pairs: DataFrame, model: str, latency: DataFrame | None = None, stem: bool = True) -> DataFrame:
-    """One nested row: ROUGE-1, ROUGE-2, ROUGE-L and BLEU of ``(pair_id, generated, reference)``, and cost.
+def score_report(
+    pairs: DataFrame,
+    model: str,
+    latency: DataFrame | None = None,
+    stem: bool = True,
+    vectors: DataFrame | None = None,
+    scored: DataFrame | None = None,
+) -> DataFrame:
+    """One nested row: ROUGE-1, ROUGE-2, ROUGE-L and BLEU of ``(pair_id, generated, reference)``, and more sections.
 
-    ``latency`` is ``(latency, tokens)`` per generated text. Every section is a single row, so putting them
-    side by side costs nothing.
+    ``latency`` is ``(latency, tokens)`` per generated text, ``vectors`` holds token vectors (``greedy_vector_f1``), ``scored``
+    the columns that ``consistency_report`` needs. Every section is a single row, so putting them side by side costs nothing.
     """
     tokens = cut_lineage(stemmed_tokens(pairs) if stem else ngram_scores.token_pairs(pairs))
     overlap = ngram_scores.rouge_report(tokens)
@@ -49,6 +56,14 @@ def score_report(pairs: DataFrame, model: str, latency: DataFrame | None = None,
                 F.round("_mean", 4).alias("mean_latency_sec"), F.round("_rate", 1).alias("throughput_tokens_per_sec")
             ).alias("inference")
         )
+    if vectors is not None:
+        row = row.crossJoin(F.broadcast(ngram_scores.greedy_vector_f1(vectors).agg(F.avg("f1").alias("_vector_f1"))))
+        sections.append(F.round("_vector_f1", 4).alias("bertscore_f1"))
+    if scored is not None:
+        parts = ("entity_consistency", "nli_consistency", "topic_consistency", "verdict")
+        facts = consistency.consistency_report(scored, model, 0).select(F.struct(*parts).alias("factual_consistency"))
+        row = row.crossJoin(F.broadcast(facts))
+        sections.append(F.col("factual_consistency"))
     return row.select(*sections)
 
 

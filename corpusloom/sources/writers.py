@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_raw(df: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -26,6 +27,12 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
+def write_reports(reports: DataFrame, path: str) -> None:
+    """A file a report, as an indented JSON document (the form in which runs publish theirs)."""
+    document = F.to_json(F.struct(*reports.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    reports.select(document.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def write_samples(samples: DataFrame, path: str) -> None:
     """Per-pair results, one JSON object per line."""
     samples.write.mode("overwrite").json(path, ignoreNullFields=False)
