@@ -37,8 +37,13 @@ def whole_texts(docs: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True if the rows of a staged or checkpointed ``df`` hold at most ``max_bytes`` by their own lengths."""
-    widths = [F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(8) for name, kind in df.dtypes]
-    total = df.agg(F.sum(sum(widths, F.lit(16)).cast("long"))).first()[0]
+
+    def width(name: str, kind: str) -> Column:
+        if kind == "string":
+            return F.coalesce(F.octet_length(name), F.lit(0))
+        return F.coalesce(F.size(name), F.lit(0)) * 48 if kind.startswith("array") else F.lit(8)
+
+    total = df.agg(F.sum(sum((width(*column) for column in df.dtypes), F.lit(16)).cast("long"))).first()[0]
     return (total or 0) <= max_bytes
 
 
