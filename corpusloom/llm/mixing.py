@@ -64,17 +64,26 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     fitted = support.staged(cells.withColumn("weight", F.col("tokens") / F.lit(float(total))), "cells")
+    compact = support.small(fitted)
+
+    def held(table: DataFrame, name: str) -> DataFrame:
+        """Staged. A few MB of cells are one partition, in which sums and joins need no shuffle; more stay spread."""
+        table = support.staged(table, name)
+        return table.coalesce(1) if compact else table
+
+    fitted = fitted.coalesce(1) if compact else fitted
     wanted = {}
     for dimension, target in targets.items():
-        live = target.select(F.col("value").alias(dimension), F.col("share").cast("double").alias("share")).join(cells.select(dimension).distinct(), dimension, "left_semi")
+        live = target.coalesce(1) if compact else target
+        live = live.select(F.col("value").alias(dimension), F.col("share").cast("double").alias("share")).join(fitted.select(dimension).distinct(), dimension, "left_semi")
         whole = live.agg(F.sum("share").alias("whole"))
-        wanted[dimension] = support.staged(live.join(F.broadcast(whole)).select(dimension, (F.col("share") / F.col("whole")).alias("share")), "targets")
+        wanted[dimension] = held(live.join(F.broadcast(whole)).select(dimension, (F.col("share") / F.col("whole")).alias("share")), "targets")
     for sweep in range(1, sweeps + 1):
         for dimension in targets:
             sums = fitted.groupBy(dimension).agg(F.sum("weight").alias("held"))
             factor = sums.join(wanted[dimension], dimension, "left").select(dimension, F.when(F.col("held") > 0, F.coalesce("share", F.lit(0.0)) / F.col("held")).otherwise(0.0).alias("factor"))
             fitted = fitted.join(factor, dimension).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        fitted = support.staged(fitted, "raked")
+        fitted = held(fitted, "raked")
         if sweep % 3:
             continue
         off = [
@@ -92,6 +101,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
 def cell_probabilities(measured: DataFrame, targets: dict[str, DataFrame | float] | None = None, rate: float = 1.0) -> DataFrame:
     """One row a cell: ``source``, ``lang``, ``topic``, ``probability`` of its documents. A target is a table or a power."""
     cells = support.staged(measured.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "counted")
+    cells = cells.coalesce(1) if support.small(cells) else cells
     chosen = {**TEMPER, **(targets or {})}
     tables = {d: t if isinstance(t, DataFrame) else tempered(cells, d, t) for d, t in chosen.items()}
     fitted = rake(cells, tables)
