@@ -35,8 +35,8 @@ def _words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """Segments of all rows, in the shared folder. Null and empty texts are documents without words."""
+def build_index(docs: DataFrame, segment_docs: int = SEGMENT_DOCS) -> DataFrame:
+    """Segments of all rows, of at most ``segment_docs`` (up to 65,536) each, in the shared folder. Null and empty texts are documents without words."""
     names = [part.split()[0] for part in SEGMENT.split(", ")]
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +67,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 terms.append(np.array([number.setdefault(word, len(number)) for word in found], np.int64))
                 counts.append(np.fromiter(found.values(), np.int64, len(found)))
                 held += len(found)
-                if len(ids) == SEGMENT_DOCS or held >= SEGMENT_POSTINGS:
+                if len(ids) == segment_docs or held >= SEGMENT_POSTINGS:
                     yield segment()
                     number, ids, lengths, terms, counts, held = {}, [], [], [], [], 0
         if ids:
@@ -193,20 +193,21 @@ def _searched(k: int, mean: float):
     return run
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, segment_docs: int = SEGMENT_DOCS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """``query_id``, ``rank``, ``doc_id``, ``score``: the ``k`` best documents of ``docs`` for each row of ``queries`` (``doc_id``, ``text``).
 
     A query is its whole text, each word as often as it occurs; A-Z is lower-cased and words lie between ASCII white space.
     Only documents that share a word with the query count. Queries of one id are one query; a query without id or words
     has no result. Rows of ``docs`` with equal ids are documents of their own. An empty table gives no rows.
     """
-    index = build_index(docs)
+    index = build_index(docs, segment_docs)
     counted = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
     n_docs, mean = counted[0] or 0, max((counted[1] or 0) / max(counted[0] or 0, 1), 1e-9)
     asked = support.staged(_query_rows(queries.where("doc_id is not null"), _frequencies(index), n_docs), "queries")
-    shards = max(1, math.ceil(n_docs / SHARD_DOCS))
-    shard = F.pmod(F.xxhash64("segment"), F.lit(shards)).cast("int")
-    inside = index.drop("segment", "n_docs", "n_words").withColumn("shard", shard if shards > 1 else F.lit(0)).withColumn("kind", F.lit(0))
+    shards = max(1, math.ceil(n_docs / shard_docs))
+    # A segment's number is that of the task that wrote it and its place there; their sum deals them out evenly.
+    number = F.shiftright("segment", 33) + F.col("segment").bitwiseAND(F.lit((1 << 33) - 1))
+    inside = index.withColumn("shard", F.pmod(number, F.lit(shards)).cast("int")).withColumn("kind", F.lit(0)).drop("segment", "n_docs", "n_words")
     visits = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("kind", F.lit(1))
     rows = inside.unionByName(visits, allowMissingColumns=True)
     dealt = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "kind")

@@ -289,14 +289,15 @@ def bm25_by_hand(docs, queries, k):
     return out
 
 
-def test_search_of_awkward_rows(spark):
+@pytest.mark.parametrize(("segment_docs", "shard_docs"), [(8192, 32768), (2, 3), (1, 1)])
+def test_search_of_awkward_rows(spark, segment_docs, shard_docs):
     queries = {}
     for r in ROWS:
         if r[0] is not None:
             queries.setdefault(r[0], Counter()).update((r[1] or "").encode().lower().split())
     want = {q: rows for q, rows in bm25_by_hand([(r[0], r[1]) for r in ROWS], queries, 3).items() if rows}
     got = {}
-    for r in search.top_k(frame(spark), frame(spark), 3).orderBy("query_id", "rank").collect():
+    for r in search.top_k(frame(spark), frame(spark), 3, segment_docs, shard_docs).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
     assert {q: [i for i, _ in rows] for q, rows in got.items()} == {q: [i for i, _ in rows] for q, rows in want.items()}
     for q, rows in got.items():
