@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,12 @@ def _words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """The smallest unsigned type that holds all counts; readers tell it by the number of bytes."""
+    most = counts.max(initial=0)
+    return counts.astype("<u1" if most < 256 else "<u2" if most < 65536 else "<u4")
+
+
 def build_index(docs: DataFrame, segment_docs: int = SEGMENT_DOCS) -> DataFrame:
     """Segments of all rows, of at most ``segment_docs`` (up to 65,536) each, in the shared folder. Null and empty texts are documents without words."""
     names = [part.split()[0] for part in SEGMENT.split(", ")]
@@ -52,7 +59,7 @@ def build_index(docs: DataFrame, segment_docs: int = SEGMENT_DOCS) -> DataFrame:
             doc = np.repeat(np.arange(len(sizes)), sizes)
             order = np.argsort(term, kind="stable")
             starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(number)))])
-            values = [len(ids), sum(lengths), ids, np.array(lengths, "<i4").tobytes(), b" ".join(number).decode(), starts.astype("<i8").tobytes(), doc[order].astype("<u2").tobytes(), count[order].astype("<i4").tobytes()]
+            values = [len(ids), sum(lengths), ids, np.array(lengths, "<i4").tobytes(), b" ".join(number).decode(), starts.astype("<i4").tobytes(), doc[order].astype("<u2").tobytes(), _narrow(count[order]).tobytes()]
             types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.large_string(), pa.binary(), pa.binary(), pa.binary()]
             types[4] = pa.string()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
@@ -84,7 +91,7 @@ def _frequencies(index: DataFrame) -> DataFrame:
         for batch in batches:
             for terms, starts in zip(batch.column("terms").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 if terms:
-                    yield pa.RecordBatch.from_arrays([pa.array(terms.split(" ")), pa.array(np.diff(np.frombuffer(starts, "<i8")))], ["term", "df"])
+                    yield pa.RecordBatch.from_arrays([pa.array(terms.split(" ")), pa.array(np.diff(np.frombuffer(starts, "<i4")).astype(np.int64))], ["term", "df"])
 
     return index.select("terms", "starts").mapInArrow(listed, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
@@ -115,31 +122,60 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Segment:
-    """A segment opened for search: impacts, and their maxima by term and block."""
+    """A segment opened for search: postings as they were stored, and the largest impact of each term in each block.
+
+    Terms are found by a sorted array of their hashes and compared as texts. Impacts are worked out where a block is
+    opened; the maxima are single floats rounded up.
+    """
 
     def __init__(self, row: dict, mean: float, block: int = BLOCK) -> None:
         self.ids = np.array([NO_ID if i is None else i for i in row["ids"]], np.int64)
-        self.number = {term: i for i, term in enumerate(row["terms"].split(" "))}
-        starts = np.frombuffer(row["starts"], "<i8")
-        self.docs = np.frombuffer(row["docs"], "<u2").astype(np.int64)
-        counts = np.frombuffer(row["counts"], "<i4")
+        terms = row["terms"].encode()
+        self.terms = terms
+        listed = terms.split(b" ")
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, listed), np.uint64, len(listed))
+        ends = np.cumsum(np.fromiter(map(len, listed), np.int64, len(listed)) + 1)
+        self.text_at = np.concatenate([[0], ends]).astype(np.int32 if len(terms) < 2**31 - 2 else np.int64)
+        del listed
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.order]
+        starts = np.frombuffer(row["starts"], "<i4")
+        self.docs = np.frombuffer(row["docs"], "<u2")
+        self.counts = np.frombuffer(row["counts"], f"<u{len(row['counts']) // max(len(self.docs), 1) or 1}")
         lengths = np.frombuffer(row["lengths"], "<i4")
-        self.impacts = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[self.docs] / mean))
+        self.norm = K1 * (1 - B + B * lengths / mean)
         self.block, self.blocks = block, -(-len(self.ids) // block)
         term = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         place = term * self.blocks + self.docs // block
+        del term
         first = np.flatnonzero(np.diff(place, prepend=-1))
-        self.entry_first = np.append(first, len(place))
-        self.entry_block = (self.docs[first] // block).astype(np.int32)
-        self.entry_most = np.maximum.reduceat(self.impacts, first) if len(first) else np.empty(0)
-        self.entries = np.searchsorted(first, starts)
+        del place
+        self.entry_first = np.append(first, len(self.docs)).astype(np.int32)
+        self.entry_block = (self.docs[first] // block).astype(np.uint16)
+        most = np.maximum.reduceat(self.impacts(slice(None)), first) if len(first) else np.empty(0)
+        self.entry_most = np.nextafter(most.astype(np.float32), np.float32(np.inf))
+        self.entries = np.searchsorted(first, starts).astype(np.int32)
+
+    def impacts(self, postings: slice | np.ndarray) -> np.ndarray:
+        counts = self.counts[postings].astype(np.float64)
+        return counts * (K1 + 1) / (counts + self.norm[self.docs[postings]])
+
+    def number(self, term: str) -> int | None:
+        text = term.encode()
+        at = int(np.searchsorted(self.hashes, np.uint64(xxhash.xxh64_intdigest(text))))
+        while at < len(self.hashes) and self.hashes[at] == xxhash.xxh64_intdigest(text):
+            i = int(self.order[at])
+            if self.terms[self.text_at[i] : self.text_at[i + 1] - 1] == text:
+                return i
+            at += 1
+        return None
 
     def bounds(self, terms: list[str], weights: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries of the query's terms, their weights, and what each block can reach at most."""
-        known = [(n, w) for t, w in zip(terms, weights, strict=True) if (n := self.number.get(t)) is not None]
+        known = [(n, w) for t, w in zip(terms, weights, strict=True) if (n := self.number(t)) is not None]
         number, weight = np.array([n for n, _ in known], np.int64), np.array([w for _, w in known])
-        sizes = self.entries[number + 1] - self.entries[number]
-        entry, by_entry = _ranges(self.entries[number], sizes), np.repeat(weight, sizes)
+        sizes = (self.entries[number + 1] - self.entries[number]).astype(np.int64)
+        entry, by_entry = _ranges(self.entries[number].astype(np.int64), sizes), np.repeat(weight, sizes)
         return entry, by_entry, np.bincount(self.entry_block[entry], by_entry * self.entry_most[entry], self.blocks)
 
     def search(self, terms: list[str], weights: list[float], k: int, best: tuple[np.ndarray, np.ndarray], step: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -156,9 +192,10 @@ class Segment:
             opened = np.zeros(self.blocks, bool)
             opened[chosen] = True
             at = np.flatnonzero(opened[block_of])
-            sizes = self.entry_first[entry[at] + 1] - self.entry_first[entry[at]]
-            postings = _ranges(self.entry_first[entry[at]], sizes)
-            scores = np.bincount(self.docs[postings], np.repeat(by_entry[at], sizes) * self.impacts[postings], len(self.ids))
+            begin = self.entry_first[entry[at]].astype(np.int64)
+            sizes = self.entry_first[entry[at] + 1] - begin
+            postings = _ranges(begin, sizes)
+            scores = np.bincount(self.docs[postings], np.repeat(by_entry[at], sizes) * self.impacts(postings), len(self.ids))
             docs = np.flatnonzero((scores > 0) & (scores >= floor))
             best = top(np.concatenate([best[0], scores[docs]]), np.concatenate([best[1], self.ids[docs]]), k)
         return best

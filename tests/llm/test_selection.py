@@ -320,8 +320,8 @@ def test_pruning_is_exact():
     lengths = np.array([len(t.split()) for t in texts])
     starts = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(number)))])
     row = {
-        "ids": list(range(len(texts))), "terms": " ".join(number), "starts": starts.astype("<i8").tobytes(), "docs": docs.astype("<u2").tobytes(),
-        "counts": np.concatenate([np.array(c, int) for c in counts])[order].astype("<i4").tobytes(), "lengths": lengths.astype("<i4").tobytes(),
+        "ids": list(range(len(texts))), "terms": " ".join(number), "starts": starts.astype("<i4").tobytes(), "docs": docs.astype("<u2").tobytes(),
+        "counts": np.concatenate([np.array(c, int) for c in counts])[order].astype("<u1").tobytes(), "lengths": lengths.astype("<i4").tobytes(),
     }
     df = Counter(t for text in texts for t in set(text.split()))
     for block, step in ((1, 1), (4, 2), (32, 16), (1000, 1)):
