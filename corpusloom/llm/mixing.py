@@ -24,7 +24,7 @@ TOPICS = {
 }
 #: Target shares go with the token shares to this power: 1 keeps them, 0 makes all values equal.
 TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.9}
-TOLERANCE = 1e-9
+TOLERANCE = 1e-12
 #: Sweeps over the three dimensions at most; targets that contradict each other never agree.
 SWEEPS = 60
 SEED = 17
