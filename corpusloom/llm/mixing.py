@@ -2,8 +2,9 @@
 
 Documents are counted into cells of (source, lang, topic). The cells' token shares are raked: scaled to the target shares of
 the sources, then of the languages, then of the topics, again and again until all three hold. A document is drawn with
-the ratio of its cell's raked to its real share, scaled so that the largest ratio is ``rate``. Texts are only read; what is
-shuffled is one row a cell and task.
+the ratio of its cell's raked to its real share, scaled so that a stated share of all tokens is kept, however large the input
+and however rare its rarest cell. What is too rare for its target share is kept whole, and the others share the rest of the
+budget as their targets say. Texts are only read; what is shuffled is one row a cell and task.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ TOLERANCE = 1e-12
 #: Sweeps over the three dimensions at most; targets that contradict each other never agree.
 SWEEPS = 60
 SEED = 17
+#: Share of all tokens that the drawn documents hold.
+KEEP = 0.6
+#: Raking with upper bounds: factors and overshoot of a cell stay below this, so that no product leaves the range of doubles.
+BOUND = 1e12
 
 
 def topic_of(text: Column) -> Column:
@@ -56,6 +61,88 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return tokens.join(F.broadcast(whole)).select("value", (F.col("part") / F.col("whole")).alias("share"))
 
 
+def _level(shares: DataFrame, keep: float) -> float:
+    """The scale at which min(``most``, scale * ``share``) adds up to ``keep``; each round fills at least one more value."""
+    scale = keep
+    while True:
+        full = F.lit(scale) * F.col("share") >= F.col("most")
+        filled, rest = shares.agg(F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("share")))).first()
+        higher = (keep - (filled or 0.0)) / rest if rest else scale
+        if higher <= scale * (1 + 1e-12):
+            return scale
+        scale = higher
+
+
+def _bounded_factor() -> Column:
+    """Moves cells of a value, each up to its ``most``, towards ``share``: a Newton step on a sum that is concave in the factor.
+
+    Cells below their bound make up ``free``, the others ``full``; ``total`` is the sum without bounds.
+    """
+    share, free, full = F.coalesce("share", F.lit(0.0)), F.col("free"), F.col("full")
+    step = F.when(free > 0, (share - full) / free)
+    up, down = F.coalesce(step, F.lit(1.0)), F.greatest(step, share / F.col("total"))
+    moved = F.when(full + free <= share, up).otherwise(down)
+    return F.when((share > 0) & (F.col("total") > 0), F.least(moved, F.lit(BOUND))).otherwise(0.0)
+
+
+def rake_within(cells: DataFrame, targets: dict[str, DataFrame], keep: float, tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> DataFrame:
+    """Add ``most`` and ``weight`` to ``cells``: each cell's share of all tokens, and the part of it that is kept.
+
+    Weights add up to ``keep``, or to all tokens that have targets if these are fewer. A value whose target share of the
+    kept tokens is more than it has is kept whole, the others of its dimension share the rest by their targets, and no
+    cell exceeds its ``most``; within these bounds weights stay as close to the real shares as raking leaves them.
+    """
+    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    fitted = cells.withColumn("most", F.col("tokens") / F.lit(float(total)))
+    for dimension, target in targets.items():
+        named = target.where("share > 0").select(F.col("value").alias(dimension), F.lit(True).alias(f"_{dimension}"))
+        fitted = fitted.join(named, dimension, "left")
+    live = F.expr(" and ".join(f"_{dimension} is not null" for dimension in targets))
+    fitted = fitted.withColumn("weight", F.when(live, F.col("most")).otherwise(0.0)).drop(*[f"_{d}" for d in targets])
+    fitted = support.staged(fitted, "cells")
+    compact = support.small(fitted)
+
+    def held(table: DataFrame, name: str) -> DataFrame:
+        table = support.staged(table, name)
+        return table.coalesce(1) if compact else table
+
+    fitted = fitted.coalesce(1) if compact else fitted
+    budget = min(keep, fitted.agg(F.sum("weight")).first()[0] or 0.0)
+    wanted = {}
+    for dimension, target in targets.items():
+        there = fitted.where("weight > 0").groupBy(dimension).agg(F.sum("most").alias("most"))
+        named = target.select(F.col("value").alias(dimension), F.col("share").cast("double").alias("share"))
+        shares = held(there.join(named.coalesce(1) if compact else named, dimension), "shares")
+        whole = shares.agg(F.sum("share")).first()[0] or 1.0
+        shares = shares.withColumn("share", F.col("share") / F.lit(whole))
+        level = _level(shares, budget)
+        wanted[dimension] = held(shares.select(dimension, F.least("most", F.lit(level) * F.col("share")).alias("share")), "targets")
+    kept, open_ = F.least("weight", "most"), F.col("weight") < F.col("most")
+    for sweep in range(1, sweeps + 1):
+        for dimension in targets:
+            sums = fitted.groupBy(dimension).agg(
+                F.coalesce(F.sum(F.when(open_, F.col("weight"))), F.lit(0.0)).alias("free"),
+                F.coalesce(F.sum(F.when(~open_, F.col("most"))), F.lit(0.0)).alias("full"),
+                F.sum("weight").alias("total"),
+            )
+            factor = sums.join(wanted[dimension], dimension, "left").select(dimension, _bounded_factor().alias("factor"))
+            moved = F.least(F.col("weight") * F.col("factor"), F.col("most") * F.lit(BOUND))
+            fitted = fitted.join(factor, dimension).withColumn("weight", moved).drop("factor")
+        fitted = held(fitted, "raked")
+        if sweep % 3:
+            continue
+        off = [
+            fitted.groupBy(d).agg(F.sum(kept).alias("held")).join(wanted[d], d).agg(F.max(F.abs(F.col("held") - F.col("share"))).alias("off"))
+            for d in targets
+        ]
+        worst = off[0]
+        for more in off[1:]:
+            worst = worst.union(more)
+        if (worst.agg(F.max("off")).first()[0] or 0) <= tolerance:
+            break
+    return fitted.withColumn("weight", kept)
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> DataFrame:
     """Add ``weight`` to ``cells`` (``tokens``, a column a dimension): shares whose sums by each dimension are its target shares.
 
@@ -98,12 +185,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     return fitted
 
 
-def cell_probabilities(measured: DataFrame, targets: dict[str, DataFrame | float] | None = None, rate: float = 1.0) -> DataFrame:
-    """One row a cell: ``source``, ``lang``, ``topic``, ``probability`` of its documents. A target is a table or a power."""
+def cell_probabilities(measured: DataFrame, targets: dict[str, DataFrame | float] | None = None, rate: float = 1.0, keep: float | None = KEEP) -> DataFrame:
+    """One row a cell: ``source``, ``lang``, ``topic``, ``probability`` of its documents. A target is a table or a power.
+
+    With ``keep``, the drawn documents hold that share of all tokens (``rate`` times it, on average). Without, the largest
+    ratio gets ``rate``, and so the rarest cell sets what is kept of the others.
+    """
     cells = support.staged(measured.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "counted")
     cells = cells.coalesce(1) if support.small(cells) else cells
     chosen = {**TEMPER, **(targets or {})}
     tables = {d: t if isinstance(t, DataFrame) else tempered(cells, d, t) for d, t in chosen.items()}
+    if keep is not None:
+        fitted = rake_within(cells, tables, keep)
+        part = F.when(F.col("weight") >= F.col("most") * (1 - 1e-9), 1.0).otherwise(F.col("weight") / F.col("most"))
+        return support.staged(fitted.select(*DIMENSIONS, (part * rate).alias("probability")), "probabilities")
     fitted = rake(cells, tables)
     ratio = F.col("weight") / F.col("tokens")
     largest = fitted.agg(F.max(ratio)).first()[0] or 1.0
@@ -116,21 +211,21 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def probabilities(docs: DataFrame, targets: dict[str, DataFrame | float] | None = None, rate: float = 1.0, seed: int = SEED) -> DataFrame:
+def probabilities(docs: DataFrame, targets: dict[str, DataFrame | float] | None = None, rate: float = 1.0, seed: int = SEED, keep: float | None = KEEP) -> DataFrame:
     """Every document: ``doc_id``, ``source``, ``lang``, ``topic``, ``n_tokens``, ``probability``, ``kept``.
 
     Null sources, languages and texts count as empty ones, which are values like any other. Rows that share a ``doc_id``
     draw the same number; all rows without one share a draw. An empty table gives no rows.
     """
     measured = support.staged(_measured(docs), "measured")
-    cells = cell_probabilities(measured, targets, rate)
+    cells = cell_probabilities(measured, targets, rate, keep)
     rows = support.with_lookup(measured, cells, list(DIMENSIONS), "inner")
     return rows.select("doc_id", *DIMENSIONS, "n_tokens", "probability", (draw(F.col("doc_id"), seed) < F.col("probability")).alias("kept"))
 
 
-def sample(docs: DataFrame, targets: dict[str, DataFrame | float] | None = None, rate: float = 1.0, seed: int = SEED) -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, DataFrame | float] | None = None, rate: float = 1.0, seed: int = SEED, keep: float | None = KEEP) -> DataFrame:
     """The drawn rows of ``docs``, all columns."""
-    cells = cell_probabilities(_measured(docs), targets, rate).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
+    cells = cell_probabilities(_measured(docs), targets, rate, keep).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
     row = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row")
     text = F.coalesce("text", F.lit(""))
     marked = docs.select(row, F.coalesce("source", F.lit("")).alias("_source"), F.coalesce("lang", F.lit("")).alias("_lang"), topic_of(text).alias("_topic"))

@@ -170,6 +170,37 @@ def test_absent_targets_get_nothing(spark):
     assert {r["probability"] for r in drawn if r["source"] == "b"} == {0.0}
 
 
+def test_one_rare_cell_does_not_empty_the_mixture(spark):
+    cells = [(s, v, t, float((1 + (i * 7 + j * 3 + k * 11) % 13) * 10**8)) for i, s in enumerate("abc") for j, v in enumerate("xy") for k, t in enumerate("pq")]
+    cells.append(("stray", "zz", "p", 10.0))
+    measured = spark.createDataFrame(cells, "source string, lang string, topic string, n_tokens double")
+    found = mixing.cell_probabilities(measured).collect()
+    p = {(r["source"], r["lang"], r["topic"]): r["probability"] for r in found}
+    assert p["stray", "zz", "p"] == 1 and all(0 < x <= 1 for x in p.values())
+    held = sum(p[c[:3]] * c[3] for c in cells)
+    assert abs(held / sum(c[3] for c in cells) - mixing.KEEP) < 1e-8
+    # The others, none of which is short of its target here, reach the tempered shares.
+    for at, dimension in enumerate(mixing.DIMENSIONS):
+        tokens = Counter()
+        for c in cells:
+            tokens[c[at]] += c[3]
+        parts = {v: n ** mixing.TEMPER[dimension] for v, n in tokens.items() if n > 10}
+        for value, part in parts.items():
+            reached = sum(p[c[:3]] * c[3] for c in cells if c[at] == value)
+            assert abs(reached / held - part / sum(parts.values())) < 1e-6
+
+
+def test_cells_kept_whole_leave_the_rest_to_the_others(spark):
+    cells = [("a", "x", "p", 900.0), ("a", "y", "p", 60.0), ("b", "x", "p", 30.0), ("b", "y", "p", 10.0)]
+    table = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
+    wanted = {"source": {"a": 0.8, "b": 0.2}, "lang": {"x": 0.9, "y": 0.1}, "topic": {"p": 1.0}}
+    targets = {d: spark.createDataFrame(list(shares.items()), "value string, share double") for d, shares in wanted.items()}
+    weight = {(r["source"], r["lang"]): r["weight"] for r in mixing.rake_within(table, targets, 0.5).collect()}
+    # b has 0.04 of the 0.1 that it should have, so it is kept whole; languages still reach 0.45 and 0.05.
+    for cell, want in {("b", "x"): 0.03, ("b", "y"): 0.01, ("a", "x"): 0.42, ("a", "y"): 0.04}.items():
+        assert math.isclose(weight[cell], want, rel_tol=1e-6)
+
+
 def test_mixing_stands_awkward_rows(spark):
     drawn = mixing.probabilities(frame(spark))
     assert drawn.count() == len(ROWS) and drawn.where("probability is null or probability < 0 or probability > 1 + 1e-9").count() == 0
