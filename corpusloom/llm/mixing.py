@@ -48,10 +48,11 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long") + 1
 
 
-def _measured(docs: DataFrame) -> DataFrame:
+def _measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     plain = [F.coalesce(name, F.lit("")).alias(name) for name in ("source", "lang")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *plain, topic_of(text).alias("topic"), tokens_of(text).alias("n_tokens"))
+    number = draw(F.col("doc_id").cast("long"), seed, content_of("text", "source")).alias("number")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *plain, topic_of(text).alias("topic"), tokens_of(text).alias("n_tokens"), number)
 
 
 def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
@@ -205,22 +206,31 @@ def cell_probabilities(measured: DataFrame, targets: dict[str, DataFrame | float
     return support.staged(fitted.select(*DIMENSIONS, (ratio / F.lit(largest) * rate).alias("probability")), "probabilities")
 
 
-def draw(doc_id: Column, seed: int = SEED) -> Column:
-    """A number from 0 to 1 that depends on the id and the seed alone, so a task that runs twice draws alike."""
-    digits = F.substring(F.md5(F.concat_ws(":", doc_id.cast("string"), F.lit(str(seed)))), 1, 12)
+def content_of(text: Column | str, source: Column | str) -> Column:
+    """A hash of a whole text and its source, as text."""
+    return F.hex(F.xxhash64(F.coalesce(text, F.lit("")), F.coalesce(source, F.lit(""))))
+
+
+def draw(doc_id: Column, seed: int = SEED, content: Column | None = None) -> Column:
+    """A number from 0 to 1 that depends on the id, the seed and, if given, the content alone, so a task that runs twice
+    draws alike. With content, rows without id and different rows that share one draw apart."""
+    parts = [doc_id.cast("string"), F.lit(str(seed))]
+    if content is not None:
+        parts = [F.coalesce(parts[0], F.lit("")), parts[1], content]
+    digits = F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12)
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**12))
 
 
 def probabilities(docs: DataFrame, targets: dict[str, DataFrame | float] | None = None, rate: float = 1.0, seed: int = SEED, keep: float | None = KEEP) -> DataFrame:
     """Every document: ``doc_id``, ``source``, ``lang``, ``topic``, ``n_tokens``, ``probability``, ``kept``.
 
-    Null sources, languages and texts count as empty ones, which are values like any other. Rows that share a ``doc_id``
-    draw the same number; all rows without one share a draw. An empty table gives no rows.
+    Null sources, languages and texts count as empty ones, which are values like any other. The number a row draws depends
+    on its ``doc_id``, text and source; only rows that are equal in all three share it. An empty table gives no rows.
     """
-    measured = support.staged(_measured(docs), "measured")
+    measured = support.staged(_measured(docs, seed), "measured")
     cells = cell_probabilities(measured, targets, rate, keep)
     rows = support.with_lookup(measured, cells, list(DIMENSIONS), "inner")
-    return rows.select("doc_id", *DIMENSIONS, "n_tokens", "probability", (draw(F.col("doc_id"), seed) < F.col("probability")).alias("kept"))
+    return rows.select("doc_id", *DIMENSIONS, "n_tokens", "probability", (F.col("number") < F.col("probability")).alias("kept"))
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame | float] | None = None, rate: float = 1.0, seed: int = SEED, keep: float | None = KEEP) -> DataFrame:
@@ -230,4 +240,5 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame | float] | None = None,
     text = F.coalesce("text", F.lit(""))
     marked = docs.select(row, F.coalesce("source", F.lit("")).alias("_source"), F.coalesce("lang", F.lit("")).alias("_lang"), topic_of(text).alias("_topic"))
     joined = support.with_lookup(marked, cells, [f"_{d}" for d in DIMENSIONS], "inner")
-    return joined.where(draw(F.col("_row.doc_id"), seed) < F.col("_probability")).select("_row.*")
+    number = draw(F.col("_row.doc_id").cast("long"), seed, content_of("_row.text", "_row.source"))
+    return joined.where(number < F.col("_probability")).select("_row.*")

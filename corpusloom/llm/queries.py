@@ -15,8 +15,9 @@ def op1_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest probability is 1, as in the SQL; the pipeline keeps a stated share of the tokens instead."""
+    """The largest probability is 1 and the draw is by id alone, as in the SQL; the pipeline does neither."""
     drawn = mixing.probabilities(table(spark, sf_dir, "documents"), keep=None)
+    drawn = drawn.withColumn("kept", mixing.draw(F.col("doc_id")) < F.col("probability"))
     return drawn.withColumn("probability", F.round("probability", 6))
 
 

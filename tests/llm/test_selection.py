@@ -201,6 +201,17 @@ def test_cells_kept_whole_leave_the_rest_to_the_others(spark):
         assert math.isclose(weight[cell], want, rel_tol=1e-6)
 
 
+def test_rows_without_id_draw_apart(spark):
+    rows = [(i, f"{'word ' * 5}{'abcdefgh'[j % 8] * (j + 1)}", "en", "a", 25) for i in (None, 7) for j in range(400)]
+    drawn = mixing.probabilities(plain(spark, rows)).collect()
+    for i in (None, 7):
+        kept = [r["kept"] for r in drawn if r["doc_id"] == i]
+        assert abs(sum(kept) / len(kept) - mixing.KEEP) < 0.1
+    again = sorted((r["doc_id"] or 0, r["text"]) for r in mixing.sample(plain(spark, rows)).collect())
+    assert again == sorted((r["doc_id"] or 0, r["text"]) for r in mixing.sample(plain(spark, rows[::-1])).collect())
+    assert len(again) == sum(r["kept"] for r in drawn)
+
+
 def test_mixing_stands_awkward_rows(spark):
     drawn = mixing.probabilities(frame(spark))
     assert drawn.count() == len(ROWS) and drawn.where("probability is null or probability < 0 or probability > 1 + 1e-9").count() == 0
