@@ -30,6 +30,8 @@ CROWD = 64
 BLOCK = 1024
 #: Masks of the low bits of all segments of half a word, and of half a word.
 PAIRS, HALF = 0x55555555, 0xFFFFFFFF
+#: Columns that hold two hashes of a whole row.
+KEYS = ("_key", "_key2")
 
 
 def _fingerprint(text: bytes, words: int) -> int:
@@ -49,8 +51,8 @@ def _fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed 64-bit integer, of every whole text.
+def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id`` and ``fp``, the fingerprint as a signed 64-bit integer, of every whole text, and the columns ``keep`` of longs.
 
     A-Z is lower-cased; words lie between ASCII white space; a text of fewer words is one shingle; an empty or null text
     has fingerprint 0.
@@ -59,9 +61,10 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([_fingerprint(text, words) for text in support.bytes_of(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64)), *map(batch.column, keep)], ["doc_id", "fp", *keep])
 
-    return support.whole_texts(docs).mapInArrow(hashed, "doc_id long, fp long")
+    texts = support.whole_texts(docs) if not keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
+    return texts.mapInArrow(hashed, ", ".join(f"{name} long" for name in ("doc_id", "fp", *keep)))
 
 
 def _cells(points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,19 +164,24 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
+def _grouped(docs: DataFrame, words: int, distance: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``fp``, ``component_id``, ``label`` (a fingerprint that names the component) and ``keep`` of every row."""
+    marked = support.staged(fingerprints(docs, words, keep), "fingerprints")
+    classes = support.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    labels = support.staged(components(links(classes.select("fp"), distance)), "labels")
+    members = classes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    lowest = members.join(labels.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("first").alias("lowest"))
+    known = support.staged(members.join(lowest, "label", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"), "label"), "components")
+    return support.with_lookup(marked, known, ["fp"], "left").select("doc_id", "fp", "component_id", "label", *keep)
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest ``doc_id`` that links reach, for every row.
 
     Rows without ``doc_id`` take part, but name no component unless all of it have none (then null). Repeated rows and
     equal texts share a fingerprint and so a component. An empty table gives no rows.
     """
-    marked = support.staged(fingerprints(docs, words), "fingerprints")
-    classes = support.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    labels = support.staged(components(links(classes.select("fp"), distance)), "labels")
-    members = classes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    lowest = members.join(labels.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("first").alias("lowest"))
-    known = support.staged(members.join(lowest, "label", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "components")
-    return support.with_lookup(marked, known, ["fp"], "left").select("doc_id", "fp", "component_id")
+    return _grouped(docs, words, distance).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_text() -> Column:
@@ -181,18 +189,33 @@ def fingerprint_text() -> Column:
     return F.lpad(F.lower(F.hex("fp")), 16, "0")
 
 
-def losers(found: DataFrame) -> DataFrame:
-    """Ids of the documents of ``near_duplicates`` that make room for the smallest id of their component."""
-    return found.where("doc_id <> component_id").select("doc_id").distinct()
+def _row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes of a whole row: together they tell rows apart. Maps cannot be hashed and are left out."""
+    names = [F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    values = [*names, *[F.isnull(name) for name in names]]
+    return [F.xxhash64(F.lit(seed), *values).alias(key) for seed, key in enumerate(KEYS)]
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """Rows of ``docs``, all columns, of the documents that stay: the smallest ``doc_id`` of each component.
+    """One row of ``docs``, all columns, of each component: the one with the smallest ``doc_id``.
 
-    Rows without ``doc_id`` stay. Rows that share a ``doc_id`` stay or go together, but equal rows stay once.
+    Rows without ``doc_id`` come last. Among rows that share the smallest id, or all without one, the smallest hash of
+    the whole row stays. Each row is judged in its own component, so another row with its ``doc_id`` does not remove it.
     """
-    found = near_duplicates(docs, words, distance)
-    gone = support.staged(losers(found), "losers")
-    kept = support.with_lookup(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    return kept.distinct() if repeated.limit(1).count() else kept
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row")
+    keyed = docs.select(row, *_row_keys(docs))
+    texts = keyed.select("_row.doc_id", "_row.text", *KEYS)
+    found = support.staged(_grouped(texts, words, distance, KEYS).select("doc_id", "label", *KEYS), "grouped")
+    order = F.struct(F.isnull("doc_id").alias("late"), "doc_id", *KEYS)
+    best = found.groupBy("label").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    best = support.staged(best.select("label", *[F.col(f"best.{key}").alias(f"{key}_best") for key in KEYS]), "best")
+    members = support.with_lookup(found, best, ["label"], "inner")
+    stays = F.expr(" and ".join(f"{key} = {key}_best" for key in KEYS))
+    counted = support.staged(members.groupBy(*KEYS).agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("rows")), "counted")
+    gone, again = counted.where("not stays").select(*KEYS), counted.where("stays and rows > 1").select(*KEYS)
+    kept = support.with_lookup(keyed, gone, list(KEYS), "left_anti")
+    if again.limit(1).count():
+        # Only rows that occur several times are shuffled.
+        once = support.with_lookup(kept, again, list(KEYS), "left_anti")
+        kept = once.unionByName(support.with_lookup(kept, again, list(KEYS), "left_semi").dropDuplicates(list(KEYS)))
+    return kept.select("_row.*")

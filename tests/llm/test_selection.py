@@ -78,6 +78,20 @@ def test_one_of_each_keeps_equal_rows_once(spark):
     assert simhash.one_of_each(frame(spark)).columns == frame(spark).columns
 
 
+@pytest.mark.parametrize("other", [[], [(2, "unlike anything else here", "en", "a", 1)] * 2])
+def test_each_row_is_judged_in_its_own_group(spark, other):
+    rows = [
+        (None, "one two three four", "en", "a", 1), (None, "one two three four", "en", "a", 1), (None, "one two three four", "en", "b", 1),
+        (5, "five six seven eight", "en", "a", 1), (None, "five six seven eight", "en", "a", 1), (7, "five six seven eight", "en", "a", 1),
+        (7, "a text of its own under an id that loses elsewhere", "en", "a", 1),
+    ]
+    got = simhash.one_of_each(plain(spark, rows + other), 3).collect()
+    want = [(0, "one"), (5, "five"), (7, "a"), *[(i, text.split()[0]) for i, text, *_ in other[:1]]]
+    assert sorted((r["doc_id"] or 0, r["text"].split()[0]) for r in got) == sorted(want)
+    again = simhash.one_of_each(plain(spark, (rows + other)[::-1]).repartition(3), 3).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_long_chains_come_together(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (150, 200)], "a long, b long")
     found = {r["fp"]: r["label"] for r in simhash.components(edges).collect()}
