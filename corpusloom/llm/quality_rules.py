@@ -37,10 +37,11 @@ RULES: dict[str, tuple[str, str, float, float, float]] = {
     "short_words": (GOOD, "word_chars / n_words", 9, 0.6, 0.95),
     "varied": (GOOD, "(n_words - n_distinct) / n_words", 0.55, 0.6, 0.95),
 }
-#: Share of good documents before the data speak, and what all these expectations weigh against the whole corpus. They keep
-#: "good" and "bad" from changing places, or from being taken for two languages or two lengths. What is expected on good
-#: documents is also a limit: no rule may be found to err on them more often than that.
-GOOD_SHARE, PRIOR = 0.8, 0.5
+#: Share of good documents before the data speak, and how many documents of each class all these expectations count for,
+#: whatever the size of the corpus: a large one outweighs them. What is expected on good documents is also a limit: no rule
+#: may be found to err on them more often than that. It keeps "good" and "bad" from changing places, or from being taken for
+#: two kinds of bad documents; a limit at the rate on bad documents does not (about half of the bad ones are kept then).
+GOOD_SHARE, PRIOR = 0.8, 1000.0
 ROUNDS, TOLERANCE = 500, 1e-10
 
 
@@ -108,7 +109,6 @@ def posteriors(patterns: list[str], counts: list[int]) -> tuple[np.ndarray, np.n
     """Probability of good for each pattern; how often each rule votes on bad and on good documents; share of good ones."""
     voted = np.array([[c != ABSTAINS for c in p] for p in patterns], float).reshape(-1, len(RULES))
     weight = np.array(counts, float)
-    total = max(weight.sum(), 1.0)
     expected = np.array([rule[3:] for rule in RULES.values()]).T
     warns = np.array([rule[0] == BAD for rule in RULES.values()])
     rates, share, good = expected.copy(), GOOD_SHARE, np.full(len(voted), -1.0)
@@ -119,8 +119,8 @@ def posteriors(patterns: list[str], counts: list[int]) -> tuple[np.ndarray, np.n
             break
         good = now
         held = np.array([(1 - good) * weight, good * weight])
-        share = float((held[1].sum() + PRIOR * total * GOOD_SHARE) / (weight.sum() + PRIOR * total))
-        rates = (held @ voted + PRIOR * total * expected) / (held.sum(axis=1, keepdims=True) + PRIOR * total)
+        share = float((held[1].sum() + PRIOR * GOOD_SHARE) / (weight.sum() + PRIOR))
+        rates = (held @ voted + PRIOR * expected) / (held.sum(axis=1, keepdims=True) + PRIOR)
         rates[1] = np.where(warns, np.minimum(rates[1], expected[1]), np.maximum(rates[1], expected[1]))
     return good, rates, share
 

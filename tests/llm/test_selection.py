@@ -318,6 +318,16 @@ def test_expectation_maximisation_step_by_step():
     assert good[0] > 0.9 > 0.5 > good[1] and good[2] < 0.01 and good[3] > 0.5
 
 
+def test_much_data_outweigh_the_expected_rates():
+    patterns = ["1" * 7 + "22", "0" + "1" * 6 + "22", "1000111" + "21", "1" * 5 + "0122", "1" * 9]
+    voted = np.array([[c != "1" for c in p] for p in patterns], float)
+    for times, near in ((1, 1.0), (1000, 0.02)):
+        weight = np.array([800, 70, 60, 20, 10], float) * times
+        good, rates, _ = quality_rules.posteriors(patterns, weight.tolist())
+        bad = (1 - good) * weight
+        assert np.abs(rates[0] - bad @ voted / bad.sum()).max() < near
+
+
 def test_rules_keep_clean_documents(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
     rows = quality_rules.judge(docs).drop("quality").join(labels, "doc_id").collect()
