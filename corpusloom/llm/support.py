@@ -14,16 +14,26 @@ from corpusloom import shared
 
 #: Bytes that a table may have, counted over its rows, before it is shuffled instead of broadcast.
 BROADCAST_BYTES = 4_000_000
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """Write ``df`` to a fresh folder of the shared folder and read it back.
 
-    Cuts the lineage at files that outlive any executor; a task that runs twice commits once.
+    Cuts the lineage at files that outlive any executor; a task that runs twice commits once. ``tidy`` has the shuffle
+    files of the write removed as soon as it has ended, for plans that are not used again.
     """
-    folder = shared.new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = shared.new_folder(spark, name)
+    before = spark.conf.get(TIDY, None)
+    if tidy:
+        spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        if tidy:
+            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +68,27 @@ def bytes_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return pc.cast(column, pa.binary()).to_pylist()
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words between ASCII white space of all texts, one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.flatten()
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    places = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    before = np.concatenate([[0], np.cumsum(real)])
+    return words.filter(pa.array(real)), np.diff(before[places])
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces whose texts hold about ``most`` bytes; one longer text is a piece of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        start = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, start + most, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def running_totals(rows: DataFrame, order: list[str], value: str) -> DataFrame:
     """Add ``before``: the sum of ``value`` over all rows that come earlier in ``order``.
 
