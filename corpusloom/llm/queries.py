@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_net, chat, mixing, oracle, packing, periodic_runs, quality_rules, search, secret_scan, simhash, simple8b, unigram_counts
+from corpusloom.llm import byte_net, chat, hard_negatives, mixing, oracle, packing, periodic_runs, quality_rules, search, secret_scan, simhash, simple8b, unigram_counts
 from corpusloom.llm import support
 from corpusloom.llm.support import table
 
@@ -69,10 +69,17 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(table(spark, sf_dir, "documents"), plant=True))
 
 
+def op13_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One in seven rows first moves to the next label."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 QUERIES = {name: f for name, f in globals().items() if name.startswith("op")}
 ORACLES = {
     "op2_raked_mixture": oracle.MIXING,
     "op3_chat_segments": oracle.CHAT,
     "op4_trigram_secrets": oracle.secrets(),
     "op9_bm25_top_k": oracle.SEARCH,
+    "op13_angular_negatives": oracle.NEGATIVES,
 }
