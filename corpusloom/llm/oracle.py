@@ -111,3 +111,19 @@ SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positi
   vec_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
 """
+
+
+REPEATS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS words FROM d, unnest(range(1, len(w) - 11)) AS t(i)
+), owned AS (SELECT *, min(doc_id) OVER (PARTITION BY words) AS owner FROM windows),
+gone AS (SELECT DISTINCT rid, k FROM (SELECT rid, unnest(range(i, i + 13)) AS k FROM owned WHERE owner < doc_id)),
+left_over AS (
+  SELECT rid, count(g.k) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (g.k IS NULL) AS kept
+  FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d) LEFT JOIN gone AS g USING (rid, k) GROUP BY rid
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (rid)
+"""

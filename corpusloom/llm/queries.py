@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_net, chat, hard_negatives, mixing, oracle, packing, periodic_runs, quality_rules, search, secret_scan, simhash, simple8b, unigram_counts
+from corpusloom.llm import byte_net, chat, hard_negatives, mixing, oracle, packing, periodic_runs, quality_rules, repeats, search, secret_scan, simhash, simple8b, unigram_counts
 from corpusloom.llm import support
 from corpusloom.llm.support import table
 
@@ -65,6 +65,10 @@ def op10_voted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.FEATURES[:5], "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op11_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(table(spark, sf_dir, "documents"), plant=True))
 
@@ -81,5 +85,6 @@ ORACLES = {
     "op3_chat_segments": oracle.CHAT,
     "op4_trigram_secrets": oracle.secrets(),
     "op9_bm25_top_k": oracle.SEARCH,
+    "op11_suffix_tree_repeats": oracle.REPEATS,
     "op13_angular_negatives": oracle.NEGATIVES,
 }
