@@ -381,6 +381,17 @@ def _join(ids: str, separator: str = " ") -> str:
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["src_raw"] = _with("SELECT * REPLACE (nullif(headline, '') AS headline, nullif(human_summary, '') AS human_summary) FROM v_raw")
+    q["src_excel"] = _with(
+        "SELECT * REPLACE (nullif(headline, '') AS headline, nullif(article_text, '') AS article_text, nullif(human_summary, '') AS human_summary) FROM v_raw"
+    )
+    q["src_formats"] = _with("SELECT * EXCLUDE (article_text) FROM v_raw, (VALUES ('json'), ('parquet'), ('orc')) t(format)")
+    # The text as JSON, with quotes around it, as Spark writes it; a bad line is the whole line.
+    line = """'{"doc_id": ' || CASE WHEN doc_id % 13 = 0 THEN '"no ' || doc_id || '"' ELSE doc_id::VARCHAR END || ', "headline":"'
+        || CASE WHEN doc_id % 13 = 0 THEN 'no ' ELSE '' END || doc_id || '"' || coalesce(',"article_text":' || to_json(text)::VARCHAR, '')"""
+    q["bad_rows"] = f"""
+        SELECT doc_id, CASE WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN 'bad' ELSE 'fits' END AS state,
+          CASE WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN length({line}) + CASE WHEN doc_id % 17 = 0 THEN 0 ELSE 1 END ELSE length(text) END AS n_chars
+        FROM documents"""
     q["sink_roundtrip"] = _with(f"SELECT doc_id, source, strftime(date, '%Y-%m-%d') AS date, year, headline, articles_clean, summary_clean, category, article_token_count, summary_token_count, {_r('compression_ratio')} AS compression_ratio FROM v_docs")
     q["sink_splits"] = _with("SELECT doc_id, source, d.n_chars, split FROM v_split JOIN documents d USING (doc_id)")
     q["eval_report"] = _with(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,41 @@ def src_raw(spark, sf_dir):
     return readers.read_raw(spark, path, "csv")
 
 
+@query
+def src_excel(spark, sf_dir):
+    path = new_folder(spark, "raw_xlsx")
+    writers.write_raw(v.raw_corpus(spark, sf_dir), path, "xlsx")
+    return readers.read_raw(spark, path, "xlsx")
+
+
+@query
+def src_formats(spark, sf_dir):
+    """The same raw table out of files of each format."""
+    found = []
+    for fmt in ("json", "parquet", "orc"):
+        path = new_folder(spark, f"raw_{fmt}")
+        writers.write_raw(v.raw_corpus(spark, sf_dir).drop("article_text"), path, fmt)
+        found.append(readers.read_raw(spark, path, fmt).drop("article_text").withColumn("format", F.lit(fmt)))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def bad_rows(spark, sf_dir):
+    """JSON lines of the documents, some cut short and some with a text as their id, read back: what fits, and the quarantine."""
+    path, quarantine = new_folder(spark, "lines"), new_folder(spark, "quarantine")
+    doc = F.col("doc_id")
+    line = F.to_json(F.struct(F.when(doc % 13 == 0, F.concat(F.lit("no "), doc)).otherwise(doc.cast("string")).alias("headline"), F.col("text").alias("article_text")))
+    whole = F.concat(F.lit('{"doc_id": '), F.when(doc % 13 == 0, F.concat(F.lit('"no '), doc, F.lit('"'))).otherwise(doc.cast("string")), F.lit(", "), F.substr(line, F.lit(2)))
+    cut = F.when(doc % 17 == 0, F.substr(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+    v.documents(spark, sf_dir).select(cut.alias("value")).write.text(path)
+    checked = readers.read_checked(spark, path, "json")
+    writers.write_quarantine(checked, quarantine)
+    number = F.regexp_extract(readers.BAD_RECORD, '"headline":"(?:no )?([0-9]+)"', 1).cast("long")
+    bad = spark.read.json(quarantine, schema=f"{readers.BAD_RECORD} string, kind string")
+    kept = readers.fitting(checked).select("doc_id", F.lit("fits").alias("state"), F.length("article_text").cast("long").alias("n_chars"))
+    return kept.unionByName(bad.select(number.alias("doc_id"), F.lit("bad").alias("state"), F.length(readers.BAD_RECORD).cast("long").alias("n_chars")))
+
+
 @query
 def sink_roundtrip(spark, sf_dir):
     path = new_folder(spark, "corpus")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.sources import excel
+
 RAW_SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -96,17 +99,45 @@ TRAINING_REPORT_SCHEMA = T.StructType(
 
 
 def read_raw(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """Raw article table from ``csv``, ``json`` (one object per line), ``parquet`` or ``orc``.
+    """Raw article table from ``csv``, ``json`` (one object per line), ``parquet``, ``orc`` or ``xlsx`` (see ``sources.excel``).
 
-    An empty CSV cell reads as NULL, as an empty cell of a sheet does. CSV fields may hold quotes and line breaks, which makes a CSV file one task: spread a large corpus
+    An empty CSV cell reads as NULL, as an empty cell of a sheet does; a sheet of a workbook is one task. CSV fields may hold quotes and line breaks, which makes a CSV file one task: spread a large corpus
     over many files, or take one of the splittable formats.
     """
+    if fmt == "xlsx":
+        excel.register(spark)
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
     return reader.format(fmt).load(path)
 
 
+#: What a reader says about a row besides its columns.
+BAD_RECORD, SOURCE_FILE = "bad_record", "source_file"
+
+
+def read_checked(spark: SparkSession, path: str, fmt: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
+    """Rows of ``csv`` or ``json`` (one a line) with ``bad_record``, the whole line where it does not fit the schema, and
+    ``source_file``.
+
+    A line is bad that cannot be parsed, has too few or too many fields (CSV), or holds a value that is not of its column's type. No
+    line is lost and none ends the job. Files are split by lines, so a quoted line break counts as the end of a CSV row here.
+    """
+    if fmt not in ("csv", "json"):
+        raise ValueError("only text formats can hold rows that do not fit")
+    checked = T.StructType([*schema.fields, T.StructField(BAD_RECORD, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_RECORD}
+    if fmt == "csv":
+        options |= {"header": "true", "quote": '"', "escape": '"', "enforceSchema": "true"}
+    rows = spark.read.schema(checked).options(**options).format(fmt).load(path)
+    return rows.withColumn(SOURCE_FILE, F.input_file_name())
+
+
+def fitting(checked: DataFrame) -> DataFrame:
+    """The rows that fit the schema, with its columns only."""
+    return checked.where(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD, SOURCE_FILE)
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Clean corpus written by ``sources.writers.write_corpus``."""
     return spark.read.parquet(path)
