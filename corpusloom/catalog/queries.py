@@ -12,7 +12,7 @@ from corpusloom.catalog import views as v
 from corpusloom.functions import entities as en
 from corpusloom.functions import sentences as st
 from corpusloom.functions import text as tx
-from corpusloom.operators import attention, consistency, filters, graph, ngram_scores, profile, records, runlog, splits, standardize
+from corpusloom.operators import consistency, dense_graph, filters, graph, ngram_scores, profile, records, runlog, splits, standardize
 from corpusloom.operators import sentences as so
 from corpusloom.plans import evaluation
 from corpusloom.shared import computed_once, cut_lineage, new_folder
@@ -559,7 +559,7 @@ def hallucinated(spark, sf_dir):
 
 @query
 def sim_edges(spark, sf_dir):
-    return graph.similarity_edges(v.vectors(spark, sf_dir), 0.2)
+    return dense_graph.similar_pairs(cut_lineage(v.vectors(spark, sf_dir)), 0.2)
 
 
 @query
@@ -579,12 +579,7 @@ def adjacency_cluster(spark, sf_dir):
 
 @query
 def graph_degree(spark, sf_dir):
-    return graph.degree_report(graph.adjacency(v.vectors(spark, sf_dir), 0.2))
-
-
-def _graph(spark, sf_dir):
-    nodes = v.vectors(spark, sf_dir)
-    return nodes.select("cluster_id", F.col("pos").alias("node"), "vec"), graph.adjacency(nodes, 0.2)
+    return dense_graph.degree_report(cut_lineage(v.vectors(spark, sf_dir)), 0.2)
 
 
 def _components(state: DataFrame) -> DataFrame:
@@ -593,14 +588,12 @@ def _components(state: DataFrame) -> DataFrame:
 
 @query
 def gat_layer(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    return _components(attention.gat_layer(nodes, edges, *v.layer_weights(64, 8)))
+    return _components(dense_graph.gat_layers(cut_lineage(v.vectors(spark, sf_dir)), [v.layer_weights(64, 8)], 0.2))
 
 
 @query
 def gat_two_layer(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    return _components(attention.gat_layers(nodes, edges, [v.layer_weights(64, 8), v.layer_weights(8, 8)]))
+    return _components(dense_graph.gat_layers(cut_lineage(v.vectors(spark, sf_dir)), [v.layer_weights(64, 8), v.layer_weights(8, 8)], 0.2))
 
 
 @query

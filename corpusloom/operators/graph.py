@@ -131,8 +131,12 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def degree_report(edges: DataFrame) -> DataFrame:
-    """Per cluster: nodes, undirected edges, mean and largest degree, isolated nodes."""
-    per_node = degrees(edges)
+    """Per cluster: nodes, undirected edges, mean and largest degree, isolated nodes. ``dense_graph.degree_report`` needs no edges."""
+    return report_of(degrees(edges))
+
+
+def report_of(per_node: DataFrame) -> DataFrame:
+    """The same from ``(cluster_id, node, degree)``."""
     return per_node.groupBy("cluster_id").agg(
         F.count("*").alias("n_nodes"),
         F.floor(F.sum("degree") / 2).alias("n_edges"),

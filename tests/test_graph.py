@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import attention, graph, hooks
+from corpusloom.operators import attention, blocks, dense_graph, graph, hooks
 from corpusloom.operators import sentences as so
 from corpusloom.plans import evaluation
 
@@ -84,6 +84,80 @@ def test_attention_equals_dense_computation(spark):
     assert got == pytest.approx(want)
 
 
+def awkward_nodes(seed, vocabulary=9, most=5):
+    """Clusters of one to 60 nodes; zero vectors, equal vectors, blank sentences, repeated and missing entities."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for c, n in ((1, 60), (2, 1), (3, 7), (4, 30)):
+        for i in range(n):
+            vec = [float(x) for x in rng.normal(size=3)] if i % 5 else [1.0, 2.0, 0.0] if i % 10 else [0.0, 0.0, 0.0]
+            entities = [f"e{x}" for x in rng.integers(0, vocabulary, rng.integers(0, most))] + ["hub"] * int(c == 4 and i % 2) + [None] * int(i % 7 == 0)
+            rows.append((c, i, vec, entities if i % 11 else None, " " if i % 13 == 1 else "s"))
+    return rows
+
+
+def neighbours(rows, threshold):
+    near, shared = set(), set()
+    for c, i, u, e, s in rows:
+        for d, j, w, f, t in rows:
+            if c == d and i != j and s.strip() and t.strip():
+                norm = np.linalg.norm(u) * np.linalg.norm(w)
+                near |= {(c, i, j)} if norm and np.dot(u, w) / norm > threshold else set()
+                shared |= {(c, i, j)} if (set(e or ()) & set(f or ())) - {None} else set()
+    return near, shared
+
+
+@pytest.mark.parametrize("block,subsets", [(1, 10), (4, 0), (256, 2)])
+def test_degrees_without_edges(spark, monkeypatch, block, subsets):
+    monkeypatch.setattr(blocks, "DIRECTIONS", 3)
+    rows = awkward_nodes(block)
+    near, shared = neighbours(rows, 0.9)
+    nodes = spark.createDataFrame(rows, NODES)
+    got = {(r[0], r[1]): r[2] for r in dense_graph.entity_degrees(nodes, most=subsets).collect()}
+    assert got == {(c, i): sum(e[:2] == (c, i) for e in shared) for c, i, *_ in rows}
+    assert edges_of(dense_graph.similar_pairs(nodes, 0.9, block)) == sorted(near)
+    got = {(r.cluster_id, r.node): r.degree for r in dense_graph.degrees(nodes, 0.9, block).collect()}
+    assert got == {(c, i): sum(e[:2] == (c, i) for e in near | shared) for c, i, *_ in rows}
+    plain = spark.createDataFrame([(c, i, u, sorted({x for x in e or [] if x}), s) for c, i, u, e, s in rows], NODES)
+    assert sorted(map(tuple, dense_graph.degree_report(nodes, 0.9, block).collect())) == sorted(map(tuple, graph.degree_report(graph.adjacency(plain, 0.9)).collect()))
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_attention_without_edges(spark, block):
+    rng = np.random.default_rng(2)
+    rows = [(c, i, u, sorted({x for x in e or [] if x}), s) for c, i, u, e, s in awkward_nodes(7)]
+    layers = [(rng.normal(size=(3, 4)).tolist(), rng.normal(size=8).tolist()), (rng.normal(size=(4, 2)).tolist(), rng.normal(size=4).tolist())]
+    nodes = spark.createDataFrame(rows, NODES)
+    got = {(r.cluster_id, r.node): r.vec for r in dense_graph.gat_layers(nodes, layers, 0.8, block=block).collect()}
+    listed = attention.gat_layers(nodes.select("cluster_id", F.col("pos").alias("node"), "vec"), graph.adjacency(nodes, 0.8), layers)
+    want = {(r.cluster_id, r.node): r.vec for r in listed.collect()}
+    assert got.keys() == want.keys() and len(got) == len(rows)
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_one_entity_on_half_of_many_nodes(spark):
+    """20,000 nodes, one entity on every second one: 50 million neighbours, of which none is listed."""
+    nodes = spark.range(20_000).select(
+        F.lit(1).alias("cluster_id"), F.col("id").alias("pos"), F.array(F.cos("id"), F.sin("id")).alias("vec"),
+        F.array(F.when(F.col("id") % 2 == 0, "hub").otherwise(F.concat(F.lit("e"), F.col("id") % 1000))).alias("entities"),
+    )
+    found = dense_graph.entity_degrees(nodes)
+    assert {(r.even, r.degree) for r in found.select((F.col("pos") % 2 == 0).alias("even"), "degree").distinct().collect()} == {(True, 9999), (False, 19)}
+    weight = [[1.0], [0.0]]
+    made = dense_graph.gat_layers(nodes.where("pos < 4000"), [(weight, [0.0, 0.0])], threshold=2.0).where("node % 2 = 0 AND node < 10").collect()
+    want = max(float(np.cos(np.arange(0, 4000, 2)).mean()), 0)
+    assert [r.vec[0] for r in made] == pytest.approx([want] * 5)
+
+
+def test_blocks_that_cannot_hold_a_pair_do_not_meet(spark):
+    angle = F.floor(F.col("id") / 250) * 0.7853981634 + (F.col("id") % 250) * 0.0004
+    nodes = spark.range(2000).select(F.lit(1).alias("cluster_id"), F.col("id").alias("pos"), F.array(F.cos(angle), F.sin(angle)).alias("vec"))
+    placed = blocks.by_direction(nodes, 100)
+    report = blocks.pruning_report(placed, 0.99).first()
+    assert placed.groupBy("own").count().agg(F.max("count")).first()[0] <= 200
+    assert report.share_pruned > 0.7 and report.n_pairs >= 55
+
+
 def test_cluster_sentences_of_a_hot_cluster(spark):
     docs = spark.range(3000).select(
         F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("c"), F.col("id").alias("p"), F.format_string("Sentence number %d here. And a second one.", "id").alias("t")
