@@ -180,7 +180,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from compared()
 
 
-SUFFIX = "k1 long, k2 long, doc long, begin long, front string, suffix string"
+SUFFIX = "k1 long, k2 long, doc long, begins binary, front string, suffix string"
 MARK = "k1 long, k2 long, starts binary"
 
 
@@ -235,7 +235,7 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     n = len(columns["k1"])
-    names = {"k1": pa.int64(), "k2": pa.int64(), "doc": pa.int64(), "begin": pa.int64(), "front": pa.string(), "suffix": pa.string(), "packed": pa.binary(), "open": pa.bool_(), "starts": pa.binary()}
+    names = {"k1": pa.int64(), "k2": pa.int64(), "doc": pa.int64(), "begins": pa.binary(), "front": pa.string(), "suffix": pa.string(), "packed": pa.binary(), "open": pa.bool_(), "starts": pa.binary()}
     return pa.RecordBatch.from_arrays([columns[name] if name in columns else pa.nulls(n, kind) for name, kind in names.items()], list(names))
 
 
@@ -261,9 +261,21 @@ def _piece(held: list) -> Iterator[pa.RecordBatch]:
     of = np.repeat(text, widths)
     marks = _marks(k1[of], k2[of], starts)
     yield _batch(dict(zip(("k1", "k2", "starts"), marks, strict=True)))
-    text = text[owned]
-    mine = pa.array(owned)
-    yield _batch({"k1": pa.array(k1[text]), "k2": pa.array(k2[text]), "doc": pa.array(doc[text]), "begin": pa.array(begin[owned], pa.int64()), "front": front.filter(mine), "suffix": suffix.filter(mine)})
+    # Of the rest, one row for each text and suffix, with all places where it begins.
+    text, begin, kind, row = text[owned], begin[owned], same[owned], np.flatnonzero(owned)
+    order = np.lexsort((begin, kind, text))
+    text, begin, kind, row = text[order], begin[order], kind[order], row[order]
+    ends = np.flatnonzero(np.append((text[1:] != text[:-1]) | (kind[1:] != kind[:-1]), True)) + 1 if len(text) else np.zeros(0, int)
+    mine, text = pa.array(row[ends - 1]), text[ends - 1]
+    keys = {"k1": pa.array(k1[text]), "k2": pa.array(k2[text]), "doc": pa.array(doc[text])}
+    yield _batch({**keys, "begins": _packed(begin.astype("<i4"), ends), "front": front.take(mine), "suffix": suffix.take(mine)})
+
+
+def _starts(begins: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of a window, by its number in a row, at all places where the row's suffix begins; and the row of each."""
+    places = [np.frombuffer(b, "<i4") for b in begins]
+    sizes = np.array([len(x) for x in places], np.int64)
+    return np.concatenate([*places, np.zeros(0, "<i4")]) + np.repeat(windows, sizes), np.repeat(np.arange(len(begins)), sizes)
 
 
 def repeated_windows(front: pa.Array, suffix: pa.Array, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,11 +323,12 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def grown() -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
-        k1, k2, doc, begin = (table.column(k).to_numpy() for k in ("k1", "k2", "doc", "begin"))
+        k1, k2, doc = (table.column(k).to_numpy() for k in ("k1", "k2", "doc"))
         texts = [table.column(k).combine_chunks() for k in ("front", "suffix")]
         rows, windows = repeated_windows(*(t.chunk(0) if isinstance(t, pa.ChunkedArray) else t for t in texts), doc)
         if len(rows):
-            yield pa.RecordBatch.from_arrays([*_marks(k1[rows], k2[rows], begin[rows] + windows)], ["k1", "k2", "starts"])
+            starts, of = _starts(table.column("begins").take(pa.array(rows)).to_pylist(), windows)
+            yield pa.RecordBatch.from_arrays([*_marks(k1[rows][of], k2[rows][of], starts)], ["k1", "k2", "starts"])
 
     for batch in batches:
         while batch.num_rows:
@@ -341,7 +354,8 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of crowded suffixes as a row of its own."""
+    """Each window of crowded suffixes as a row of its own, with all its places in the text. Of equal windows in a batch only those of
+    the smallest document go on; the others are marked (``window`` is null)."""
     for batch in batches:
         for part in support.slices(batch, "suffix", PIECE_BYTES):
             whole = pc.binary_join_element_wise(part.column("front"), part.column("suffix"), " ")
@@ -352,14 +366,25 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
             which = ((begin[row] + nth)[:, None] + np.arange(WINDOW)).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * WINDOW, pa.int32()), words.take(pa.array(which)))
-            old = [part.column(k).take(pa.array(row)) for k in ("k1", "k2", "doc")]
-            start = part.column("begin").to_numpy()[row] + nth
-            yield pa.RecordBatch.from_arrays([*old, pa.array(start, pa.int64()), pc.binary_join(lists, " ")], ["k1", "k2", "doc", "start", "window"])
+            window = pc.binary_join(lists, " ")
+            k1, k2, doc = (part.column(k).to_numpy()[row] for k in ("k1", "k2", "doc"))
+            code = window.dictionary_encode().indices.to_numpy()
+            least = np.full(int(code.max()) + 1 if len(code) else 0, NO_ID)
+            np.minimum.at(least, code, doc)
+            starts, of = _starts(part.column("begins").take(pa.array(row)).to_pylist(), nth)
+            order = np.lexsort((starts, k2[of], k1[of], code[of]))
+            starts, of = starts[order].astype("<i4"), of[order]
+            new = (code[of][1:] != code[of][:-1]) | (k1[of][1:] != k1[of][:-1]) | (k2[of][1:] != k2[of][:-1])
+            ends = np.flatnonzero(np.append(new, True)) + 1 if len(of) else np.zeros(0, int)
+            first = of[ends - 1]
+            owned = pa.array(doc[first] == least[code[first]])
+            named = pc.if_else(owned, window.take(pa.array(first)), pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in (k1, k2, doc)), _packed(starts, ends), named], ["k1", "k2", "doc", "starts", "window"])
 
 
 def _grouped(suffixes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Suffixes with the hash of their ``prefix``, the shortest that is not crowded; and those without such a prefix."""
-    columns = ["k1", "k2", "doc", "begin", "front", "suffix"]
+    columns = ["k1", "k2", "doc", "begins", "front", "suffix"]
     rows, prefix, none = suffixes.select(*columns), F.lit(None).cast("long"), None
     left = F.lit(True)
     for n in PREFIXES:
@@ -377,21 +402,16 @@ def _grouped(suffixes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return rows.withColumn("prefix", prefix).where("prefix IS NOT NULL").select("prefix", *columns), none
 
 
-def _packed_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        marks = _marks(*(batch.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2", "start")))
-        yield pa.RecordBatch.from_arrays([*marks], ["k1", "k2", "starts"])
-
-
 def _marks_of_groups(suffixes: DataFrame) -> DataFrame:
     grouped, crowded = _grouped(suffixes)
     marks = grouped.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees, MARK)
     if crowded is None:
         return marks
-    windows = crowded.mapInArrow(_windows, "k1 long, k2 long, doc long, start long, window string")
-    owners = windows.groupBy("window").agg(F.min("doc").alias("owner"))
-    found = windows.join(owners.hint("merge"), "window").where("doc > owner").select("k1", "k2", "start")
-    return marks.union(found.mapInArrow(_packed_marks, MARK))
+    windows = support.staged(crowded.mapInArrow(_windows, "k1 long, k2 long, doc long, starts binary, window string"), "windows")
+    named = windows.where("window IS NOT NULL")
+    owners = named.groupBy("window").agg(F.min("doc").alias("owner"))
+    found = named.join(owners.hint("merge"), "window").where("doc > owner").select("k1", "k2", "starts")
+    return marks.union(found).union(windows.where("window IS NULL").select("k1", "k2", "starts"))
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
