@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from corpusloom.catalog import score_oracle as so
+
 _OTHER = r"[\t-\r\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _NAME = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
 _WORD = r"\p{Lu}\p{Ll}+"
@@ -321,7 +323,7 @@ def _rouge_query(n: int) -> str:
     return _with(f"SELECT pair_id, {_r('p')} AS precision, {_r('c')} AS recall, {_r('f')} AS f1 FROM v_rouge{n}", _rouge(n))
 
 
-def _bleu() -> str:
+def _bleu_views(pairs: str) -> dict[str, str]:
     def tokens(x: str) -> str:
         line = f"replace(replace(replace({x}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
         line = f"replace(replace(replace(replace({line}, '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
@@ -332,7 +334,7 @@ def _bleu() -> str:
         line = _sub(line, r"([0-9])(-)", r"\1 \2 ")
         return _tokens(_collapse(line))
 
-    views = {"v_bt": f"SELECT pair_id, {tokens('generated')} AS g, {tokens('reference')} AS r FROM v_pairs"}
+    views = {"v_bt": f"SELECT pair_id, {tokens('generated')} AS g, {tokens('reference')} AS r FROM {pairs}"}
     for n in range(1, 5):
         views[f"v_b{n}"] = f"""
             SELECT coalesce(sum(least(a, b)), 0) AS m
@@ -340,6 +342,11 @@ def _bleu() -> str:
                   FROM (SELECT pair_id, unnest({_grams("g", n)}) AS gram, 1 AS a, 0 AS b FROM v_bt
                         UNION ALL SELECT pair_id, unnest({_grams("r", n)}), 0, 1 FROM v_bt)
                   GROUP BY pair_id, gram)"""
+    return views
+
+
+def _bleu() -> str:
+    views = _bleu_views("v_pairs")
     totals = ", ".join(f"sum(greatest(len(g) - {n - 1}, 0)) AS t{n}" for n in range(1, 5))
     logs = " + ".join(f"ln(m{n} / t{n})" for n in range(1, 5))
     matches = ", ".join(f"CAST(m{n} AS BIGINT) AS match_{n}" for n in range(1, 5))
@@ -714,20 +721,64 @@ def build() -> dict[str, str]:
         f"SELECT count(*) AS n_pairs, {_r('avg(a.f)')} AS rouge1, {_r('avg(b.f)')} AS rouge2 FROM v_rouge1 a JOIN v_rouge2 b USING (pair_id)",
         {**_rouge(1), **_rouge(2)},
     )
-    q["bleu"] = _bleu()
-    q["greedy_vector_f1"] = _with(
-        f"""
+    vector_scores = f"""
         SELECT pair_id, {_r("p")} AS precision, {_r("r")} AS recall, {_r("2 * p * r / (p + r)")} AS f1
         FROM (SELECT pair_id, avg(best) AS p FROM (SELECT pair_id, a, max(x) AS best FROM v_cos GROUP BY pair_id, a) GROUP BY pair_id)
-        JOIN (SELECT pair_id, avg(best) AS r FROM (SELECT pair_id, b, max(x) AS best FROM v_cos GROUP BY pair_id, b) GROUP BY pair_id) USING (pair_id)""",
+        JOIN (SELECT pair_id, avg(best) AS r FROM (SELECT pair_id, b, max(x) AS best FROM v_cos GROUP BY pair_id, b) GROUP BY pair_id) USING (pair_id)"""
+    vector_views = {
+        "v_tv": "SELECT vec_id, vec_id // 20 AS pair_id, vec_id % 2 AS side, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings",
+        "v_cos": """
+            SELECT a.pair_id, a.vec_id AS a, b.vec_id AS b,
+                   list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec)) / sqrt(list_dot_product(b.vec, b.vec)) AS x
+            FROM v_tv a JOIN v_tv b ON a.pair_id = b.pair_id AND a.side = 0 AND b.side = 1""",
+    }
+    q["rouge_bootstrap"] = _with(
+        f"""
+        SELECT metric, {_r("real")} AS mean, {_r("quantile_cont(mean, 0.025)")} AS low, {_r("quantile_cont(mean, 0.5)")} AS mid, {_r("quantile_cont(mean, 0.975)")} AS high
+        FROM v_means JOIN (SELECT metric, avg(value) AS real FROM v_scores GROUP BY metric) USING (metric) GROUP BY metric, real""",
         {
-            "v_tv": "SELECT vec_id, vec_id // 20 AS pair_id, vec_id % 2 AS side, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings",
-            "v_cos": """
-                SELECT a.pair_id, a.vec_id AS a, b.vec_id AS b,
-                       list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec)) / sqrt(list_dot_product(b.vec, b.vec)) AS x
-                FROM v_tv a JOIN v_tv b ON a.pair_id = b.pair_id AND a.side = 0 AND b.side = 1""",
+            **_rouge(1),
+            **_rouge(2),
+            "v_scores": "SELECT pair_id, 'rouge1' AS metric, f AS value FROM v_rouge1 UNION ALL SELECT pair_id, 'rouge2', f FROM v_rouge2",
+            "v_means": so.bootstrap(200),
         },
     )
+    of_stems = lambda n: {k: s.replace("v_tokens", "v_stemmed") for k, s in _rouge(n).items()}
+    q["rouge_stemmed"] = _with(f"SELECT pair_id, {_r('p')} AS precision, {_r('c')} AS recall, {_r('f')} AS f1 FROM v_rouge1", {**so.stem_views("v_tokens"), **of_stems(1)})
+    in_chats = {
+        **{k: s.replace("v_pair_entities", "v_chat_entities").replace("v_pairs", "v_chat_pairs").replace("v_logits", "v_chat_logits") for k, s in _SCORED.items()},
+        "v_chat_pairs": "SELECT pair_id, source, generated, source AS reference FROM v_chat",
+        "v_chat_entities": f"SELECT *, s AS r FROM (SELECT pair_id, {_mentions('source', _CAPITALIZED)} AS s, {_mentions('generated', _CAPITALIZED)} AS g FROM v_chat)",
+        "v_chat_logits": "SELECT * REPLACE (pair_id || '-0' AS pair_id) FROM v_logits",
+    }
+    q["score_report_chat"] = _with(
+        f"""
+        SELECT 'chat' AS model, (SELECT count(*) FROM v_chat) AS num_samples, (SELECT round(avg(f), 4) FROM v_rouge1) AS rouge1, (SELECT round(avg(f), 4) FROM v_rouge2) AS rouge2,
+          (SELECT round(avg(CASE WHEN l > 0 THEN 2.0 * l / (len(g) + len(r)) ELSE 0 END), 4) FROM (SELECT g, r, coalesce(list_max(row), 0) AS l FROM v_longest WHERE i = len(g))) AS "rougeL",
+          (SELECT round(score, 2) FROM v_bleu) AS bleu, (SELECT round(avg(latency), 4) FROM v_latency) AS mean_latency_sec,
+          (SELECT round(sum(tokens) / sum(latency), 1) FROM v_latency) AS throughput_tokens_per_sec, (SELECT round(avg(f1), 4) FROM v_greedy) AS bertscore_f1,
+          round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1, round(h, 4) AS hallucination_rate, round(e, 4) AS avg_entailment,
+          round(c, 4) AS avg_contradiction, round(pe, 1) AS pct_entailed, round(pc, 1) AS pct_contradicted, round(t, 4) AS avg_overlap, round(po, 1) AS pct_off_topic,
+          CASE WHEN p > 0.7 AND e > 0.5 AND t > 0.5 THEN 'GOOD' WHEN p > 0.5 AND e > 0.3 THEN 'FAIR' ELSE 'POOR' END AS verdict
+        FROM (SELECT avg(prec) AS p, avg(rec) AS r, avg(f1) AS f, sum(len(hall)) / greatest(sum(n_ent), 1) AS h, coalesce(avg(entailment), 0.0) AS e,
+                coalesce(avg(contradiction), 0.0) AS c, count(*) FILTER (entailment > 0.5) * 100.0 / greatest(count(entailment), 1) AS pe,
+                count(*) FILTER (contradiction > 0.5) * 100.0 / greatest(count(entailment), 1) AS pc, avg(topic) AS t,
+                count(*) FILTER (topic < 0.3) * 100.0 / count(*) AS po FROM v_scored2)""",
+        {
+            **in_chats,
+            "v_chat_tokens": chat_tokens,
+            **so.stem_views("v_chat_tokens"),
+            **of_stems(1),
+            **of_stems(2),
+            "v_longest": longest.replace("v_chat_tokens", "v_stemmed"),
+            **_bleu_views("v_chat_pairs"),
+            "v_bleu": so.bleu_value(),
+            **vector_views,
+            "v_greedy": vector_scores,
+        },
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    q["bleu"] = _bleu()
+    q["greedy_vector_f1"] = _with(vector_scores, vector_views)
     q["latency"] = _with(
         f"""
         SELECT model, n_samples, {_r("mean_latency")} AS mean_latency, {_r("samples_per_sec")} AS samples_per_sec, {_r("tokens_per_sec")} AS tokens_per_sec,

@@ -690,6 +690,13 @@ def rouge_report(spark, sf_dir):
     return ngram_scores.rouge_report(_rouge_tokens(spark, sf_dir))
 
 
+@query
+def rouge_bootstrap(spark, sf_dir):
+    """Means of ROUGE-1 and ROUGE-2 with their intervals over 200 resamples of the pairs."""
+    scores = cut_lineage(ngram_scores.rouge_scores(_rouge_tokens(spark, sf_dir)))
+    return ngram_scores.bootstrap_means(scores, ("rouge1", "rouge2"), resamples=200)
+
+
 @query
 def rouge_stemmed(spark, sf_dir):
     tokens = evaluation.stemmed_tokens(v.pairs(spark, sf_dir))
@@ -709,6 +716,19 @@ def score_report(spark, sf_dir):
     return back.select("model", "num_samples", "scores.*", "inference.*", "bertscore_f1", *facts, "factual_consistency.verdict")
 
 
+@query
+def score_report_chat(spark, sf_dir):
+    """The complete report on the turns of conversations: the assistant's against the user's."""
+    chats = v.chat_pairs(spark, sf_dir).withColumn("reference", F.col("source"))
+    scored = consistency.add_topic_overlap(consistency.add_entity_scores(consistency.add_entities(chats, "[A-Z][a-z]{3,}")))
+    entailment = consistency.add_entailment(v.logits(spark, sf_dir)).select(F.concat(F.col("pair_id"), F.lit("-0")).alias("pair_id"), "entailment", "contradiction")
+    report = evaluation.score_report(
+        chats, "chat", v.latency_log(spark, sf_dir), vectors=v.token_vectors(spark, sf_dir), scored=scored.join(entailment, "pair_id", "left")
+    )
+    facts = [F.col(f"factual_consistency.{part}.*") for part in ("entity_consistency", "nli_consistency", "topic_consistency")]
+    return report.select("model", "num_samples", "scores.*", "inference.*", "bertscore_f1", *facts, "factual_consistency.verdict")
+
+
 @query
 def bleu(spark, sf_dir):
     return ngram_scores.corpus_bleu(ngram_scores.token_pairs(v.pairs(spark, sf_dir), ngram_scores.bleu_tokens))
@@ -755,9 +775,7 @@ def report_checks(spark, sf_dir):
 def _language_reports(spark, sf_dir):
     """A report a language: its documents as training rows, the scores of its pairs."""
     tokens = ngram_scores.token_pairs(v.pairs(spark, sf_dir))
-    scores = ngram_scores.rouge_n(tokens, 1).select("pair_id", F.col("f1").alias("rouge1")).join(
-        ngram_scores.rouge_n(tokens, 2).select("pair_id", F.col("f1").alias("rouge2")), "pair_id"
-    )
+    scores = ngram_scores.rouge_scores(tokens)
     docs = v.documents(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.col("lang").alias("model"), "n_chars")
     sums = docs.join(scores, "pair_id").groupBy("model").agg(
         F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.avg("rouge1").alias("rouge1"), F.avg("rouge2").alias("rouge2")

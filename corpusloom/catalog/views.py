@@ -97,7 +97,7 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = f"{en.WORD_PATTERN} {en.WORD_PATTERN}"
     names = documents(spark, sf_dir).select(F.explode(en.mentions(F.col("text"), pair)).alias("entity"))
     labels = F.array(*[F.lit(label) for label in en.ALL_LABELS])
-    return words.union(names).distinct().select("entity", F.get(labels, F.length("entity") % len(en.ALL_LABELS)).alias("label"))
+    return cut_lineage(words.union(names).distinct()).select("entity", F.get(labels, F.length("entity") % len(en.ALL_LABELS)).alias("label"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -126,6 +128,55 @@ def f_measure(match: Column, n_gen: Column, n_ref: Column) -> dict[str, Column]:
     return {"precision": precision, "recall": recall, "f1": f1}
 
 
+def rouge_scores(tokens: DataFrame, orders: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """``(pair_id, rouge<n>...)``: F1 of each order, counted in one pass."""
+    matches = ngram_matches(tokens, orders)
+    scores = {n: f_measure(F.col(f"match_{n}"), _n_grams(F.col("gen_len"), n), _n_grams(F.col("ref_len"), n))["f1"] for n in orders}
+    return matches.select("pair_id", *[score.alias(f"rouge{n}") for n, score in scores.items()])
+
+
+def resample_weights(id_col: str, resamples: int, seed: int = 0) -> Column:
+    """For each resample, how often a row is drawn: Poisson counts with mean 1, from a hash of the row's id and the resample.
+
+    A hash gives the counts of four resamples. Whatever task holds the row, and however often, its counts are the same.
+    """
+    # Probabilities of at most k draws, for k = 0, 1, ...
+    limits, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 13):
+        total += term
+        limits.append(total)
+        term /= k
+
+    def counts(four: Column) -> Column:
+        digits = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), four.cast("string"), F.lit(str(seed))))
+
+        def draws(i: int) -> Column:
+            number = F.conv(F.substring(digits, 1 + 8 * i, 8), 16, 10).cast("double") / 2.0**32
+            return sum((F.when(number >= limit, 1).otherwise(0) for limit in limits), F.lit(0))
+
+        return F.array(*[draws(i) for i in range(4)])
+
+    fours = F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1))
+    return F.slice(F.flatten(F.transform(fours, counts)), 1, resamples)
+
+
+def bootstrap_means(scores: DataFrame, columns: tuple[str, ...], id_col: str = "pair_id", resamples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """``(metric, mean, low, mid, high)``: the mean of each column, and the middle and the ends of the interval that holds ``level`` of its
+    means over resamples of the rows.
+
+    Rows are drawn by Poisson counts instead of with replacement, so every row is looked at once, wherever it lies, and a task passes on
+    one sum a resample, whatever the number of rows. Missing scores take part in neither sums nor counts.
+    """
+    values = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
+    weights = scores.select(values.alias("_values"), F.posexplode(resample_weights(id_col, resamples, seed)).alias("_resample", "_weight"))
+    rows = weights.where("_weight > 0").select("_resample", "_weight", F.inline("_values")).where("value is not null and not isnan(value)")
+    means = rows.groupBy("metric", "_resample").agg((F.sum(F.col("value") * F.col("_weight")) / F.sum("_weight")).alias("mean"))
+    ends = F.array(*[F.lit(p) for p in ((1 - level) / 2, 0.5, (1 + level) / 2)])
+    spread = means.groupBy("metric").agg(F.percentile("mean", ends).alias("_at"))
+    real = scores.select(F.inline(values)).where("not isnan(value)").groupBy("metric").agg(F.avg("value").alias("mean"))
+    return real.join(F.broadcast(spread), "metric", "left").select("metric", "mean", *[F.col("_at")[i].alias(name) for i, name in enumerate(("low", "mid", "high"))])
+
+
 def rouge_n(tokens: DataFrame, n: int) -> DataFrame:
     """``(pair_id, precision, recall, f1)``."""
     matches = ngram_matches(tokens, (n,))

@@ -8,14 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import sentences as st
+from corpusloom.functions import text as tx
 from corpusloom.operators import consistency, graph, hooks, ngram_scores, stemming
 from corpusloom.operators import sentences as so
-from corpusloom.shared import cut_lineage
+from corpusloom.shared import cut_lineage, stored
+
+
+def token_forms(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tokens that ROUGE and BLEU compare, from one reading of the texts: both forms are stored, and later steps read theirs."""
+    kinds, sides = {"rouge": ngram_scores.rouge_tokens, "bleu": ngram_scores.bleu_tokens}, {"gen": "generated", "ref": "reference"}
+    columns = [
+        F.array_join(tokenizer(F.coalesce(F.col(text), F.lit(""))), " ").alias(f"{kind}_{side}") for kind, tokenizer in kinds.items() for side, text in sides.items()
+    ]
+    forms = stored(pairs.select("pair_id", *columns), "tokens")
+    rouge, bleu = (forms.select("pair_id", *[tx.tokens(F.col(f"{kind}_{side}")).alias(side) for side in sides]) for kind in kinds)
+    return rouge, bleu
 
 
 def stemmed_tokens(pairs: DataFrame) -> DataFrame:
     """Token pairs with English stems; stems are made from the distinct tokens of the pairs."""
-    tokens = ngram_scores.token_pairs(pairs)
+    return stemmed(ngram_scores.token_pairs(pairs))
+
+
+def stemmed(tokens: DataFrame) -> DataFrame:
+    """``(pair_id, gen, ref)`` with stems in place of tokens."""
     words = tokens.select(F.explode(F.array_union("gen", "ref")).alias("token"))
     return ngram_scores.stem_pairs(tokens, stemming.stem_table(words))
 
@@ -31,12 +47,13 @@ def score_report(
     """One nested row: ROUGE-1, ROUGE-2, ROUGE-L and BLEU of ``(pair_id, generated, reference)``, and more sections.
 
     ``latency`` is ``(latency, tokens)`` per generated text, ``vectors`` holds token vectors (``greedy_vector_f1``), ``scored``
-    the columns that ``consistency_report`` needs. Every section is a single row, so putting them side by side costs nothing.
+    the columns that ``consistency_report`` needs. The texts are read once: their tokens are stored. Every section is a single row, so putting them side by side costs nothing.
     """
-    tokens = cut_lineage(stemmed_tokens(pairs) if stem else ngram_scores.token_pairs(pairs))
+    tokens, bleu_tokens = token_forms(pairs)
+    tokens = stemmed(tokens) if stem else tokens
     overlap = ngram_scores.rouge_report(tokens)
     longest = ngram_scores.rouge_l(tokens).agg(F.avg("f1").alias("rougeL"))
-    bleu = ngram_scores.corpus_bleu(ngram_scores.token_pairs(pairs, ngram_scores.bleu_tokens)).select("score")
+    bleu = ngram_scores.corpus_bleu(bleu_tokens).select("score")
     row = overlap.crossJoin(F.broadcast(longest)).crossJoin(F.broadcast(bleu))
     sections = [
         F.lit(model).alias("model"),

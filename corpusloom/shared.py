@@ -58,6 +58,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder as compressed Parquet and read again: for wide tables that several later steps read.
+
+    Unlike a checkpoint, a later step reads only the columns it needs.
+    """
+    folder = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True if ``table`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
     return table.limit(max_rows + 1).count() <= max_rows

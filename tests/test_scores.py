@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.catalog import score_oracle
 from corpusloom.operators import consistency, ngram_scores, stemming
 from corpusloom.plans import evaluation
 
@@ -194,3 +195,43 @@ def test_samples_in_order(spark):
     out = consistency.sample_table(spark.createDataFrame(rows, schema), first=2).collect()
     assert [r.id for r in out] == [1, 3]
     assert len(out[0].source_excerpt) == 500 and out[0].hallucinated_entities == list("abcde") and out[0].entailment is None
+
+
+def test_bootstrap_means(spark):
+    rows = [(i, float(i % 2), None if i % 3 == 0 else float(i % 5)) for i in range(2000)]
+    scores = spark.createDataFrame(rows, "pair_id long, a double, b double")
+    got = {r.metric: r for r in ngram_scores.bootstrap_means(scores, ("a", "b"), resamples=400).collect()}
+    assert got["a"].mean == 0.5 and got["a"].low < got["a"].mid < got["a"].high
+    # 95% of the means of 2000 fair coins lie within 2 * 0.5 / sqrt(2000) of one half.
+    assert got["a"].high - got["a"].low == pytest.approx(4 * 0.5 / 2000**0.5, rel=0.2)
+    real = [r[2] for r in rows if r[2] is not None]
+    assert got["b"].mean == pytest.approx(sum(real) / len(real)) and abs(got["b"].mid - got["b"].mean) < 0.02
+    again = ngram_scores.bootstrap_means(scores.repartition(7), ("a",), resamples=400).first()
+    assert (again.low, again.high) == pytest.approx((got["a"].low, got["a"].high))
+    assert ngram_scores.bootstrap_means(scores.limit(0), ("a",), resamples=8).count() == 0
+
+
+def test_resampling_draws_each_row_once_on_average(spark):
+    counts = spark.range(3000).select(F.explode(ngram_scores.resample_weights("id", 10)).alias("w")).groupBy("w").count().collect()
+    share = {r.w: r["count"] / 30_000 for r in counts}
+    assert sum(w * p for w, p in share.items()) == pytest.approx(1, abs=0.03)
+    assert share[0] == pytest.approx(np.exp(-1), abs=0.015) and share[2] == pytest.approx(np.exp(-1) / 2, abs=0.015)
+
+
+def test_sql_stems_agree(spark):
+    """The rules as SQL, written apart from the columns, on words that reach all of them."""
+    import duckdb
+
+    words = """caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed
+        failing filing happy sky enjoy relational conditional rational valenci hesitanci digitizer conformabli radicalli differentli vileli analogousli
+        vietnamization predication operator feudalism decisiveness hopefulness callousness formaliti sensitiviti sensibiliti triplicate formative
+        formalize electriciti electrical hopeful goodness revival allowance inference airliner gyroscopic adjustable defensible irritant replacement
+        adjustment dependent adoption homologou communism activate angulariti homologous effective bowdlerize probate rate cease controll roll dying
+        news innings skies lies died spied archaeology apology yyyy syzygy sayyid flies owed being used employed naturally fulfully""".split()
+    words = [*words, *(w + "s" for w in words), *(w + "ing" for w in words), *(w + "ed" for w in words)]
+    got = {r.token: r.stem for r in stemming.stem_table(spark.createDataFrame([(w,) for w in words], "token string")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT 1 AS pair_id, ? AS g, []::VARCHAR[] AS r", [words])
+    views = score_oracle.stem_views("t")
+    sql = "WITH " + ", ".join(f"{k} AS ({s})" for k, s in views.items() if k != "v_stemmed") + " SELECT token, stem FROM v_stem WHERE token <> stem"
+    assert dict(con.execute(sql).fetchall()) == got
