@@ -35,7 +35,7 @@ WINDOW, STEM = 13, 7
 #: Words of the prefixes that split the suffixes, and how many suffixes may share one before a longer one is taken.
 PREFIXES, CROWD = (2, 4, 7), 2000
 #: Bytes of text that are worked on together, and that one bucket of stems covers; rows of a group's batch. They bound memory.
-PIECE_BYTES, BUCKET_BYTES, TREE_ROWS = 4_000_000, 48_000_000, 40_000
+PIECE_BYTES, BUCKET_BYTES, TREE_ROWS = 2_000_000, 24_000_000, 20_000
 #: The place of documents without an id, after all others.
 NO_ID = 2**63 - 1
 #: Bits of a stem's hash that are compared, and of a text's number in its piece.
@@ -390,7 +390,7 @@ def _grouped(suffixes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     for n in PREFIXES:
         rows = rows.withColumn(f"p{n}", F.xxhash64(F.lit(n), F.substring_index("suffix", " ", n)))
         counts = rows.where(left).groupBy(f"p{n}").count().where(F.col("count") > CROWD)
-        crowded = support.staged(counts.select(f"p{n}", F.lit(True).alias(f"c{n}")), "prefixes", tidy=True)
+        crowded = support.staged(counts.select(f"p{n}", F.lit(True).alias(f"c{n}")), "prefixes", frugal=True)
         if crowded.isEmpty():
             prefix = F.when(left, F.col(f"p{n}")).otherwise(prefix)
             break
@@ -407,7 +407,7 @@ def _marks_of_groups(suffixes: DataFrame) -> DataFrame:
     marks = grouped.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees, MARK)
     if crowded is None:
         return marks
-    windows = support.staged(crowded.mapInArrow(_windows, "k1 long, k2 long, doc long, starts binary, window string"), "windows")
+    windows = support.staged(crowded.mapInArrow(_windows, "k1 long, k2 long, doc long, starts binary, window string"), "windows", frugal=True)
     named = windows.where("window IS NOT NULL")
     owners = named.groupBy("window").agg(F.min("doc").alias("owner"))
     found = named.join(owners.hint("merge"), "window").where("doc > owner").select("k1", "k2", "starts")
@@ -476,8 +476,8 @@ def judged_texts(docs: DataFrame) -> DataFrame:
     several = stems.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "k1 long, stems binary")
     texts = source.mapInArrow(_texts, "k1 long, k2 long, doc long, packed binary")
     both = several.unionByName(texts, allowMissingColumns=True).select("k1", "k2", "doc", "packed", "stems")
-    leaves = support.staged(both.repartition("k1").sortWithinPartitions("k1", "k2", "doc").mapInArrow(_leaves, LEAVES), "leaves", tidy=True)
-    marks = support.staged(_marks_of_groups(leaves.where("suffix IS NOT NULL")), "marks", tidy=True)
+    leaves = support.staged(both.repartition("k1").sortWithinPartitions("k1", "k2", "doc").mapInArrow(_leaves, LEAVES), "leaves", frugal=True)
+    marks = support.staged(_marks_of_groups(leaves.where("suffix IS NOT NULL")), "marks", frugal=True)
     marks = marks.union(leaves.where("starts IS NOT NULL").select("k1", "k2", "starts"))
     kept = leaves.where("packed IS NOT NULL").select("k1", "k2", "doc", "packed", "open")
     schema = f"k1 long, k2 long, owner long, n_words long, repeats {REPEATS}, kept binary"
@@ -500,6 +500,7 @@ def remove_repeats(docs: DataFrame, kept: Callable[[Column], Column] = lambda te
     Documents with equal ids take nothing from each other; repeated rows are judged one by one.
     """
     texts = judged_texts(docs).withColumn("none", kept(F.lit("").cast("binary"))).withColumn("kept", kept(F.col("kept")))
+    texts = support.staged(texts, "texts", frugal=True)
     rows = _keyed(docs).select("doc_id", "doc", "k1", "k2")
     copy = (F.col("doc") > F.col("owner")) & (F.col("n_words") >= WINDOW)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("words")))

@@ -14,25 +14,27 @@ from corpusloom import shared
 
 #: Bytes that a table may have, counted over its rows, before it is shuffled instead of broadcast.
 BROADCAST_BYTES = 4_000_000
-TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a frugal write: its shuffle files go as soon as it has ended, and Arrow batches are bounded by bytes besides rows.
+FRUGAL = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
-def staged(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+def staged(df: DataFrame, name: str, frugal: bool = False) -> DataFrame:
     """Write ``df`` to a fresh folder of the shared folder and read it back.
 
-    Cuts the lineage at files that outlive any executor; a task that runs twice commits once. ``tidy`` has the shuffle
-    files of the write removed as soon as it has ended, for plans that are not used again.
+    Cuts the lineage at files that outlive any executor; a task that runs twice commits once. ``frugal`` is for
+    plans that are run once: see ``FRUGAL``.
     """
     spark = df.sparkSession
     folder = shared.new_folder(spark, name)
-    before = spark.conf.get(TIDY, None)
-    if tidy:
-        spark.conf.set(TIDY, "true")
+    settings = FRUGAL if frugal else {}
+    before = {key: spark.conf.get(key) for key in settings}
     try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         df.write.option("compression", "zstd").parquet(folder)
     finally:
-        if tidy:
-            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(folder)
 
 
