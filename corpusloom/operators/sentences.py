@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import entities as en
 from corpusloom.functions import sentences as st
-from corpusloom.shared import BROADCAST_ROWS, lookup_join
+from corpusloom.shared import BROADCAST_ROWS, DICTIONARY_BYTES, cut_lineage, dictionary, lookup_join
 
 
 def sentence_rows(df: DataFrame, id_col: str, text_col: str, min_len: int = 10, first: int | None = None) -> DataFrame:
@@ -28,6 +30,37 @@ def _labelled(entities: Column, label: str | None) -> Column:
     return F.transform(entities, lambda e: F.struct(e.alias("entity"), F.lit(label).cast("string").alias("label")))
 
 
+#: The list of names that this worker saw last, and its automaton.
+_last: tuple[dict, object] | None = None
+
+
+def _automaton(names: dict[str, str]):
+    """The automaton for the listed names, each between blanks, built once in a worker."""
+    global _last
+    if _last is None or _last[0] is not names:
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for entity, labels in names.items():
+            made.add_word(f" {entity} ", [f"{entity}\t{label}" for label in labels.split("\t")])
+        made.make_automaton()
+        _last = names, made
+    return _last[1]
+
+
+def _listed_names(names: Broadcast[dict]):
+    """Arrow UDF: runs of words, with bars between them -> the listed names in them, with their labels."""
+
+    @F.pandas_udf("array<string>")
+    def found(runs: pd.Series) -> pd.Series:
+        search = _automaton(names.value)
+        if not len(search):
+            return pd.Series([[]] * len(runs))
+        return pd.Series([list(dict.fromkeys(hit for _, hits in search.iter(line) for hit in hits)) for line in runs], dtype="object")
+
+    return found
+
+
 def entity_rows(
     df: DataFrame,
     id_col: str,
@@ -36,13 +69,24 @@ def entity_rows(
     labels: tuple[str, ...] = en.NAME_LABELS,
     pattern: str = en.NAME_PATTERN,
     max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = DICTIONARY_BYTES,
 ) -> DataFrame:
     """Distinct ``(id, entity, label)``: name mentions that the gazetteer ``(entity, label)`` lists, plus
     dates and sums of money, which are found by their form. The texts are read once for all kinds.
 
-    A run of capitalized words is looked up whole and in all its parts of as many words as the longest listed name."""
+    A run of capitalized words is searched whole and in all its parts. While the list fits a dictionary by its bytes, an automaton of
+    all names goes through the runs where they lie, once, however many names there are; a larger list is joined to the parts
+    of up to as many words as its longest name.
+    """
     text = F.col(text_col)
     forms = [(label, form) for label, form in (("DATE", en.DATE_PATTERN), ("MONEY", en.MONEY_PATTERN)) if label in labels]
+    listed = gazetteer.where(F.col("label").isin(*labels)).select("entity", "label").distinct()
+    names = dictionary(cut_lineage(listed.groupBy("entity").agg(F.array_join(F.sort_array(F.collect_set("label")), "\t").alias("labels"))), max_bytes)
+    if names is not None:
+        runs = F.concat(F.lit(" "), F.array_join(en.mentions(text, pattern), " | "), F.lit(" "))
+        hits = F.transform(_listed_names(names)(runs), lambda h: F.struct(F.split_part(h, F.lit("\t"), F.lit(1)).alias("entity"), F.split_part(h, F.lit("\t"), F.lit(2)).alias("label")))
+        dated = [_labelled(en.mentions(text, form), label) for label, form in forms]
+        return df.select(id_col, F.inline(F.array_distinct(F.concat(hits, *dated)))).distinct()
     longest = gazetteer.agg(F.max(F.size(F.split("entity", " ")))).first()[0] or 1
     found = [_labelled(en.parts(en.mentions(text, pattern), longest), None), *[_labelled(en.mentions(text, form), label) for label, form in forms]]
     rows = df.select(id_col, F.inline(F.concat(*found)))

@@ -140,6 +140,8 @@ def test_histogram_edges(spark):
     df = spark.createDataFrame([(x,) for x in values], "x double")
     counts = [r.n for r in profile.histogram(df, "x", 50).orderBy("bin").collect()]
     assert counts == np.histogram(values, 50)[0].tolist()
+    sketch = profile.histogram(df, "x", 50, approx=True).orderBy("bin").collect()
+    assert [r.n for r in sketch] == counts and abs(sketch[0]["median"] - np.median(values)) <= np.diff(np.sort(values)).max()
     same = profile.histogram(spark.createDataFrame([(3.0,), (3.0,)], "x double"), "x", 50).where("n > 0").collect()
     assert [(r.bin, r.n) for r in same] == [(25, 2)]
 

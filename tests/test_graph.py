@@ -183,6 +183,10 @@ def test_names_of_several_words(spark):
     docs = spark.createDataFrame([(1, "He flew from New York to Paris"), (2, "New York Paris London"), (3, None)], "id long, t string")
     listed = spark.createDataFrame([("new york", "GPE"), ("paris", "GPE"), ("york paris london", "ORG")], "entity string, label string")
     got = sorted(tuple(r) for r in so.entity_rows(docs, "id", "t", listed).collect())
+    assert got == sorted(tuple(r) for r in so.entity_rows(docs, "id", "t", listed, max_bytes=0).collect())
+    assert so.entity_rows(docs, "id", "t", listed.limit(0)).count() == 0
+    both = so.entity_rows(docs, "id", "t", listed.unionByName(spark.createDataFrame([("paris", "ORG"), ("york", "EVENT")], listed.schema)))
+    assert {(r.id, r.entity, r.label) for r in both.where("entity IN ('paris', 'york')").collect()} == {(i, "paris", label) for i in (1, 2) for label in ("GPE", "ORG")}
     assert got == [(1, "new york", "GPE"), (1, "paris", "GPE"), (2, "new york", "GPE"), (2, "paris", "GPE"), (2, "york paris london", "ORG")]
 
 
