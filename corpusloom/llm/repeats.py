@@ -141,43 +141,45 @@ def _stems(buckets: int):
     return dealt
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (``k1``, ``stems``): stems of a text that start in another text too. Rows come ordered by bucket."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    now = None
+def _shared(groups: int):
+    """Rows of (``part``, ``stems``, ``texts``) for each group of texts: stems that start in another text too, and the text of each.
+    Rows come ordered by bucket."""
 
     def out(stems: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((stems, keys))
-        stems, keys = stems[order], keys[order]
-        ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1 if len(keys) else np.zeros(0, int)
-        return pa.RecordBatch.from_arrays([pa.array(keys[ends - 1], pa.int64()), _packed(stems, ends)], ["k1", "stems"])
+        part = keys % groups
+        order = np.lexsort((stems, keys, part))
+        stems, keys, part = stems[order], keys[order], part[order]
+        ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1 if len(part) else np.zeros(0, int)
+        return pa.RecordBatch.from_arrays([pa.array(part[ends - 1], pa.int64()), _packed(stems, ends), _packed(keys, ends)], ["part", "stems", "texts"])
 
     def unpacked(stems: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray]:
         marked = np.frombuffer(stems, np.uint64)
         return marked >> np.uint64(PLACE_BITS), np.frombuffer(texts, np.int64)[(marked & np.uint64(2**PLACE_BITS - 1)).astype(np.int64)]
 
-    def compared() -> Iterator[pa.RecordBatch]:
-        if held:
-            stems, keys = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((keys, stems))
-            stems, keys = stems[order], keys[order]
+    def compared(held: list, known: list) -> Iterator[pa.RecordBatch]:
+        stems, keys = (np.concatenate([*x, np.zeros(0, kind)]) for x, kind in zip(zip(*held, strict=True) if held else ((), ()), (np.uint64, np.int64), strict=True))
+        order = np.lexsort((keys, stems))
+        stems, keys = stems[order], keys[order]
+        if len(stems):
             new = np.append(True, stems[1:] != stems[:-1])
-            first = np.flatnonzero(new)
             other = np.append(False, (keys[1:] != keys[:-1]) & ~new[1:])
-            several = np.logical_or.reduceat(other, first)[np.cumsum(new) - 1]
-            yield out(stems[several], keys[several])
-            held.clear()
+            several = np.logical_or.reduceat(other, np.flatnonzero(new))[np.cumsum(new) - 1]
+            stems, keys = stems[several], keys[several]
+        yield out(np.concatenate([stems, *(x[0] for x in known)]), np.concatenate([keys, *(x[1] for x in known)]))
 
-    for batch in batches:
-        for bucket, known, stems, texts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if bucket != now:
-                yield from compared()
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known, now = [], [], None
+        for batch in batches:
+            for bucket, sure, stems, texts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if bucket != now and now is not None:
+                    yield from compared(held, known)
+                    held, known = [], []
                 now = bucket
-            if known:
-                yield out(*unpacked(stems, texts))
-            else:
-                held.append(unpacked(stems, texts))
-    yield from compared()
+                (known if sure else held).append(unpacked(stems, texts))
+        if now is not None:
+            yield from compared(held, known)
+
+    return found
 
 
 SUFFIX = "k1 long, k2 long, doc long, begins binary, front string, suffix string"
@@ -201,30 +203,37 @@ def _marks(k1: np.ndarray, k2: np.ndarray, starts: np.ndarray) -> tuple[pa.Array
     return pa.array(k1[ends - 1], pa.int64()), pa.array(k2[ends - 1], pa.int64()), _packed(starts, ends)
 
 
+LEAF_INPUT = ("part", "k1", "k2", "doc", "packed", "stems", "texts")
 LEAVES = f"{SUFFIX}, packed binary, open boolean, starts binary"
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The suffixes of every text that share their stems with another text, and the texts themselves, ``open`` if they have such.
 
-    Rows come ordered by ``k1``: first the stems, then the texts that have it, ordered by ``k2`` and ``doc``, of which the first counts.
+    Rows come ordered by ``part``: first the stems of its texts, then the texts by ``k1``, ``k2`` and ``doc``, of which the first counts.
     Of equal suffixes (with equal words in front) only those of the smallest document go on; the windows of the others are marked.
     """
     unpack = zstandard.ZstdDecompressor().decompress
-    stems: list[bytes] = []
-    now = last = None
-    held: list[tuple[int, int, int, bytes, bytes, list[bytes]]] = []
+    now = last = found = None
+    rows: list[tuple[bytes, bytes]] = []
+    held: list[tuple[int, int, int, bytes, bytes, np.ndarray]] = []
     size = 0
     for batch in batches:
-        for k1, k2, doc, packed, found in zip(*(batch.column(k).to_pylist() for k in ("k1", "k2", "doc", "packed", "stems")), strict=True):
-            if k1 != now:
-                now, last, stems = k1, None, []
-            if found is not None:
-                stems.append(found)
-            elif k2 != last:
-                last = k2
+        for part, k1, k2, doc, packed, stems, texts in zip(*(batch.column(k).to_pylist() for k in LEAF_INPUT), strict=True):
+            if part != now:
+                now, last, found, rows = part, None, None, []
+            if k1 is None:
+                rows.append((stems, texts))
+                continue
+            if found is None:
+                keys, marks = (np.frombuffer(b"".join(row[side] for row in rows), kind) for side, kind in ((1, np.int64), (0, np.uint64)))
+                order = np.argsort(keys, kind="stable")
+                found, rows = (keys[order], marks[order]), []
+            if (k1, k2) != last:
+                last = (k1, k2)
                 text = unpack(packed) if len(packed) else b""
-                held.append((k1, k2, doc, text, packed, stems))
+                a, b = np.searchsorted(found[0], k1), np.searchsorted(found[0], k1, "right")
+                held.append((k1, k2, doc, text, packed, found[1][a:b]))
                 size += len(text)
                 if size >= PIECE_BYTES or len(held) >= 2**PLACE_BITS:
                     yield from _piece(held)
@@ -241,12 +250,12 @@ def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
 
 def _piece(held: list) -> Iterator[pa.RecordBatch]:
     k1, k2, doc = (np.array([row[k] for row in held], np.int64) for k in range(3))
-    packed, some = pa.array([row[4] for row in held], pa.binary()), pa.array([bool(row[5]) for row in held])
+    packed, some = pa.array([row[4] for row in held], pa.binary()), pa.array([len(row[5]) > 0 for row in held])
     yield _batch({"k1": pa.array(k1), "k2": pa.array(k2), "doc": pa.array(doc), "packed": packed, "open": some})
-    if not any(row[5] for row in held):
+    if not any(len(row[5]) for row in held):
         return
-    found = Sampled(pa.array([row[3] if row[5] else b"" for row in held], pa.binary()).cast(pa.string(), safe=False))
-    wanted = [np.frombuffer(b"".join(row[5]), np.uint64) << np.uint64(PLACE_BITS) | np.uint64(k) for k, row in enumerate(held) if row[5]]
+    found = Sampled(pa.array([row[3] if len(row[5]) else b"" for row in held], pa.binary()).cast(pa.string(), safe=False))
+    wanted = [row[5] << np.uint64(PLACE_BITS) | np.uint64(k) for k, row in enumerate(held)]
     here = np.isin(found.stem << np.uint64(PLACE_BITS) | found.text.astype(np.uint64), np.concatenate(wanted))
     text, place, first, last = (x[here] for x in (found.text, found.place, found.first, found.last))
     front, suffix = found.joined(first, place), found.joined(place, last + WINDOW)
@@ -471,12 +480,15 @@ def judged_texts(docs: DataFrame) -> DataFrame:
     other documents leave of it there. ``kept`` holds UTF-8 bytes."""
     source = _keyed(docs).select("doc", "k1", "k2", "text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(tasks, -(-size // BUCKET_BYTES))
+    groups = max(4 * tasks, buckets)
     stems = source.mapInArrow(_stems(buckets), "bucket long, known boolean, stems binary, texts binary")
-    several = stems.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "k1 long, stems binary")
-    texts = source.mapInArrow(_texts, "k1 long, k2 long, doc long, packed binary")
-    both = several.unionByName(texts, allowMissingColumns=True).select("k1", "k2", "doc", "packed", "stems")
-    leaves = support.staged(both.repartition("k1").sortWithinPartitions("k1", "k2", "doc").mapInArrow(_leaves, LEAVES), "leaves", frugal=True)
+    several = stems.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(groups), "part long, stems binary, texts binary")
+    texts = source.mapInArrow(_texts, "k1 long, k2 long, doc long, packed binary").withColumn("part", F.pmod("k1", F.lit(groups)))
+    both = several.unionByName(texts, allowMissingColumns=True).select(*LEAF_INPUT)
+    ordered = both.repartition("part").sortWithinPartitions("part", "k1", "k2", "doc")
+    leaves = support.staged(ordered.mapInArrow(_leaves, LEAVES), "leaves", frugal=True)
     marks = support.staged(_marks_of_groups(leaves.where("suffix IS NOT NULL")), "marks", frugal=True)
     marks = marks.union(leaves.where("starts IS NOT NULL").select("k1", "k2", "starts"))
     kept = leaves.where("packed IS NOT NULL").select("k1", "k2", "doc", "packed", "open")
