@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import support
-from corpusloom.llm.token_ids import default_path, encoder
+from corpusloom.llm.token_ids import BATCH_BYTES, default_path, encoder
 
 SEQUENCE = 1024
 #: Tokens of a window of the mixture, of all sources together.
@@ -33,10 +33,11 @@ def token_store(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [encoder(path).ids(text.as_py()) for text in batch.column("text")]
+        for part in (part for batch in batches for part in support.slices(batch, "text", BATCH_BYTES)):
+            flat, sizes = encoder(path).batch(part.column("text"))
+            found = np.split(flat, np.cumsum(sizes)[:-1])
             binary = [ids.astype("<u2").tobytes() if ids.max() < 65536 else ids.tobytes() for ids in found]
-            columns = [batch.column("doc_id"), batch.column("source"), pa.array([len(ids) for ids in found], pa.int64()), pa.array(binary, pa.binary())]
+            columns = [part.column("doc_id"), part.column("source"), pa.array(sizes, pa.int64()), pa.array(binary, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "n_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"))

@@ -1,19 +1,24 @@
-"""Token ids of whole texts by a public tokenizer, with a bounded memo of the pieces between blanks."""
+"""Token ids of whole texts by a public tokenizer: each different piece of a batch is encoded once, then ids are gathered."""
 
 from __future__ import annotations
 
 import os
 import re
 import struct
+from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 END_ID = 0
-#: Pieces that a worker remembers at most (some 200 bytes each); beyond it starts again. Longer pieces than ``LONGEST``
-#: seldom recur and are not kept. Neither changes a result.
-MEMO, LONGEST = 600_000, 11
+#: Pieces that a worker remembers at most (some 200 bytes each), beyond it starts again, and the longest that are kept. Bytes of
+#: text of a batch. Words that are encoded as one, and the longest, in bytes, that are. None changes a result.
+MEMO, KEPT, BATCH_BYTES, CHUNK, LONGEST = 100_000, 11, 6_000_000, 500, 200
+#: Punctuation that may end a piece behind a word; a run of it is a pre-token of its own.
+ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: The white space of Unicode, the word pattern and the alphabet of byte-level BPE vocabularies.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -37,9 +42,8 @@ class Encoder:
     """Same ids as ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     A text may be cut in front of a blank that is not part of a longer run of white space: byte-level pre-tokens
-    never go over such a place. Pieces between blanks recur, so each is encoded once and remembered. A text where some
-    blank stands in a longer run is cut into runs of white space with the word that follows. Other kinds of tokenizer
-    are called with the whole text.
+    never go over such a place. Pieces between blanks recur, so each different one of a batch is encoded once. A text where some blank stands in a longer run is cut into runs of white space with the word that follows. Other
+    kinds of tokenizer are called with the whole text.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,18 +60,85 @@ class Encoder:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or r"(?!)")
         self.run = re.compile(f"[{SPACE}] (?=[{SPACE}]|$)")
+        self.odd = "|".join([f"[{SPACE}] (?:[{SPACE}]|$)", *added])
         self.units = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.after_blank: dict[str, bytes] = _Memo(lambda piece: self._piece(" " + piece))
         self.other: dict[str, bytes] = _Memo(self._piece)
+        self.tokens: dict[str, bytes] = _Memo(self._token)
+        vocabulary = self.tokenizer.get_vocab() if self.cuts else {}
+        self.blank = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.blank[[number for token, number in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def _piece(self, unit: str) -> bytes:
         if self.added.search(unit):
-            ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-        else:
-            words = [unit] if unit[1:].isalpha() and unit[0] == " " else self.pattern.findall(unit)
-            tokenize, alphabet = self.model.tokenize, self.alphabet
-            ids = [t.id for word in words for t in tokenize(word.encode().decode("latin-1").translate(alphabet))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+            return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(unit)))
+
+    def _token(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, each after a blank, and how many each has. No merge goes over a blank, so many words are encoded
+        as one; a word begins at each id whose token begins with a blank."""
+        found = array("I")
+        for first in range(0, len(words), CHUNK):
+            written = (" " + " ".join(words[first : first + CHUNK])).encode().decode("latin-1").translate(self.alphabet)
+            found.extend([t.id for t in self.model.tokenize(written)])
+        ids = np.array(found, "<u4")
+        return ids, np.diff(np.append(np.flatnonzero(self.blank[ids]), len(ids)))
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces, each after a blank, and how many each has. Most are a word of letters with or without punctuation
+        behind it, which is a pre-token of its own."""
+        words = pc.utf8_rtrim(pieces, characters=ENDS)
+        plain = pc.and_(pc.utf8_is_alpha(words), pc.less(pc.binary_length(words), LONGEST)).to_numpy(zero_copy_only=False)
+        sizes, bare = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (pieces, words))
+        coded = words.filter(pa.array(plain)).dictionary_encode()
+        tailed = np.flatnonzero(plain & (bare < sizes))
+        tails = [piece[-n:] for piece, n in zip(pieces.take(pa.array(tailed)).to_pylist(), (sizes - bare)[tailed].tolist(), strict=True)]
+        number: dict[str, int] = {}
+        of_tail = np.array([number.setdefault(tail, len(number)) for tail in tails], np.int64)
+        odd = list(map(self.after_blank.__getitem__, pieces.filter(pa.array(~plain)).to_pylist()))
+        flat, many = self._words(coded.dictionary.to_pylist())
+        n = len(many)
+        flat, many = _joined(flat, many, [self.other[tail] for tail in number] + odd)
+        # A piece is one entry of these, or a word and its tail.
+        first = np.zeros(len(pieces), np.int64)
+        first[plain] = coded.indices.to_numpy()
+        first[~plain] = n + len(number) + np.arange(len(odd))
+        entries = np.insert(first, tailed + 1, n + of_tail)
+        flat, taken = _gathered(flat, many, entries)
+        heads = np.arange(len(pieces)) + np.searchsorted(tailed, np.arange(len(pieces)))
+        return flat, np.add.reduceat(taken, heads) if len(heads) else taken
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, each with the id that ends a document, and how many each text has."""
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
+        plain = texts.filter(pa.array(~odd))
+        lists = pc.split_pattern(plain, " ")
+        pieces, cuts = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = pieces.dictionary_encode()
+        firsts = pieces.take(pa.array(cuts[:-1])).to_pylist()
+        whole = texts.filter(pa.array(odd)).to_pylist()
+        flat, sizes = self._pieces(coded.dictionary) if len(pieces) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        # Entries: the different pieces after a blank, the first piece of each text, texts that are not cut, the end.
+        n = len(sizes)
+        rest = [self.other[piece] for piece in firsts] + [self.ids(text, end=False).tobytes() for text in whole] + [struct.pack("<I", END_ID)]
+        flat, sizes = _joined(flat, sizes, rest)
+        index = coded.indices.to_numpy().astype(np.int64)
+        index[cuts[:-1]] = n + np.arange(len(plain))
+        many = np.ones(len(texts), np.int64)
+        many[~odd] = np.diff(cuts)
+        ends = np.cumsum(many + 1)
+        order = np.full(int(ends[-1]) if len(ends) else 0, len(sizes) - 1)
+        inner = np.ones(len(order), bool)
+        inner[ends - 1] = False
+        cut = np.repeat(~odd, many)
+        inner = np.flatnonzero(inner)
+        order[inner[cut]] = index
+        order[inner[~cut]] = n + len(plain) + np.arange(len(whole))
+        flat, taken = _gathered(flat, sizes, order)
+        return flat, np.diff(np.append(0, np.cumsum(taken)[ends - 1]))
 
     def ids(self, text: str, end: bool = True) -> np.ndarray:
         """Ids of ``text`` as unsigned 32-bit integers, with the id that ends a document."""
@@ -81,13 +152,27 @@ class Encoder:
         return np.frombuffer(found + b"\0\0\0\0" if end else found, "<u4")
 
 
+def _joined(flat: np.ndarray, sizes: np.ndarray, more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of ids with further ones behind them."""
+    added = np.fromiter(map(len, more), np.int64, len(more)) // 4
+    return np.concatenate([flat, np.frombuffer(b"".join(more), "<u4")]), np.concatenate([sizes, added])
+
+
+def _gathered(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of entries in ``order``, and how many each has."""
+    taken = sizes[order]
+    upto = np.cumsum(taken)
+    places = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat((np.cumsum(sizes) - sizes)[order] - upto + taken, taken)
+    return flat[places], taken
+
+
 class _Memo(dict):
     def __init__(self, make) -> None:
         self.make = make
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
-        if len(key) <= LONGEST:
+        if len(key) <= KEPT:
             if len(self) >= MEMO:
                 self.clear()
             self[key] = value

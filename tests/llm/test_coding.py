@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,6 +50,31 @@ def test_encoder_on_edges(text):
     assert encoder(default_path()).ids(text).tolist() == plain_ids(text)
 
 
+@given(st.lists(st.one_of(st.text(max_size=25), st.text(alphabet=st.sampled_from("abé1,'._-s\n\t  \x1c\u2003 !日ªʰ़٣Ġ"), max_size=40)), max_size=8))
+@settings(max_examples=400, deadline=None)
+def test_batches_agree_with_the_tokenizer(texts):
+    ids, sizes = encoder(default_path()).batch(pa.array(texts, pa.string()))
+    assert ids.tolist() == [i for text in texts for i in plain_ids(text)]
+    assert sizes.tolist() == [len(plain_ids(text)) for text in texts]
+
+
+def test_batches_on_edges_and_long_words():
+    texts = ["", " ", "a  b", "<|endoftext|> a", "x " * 500, "y" * 100_000, "z" * 30_000 + " z", "word, word. word!? (word)", "Ġ Ġa", "'s 's don't", "a\nb c\n d"]
+    ids, sizes = encoder(default_path()).batch(pa.array(texts))
+    assert ids.tolist() == [i for text in texts for i in plain_ids(text)]
+    assert sizes.sum() == len(ids)
+    assert encoder(default_path()).batch(pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    other = encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Ein Wort, noch eins", "", "  x"]
+    want = [[*other.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert other.batch(pa.array(texts))[0].tolist() == [i for ids in want for i in ids]
+
+
 def test_token_files(spark):
     got = [tuple(r) for r in simple8b.round_trip(frame(spark)).orderBy("start").collect()]
     rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
