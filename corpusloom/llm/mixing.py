@@ -9,6 +9,8 @@ budget as their targets say. Texts are only read; what is shuffled is one row a
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +21,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: What a text must hold to count as one of these topics, tried in this order.
 TOPICS = {
     "license": r"(?i)licen[sc]e|all rights reserved|copyright",
-    "contact": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]|[0-9]{3}[ .-][0-9]{3}",
+    "contact": r"[A-Za-z0-9._-]@[A-Za-z0-9-]+\.[A-Za-z]|[0-9]{3}[ .-][0-9]{3}",
     "table": r" \| ",
     "numbers": r"[0-9]",
 }
 #: Target shares go with the token shares to this power: 1 keeps them, 0 makes all values equal.
 TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.9}
 TOLERANCE = 1e-12
-#: Sweeps over the three dimensions at most; targets that contradict each other never agree.
+#: Sweeps over the three dimensions at most; targets that contradict each other never agree, and a warning says how far they are off.
 SWEEPS = 60
 SEED = 17
 #: Share of all tokens that the drawn documents hold.
@@ -35,6 +37,11 @@ KEEP = 0.6
 BOUND = 1e12
 
 
+def _warned(off: float, tolerance: float) -> None:
+    if off > tolerance:
+        warnings.warn(f"raking ended with a target share missed by {off:.3g}", RuntimeWarning, stacklevel=3)
+
+
 def topic_of(text: Column) -> Column:
     """The first topic whose pattern occurs in the whole text, else "general"."""
     found = F.lit("general")
@@ -51,8 +58,8 @@ def tokens_of(text: Column) -> Column:
 def _measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     plain = [F.coalesce(name, F.lit("")).alias(name) for name in ("source", "lang")]
-    number = draw(F.col("doc_id").cast("long"), seed, content_of("text", "source")).alias("number")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *plain, topic_of(text).alias("topic"), tokens_of(text).alias("n_tokens"), number)
+    number = draw(F.col("doc_id").try_cast("long"), seed, content_of("text", "source")).alias("number")
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), *plain, topic_of(text).alias("topic"), tokens_of(text).alias("n_tokens"), number)
 
 
 def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
@@ -119,6 +126,7 @@ def rake_within(cells: DataFrame, targets: dict[str, DataFrame], keep: float, to
         level = _level(shares, budget)
         wanted[dimension] = held(shares.select(dimension, F.least("most", F.lit(level) * F.col("share")).alias("share")), "targets")
     kept, open_ = F.least("weight", "most"), F.col("weight") < F.col("most")
+    missed = 0.0
     for sweep in range(1, sweeps + 1):
         for dimension in targets:
             sums = fitted.groupBy(dimension).agg(
@@ -130,7 +138,7 @@ def rake_within(cells: DataFrame, targets: dict[str, DataFrame], keep: float, to
             moved = F.least(F.col("weight") * F.col("factor"), F.col("most") * F.lit(BOUND))
             fitted = fitted.join(factor, dimension).withColumn("weight", moved).drop("factor")
         fitted = held(fitted, "raked")
-        if sweep % 3:
+        if sweep % 3 and sweep < sweeps:
             continue
         off = [
             fitted.groupBy(d).agg(F.sum(kept).alias("held")).join(wanted[d], d).agg(F.max(F.abs(F.col("held") - F.col("share"))).alias("off"))
@@ -139,8 +147,10 @@ def rake_within(cells: DataFrame, targets: dict[str, DataFrame], keep: float, to
         worst = off[0]
         for more in off[1:]:
             worst = worst.union(more)
-        if (worst.agg(F.max("off")).first()[0] or 0) <= tolerance:
+        missed = worst.agg(F.max("off")).first()[0] or 0
+        if missed <= tolerance:
             break
+    _warned(missed, tolerance)
     return fitted.withColumn("weight", kept)
 
 
@@ -166,13 +176,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         live = live.select(F.col("value").alias(dimension), F.col("share").cast("double").alias("share")).join(fitted.select(dimension).distinct(), dimension, "left_semi")
         whole = live.agg(F.sum("share").alias("whole"))
         wanted[dimension] = held(live.join(F.broadcast(whole)).select(dimension, (F.col("share") / F.col("whole")).alias("share")), "targets")
+    missed = 0.0
     for sweep in range(1, sweeps + 1):
         for dimension in targets:
             sums = fitted.groupBy(dimension).agg(F.sum("weight").alias("held"))
             factor = sums.join(wanted[dimension], dimension, "left").select(dimension, F.when(F.col("held") > 0, F.coalesce("share", F.lit(0.0)) / F.col("held")).otherwise(0.0).alias("factor"))
             fitted = fitted.join(factor, dimension).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         fitted = held(fitted, "raked")
-        if sweep % 3:
+        if sweep % 3 and sweep < sweeps:
             continue
         off = [
             fitted.groupBy(d).agg(F.sum("weight").alias("held")).join(wanted[d], d).agg(F.max(F.abs(F.col("held") - F.col("share"))).alias("off"))
@@ -181,8 +192,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         worst = off[0]
         for more in off[1:]:
             worst = worst.union(more)
-        if (worst.agg(F.max("off")).first()[0] or 0) <= tolerance:
+        missed = worst.agg(F.max("off")).first()[0] or 0
+        if missed <= tolerance:
             break
+    _warned(missed, tolerance)
     return fitted
 
 
@@ -240,5 +253,5 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame | float] | None = None,
     text = F.coalesce("text", F.lit(""))
     marked = docs.select(row, F.coalesce("source", F.lit("")).alias("_source"), F.coalesce("lang", F.lit("")).alias("_lang"), topic_of(text).alias("_topic"))
     joined = support.with_lookup(marked, cells, [f"_{d}" for d in DIMENSIONS], "inner")
-    number = draw(F.col("_row.doc_id").cast("long"), seed, content_of("_row.text", "_row.source"))
+    number = draw(F.col("_row.doc_id").try_cast("long"), seed, content_of("_row.text", "_row.source"))
     return joined.where(number < F.col("_probability")).select("_row.*")
