@@ -32,6 +32,7 @@ class Rule:
     pattern: str
     group: int = 0
     least: int = 1
+    inner: bool = False
 
 
 #: The base kinds, then kinds that the index adds, in the order in which ties are listed.
@@ -44,7 +45,8 @@ ADDED = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("bearer", r"(?i:bearer)\x20+([A-Za-z0-9+/_.=-]+)", 1, 20),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # A run of these characters is gone through once, from its start to its first "eyJ"; where that gives no token, no later one does.
+    Rule("web_token", r"(?<![A-Za-z0-9_-])(?:(?!eyJ[A-Za-z0-9_-])[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+)", 1, 1, True),
 )
 
 # A query is True (any text), or a set of alternatives, each a set of trigrams of which all must be there.
@@ -139,8 +141,8 @@ def trigram_query(pattern: str) -> Query:
     return walk(parser.parse(pattern))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     return rows.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
@@ -180,18 +182,19 @@ def _spans(asked: DataFrame) -> DataFrame:
 
     def matches(rule: Column) -> Column:
         whole, valued = (F.regexp_extract_all(text, rule["pattern"], group) for group in (F.lit(0), rule["group"]))
-        return F.struct(rule["kind"].alias("kind"), rule["place"].alias("place"), rule["least"].alias("least"), whole.alias("whole"), valued.alias("valued"), F.split(text, rule["pattern"], -1).alias("gaps"))
+        return F.struct(rule["kind"].alias("kind"), rule["place"].alias("place"), rule["least"].alias("least"), rule["inner"].alias("inner"), whole.alias("whole"), valued.alias("valued"), F.split(text, rule["pattern"], -1).alias("gaps"))
 
     def sized(hit: Column) -> Column:
         zipped = F.arrays_zip(F.slice(hit["gaps"], 1, F.size(hit["whole"])).alias("gap"), hit["whole"].alias("whole"), hit["valued"].alias("valued"))
         lengths = F.transform(zipped, lambda z: F.struct(*[F.length(z[name]).cast("long").alias(name) for name in ("gap", "whole", "valued")]))
-        return F.struct(hit["kind"].alias("kind"), hit["place"].alias("place"), hit["least"].alias("least"), lengths.alias("lengths"))
+        return F.struct(hit["kind"].alias("kind"), hit["place"].alias("place"), hit["least"].alias("least"), hit["inner"].alias("inner"), lengths.alias("lengths"))
 
     def placed(hit: Column) -> Column:
         before = _sums_before(F.transform(hit["lengths"], lambda n: n["gap"] + n["whole"]))
         zipped = F.filter(F.arrays_zip(before.alias("before"), hit["lengths"].alias("n")), lambda z: z["n"]["valued"] >= hit["least"])
-        start = lambda z: z["before"] + z["n"]["gap"]
-        return F.transform(zipped, lambda z: F.struct(start(z).alias("start"), hit["place"].alias("place"), hit["kind"].alias("kind"), (start(z) + z["n"]["whole"]).alias("end")))
+        end = lambda z: z["before"] + z["n"]["gap"] + z["n"]["whole"]
+        start = lambda z: end(z) - F.when(hit["inner"], z["n"]["valued"]).otherwise(z["n"]["whole"])
+        return F.transform(zipped, lambda z: F.struct(start(z).alias("start"), hit["place"].alias("place"), hit["kind"].alias("kind"), end(z).alias("end")))
 
     for step in (matches, sized, placed):
         asked = asked.withColumn("rules", F.transform("rules", step))
@@ -204,23 +207,24 @@ def _quick(rule: Rule) -> str:
     return re.sub(r"\+$", f"{{{rule.least},}}", rule.pattern) if rule.group == 0 and rule.pattern.startswith("[") else rule.pattern
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = (*BASE, *ADDED)) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = (*BASE, *ADDED), carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``text`` and ``spans`` (``start``, ``kind``, ``end`` in code points, by start, then in the order of ``rules``) of every row.
 
-    Matches are leftmost and do not overlap within a kind; spans of different kinds may. Null and empty texts have no spans.
+    Matches are leftmost and do not overlap within a kind; spans of different kinds may. Null and empty texts have no spans. The columns
+    ``carry`` of ``docs`` come along.
     """
     indexed = tuple(rule for rule in rules if trigram_query(rule.pattern) is not True)
     grams = sorted({gram for rule in indexed for grams in trigram_query(rule.pattern) for gram in grams})
-    rows = _keyed(docs)
+    rows = _keyed(docs, carry)
     if indexed:
         found = support.staged(candidates(postings(docs, grams), indexed), "candidates")
         rows = support.with_lookup(rows, found, ["key"], "left")
     tried = []
     for place, rule in enumerate(rules):
-        parts = {"kind": rule.kind, "place": place, "pattern": rule.pattern, "group": rule.group, "least": rule.least}
+        parts = {"kind": rule.kind, "place": place, "pattern": rule.pattern, "group": rule.group, "least": rule.least, "inner": rule.inner}
         asked = F.array_contains("kinds", rule.kind) if rule in indexed else F.col("text").rlike(_quick(rule))
         tried.append(F.when(asked, F.struct(*[F.lit(value).alias(name) for name, value in parts.items()])))
-    return _spans(rows.select("doc_id", "text", F.array_compact(F.array(*tried)).alias("rules")))
+    return _spans(rows.select("doc_id", "text", *carry, F.array_compact(F.array(*tried)).alias("rules")))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -238,12 +242,9 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = (*BASE, *ADDED), mark: s
     Only texts with spans change; a null text stays null.
     """
     columns = docs.columns
-    held = F.struct(*[F.col(f"`{c}`") for c in columns])
-    found = scan(docs.select("doc_id", "text"), rules).where(F.size("spans") > 0)
-    spans = support.staged(found.select(F.xxhash64("doc_id", "text").alias("_key"), "spans").distinct(), "spans")
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    rows = support.with_lookup(docs.select(key.alias("_key"), held.alias("_row")), spans, ["_key"], "left")
-    text = F.col("_row.text")
+    others = F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row")
+    rows = scan(docs.select("doc_id", "text", F.struct(others, F.isnull("text").alias("none")).alias("_held")), rules, ("_held",))
+    text = F.when(~F.col("_held.none"), F.col("text"))
     # Overlapping spans are one stretch: a span that starts inside the one before lengthens it.
     def join(done: Column, s: Column) -> Column:
         last = F.element_at(done, -1)
@@ -255,8 +256,8 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = (*BASE, *ADDED), mark: s
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("stretches", lambda s: s["end"]))
     ends = F.concat(F.transform("stretches", lambda s: s["start"]), F.array(F.length(text).cast("long")))
     cuts = F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda z: F.substring(text, (z["a"] + 1).cast("int"), (z["b"] - z["a"]).cast("int")))
-    rows = rows.withColumn("stretches", F.when(F.col("spans").isNotNull(), stretches))
-    clean = F.when(F.size("stretches") > 0, F.array_join(cuts, mark)).otherwise(text)
-    rows = rows.withColumn("_clean", clean)
-    out = [F.col("_clean").alias("text") if c == "text" else F.when(F.size("stretches") > 0, F.length("_clean").cast("long")).otherwise(F.col(f"_row.`{c}`")).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in columns]
-    return rows.select(*out)
+    rows = rows.withColumn("stretches", stretches)
+    rows = rows.withColumn("_clean", F.when(F.size("stretches") > 0, F.array_join(cuts, mark)).otherwise(text))
+    old = lambda c: F.col(f"_held.row.`{c}`")
+    changed = {"text": F.col("_clean"), "n_chars": F.when(F.size("stretches") > 0, F.length("_clean").cast("long")).otherwise(old("n_chars")) if "n_chars" in columns else None}
+    return rows.select(*[(changed[c] if c in changed else old(c)).alias(c) for c in columns])
