@@ -2,10 +2,17 @@
 
 The index is a table of segments, built where the documents are read: postings by term, ordered by document. Documents are
 counted off in blocks; the postings of a term in a block lie together, and the largest of their impacts bounds what the
-term can add to any document of the block. For a query, the bounds of all its terms are summed for each block; blocks are
-opened from the largest sum down, and the search of a segment ends at the first block that cannot reach the k-th best score
-found so far. Segments are dealt to shards, each query visits each shard, and the best of all shards are merged.
-Document frequencies, the number of documents and their mean length are those of the whole table.
+term can add to any document of the block; the largest of these bounds it anywhere in the segment.
+
+A segment is searched as block-max WAND does it, a block at a time instead of a document: a cursor for each term of the query stands
+on the first block, not before the current one, that has the term. The pivot is the first block whose cursors' term maxima
+add up to the k-th best score so far; what lies before it is skipped. If the block maxima there do not add up to that, the
+block is skipped too, else its postings are scored. The score to beat is carried on from block to block and from segment
+to segment. Cursors of a whole segment are moved together: the sums of a block are sums over the terms that are in it.
+
+Segments are dealt to shards and queries to blocks of queries; a task holds a block of queries and opens the segments of its shard one
+after the other. The best of all shards are merged. Document frequencies, the number of documents and their mean length are
+those of the whole table.
 """
 
 from __future__ import annotations
@@ -23,8 +30,11 @@ from pyspark.sql import functions as F
 from corpusloom.llm import support
 
 K1, B = 1.2, 0.75
-#: Documents and postings of a segment at most (one long document may exceed the second), documents of a block and a shard.
-SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK, SHARD_DOCS = 8192, 4_000_000, 32, 32768
+#: Documents and postings of a segment at most (one long document may exceed the second), documents of a block and of a shard, and about
+#: how many queries a task holds.
+SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK, SHARD_DOCS, QUERIES = 8192, 1_500_000, 32, 32768, 4096
+#: Pivots that are opened together: few at first, while there is no score to beat, then more.
+FEWEST, MOST = 4, 64
 #: Scores count as equal if they agree to so many decimals; then the smaller doc_id comes first.
 DECIMALS = 6
 NO_ID = np.iinfo(np.int64).max
@@ -81,7 +91,7 @@ def build_index(docs: DataFrame, segment_docs: int = SEGMENT_DOCS) -> DataFrame:
             yield segment()
 
     rows = support.whole_texts(docs).mapInArrow(segments, SEGMENT)
-    return support.staged(rows.withColumn("segment", F.monotonically_increasing_id()), "segments")
+    return support.staged(rows.withColumn("segment", F.monotonically_increasing_id()), "segments", frugal=True)
 
 
 def _frequencies(index: DataFrame) -> DataFrame:
@@ -121,84 +131,80 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-class Segment:
-    """A segment opened for search: postings as they were stored, and the largest impact of each term in each block.
+def _hashes(terms: list[str] | list[bytes]) -> np.ndarray:
+    """Two hashes of each term, a row each: together they tell terms apart."""
+    return np.array([[xxhash.xxh64_intdigest(t) for t in terms], [xxhash.xxh64_intdigest(t, 1) for t in terms]], np.uint64).reshape(2, -1)
 
-    Terms are found by a sorted array of their hashes and compared as texts. Impacts are worked out where a block is
-    opened; the maxima are single floats rounded up.
-    """
+
+class Query:
+    """Terms by their hashes, weights, and the best ``k`` scores and ids so far."""
+
+    def __init__(self, number: int, terms: str, weights: list[float]) -> None:
+        self.number, self.hashes, self.weights = number, _hashes(terms.split(" ")), np.array(weights)
+        self.scores, self.ids = np.empty(0), np.empty(0, np.int64)
+
+    def floor(self, k: int) -> float:
+        return self.scores[k - 1] - 10.0**-DECIMALS if len(self.scores) == k else 0.0
+
+
+class Segment:
+    """A segment opened for search: postings with their impacts, and the largest impact of each term in each block (single floats,
+    rounded up) and in the segment."""
 
     def __init__(self, row: dict, mean: float, block: int = BLOCK) -> None:
         self.ids = np.array([NO_ID if i is None else i for i in row["ids"]], np.int64)
-        terms = row["terms"].encode()
-        self.terms = terms
-        listed = terms.split(b" ")
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, listed), np.uint64, len(listed))
-        ends = np.cumsum(np.fromiter(map(len, listed), np.int64, len(listed)) + 1)
-        self.text_at = np.concatenate([[0], ends]).astype(np.int32 if len(terms) < 2**31 - 2 else np.int64)
-        del listed
-        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
-        self.hashes = hashes[self.order]
+        hashes = _hashes(row["terms"].encode().split(b" "))
+        self.order = np.argsort(hashes[0], kind="stable")
+        self.hashes = hashes[:, self.order]
         starts = np.frombuffer(row["starts"], "<i4")
         self.docs = np.frombuffer(row["docs"], "<u2")
-        self.counts = np.frombuffer(row["counts"], f"<u{len(row['counts']) // max(len(self.docs), 1) or 1}")
-        lengths = np.frombuffer(row["lengths"], "<i4")
-        self.norm = K1 * (1 - B + B * lengths / mean)
-        self.block, self.blocks = block, -(-len(self.ids) // block)
-        term = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        place = term * self.blocks + self.docs // block
-        del term
+        counts = np.frombuffer(row["counts"], f"<u{len(row['counts']) // max(len(self.docs), 1) or 1}").astype(np.float64)
+        norm = K1 * (1 - B + B * np.frombuffer(row["lengths"], "<i4") / mean)
+        self.impacts = counts * (K1 + 1) / (counts + norm[self.docs])
+        self.blocks = -(-len(self.ids) // block)
+        place = np.repeat(np.arange(len(starts) - 1) * self.blocks, np.diff(starts)) + self.docs // block
         first = np.flatnonzero(np.diff(place, prepend=-1))
-        del place
-        self.entry_first = np.append(first, len(self.docs)).astype(np.int32)
-        self.entry_block = (self.docs[first] // block).astype(np.uint16)
-        most = np.maximum.reduceat(self.impacts(slice(None)), first) if len(first) else np.empty(0)
+        self.entry_first = np.append(first, len(self.docs))
+        self.entry_block = (self.docs[first] // block).astype(np.int64)
+        most = np.maximum.reduceat(self.impacts, first) if len(first) else np.empty(0)
         self.entry_most = np.nextafter(most.astype(np.float32), np.float32(np.inf))
-        self.entries = np.searchsorted(first, starts).astype(np.int32)
-
-    def impacts(self, postings: slice | np.ndarray) -> np.ndarray:
-        counts = self.counts[postings].astype(np.float64)
-        return counts * (K1 + 1) / (counts + self.norm[self.docs[postings]])
-
-    def number(self, term: str) -> int | None:
-        text = term.encode()
-        at = int(np.searchsorted(self.hashes, np.uint64(xxhash.xxh64_intdigest(text))))
-        while at < len(self.hashes) and self.hashes[at] == xxhash.xxh64_intdigest(text):
-            i = int(self.order[at])
-            if self.terms[self.text_at[i] : self.text_at[i + 1] - 1] == text:
-                return i
-            at += 1
-        return None
-
-    def bounds(self, terms: list[str], weights: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Entries of the query's terms, their weights, and what each block can reach at most."""
-        known = [(n, w) for t, w in zip(terms, weights, strict=True) if (n := self.number(t)) is not None]
-        number, weight = np.array([n for n, _ in known], np.int64), np.array([w for _, w in known])
-        sizes = (self.entries[number + 1] - self.entries[number]).astype(np.int64)
-        entry, by_entry = _ranges(self.entries[number].astype(np.int64), sizes), np.repeat(weight, sizes)
-        return entry, by_entry, np.bincount(self.entry_block[entry], by_entry * self.entry_most[entry], self.blocks)
-
-    def search(self, terms: list[str], weights: list[float], k: int, best: tuple[np.ndarray, np.ndarray], step: int = 16) -> tuple[np.ndarray, np.ndarray]:
-        """Merge the best ``k`` (scores, ids) so far with those of this segment; opens blocks ``step`` at a time."""
-        entry, by_entry, most = self.bounds(terms, weights)
-        order = np.argsort(-most, kind="stable")
-        block_of = self.entry_block[entry]
-        for first in range(0, len(order), step):
-            floor = best[0][k - 1] - 10.0**-DECIMALS if len(best[0]) == k else 0.0
-            chosen = order[first : first + step]
-            chosen = chosen[(most[chosen] >= floor) & (most[chosen] > 0)]
-            if not len(chosen):
+        self.entries = np.searchsorted(first, starts)
+        held = np.minimum(self.entries[:-1], max(len(first) - 1, 0))
+        self.term_most = np.maximum.reduceat(self.entry_most, held) if len(first) else np.zeros(len(starts) - 1, np.float32)
+
+    def cursors(self, query: Query) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers in this segment of the query's terms, and their weights."""
+        at = np.minimum(np.searchsorted(self.hashes[0], query.hashes[0]), len(self.order) - 1)
+        same = (self.hashes[0][at] == query.hashes[0]) & (self.hashes[1][at] == query.hashes[1])
+        return self.order[at[same]], query.weights[same]
+
+    def search(self, query: Query, k: int) -> int:
+        """Merge the best documents of this segment into those of ``query``; returns how many blocks were opened."""
+        number, weight = self.cursors(query)
+        sizes = self.entries[number + 1] - self.entries[number]
+        entry = _ranges(self.entries[number], sizes)
+        block_of, by_entry = self.entry_block[entry], np.repeat(weight, sizes)
+        reach = np.bincount(block_of, np.repeat(weight * self.term_most[number], sizes), self.blocks)
+        most = np.bincount(block_of, by_entry * self.entry_most[entry], self.blocks)
+        order = np.argsort(block_of, kind="stable")
+        entry, by_entry = entry[order], by_entry[order]
+        upto = np.cumsum(np.bincount(block_of, minlength=self.blocks))
+        cursor, step, opened = 0, FEWEST, 0
+        while cursor < self.blocks:
+            floor = query.floor(k)
+            pivots = np.flatnonzero((reach[cursor:] >= floor) & (most[cursor:] >= floor) & (most[cursor:] > 0))[:step] + cursor
+            if not len(pivots):
                 break
-            opened = np.zeros(self.blocks, bool)
-            opened[chosen] = True
-            at = np.flatnonzero(opened[block_of])
-            begin = self.entry_first[entry[at]].astype(np.int64)
-            sizes = self.entry_first[entry[at] + 1] - begin
-            postings = _ranges(begin, sizes)
-            scores = np.bincount(self.docs[postings], np.repeat(by_entry[at], sizes) * self.impacts(postings), len(self.ids))
+            cursor, step, opened = int(pivots[-1]) + 1, min(2 * step, MOST), opened + len(pivots)
+            before = np.where(pivots > 0, upto[pivots - 1], 0)
+            at = _ranges(before, upto[pivots] - before)
+            begin = self.entry_first[entry[at]]
+            many = self.entry_first[entry[at] + 1] - begin
+            postings = _ranges(begin, many)
+            scores = np.bincount(self.docs[postings], np.repeat(by_entry[at], many) * self.impacts[postings], len(self.ids))
             docs = np.flatnonzero((scores > 0) & (scores >= floor))
-            best = top(np.concatenate([best[0], scores[docs]]), np.concatenate([best[1], self.ids[docs]]), k)
-        return best
+            query.scores, query.ids = top(np.concatenate([query.scores, scores[docs]]), np.concatenate([query.ids, self.ids[docs]]), k)
+        return opened
 
 
 def top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,25 +213,29 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 
 def _searched(k: int, mean: float):
+    def results(queries: list[Query]) -> pa.RecordBatch:
+        sizes = [len(q.ids) for q in queries]
+        number = np.repeat(np.array([q.number for q in queries], np.int64), sizes)
+        ids = np.concatenate([*(q.ids for q in queries), np.empty(0, np.int64)])
+        scores = np.concatenate([*(q.scores for q in queries), np.empty(0)])
+        return pa.RecordBatch.from_arrays([pa.array(number), pa.array(ids, mask=ids == NO_ID), pa.array(scores)], ["query_id", "doc_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, opened = None, []
+        """Rows come ordered by task: first its queries, which are held, then its segments, of which one is open at a time."""
+        task, queries = None, []
         for batch in batches:
-            out: list[tuple] = []
             for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in ("shard", "kind")}
-                if row["shard"] != shard:
-                    shard, opened = row["shard"], []
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["task"] != task:
+                    yield results(queries)
+                    task, queries = row["task"], []
                 if row["kind"] == 0:
-                    opened.append(Segment({name: batch.column(name)[i].as_py() for name in ("ids", "lengths", "terms", "starts", "docs", "counts")}, mean))
-                    continue
-                terms, weights = batch.column("terms")[i].as_py().split(" "), batch.column("weights")[i].as_py()
-                best = np.empty(0), np.empty(0, np.int64)
-                for segment in opened:
-                    best = segment.search(terms, weights, k, best)
-                query = batch.column("query_id")[i].as_py()
-                out += [(query, None if i == NO_ID else i, s) for s, i in zip(best[0].tolist(), best[1].tolist(), strict=True)]
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "doc_id", "score"])
+                    queries.append(Query(row["query_id"], row["terms"], row["weights"]))
+                elif queries and row["terms"]:
+                    segment = Segment(row, mean)
+                    for query in queries:
+                        segment.search(query, k)
+        yield results(queries)
 
     return run
 
@@ -240,16 +250,18 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, segment_docs: int =
     index = build_index(docs, segment_docs)
     counted = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
     n_docs, mean = counted[0] or 0, max((counted[1] or 0) / max(counted[0] or 0, 1), 1e-9)
-    asked = support.staged(_query_rows(queries.where("doc_id is not null"), _frequencies(index), n_docs), "queries")
-    shards = max(1, math.ceil(n_docs / shard_docs))
+    asked = support.staged(_query_rows(queries.where("doc_id is not null"), _frequencies(index), n_docs), "queries", frugal=True)
+    shards, blocks = max(1, math.ceil(n_docs / shard_docs)), max(1, math.ceil(asked.count() / QUERIES))
     # A segment's number is that of the task that wrote it and its place there; their sum deals them out evenly.
     number = F.shiftright("segment", 33) + F.col("segment").bitwiseAND(F.lit((1 << 33) - 1))
-    inside = index.withColumn("shard", F.pmod(number, F.lit(shards)).cast("int")).withColumn("kind", F.lit(0)).drop("segment", "n_docs", "n_words")
-    visits = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("kind", F.lit(1))
-    rows = inside.unionByName(visits, allowMissingColumns=True)
-    dealt = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "kind")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    task = (F.col("shard") * blocks + F.col("block")).cast("long")
+    inside = index.withColumn("shard", F.pmod(number, F.lit(shards))).withColumn("block", every(blocks)).withColumn("kind", F.lit(1))
+    visits = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", every(shards)).withColumn("kind", F.lit(0))
+    rows = inside.drop("segment", "n_docs", "n_words").unionByName(visits, allowMissingColumns=True).withColumn("task", task).drop("shard", "block")
+    dealt = rows.repartitionByRange(shards * blocks, "task").sortWithinPartitions("task", "kind")
     found = dealt.mapInArrow(_searched(k, mean), "query_id long, doc_id long, score double")
-    return ranked(found, k)
+    return ranked(support.staged(found, "found", frugal=True), k)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
