@@ -154,10 +154,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """The bounded sample: ``chunks`` (chunks spread over the document, joined) and ``label`` of at most ``PER_CLASS`` documents a
-    class, those whose ids hash lowest, among labelled rows that are not held out."""
-    open_rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = CHUNKS) -> DataFrame:
+    """The bounded sample: ``chunks`` (at most ``most`` chunks, spread over the document, joined) and ``label`` of at most ``PER_CLASS``
+    documents a class, those whose ids hash lowest, among labelled rows that are not held out."""
+    open_rows = labels.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     picked = None
     for value in (0, 1):
         some = open_rows.where(F.col("label") == value).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS)
@@ -168,7 +168,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") ->
             parts = []
             for text in support.bytes_of(batch.column("text")):
                 n = max(1, -(-len(text) // CHUNK))
-                chosen = np.unique(np.linspace(0, n - 1, min(n, CHUNKS)).astype(int))
+                chosen = np.unique(np.linspace(0, n - 1, min(n, most)).astype(int))
                 parts.append(b"".join(text[i * CHUNK : (i + 1) * CHUNK].ljust(CHUNK) for i in chosen.tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), batch.column("label"), batch.column("doc_id")], ["chunks", "label", "doc_id"])
 
@@ -176,9 +176,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") ->
     return rows.mapInArrow(cut, "chunks binary, label int, doc_id long")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> ByteNet:
-    """Fit on the bounded sample, at most ``2 * PER_CLASS`` rows of ``CHUNKS * CHUNK`` bytes. Without labelled rows every score is 0.5."""
-    rows = sorted({(row.doc_id, row.label, bytes(row.chunks)) for row in training_rows(docs, labels, label).collect()})
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = CHUNKS) -> ByteNet:
+    """Fit on the bounded sample, at most ``2 * PER_CLASS`` rows of ``most * CHUNK`` bytes, the only place where less than a whole text is
+    seen. More chunks a document bring more of long documents into the fit and cost the driver as much more time. Without
+    labelled rows every score is 0.5."""
+    rows = sorted({(row.doc_id, row.label, bytes(row.chunks)) for row in training_rows(docs, labels, label, most).collect()})
     if not rows:
         return ByteNet(np.zeros((WIDTH, 256, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS, np.float32), 0.0)
     return fit([chunks for _, _, chunks in rows], [int(value) for _, value, _ in rows])
@@ -203,5 +205,5 @@ def scores(docs: DataFrame, net: ByteNet) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` (1 from 0.5 on) of every row."""
-    scored = scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels, label))
+    scored = scores(docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text"), train(docs, labels, label))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

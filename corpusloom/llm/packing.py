@@ -40,7 +40,7 @@ def token_store(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             columns = [part.column("doc_id"), part.column("source"), pa.array(sizes, pa.int64()), pa.array(binary, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "n_tokens", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"))
     encoded = rows.mapInArrow(encode, "doc_id long, source string, n_tokens long, ids binary")
     return support.staged(encoded.withColumn("row", F.monotonically_increasing_id()), "tokens")
 

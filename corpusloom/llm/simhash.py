@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ()
             values = np.array([_fingerprint(text, words) for text in support.bytes_of(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64)), *map(batch.column, keep)], ["doc_id", "fp", *keep])
 
-    texts = support.whole_texts(docs) if not keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
+    texts = support.whole_texts(docs) if not keep else docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
     return texts.mapInArrow(hashed, ", ".join(f"{name} long" for name in ("doc_id", "fp", *keep)))
 
 
@@ -190,8 +190,9 @@ def fingerprint_text() -> Column:
 
 
 def _row_keys(docs: DataFrame) -> list[Column]:
-    """Two hashes of a whole row: together they tell rows apart. Maps cannot be hashed and are left out."""
-    names = [F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    """Two hashes of a whole row: together they tell rows apart. Columns with maps, which cannot be hashed, go in as JSON."""
+    as_text = lambda column: F.to_json(F.struct(column.alias("v")), {"ignoreNullFields": "false"})
+    names = [as_text(F.col(f"`{name}`")) if "map<" in kind or "variant" in kind else F.col(f"`{name}`") for name, kind in docs.dtypes]
     values = [*names, *[F.isnull(name) for name in names]]
     return [F.xxhash64(F.lit(seed), *values).alias(key) for seed, key in enumerate(KEYS)]
 

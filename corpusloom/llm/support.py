@@ -44,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def whole_texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` only; a null text becomes the empty one."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:

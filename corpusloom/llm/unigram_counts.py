@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from corpusloom.llm import support
 
 #: Nodes and pre-tokens a worker keeps; beyond it starts a new trie, which changes no count.
 NODES, KEPT = 500_000, 300_000
+#: Characters of a pre-token that gets no nodes: its scores are kept as far back as the longest piece reaches.
+LONG = 4096
 
 _tries: dict[str, Trie] = {}
 
@@ -66,6 +69,25 @@ class Trie:
             path.append(node)
         return self.count[node]
 
+    def forward(self, word: bytes) -> int:
+        """Number of tokens of a word that is too long to be kept: its scores, as far back as the longest piece reaches."""
+        scores, endings, size = self.scores, self.endings, self.longest
+        best, count = deque([0.0], size), deque([0], size)
+        for depth in range(1, len(word) + 1):
+            top, fewest = -math.inf, 0
+            for n in range(1, min(depth, size) + 1):
+                piece = word[depth - n : depth]
+                if piece not in endings:
+                    break
+                score = scores.get(piece)
+                if score is not None:
+                    total, tokens = best[-n] + score, count[-n] + 1
+                    if total > top or total == top and tokens <= fewest:
+                        top, fewest = total, tokens
+            best.append(top)
+            count.append(fewest)
+        return count[-1]
+
     def _add(self, word: bytes, depth: int, path: list[int]) -> int:
         scores, endings = self.scores, self.endings
         top, fewest = -math.inf, 0
@@ -92,6 +114,8 @@ class Counter(dict):
         self.pattern = regex.compile(public_tokenizers.PATTERN)
 
     def __missing__(self, word: str) -> int:
+        if len(word) > LONG:
+            return self.trie.forward(word.encode())
         if len(self) >= KEPT:
             self.clear()
         if len(self.trie.best) >= NODES:

@@ -12,6 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_frames import EMPTY, ROWS, frame, plain
+from pyspark.sql import functions as F
 
 from corpusloom.llm import byte_net, chat, mixing, quality_rules, search, secret_scan, simhash
 
@@ -390,15 +391,25 @@ def test_pruning_is_exact():
         "counts": np.concatenate([np.array(c, int) for c in counts])[order].astype("<u1").tobytes(), "lengths": lengths.astype("<i4").tobytes(),
     }
     df = Counter(t for text in texts for t in set(text.split()))
+    opened = {}
     for block, step in ((1, 1), (4, 2), (32, 16), (1000, 1)):
+        search.FEWEST, search.MOST = step, 4 * step
         segment = search.Segment(row, lengths.mean(), block)
         for q in range(0, 700, 50):
             asked = Counter(texts[q].split())
             if asked:
                 weights = [n * math.log(1 + (len(texts) - df[t] + 0.5) / (df[t] + 0.5)) for t, n in asked.items()]
-                scores, ids = segment.search(list(asked), weights, 5, (np.empty(0), np.empty(0, np.int64)), step)
+                query = search.Query(q, " ".join(asked), weights)
+                opened[block] = opened.get(block, 0) + segment.search(query, 5) / segment.blocks
+                ids = query.ids
                 want = bm25_by_hand(list(enumerate(texts)), {q: Counter(t.encode() for t in texts[q].split())}, 5)[q]
                 assert ids.tolist() == [i for i, _ in want]
+                # With its own best scores to beat, the segment holds nothing new, and hardly a block is opened again.
+                again = search.Query(q, " ".join(asked), weights)
+                again.scores, again.ids = query.scores, query.ids + 10_000
+                assert segment.search(again, 5) <= segment.blocks
+    assert opened[1] < 0.6 * len(range(0, 700, 50))
+    search.FEWEST, search.MOST = 4, 64
 
 
 def chat_by_hand(rows):
@@ -441,3 +452,84 @@ def test_templates_that_could_not_be_read_back_are_refused():
         chat.Template(controls=("<a<", "<b<"), turns={}, other=("<a<{role}<b<", "<b<"))
     with pytest.raises(ValueError, match="starts and ends"):
         chat.Template(controls=("[A]", "[B]"), turns={"user": ("hello", "[B]")}, other=("[A]{role}[B]", "[B]"))
+
+
+LETTERS = "a" * 1_000_000
+
+
+def timed(action):
+    import time
+
+    start = time.perf_counter()
+    out = action()
+    return out, time.perf_counter() - start
+
+
+def test_unbroken_megabytes_take_linear_time(spark):
+    from corpusloom.llm import unigram_counts
+
+    rows = [(k, text, "en", "a", len(text)) for k, text in enumerate([LETTERS, "eyJ" * 333_333, "a@" * 500_000, "x" + "eyJa." * 200_000, "ghp_" * 250_000])]
+    table = plain(spark, rows).cache()
+    table.count()
+    secret_scan.scan(plain(spark, rows[:1])).collect()
+    (found, seconds) = timed(lambda: secret_scan.scan(table).collect())
+    assert seconds < 60 and [len(r["spans"]) for r in sorted(found, key=lambda r: r["doc_id"])][:3] == [1, 0, 0]
+    (drawn, seconds) = timed(lambda: table.select("doc_id", mixing.topic_of(F.col("text")).alias("t")).collect())
+    assert seconds < 20 and {r["t"] for r in drawn} == {"general"}
+    (counted, seconds) = timed(lambda: unigram_counts.count_tokens(table.where("doc_id < 2")).collect())
+    assert seconds < 60 and all(r["n_pretokens"] == 1 for r in counted)
+    table.unpersist()
+
+
+@pytest.mark.parametrize("text", ["eyJa.b.c", "xeyJa.b.c.d", "eyJ.eyJa.b.c", "eyJeyJ.a.b", "eyJ", "eyJa.b", "eyJa.b.eyJc.d.e eyJf.g.h", "-eyJ_eyJ-.x.y.", "zeyJ.a.b eyJq.w.e"])
+def test_web_tokens_are_the_plain_ones(spark, text):
+    want = [(m.start(), m.end()) for m in re.finditer(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", text)]
+    spans = secret_scan.scan(plain(spark, [(1, text, "en", "a", 1)])).first()["spans"]
+    assert [(s["start"], s["end"]) for s in spans if s["kind"] == "web_token"] == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abctheion ", max_size=40))
+def test_long_words_are_counted_without_nodes(word):
+    from corpusloom.llm import unigram_counts
+
+    trie = unigram_counts._counter(unigram_counts.default_path()).trie
+    assert trie.forward(word.encode()) == trie.insert(word.encode())
+
+
+def test_redacted_rows_share_no_key(spark):
+    """Equal ids and texts keep their own columns; a null text stays null, and ids may be texts."""
+    secret = "password=abcdefgh12345 tail"
+    rows = [("1", secret, "en", "a", 27, {"k": 1}), ("1", secret, "fr", "b", 27, {"k": 2}), ("x", None, "en", "c", None, None), ("y", "plain", "en", "d", 5, {})]
+    table = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars long, more map<string,int>")
+    got = sorted((tuple(r) for r in secret_scan.redacted(table).collect()), key=str)
+    assert got == sorted([("1", "[secret] tail", "en", "a", 13, {"k": 1}), ("1", "[secret] tail", "fr", "b", 13, {"k": 2}), ("x", None, "en", "c", None, None), ("y", "plain", "en", "d", 5, {})], key=str)
+
+
+def test_rows_that_differ_in_a_map_are_different_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, more map<string,int>"
+    keys = lambda rows: [tuple(r) for r in spark.createDataFrame(rows, schema).select(*simhash._row_keys(spark.createDataFrame(rows, schema))).collect()]
+    a, b = (1, "t", "en", "a", 1, {"k": 1}), (1, "t", "en", "a", 1, {"k": 2})
+    found = keys([a, b, a])
+    assert found[0] != found[1] and found[0] == found[2]
+    assert simhash.one_of_each(spark.createDataFrame([a, b], schema)).count() == 1
+
+
+def test_ids_that_are_no_numbers_count_as_missing(spark):
+    from corpusloom.llm import packing, simple8b, unigram_counts
+
+    table = spark.createDataFrame([("7", "one two", "en", "a", 7), ("x", "three", "en", "a", 5)], "doc_id string, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([("7", 1), ("x", 0)], "doc_id string, quality int")
+    for made in (
+        simple8b.round_trip(table), mixing.probabilities(table), secret_scan.scan(table), simhash.near_duplicates(table), byte_net.classify(table, labels),
+        unigram_counts.count_tokens(table), packing.pack(table), quality_rules.judge(table),
+    ):
+        assert {r["doc_id"] for r in made.select("doc_id").collect()} == {7, None}
+
+
+def test_targets_that_contradict_each_other_warn(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens long")
+    share = lambda a, b: spark.createDataFrame([a, b], "value string, share double")
+    targets = {"source": share(("a", 0.9), ("b", 0.1)), "lang": share(("x", 0.1), ("y", 0.9))}
+    with pytest.warns(RuntimeWarning, match="missed by"):
+        mixing.rake(cells, targets, sweeps=6).collect()
