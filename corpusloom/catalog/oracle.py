@@ -541,6 +541,7 @@ def build() -> dict[str, str]:
         f"SELECT doc_id, {_r('compression_ratio')} AS compression_ratio FROM v_docs WHERE compression_ratio < (SELECT quantile_cont(compression_ratio, 0.99) FROM v_docs)"
     )
     q["no_sentences"] = _with(f"SELECT doc_id FROM v_cleaned WHERE len({_sentences('text')}) = 0")
+    q["dedup_apart"] = "SELECT doc_id, source, lang, md5(text) AS text_md5 FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"
     q["dedup_exact"] = _with("SELECT min(doc_id) AS doc_id, text FROM v_cleaned GROUP BY text")
     q["shuffle_rank"] = _with("SELECT doc_id, rank FROM v_ranked")
     q["split_exact"] = _with("SELECT doc_id, split FROM v_split")

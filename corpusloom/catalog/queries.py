@@ -393,6 +393,13 @@ def no_sentences(spark, sf_dir):
     return so.without_sentences(v.cleaned(spark, sf_dir), "text").select("doc_id")
 
 
+@query
+def dedup_apart(spark, sf_dir):
+    """The raw documents without exact copies; only texts that may have some are moved."""
+    rows = v.documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
+    return filters.drop_copies_apart(rows, "text", "doc_id").select("doc_id", "source", "lang", F.md5("text").alias("text_md5"))
+
+
 @query
 def dedup_exact(spark, sf_dir):
     return filters.drop_exact_copies(v.cleaned(spark, sf_dir), "text", "doc_id").select("doc_id", "text")

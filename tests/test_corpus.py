@@ -134,6 +134,18 @@ def test_quantiles_with_a_hot_key_and_a_hot_value(spark):
     assert (out["cold"].a, out["single"].a) == (3.0, 7.0) and "none" not in out
 
 
+@pytest.mark.parametrize("bits", [1 << 16, 64])
+def test_copies_are_found_apart(spark, monkeypatch, bits):
+    """With a broadcast, with a bitmap, and with one so full that every text seems to have a copy."""
+    monkeypatch.setattr(filters, "BITMAP_BITS", bits)
+    texts = [None, "", "a", "b", *[f"text {i % 150}" for i in range(400)], "a", None, "c"]
+    rows = spark.createDataFrame([(1000 - k, text, "x") for k, text in enumerate(texts)], "id long, t string, _first string").repartition(5)
+    want = sorted(map(str, filters.drop_exact_copies(rows, "t", "id").collect()))
+    assert sorted(map(str, filters.drop_copies_apart(rows, "t", "id").collect())) == want
+    assert sorted(map(str, filters.drop_copies_apart(rows, "t", "id", max_rows=0).collect())) == want
+    assert filters.drop_copies_apart(rows.limit(0), "t", "id", max_rows=0).count() == 0
+
+
 def test_histogram_edges(spark):
     np = pytest.importorskip("numpy")
     values = [float(x) for x in np.random.default_rng(5).normal(size=400)] + [0.1 * i for i in range(50)]
