@@ -8,7 +8,7 @@ A segment is searched as block-max WAND does it, a block at a time instead of a
 on the first block, not before the current one, that has the term. The pivot is the first block whose cursors' term maxima
 add up to the k-th best score so far; what lies before it is skipped. If the block maxima there do not add up to that, the
 block is skipped too, else its postings are scored. The score to beat is carried on from block to block and from segment
-to segment. Cursors of a whole segment are moved together: the sums of a block are sums over the terms that are in it.
+to segment; where there is none yet, the blocks with the largest maxima give one first. Cursors of a whole segment are moved together: the sums of a block are sums over the terms that are in it.
 
 Segments are dealt to shards and queries to blocks of queries; a task holds a block of queries and opens the segments of its shard one
 after the other. The best of all shards are merged. Document frequencies, the number of documents and their mean length are
@@ -33,8 +33,8 @@ K1, B = 1.2, 0.75
 #: Documents and postings of a segment at most (one long document may exceed the second), documents of a block and of a shard, and about
 #: how many queries a task holds.
 SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK, SHARD_DOCS, QUERIES = 8192, 1_500_000, 32, 32768, 4096
-#: Pivots that are opened together: few at first, while there is no score to beat, then more.
-FEWEST, MOST = 4, 64
+#: Pivots that are opened together: few at first, then more. Blocks that are opened to have a score to beat at all.
+FEWEST, MOST, SEEDS = 4, 64, 16
 #: Scores count as equal if they agree to so many decimals; then the smaller doc_id comes first.
 DECIMALS = 6
 NO_ID = np.iinfo(np.int64).max
@@ -165,7 +165,7 @@ class Segment:
         place = np.repeat(np.arange(len(starts) - 1) * self.blocks, np.diff(starts)) + self.docs // block
         first = np.flatnonzero(np.diff(place, prepend=-1))
         self.entry_first = np.append(first, len(self.docs))
-        self.entry_block = (self.docs[first] // block).astype(np.int64)
+        self.entry_block = (self.docs[first] // block).astype(np.uint16)
         most = np.maximum.reduceat(self.impacts, first) if len(first) else np.empty(0)
         self.entry_most = np.nextafter(most.astype(np.float32), np.float32(np.inf))
         self.entries = np.searchsorted(first, starts)
@@ -192,10 +192,17 @@ class Segment:
         cursor, step, opened = 0, FEWEST, 0
         while cursor < self.blocks:
             floor = query.floor(k)
-            pivots = np.flatnonzero((reach[cursor:] >= floor) & (most[cursor:] >= floor) & (most[cursor:] > 0))[:step] + cursor
+            if not opened and not floor:
+                # No score to beat yet: the blocks with the largest maxima give one, and are not met again.
+                pivots = np.sort(np.argsort(-most, kind="stable")[:SEEDS])
+                pivots = pivots[most[pivots] > 0]
+            else:
+                pivots = np.flatnonzero((reach[cursor:] >= floor) & (most[cursor:] >= floor) & (most[cursor:] > 0))[:step] + cursor
+                cursor, step = int(pivots[-1]) + 1 if len(pivots) else self.blocks, min(2 * step, MOST)
             if not len(pivots):
                 break
-            cursor, step, opened = int(pivots[-1]) + 1, min(2 * step, MOST), opened + len(pivots)
+            opened += len(pivots)
+            most[pivots] = 0
             before = np.where(pivots > 0, upto[pivots - 1], 0)
             at = _ranges(before, upto[pivots] - before)
             begin = self.entry_first[entry[at]]
