@@ -626,6 +626,7 @@ def build() -> dict[str, str]:
     q["hallucinated"] = _with(f"SELECT pair_id, len(missing) AS n_hallucinated, {_join('list_slice(missing, 1, 5)')} AS entities FROM v_pair_scores")
     q["sim_edges"] = _with("SELECT * FROM v_sim")
     q["entity_edges"] = _with("SELECT * FROM v_shared")
+    q["entity_groups"] = _with("SELECT cluster_id, CAST(entity AS VARCHAR) AS entity, pos, count(*) OVER (PARTITION BY cluster_id, entity) - 1 AS others FROM v_vec")
     q["adjacency"] = _with("SELECT * FROM v_adj")
     q["adjacency_cluster"] = _with("SELECT * FROM v_cluster_adj")
     q["graph_degree"] = _with(

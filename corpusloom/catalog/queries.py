@@ -574,6 +574,11 @@ def entity_edges(spark, sf_dir):
     return graph.entity_edges(v.vectors(spark, sf_dir))
 
 
+@query
+def entity_groups(spark, sf_dir):
+    return dense_graph.entity_groups(cut_lineage(v.vectors(spark, sf_dir)))
+
+
 @query
 def adjacency(spark, sf_dir):
     return graph.adjacency(v.vectors(spark, sf_dir), 0.2)

@@ -57,6 +57,17 @@ def entity_degrees(nodes: DataFrame, most: int = SUBSETS) -> DataFrame:
     return _plain(nodes).join(met, ["cluster_id", "entities"], "left").select("cluster_id", "pos", degree.alias("degree"))
 
 
+def entity_groups(nodes: DataFrame) -> DataFrame:
+    """``(cluster_id, entity, pos, others)``: which nodes hold an entity, and how many others do.
+
+    The edges by shared entities in a form that grows with the nodes: any two nodes of a group are neighbours. ``graph.entity_edges``
+    lists the pairs, whose number grows with the square of the largest group.
+    """
+    rows = _plain(nodes).where("filled").select("cluster_id", F.explode("entities").alias("entity"), "pos")
+    sizes = rows.groupBy("cluster_id", "entity").agg((F.count("*") - 1).alias("others"))
+    return rows.join(sizes, ["cluster_id", "entity"]).select("cluster_id", "entity", "pos", "others")
+
+
 def _shared(entities: pa.ChunkedArray) -> np.ndarray:
     """Which rows have an entity in common."""
     lists = entities.combine_chunks()

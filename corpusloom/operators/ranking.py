@@ -74,12 +74,10 @@ def bucket_offsets(df: DataFrame, bucket: str, keys: tuple[str, ...] = ()) -> Da
 def add_rank(df: DataFrame, order_by: list[str], bucket: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Add ``rank`` (1 for the first row of a group) in the order of ``order_by``, which must be total.
 
-    ``bucket`` must never fall along that order. Without ``keys`` the table of offsets has one row per
-    bucket and is broadcast; with keys its size is left to Spark to judge.
+    ``bucket`` must never fall along that order. The table of offsets has one row per bucket (and group). How it is joined is left
+    to Spark, which knows its size when it has been made: a caller's buckets may be many.
     """
     offsets = bucket_offsets(df, bucket, keys).select(*keys, bucket, "start")
-    if not keys:
-        offsets = F.broadcast(offsets)
     inside = Window.partitionBy(*keys, bucket).orderBy(*order_by)
     local = df.withColumn("_local", F.row_number().over(inside))
     return (

@@ -9,7 +9,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of a table that is sent to all tasks.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 #: Bytes of keys and values that a dictionary in every Python worker may hold; there it takes some five times as much.
 DICTIONARY_BYTES = 24_000_000
 SALTS = 16
@@ -68,9 +69,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``table`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
-    return table.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if ``table`` has at most ``max_rows`` rows that hold at most ``max_bytes``; reads no more than one row beyond that.
+
+    Texts count with their bytes, however long; lists and records with those of their JSON."""
+
+    def width(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(name), F.lit(0))
+        return F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)) if "<" in kind else F.lit(8)
+
+    total = sum((width(*column) for column in table.dtypes), F.lit(16)).cast("long")
+    rows, size = table.limit(max_rows + 1).agg(F.count("*"), F.sum(total)).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def dictionary(table: DataFrame, max_bytes: int = DICTIONARY_BYTES) -> Broadcast[dict] | None:
@@ -96,7 +107,7 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``rows`` to a lookup ``table`` with unique keys, whatever the size of the table.
 
-    A table of at most ``max_rows`` rows is broadcast. A larger one is shuffled, with the key salted:
+    A table of at most ``max_rows`` rows, and of as many bytes as ``fits_broadcast`` allows, is broadcast. A larger one is shuffled, with the key salted:
     each lookup row is copied ``salts`` times and ``rows`` spread over the copies by ``salt_by``, so a
     key holding a third of all rows is handled by ``salts`` tasks. The table is checkpointed first, since
     counting its rows would otherwise compute it twice.
