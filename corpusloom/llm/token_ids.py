@@ -15,8 +15,9 @@ import regex
 
 END_ID = 0
 #: Pieces that a worker remembers at most (some 200 bytes each), beyond it starts again, and the longest that are kept. Bytes of
-#: text of a batch. Words that are encoded as one, and the longest, in bytes, that are. None changes a result.
-MEMO, KEPT, BATCH_BYTES, CHUNK, LONGEST = 100_000, 11, 6_000_000, 500, 200
+#: text of a batch. Words that are encoded as one, the longest, in bytes, that are, and how many a worker remembers. None
+#: changes a result.
+MEMO, KEPT, BATCH_BYTES, CHUNK, LONGEST, WORDS = 50_000, 11, 10_000_000, 500, 200, 150_000
 #: Punctuation that may end a piece behind a word; a run of it is a pre-token of its own.
 ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -65,6 +66,7 @@ class Encoder:
         self.after_blank: dict[str, bytes] = _Memo(lambda piece: self._piece(" " + piece))
         self.other: dict[str, bytes] = _Memo(self._piece)
         self.tokens: dict[str, bytes] = _Memo(self._token)
+        self.kept: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab() if self.cuts else {}
         self.blank = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.blank[[number for token, number in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -77,19 +79,30 @@ class Encoder:
     def _token(self, word: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of letters, each after a blank, and how many each has. No merge goes over a blank, so many words are encoded
-        as one; a word begins at each id whose token begins with a blank."""
+    def _words(self, words: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words of letters, each after a blank, and how many each has. Those that come ``often`` are remembered.
+
+        No merge goes over a blank, so many words are encoded as one; a word begins at each id whose token begins with a blank."""
+        held = list(map(self.kept.get, words))
+        new = np.array([ids is None for ids in held], bool)
+        missing = [word for word, ids in zip(words, held, strict=True) if ids is None]
         found = array("I")
-        for first in range(0, len(words), CHUNK):
-            written = (" " + " ".join(words[first : first + CHUNK])).encode().decode("latin-1").translate(self.alphabet)
+        for first in range(0, len(missing), CHUNK):
+            written = (" " + " ".join(missing[first : first + CHUNK])).encode().decode("latin-1").translate(self.alphabet)
             found.extend([t.id for t in self.model.tokenize(written)])
-        ids = np.array(found, "<u4")
-        return ids, np.diff(np.append(np.flatnonzero(self.blank[ids]), len(ids)))
-
-    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.array(found, "<u4")
+        starts = np.flatnonzero(self.blank[flat])
+        sizes = np.diff(np.append(starts, len(flat)))
+        for i in np.flatnonzero(often[new])[: WORDS - len(self.kept)].tolist():
+            self.kept[missing[i]] = flat[starts[i] : starts[i] + sizes[i]].tobytes()
+        flat, sizes = _joined(flat, sizes, [ids for ids in held if ids is not None])
+        order = np.empty(len(words), np.int64)
+        order[new], order[~new] = np.arange(len(missing)), np.arange(len(missing), len(words))
+        return _gathered(flat, sizes, order)
+
+    def _pieces(self, pieces: pa.Array, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of different pieces, each after a blank, and how many each has. Most are a word of letters with or without punctuation
-        behind it, which is a pre-token of its own."""
+        behind it, which is a pre-token of its own. ``times``: how often each piece comes."""
         words = pc.utf8_rtrim(pieces, characters=ENDS)
         plain = pc.and_(pc.utf8_is_alpha(words), pc.less(pc.binary_length(words), LONGEST)).to_numpy(zero_copy_only=False)
         sizes, bare = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (pieces, words))
@@ -99,12 +112,13 @@ class Encoder:
         number: dict[str, int] = {}
         of_tail = np.array([number.setdefault(tail, len(number)) for tail in tails], np.int64)
         odd = list(map(self.after_blank.__getitem__, pieces.filter(pa.array(~plain)).to_pylist()))
-        flat, many = self._words(coded.dictionary.to_pylist())
+        word = coded.indices.to_numpy()
+        flat, many = self._words(coded.dictionary.to_pylist(), np.bincount(word, times[plain], len(coded.dictionary)) > 1)
         n = len(many)
         flat, many = _joined(flat, many, [self.other[tail] for tail in number] + odd)
         # A piece is one entry of these, or a word and its tail.
         first = np.zeros(len(pieces), np.int64)
-        first[plain] = coded.indices.to_numpy()
+        first[plain] = word
         first[~plain] = n + len(number) + np.arange(len(odd))
         entries = np.insert(first, tailed + 1, n + of_tail)
         flat, taken = _gathered(flat, many, entries)
@@ -120,7 +134,7 @@ class Encoder:
         coded = pieces.dictionary_encode()
         firsts = pieces.take(pa.array(cuts[:-1])).to_pylist()
         whole = texts.filter(pa.array(odd)).to_pylist()
-        flat, sizes = self._pieces(coded.dictionary) if len(pieces) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        flat, sizes = self._pieces(coded.dictionary, np.bincount(coded.indices.to_numpy())) if len(pieces) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
         # Entries: the different pieces after a blank, the first piece of each text, texts that are not cut, the end.
         n = len(sizes)
         rest = [self.other[piece] for piece in firsts] + [self.ids(text, end=False).tobytes() for text in whole] + [struct.pack("<I", END_ID)]
