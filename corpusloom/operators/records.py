@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import sentences as st
 from corpusloom.functions import text as tx
 from corpusloom.operators import ranking as rk
-from corpusloom.shared import DICTIONARY_BYTES, computed_once, cut_lineage, dictionary, lookup_join
+from corpusloom.operators.lookup import looked_up
+from corpusloom.shared import DICTIONARY_BYTES, computed_once, cut_lineage
 
 # Fixed value: labels with this id do not enter the loss.
 IGNORED = -100
@@ -37,48 +34,24 @@ def vocabulary_ids(token_counts: DataFrame, size: int | None = None) -> DataFram
     return top.select("token", (F.row_number().over(order) + (len(SPECIALS) - 1)).cast("int").alias("token_id"))
 
 
-def _ids_in_place(known: Broadcast) -> Callable[[Column], Column]:
-    """Arrow function: lines of blank-separated tokens -> an array of ids a line."""
-
-    @F.pandas_udf("array<array<int>>")
-    def ids(texts: pd.Series) -> pd.Series:
-        number = known.value
-        found = [[[number.get(t, UNKNOWN) for t in line.split(" ")] if line else [] for line in text.split("\n")] for text in texts]
-        return pd.Series(found, dtype="object")
-
-    return ids
-
-
 def _line(tokens: Column) -> Column:
     return F.coalesce(F.array_join(tokens, " "), F.lit(""))
 
 
+def _found_ids(df: DataFrame, id_col: str, lines: Column, vocabulary: DataFrame, max_bytes: int) -> DataFrame:
+    """``(id, _found)``: lines of blank-separated tokens as an array of ids a line."""
+    table = cut_lineage(vocabulary.select("token", F.col("token_id").cast("int").alias("token_id"), F.col("token_id").alias("_order")))
+    return looked_up(df, [id_col], {"_found": lines}, table, lambda t: UNKNOWN, max_bytes)
+
+
 def encode(df: DataFrame, id_col: str, texts: dict[str, Column], vocabulary: DataFrame, max_bytes: int = DICTIONARY_BYTES) -> DataFrame:
     """``(id, name...)``: token arrays turned into id arrays, an unknown token into ``UNKNOWN``; tokens hold no white space.
 
-    A vocabulary of at most ``max_bytes`` goes to the tasks as a dictionary, so tokens neither become rows nor move. With
-    a larger one all arrays of a row travel together: one look-up and one shuffle, of numbers rather than texts.
+    Tokens are replaced where they lie (``lookup.looked_up``): of a vocabulary of more than ``max_bytes`` the smallest ids, which
+    are the most frequent tokens, are a dictionary, and only other tokens become rows, one for each that a text has.
     """
-    vocabulary = cut_lineage(vocabulary.select("token", "token_id"))
-    known = dictionary(vocabulary, max_bytes)
-    if known is not None:
-        lines = F.concat_ws("\n", *[_line(c) for c in texts.values()])
-        found = computed_once(df.select(id_col, _ids_in_place(known)(lines).alias("_ids")), {"_ids": F.col("_ids")})
-        return found.select(id_col, *[F.get("_ids", F.lit(part)).alias(name) for part, name in enumerate(texts)])
-    words = F.concat(*[F.transform(c, _word(part)) for part, c in enumerate(texts.values())])
-    rows = df.select(id_col, F.inline_outer(words))
-    found = lookup_join(rows, vocabulary, ["token"], F.struct(id_col, "pos"), "left")
-    number = F.coalesce("token_id", F.lit(UNKNOWN))
-
-    def ids(part: int, name: str) -> Column:
-        kept = F.collect_list(F.when(F.col("part") == part, F.struct("pos", number.alias("id"))))
-        return F.transform(F.sort_array(kept), lambda t: t["id"]).alias(name)
-
-    return found.groupBy(id_col).agg(*[ids(part, name) for part, name in enumerate(texts)])
-
-
-def _word(part: int):
-    return lambda t, i: F.struct(F.lit(part).alias("part"), i.alias("pos"), t.alias("token"))
+    found = _found_ids(df, id_col, F.concat_ws("\n", *[_line(c) for c in texts.values()]), vocabulary, max_bytes)
+    return found.select(id_col, *[F.get("_found", F.lit(part)).alias(name) for part, name in enumerate(texts)])
 
 
 def pad(ids: Column, length: int, value: int = PAD) -> Column:
@@ -105,28 +78,11 @@ def sentence_records(
     """``(id, n_sentences, input_ids, attention_mask)``: a slots x length matrix per text."""
     sentences = st.first_sentences(st.split_sentences(F.col(text_col)), slots)
     words = F.transform(sentences, lambda s: F.slice(tx.tokens(F.lower(s)), 1, length))
-    vocabulary = cut_lineage(vocabulary.select("token", "token_id"))
-    known = dictionary(vocabulary, max_bytes)
-    if known is not None:
-        lines = F.coalesce(F.array_join(F.transform(words, _line), "\n"), F.lit(""))
-        gathered = computed_once(df.select(id_col, _ids_in_place(known)(lines).alias("_found")), {"_found": F.col("_found")})
-    else:
-        flat = F.flatten(
-            F.transform(
-                words, lambda s, slot: F.transform(s, lambda t, i: F.struct(slot.alias("slot"), i.alias("pos"), t.alias("token")))
-            )
-        )
-        found = lookup_join(df.select(id_col, F.inline_outer(flat)), vocabulary, ["token"], F.struct(id_col, "slot", "pos"), "left")
-        item = F.struct("slot", "pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id"))
-        items = found.groupBy(id_col).agg(F.sort_array(F.collect_list(F.when(F.col("slot").isNotNull(), item))).alias("items"))
-
-        def slot_ids(slot: Column) -> Column:
-            return F.transform(F.filter("items", lambda x: x["slot"] == slot), lambda x: x["id"])
-
-        gathered = items.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), slot_ids).alias("_found"))
+    lines = F.coalesce(F.array_join(F.transform(words, _line), "\n"), F.lit(""))
+    gathered = _found_ids(df, id_col, lines, vocabulary, max_bytes)
     none = F.array().cast("array<int>")
     rows = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda slot: F.coalesce(F.get("_found", slot), none))
-    return gathered.withColumn("_ids", rows).select(
+    return computed_once(gathered, {"_ids": rows}).select(
         id_col,
         F.size(F.filter("_ids", lambda row: F.size(row) > 0)).cast("bigint").alias("n_sentences"),
         F.transform("_ids", lambda row: pad(row, length)).alias("input_ids"),

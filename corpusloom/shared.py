@@ -84,18 +84,39 @@ def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
     return rows <= max_rows and (size or 0) <= max_bytes
 
 
+def _entry_bytes(table: DataFrame) -> Column:
+    key, value = table.columns[:2]
+    return F.octet_length(F.col(key).cast("string")) + F.octet_length(F.col(value).cast("string")) + 16
+
+
+def dictionary_bytes(table: DataFrame) -> int:
+    """What the rows of a table ``(key, value...)`` count in a dictionary."""
+    return table.agg(F.sum(_entry_bytes(table))).first()[0] or 0
+
+
 def dictionary(table: DataFrame, max_bytes: int = DICTIONARY_BYTES) -> Broadcast[dict] | None:
     """A checkpointed two-column table as a dictionary in every task, or None if its rows hold more than ``max_bytes``.
 
     For tasks that look words up where they lie, instead of moving a row a word.
     """
-    key, value = table.columns
-    size = F.octet_length(F.col(key).cast("string")) + F.octet_length(F.col(value).cast("string")) + 16
-    if (table.agg(F.sum(size)).first()[0] or 0) > max_bytes:
+    if dictionary_bytes(table) > max_bytes:
         return None
     return table.sparkSession.sparkContext.broadcast({row[0]: row[1] for row in table.collect()})
 
 
+def common_part(table: DataFrame, order: str, max_bytes: int = DICTIONARY_BYTES) -> DataFrame:
+    """The rows of a table ``(key, value, order)`` with the smallest ``order`` that a dictionary of ``max_bytes`` holds, long keys left out."""
+    n, size = table.agg(F.count("*"), F.sum(_entry_bytes(table))).first()
+    share = max_bytes / max(size or 0, 1)
+    if not n or share < 0.01:
+        return table.limit(0)
+    short = table.where(F.octet_length(table.columns[0]) <= 64)
+    if share >= 1:
+        return short
+    cut = short.approxQuantile(order, [share], share / 20)
+    return short.where(F.col(order) < cut[0]) if cut else short
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,

@@ -125,3 +125,17 @@ def test_leaderboard_ties(spark):
 def test_epoch_mean_without_batches(spark):
     df = spark.createDataFrame([("r", 1, None)], "run string, epoch long, loss double")
     assert runlog.epoch_means(df, ["run", "epoch"], "loss").first().avg_loss == 0.0
+
+
+def test_large_vocabularies_move_rare_tokens_only(spark):
+    """Rows with one id, or none, stay apart; frequent tokens are a dictionary."""
+    counts = spark.createDataFrame([(f"w{i}", 1000 - i) for i in range(400)], "token string, n long")
+    vocabulary = records.vocabulary_ids(counts)
+    rows = [(1, "w1 w399 nowhere w2. W3 w300 w301."), (1, "w399 w5 w6 w7."), (None, "w0 w398 w0."), (None, "w7 w8 w9."), (2, ""), (3, None)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    texts = {"x": tx.tokens(F.lower(F.col("t"))), "y": tx.tokens(F.upper(F.col("t")))}
+    for job in (lambda n: records.encode(df, "id", texts, vocabulary, n), lambda n: records.sentence_records(df, "id", "t", vocabulary, 3, 4, n)):
+        in_place, mixed, joined = (sorted((str(tuple(r)) for r in job(n).collect())) for n in (10**6, 4000, 0))
+        assert in_place == mixed == joined and len(joined) == len(rows)
+    common = shared.common_part(vocabulary.withColumn("o", F.col("token_id")), "o", 4000)
+    assert 0 < common.count() < 400 and common.agg(F.max("token_id")).first()[0] < 300
