@@ -7,120 +7,99 @@ spread over tasks, pairs are formed inside a group, and only edges leave it. A s
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.vectors import let
+from corpusloom.operators import blocks
 
 THRESHOLD = 0.75
-BLOCK = 256
-LOW = 0xFFFFFFFF
-
-
-def block_pairs(nodes: DataFrame, slots: int | None = None, block: int = BLOCK) -> DataFrame:
-    """``(cluster_id, i, j, nodes)``, i <= j: the nodes of two blocks (or one) of a cluster, in order of position.
+#: Nodes of a block; a node travels once for each block of its cluster.
+BLOCK = 1024
+
+
+def _neighbours(group: pa.Table, i: int, j: int, threshold: float | None, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linked nodes, the smaller one first, of the blocks ``i`` and ``j``."""
+    used = group.filter(group.column("filled"))
+    pos = used.column("pos").to_numpy()
+    first, second = np.flatnonzero(pos // block == i), np.flatnonzero(pos // block == j)
+    linked = np.zeros((len(first), len(second)), bool)
+    if threshold is not None and linked.size:
+        vectors = used.column("vec").combine_chunks()
+        given = vectors.is_valid()
+        if len(pc.unique(pc.list_value_length(vectors.filter(given)))) > 1:
+            raise ValueError("the vectors of a cluster differ in length")
+        known = blocks.matrix(vectors.filter(given))
+        unit = np.full((len(pos), known.shape[1]), np.nan)
+        unit[given.to_numpy(zero_copy_only=False)] = blocks.units(known)
+        linked |= unit[first] @ unit[second].T > threshold
+    if "entities" in used.column_names:
+        lists = used.column("entities").combine_chunks()
+        code = lists.flatten().dictionary_encode().indices
+        row, code = pc.list_parent_indices(lists).filter(code.is_valid()).to_numpy(), code.drop_null().to_numpy()
+        order = np.argsort(code, kind="stable")
+        left, right = np.full(len(pos), -1), np.full(len(pos), -1)
+        left[first], right[second] = np.arange(len(first)), np.arange(len(second))
+        for holders in np.split(row[order], np.flatnonzero(np.diff(code[order])) + 1):
+            if len(holders) > 1:
+                a, b = left[holders], right[holders]
+                linked[np.ix_(a[a >= 0], b[b >= 0])] = True
+    a, b = np.nonzero(linked)
+    src, dst = pos[first][a], pos[second][b]
+    kept = src < dst
+    return src[kept], dst[kept]
+
+
+def _edges(nodes: DataFrame, threshold: float | None, entities: bool, loops: bool, slots: int | None, block: int) -> DataFrame:
+    """``(cluster_id, src, dst)``, both directions: what two blocks (or one) of a cluster have in common is found in one task.
 
     ``nodes`` is ``(cluster_id, pos, vec, entities[, sentence])``; ``pos`` counts from 0. With ``slots``, nodes beyond the
-    last slot do not exist. Nodes with a blank sentence take part in no edge.
+    last slot do not exist. Nodes with a blank sentence take part in no edge. With ``loops``, an edge comes once, and every node
+    (or slot) has one to itself.
     """
     used = nodes if slots is None else nodes.where(F.col("pos") < slots)
     filled = F.coalesce(F.trim(F.col("sentence")) != "", F.lit(False)) if "sentence" in nodes.columns else F.lit(True)
-    node = F.struct(
-        F.col("pos").cast("long").alias("pos"),
-        F.transform("vec", lambda x: x.cast("double")).alias("vec"),
-        F.col("entities"),
-        filled.alias("filled"),
-    )
-    rows = used.select("cluster_id", F.floor(F.col("pos") / block).alias("_own"), node.alias("_node"))
-    if slots is not None and slots <= block:
-        rows = rows.withColumn("_last", F.lit(0).cast("long"))
-    else:
-        last = used.groupBy("cluster_id").agg(F.floor(F.max("pos") / block).alias("_last"))
-        rows = rows.join(last, "cluster_id")
-    paired = rows.select("cluster_id", "_own", "_node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_other"))
-    pair = [F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j")]
-    return paired.groupBy("cluster_id", *pair).agg(F.sort_array(F.collect_list("_node")).alias("nodes"))
-
-
-def _similar_pairs(threshold: float, block: int):
-    """Arrow UDF: positions and vectors of a group -> coded pairs, src < dst, from the group's two blocks."""
-
-    @F.pandas_udf("array<long>")
-    def pairs(lower: pd.Series, upper: pd.Series, positions: pd.Series, vectors: pd.Series) -> pd.Series:
-        found = []
-        for i, j, pos, vecs in zip(lower, upper, positions, vectors):
-            if len(pos) < 2:
-                found.append([])
-                continue
-            matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vecs])
-            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-            unit = matrix / np.maximum(norms, 1e-12)
-            number = np.asarray(pos, dtype=np.int64)
-            first, second = number // block == i, number // block == j
-            a, b = np.nonzero(unit[first] @ unit[second].T > threshold)
-            src, dst = number[first][a], number[second][b]
-            kept = src < dst
-            found.append((src[kept] << 32 | dst[kept]).tolist())
-        return pd.Series(found)
-
-    return pairs
-
-
-def _similarity_codes(threshold: float, block: int) -> Column:
-    filled = F.filter("nodes", lambda n: n["filled"])
-    positions = F.transform(filled, lambda n: n["pos"])
-    return _similar_pairs(threshold, block)("i", "j", positions, F.transform(filled, lambda n: n["vec"]))
-
-
-def _code(src: Column, dst: Column) -> Column:
-    return F.shiftleft(src, 32).bitwiseOR(dst)
-
-
-def _entity_codes(block: int) -> Column:
-    def partners(a: Column) -> Column:
-        meets = F.floor(a["pos"] / block) == F.col("i")
-
-        def shared(b: Column) -> Column:
-            other = (b["pos"] > a["pos"]) & (F.floor(b["pos"] / block) == F.col("j"))
-            return meets & a["filled"] & b["filled"] & other & F.arrays_overlap(a["entities"], b["entities"])
-
-        return F.transform(F.filter("nodes", shared), lambda b: _code(a["pos"], b["pos"]))
-
-    return F.flatten(F.transform("nodes", partners))
-
-
-def _mirrored(codes: Column) -> Column:
-    def turned(c: Column) -> Column:
-        return _code(c.bitwiseAND(F.lit(LOW)), F.shiftright(c, 32))
-
-    return let(codes, lambda found: F.concat(found, F.transform(found, turned)))
-
-
-def _edges(df: DataFrame, codes: Column) -> DataFrame:
-    exploded = df.select("cluster_id", F.explode(codes).alias("_code"))
-    return exploded.select("cluster_id", F.shiftright("_code", 32).alias("src"), F.col("_code").bitwiseAND(F.lit(LOW)).alias("dst"))
+    features = [*(["vec"] if threshold is not None else []), *(["entities"] if entities else [])]
+    placed = used.select("cluster_id", F.col("pos").cast("long").alias("pos"), filled.alias("filled"), *features, F.floor(F.col("pos") / block).alias("own"))
+    one = slots is not None and slots <= block
+    met = placed.withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")}) if one else blocks.meeting(placed)
+
+    def linked(group: pa.Table) -> pa.Table:
+        cluster, i, j = (group.column(k)[0] for k in ("cluster_id", "i", "j"))
+        i, j = i.as_py(), j.as_py()
+        src, dst = _neighbours(group, i, j, threshold, block)
+        ends = [src, dst]
+        if loops:
+            pos = group.column("pos").to_numpy()
+            if len(np.unique(pos)) < len(pos):
+                src, dst = np.unique(np.stack([src, dst]), axis=1)
+            own = pos[pos // block == i] if i == j else pos[:0]
+            own = own if slots is None else np.arange(slots if j == 0 else 0)
+            ends = [src, dst, own]
+        table = {"src": np.concatenate(ends), "dst": np.concatenate([dst, src, *ends[2:]])}
+        kind = group.schema.field("cluster_id").type
+        names = pa.nulls(len(table["src"]), kind) if not cluster.is_valid else pa.repeat(cluster, len(table["src"]))
+        return pa.table({"cluster_id": names, **table})
+
+    kind = dict(nodes.dtypes)["cluster_id"]
+    return met.groupBy("cluster_id", "i", "j").applyInArrow(linked, f"cluster_id {kind}, src long, dst long")
 
 
 def similarity_edges(nodes: DataFrame, threshold: float = THRESHOLD, slots: int | None = None, block: int = BLOCK) -> DataFrame:
     """``(cluster_id, src, dst)``, both directions: cosine strictly above the threshold."""
-    return _edges(block_pairs(nodes, slots, block), _mirrored(_similarity_codes(threshold, block)))
+    return _edges(nodes, threshold, False, False, slots, block)
 
 
 def entity_edges(nodes: DataFrame, slots: int | None = None, block: int = BLOCK) -> DataFrame:
     """``(cluster_id, src, dst)``, both directions: at least one entity in common."""
-    return _edges(block_pairs(nodes, slots, block), _mirrored(_entity_codes(block)))
+    return _edges(nodes, None, True, False, slots, block)
 
 
 def adjacency(nodes: DataFrame, threshold: float = THRESHOLD, slots: int | None = None, block: int = BLOCK) -> DataFrame:
     """``(cluster_id, src, dst)``: similarity and entity edges, each once, and a self loop on every node, or on every
     slot if there are ``slots``."""
-    packed = block_pairs(nodes, slots, block).select("*", _similarity_codes(threshold, block).alias("_similar"))
-    places = F.transform("nodes", lambda n: n["pos"]) if slots is None else F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))
-    once = F.col("i") == F.col("j") if slots is None else F.col("j") == 0
-    loops = F.when(once, F.transform(places, lambda p: _code(p, p))).otherwise(F.array().cast("array<long>"))
-    codes = F.array_distinct(F.concat("_similar", _entity_codes(block)))
-    return _edges(packed, F.concat(_mirrored(codes), loops))
+    return _edges(nodes, threshold, True, True, slots, block)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

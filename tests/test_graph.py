@@ -56,6 +56,18 @@ def test_blocks_lose_no_edge(spark, block):
     assert got == sorted(want)
 
 
+def test_edges_do_not_look_at_pairs_one_by_one(spark):
+    """Missing vectors and entities link nothing, rows with one position link once, and no expression runs for each pair."""
+    rows = [(1, 0, [1.0, 0.0], ["a", None], "s"), (1, 1, None, [None], "s"), (1, 2, [1.0, 0.1], None, "s"), (1, 2, [1.0, 0.1], ["a"], "s"), (1, 3, None, ["a"], None)]
+    nodes = spark.createDataFrame(rows, NODES)
+    loops = [(1, 0, 0), (1, 1, 1), (1, 2, 2), (1, 2, 2), (1, 3, 3)]
+    assert edges_of(graph.entity_edges(nodes)) == [(1, 0, 2), (1, 2, 0)]
+    assert edges_of(graph.adjacency(nodes, 0.9)) == sorted([(1, 0, 2), (1, 2, 0), *loops])
+    for edges in (graph.entity_edges(nodes), graph.adjacency(nodes, 0.9)):
+        plan = edges._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and "arrays_overlap" not in plan
+
+
 def dense_layer(h, adj, w, a, slope=0.2):
     wh = h @ w
     size = wh.shape[1]
