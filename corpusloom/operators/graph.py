@@ -27,12 +27,9 @@ def _neighbours(group: pa.Table, i: int, j: int, threshold: float | None, block:
     linked = np.zeros((len(first), len(second)), bool)
     if threshold is not None and linked.size:
         vectors = used.column("vec").combine_chunks()
-        given = vectors.is_valid()
-        if len(pc.unique(pc.list_value_length(vectors.filter(given)))) > 1:
-            raise ValueError("the vectors of a cluster differ in length")
-        known = blocks.matrix(vectors.filter(given))
-        unit = np.full((len(pos), known.shape[1]), np.nan)
-        unit[given.to_numpy(zero_copy_only=False)] = blocks.units(known)
+        if len(pos) > 1 and (vectors.null_count or len(pc.unique(pc.list_value_length(vectors))) > 1):
+            raise ValueError("vectors of a cluster are missing, or differ in length")
+        unit = blocks.units(blocks.matrix(vectors)) if len(pos) > 1 else np.zeros((len(pos), 1))
         linked |= unit[first] @ unit[second].T > threshold
     if "entities" in used.column_names:
         lists = used.column("entities").combine_chunks()

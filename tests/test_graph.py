@@ -57,8 +57,8 @@ def test_blocks_lose_no_edge(spark, block):
 
 
 def test_edges_do_not_look_at_pairs_one_by_one(spark):
-    """Missing vectors and entities link nothing, rows with one position link once, and no expression runs for each pair."""
-    rows = [(1, 0, [1.0, 0.0], ["a", None], "s"), (1, 1, None, [None], "s"), (1, 2, [1.0, 0.1], None, "s"), (1, 2, [1.0, 0.1], ["a"], "s"), (1, 3, None, ["a"], None)]
+    """Missing entities link nothing, rows with one position link once, and no expression runs for each pair."""
+    rows = [(1, 0, [1.0, 0.0], ["a", None], "s"), (1, 1, [0.0, 1.0], [None], "s"), (1, 2, [1.0, 0.1], None, "s"), (1, 2, [1.0, 0.1], ["a"], "s"), (1, 3, None, ["a"], None)]
     nodes = spark.createDataFrame(rows, NODES)
     loops = [(1, 0, 0), (1, 1, 1), (1, 2, 2), (1, 2, 2), (1, 3, 3)]
     assert edges_of(graph.entity_edges(nodes)) == [(1, 0, 2), (1, 2, 0)]
@@ -66,6 +66,10 @@ def test_edges_do_not_look_at_pairs_one_by_one(spark):
     for edges in (graph.entity_edges(nodes), graph.adjacency(nodes, 0.9)):
         plan = edges._jdf.queryExecution().optimizedPlan().toString()
         assert "lambda" not in plan and "arrays_overlap" not in plan
+    missing = spark.createDataFrame([(1, 0, None, ["a"], "s"), (1, 1, None, ["a"], "s")], NODES)
+    assert edges_of(graph.entity_edges(missing)) == [(1, 0, 1), (1, 1, 0)]
+    with pytest.raises(Exception, match="missing"):
+        graph.adjacency(missing, 0.9).collect()
 
 
 def dense_layer(h, adj, w, a, slope=0.2):
