@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
-from corpusloom.shared import DICTIONARY_BYTES, SALTS, computed_once, cut_lineage, dictionary, lookup_join
+from corpusloom.operators.lookup import looked_up
+from corpusloom.shared import DICTIONARY_BYTES, SALTS, computed_once, cut_lineage, dictionary_bytes
 
 BLOCK = 64
 _BEST = T.StructType([T.StructField(side, T.ArrayType(T.DoubleType())) for side in ("gen", "ref")])
@@ -47,35 +48,19 @@ def token_pairs(pairs: DataFrame, tokenizer=rouge_tokens) -> DataFrame:
     return pairs.select("pair_id", split("generated").alias("gen"), split("reference").alias("ref"))
 
 
-def stem_pairs(tokens: DataFrame, stems: DataFrame, max_bytes: int = DICTIONARY_BYTES) -> DataFrame:
-    """Replace tokens by their stem where the table ``(token, stem)`` has one.
+def stem_pairs(tokens: DataFrame, stems: DataFrame, max_bytes: int = DICTIONARY_BYTES, min_len: int = 1) -> DataFrame:
+    """Replace tokens by their stem where the table ``(token, stem[, n])`` has one.
 
-    A table of at most ``max_bytes`` goes to the tasks as a dictionary, and tokens are replaced where they lie.
-    A larger one is joined to a row for each token.
+    Tokens are replaced where they lie (``lookup.looked_up``). A table of more than ``max_bytes`` should say how frequent its tokens
+    are (``n``), also those that are their own stem: the most frequent are a dictionary, and only other tokens, of at least ``min_len``
+    characters, become rows.
     """
-    stems = cut_lineage(stems.select("token", "stem"))
-    known = dictionary(stems, max_bytes)
-    if known is not None:
-
-        @F.pandas_udf("string")
-        def replaced(text: pd.Series) -> pd.Series:
-            table = known.value
-            return pd.Series([" ".join([table.get(t, t) for t in line.split(" ")]) for line in text], dtype="object")
-
-        return tokens.select("pair_id", *[tx.tokens(replaced(F.array_join(side, " "))).alias(side) for side in ("gen", "ref")])
-    words = F.concat(
-        F.transform("gen", lambda t, i: F.struct(F.lit("gen").alias("side"), i.alias("pos"), t.alias("token"))),
-        F.transform("ref", lambda t, i: F.struct(F.lit("ref").alias("side"), i.alias("pos"), t.alias("token"))),
-    )
-    rows = tokens.select("pair_id", F.inline_outer(words))
-    found = lookup_join(rows, stems, ["token"], F.struct("pair_id", "pos"), "left")
-    stemmed = F.coalesce("stem", "token")
-
-    def side(name: str) -> Column:
-        kept = F.collect_list(F.when(F.col("side") == name, F.struct("pos", stemmed.alias("token"))))
-        return F.transform(F.sort_array(kept), lambda t: t["token"]).alias(name)
-
-    return found.groupBy("pair_id").agg(side("gen"), side("ref"))
+    order = -F.col("n") if "n" in stems.columns else F.length("token")
+    stems = cut_lineage(stems.select("token", "stem", order.alias("_order")))
+    changed = stems.where("token <> stem")
+    whole = stems if dictionary_bytes(changed) > max_bytes else changed
+    found = looked_up(tokens, ["pair_id"], {"_found": F.concat_ws("\n", F.array_join("gen", " "), F.array_join("ref", " "))}, whole, lambda t: t, max_bytes, min_len)
+    return found.select("pair_id", *[tx.tokens(F.get("_found", F.lit(part))).alias(side) for part, side in enumerate(("gen", "ref"))])
 
 
 def _clipped(gen: list[str], ref: list[str], orders: tuple[int, ...]) -> list[int]:

@@ -179,16 +179,20 @@ def _final_ll(word: Word) -> Column:
 STEPS = (_plural, _past, _repair, _final_y, _alli, _double_suffix, _suffix, _long_suffix, _final_e, _final_ll)
 
 
-def stem_table(tokens: DataFrame, min_len: int = 4) -> DataFrame:
-    """``(token, stem)`` of the distinct tokens of at least ``min_len`` letters that differ from their stem.
+def counted_stems(tokens: DataFrame, min_len: int = 4) -> DataFrame:
+    """``(token, stem, n)`` of the distinct tokens of at least ``min_len`` letters, and how often they occur.
 
     Every step is finished before the next one starts from it; nested in one expression, each would run
     the one before it once per use.
     """
-    words = tokens.where(F.length("token") >= min_len).select("token").distinct().withColumn("_word", F.col("token"))
+    words = tokens.where(F.length("token") >= min_len).groupBy("token").agg(F.count("*").alias("n")).withColumn("_word", F.col("token"))
     for step in STEPS:
         shaped = computed_once(words, {"_shape": _shape(F.col("_word"))})
         words = computed_once(shaped, {"_word": step(Word(F.col("_word"), F.col("_shape")))}).drop("_shape")
     special = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
-    stems = words.select("token", F.coalesce(F.try_element_at(special, F.col("token")), F.col("_word")).alias("stem"))
-    return stems.where("token <> stem")
+    return words.select("token", F.coalesce(F.try_element_at(special, F.col("token")), F.col("_word")).alias("stem"), "n")
+
+
+def stem_table(tokens: DataFrame, min_len: int = 4) -> DataFrame:
+    """``(token, stem)`` of the distinct tokens of at least ``min_len`` letters that differ from their stem."""
+    return counted_stems(tokens, min_len).where("token <> stem").select("token", "stem")

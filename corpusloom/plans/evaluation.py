@@ -33,7 +33,7 @@ def stemmed_tokens(pairs: DataFrame) -> DataFrame:
 def stemmed(tokens: DataFrame) -> DataFrame:
     """``(pair_id, gen, ref)`` with stems in place of tokens."""
     words = tokens.select(F.explode(F.array_union("gen", "ref")).alias("token"))
-    return ngram_scores.stem_pairs(tokens, stemming.stem_table(words))
+    return ngram_scores.stem_pairs(tokens, stemming.counted_stems(words), min_len=4)
 
 
 def score_report(

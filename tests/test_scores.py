@@ -235,3 +235,14 @@ def test_sql_stems_agree(spark):
     views = score_oracle.stem_views("t")
     sql = "WITH " + ", ".join(f"{k} AS ({s})" for k, s in views.items() if k != "v_stemmed") + " SELECT token, stem FROM v_stem WHERE token <> stem"
     assert dict(con.execute(sql).fetchall()) == got
+
+
+def test_rare_tokens_are_stemmed_beside_a_dictionary(spark):
+    """Pairs with one id, or none, keep their own texts, however large the table of stems is."""
+    rows = [(1, "running cats agreed", "run cat agree"), (1, "ponies", "sized falling"), (None, "hopping", "the"), (None, "happy", ""), (2, "", "x")]
+    df = spark.createDataFrame(rows, "pair_id long, generated string, reference string")
+    tokens = ngram_scores.token_pairs(df)
+    words = tokens.select(F.explode(F.array_union("gen", "ref")).alias("token")).union(spark.createDataFrame([("cats",)] * 9, "token string"))
+    stems = stemming.counted_stems(words)
+    small, mixed, joined = (sorted(str(tuple(r)) for r in ngram_scores.stem_pairs(tokens, stems, n, 4).collect()) for n in (10**6, 120, 0))
+    assert small == mixed == joined and len(joined) == len(rows) and "['run', 'cat', 'agre']" in joined[0] + joined[1] + joined[2] + joined[3] + joined[4]
