@@ -20,7 +20,7 @@ _BEST = T.StructType([T.StructField(side, T.ArrayType(T.DoubleType())) for side
 
 def rouge_tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits; everything else separates."""
-    return tx.tokens(F.regexp_replace(F.lower(text), "[^a-z0-9]++", " "))
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]++"), F.lit(0))
 
 
 def bleu_tokens(text: Column) -> Column:
@@ -32,11 +32,13 @@ def bleu_tokens(text: Column) -> Column:
     for entity, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         line = F.replace(line, F.lit(entity), F.lit(char))
     line = F.concat(F.lit(" "), line, F.lit(" "))
-    line = F.regexp_replace(line, r"([{-~\[-`!-&(-+:-@/])", " $1 ")
-    line = F.regexp_replace(line, r"([^0-9])([.,])", "$1 $2 ")
-    line = F.regexp_replace(line, r"([.,])([^0-9])", " $1 $2")
-    line = F.regexp_replace(line, r"([0-9])(-)", "$1 $2 ")
-    return tx.tokens(tx.blank_space(line))
+    line = F.regexp_replace(line, r"[{-~\[-`!-&(-+:-@/]", " $0 ")
+    # Where no two of these marks meet, a pattern may look at the next character instead of taking it; it then starts at rare characters.
+    apart = F.regexp_replace(F.regexp_replace(line, r"(?<=[^0-9])[.,]", " $0 "), r"[.,](?=[^0-9])", " $0 ")
+    meeting = F.regexp_replace(F.regexp_replace(line, r"([^0-9])([.,])", "$1 $2 "), r"([.,])([^0-9])", " $1 $2")
+    line = F.when(line.rlike("[.,][.,]"), meeting).otherwise(apart)
+    line = F.regexp_replace(line, "(?<=[0-9])-", " - ")
+    return F.regexp_extract_all(line, F.lit(f"[^{tx.WHITESPACE[1:-1]}]++"), F.lit(0))
 
 
 def token_pairs(pairs: DataFrame, tokenizer=rouge_tokens) -> DataFrame:

@@ -246,3 +246,23 @@ def test_rare_tokens_are_stemmed_beside_a_dictionary(spark):
     stems = stemming.counted_stems(words)
     small, mixed, joined = (sorted(str(tuple(r)) for r in ngram_scores.stem_pairs(tokens, stems, n, 4).collect()) for n in (10**6, 120, 0))
     assert small == mixed == joined and len(joined) == len(rows) and "['run', 'cat', 'agre']" in joined[0] + joined[1] + joined[2] + joined[3] + joined[4]
+
+
+def test_bleu_tokens_in_one_pass(spark):
+    import random
+    import re
+
+    def rule(line):
+        for entity, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+            line = line.replace("<skipped>", "").replace("-\n", "").replace("\n", " ").replace(entity, char)
+        line = re.sub(r"([{-~\[-`!-&(-+:-@/])", r" \1 ", f" {line} ")
+        line = re.sub(r"([.,])([^0-9])", r" \1 \2", re.sub(r"([^0-9])([.,])", r"\1 \2 ", line))
+        return re.sub(r"([0-9])(-)", r"\1 \2 ", line).split()
+
+    draw = random.Random(3)
+    lines = ["".join(draw.choice("ab19 .,-$;\t" if i % 2 else "ab19 -x.") for _ in range(draw.randrange(14))) for i in range(3000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i long, x string")
+    found = {r.i: r.t for r in df.select("i", ngram_scores.bleu_tokens(F.col("x")).alias("t")).collect()}
+    assert all(found[i] == rule(x) for i, x in enumerate(lines))
+    plan = df.select(ngram_scores.bleu_tokens(F.col("x")), ngram_scores.rouge_tokens(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
