@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,29 +125,32 @@ def rouge_scores(tokens: DataFrame, orders: tuple[int, ...] = (1, 2)) -> DataFra
     return matches.select("pair_id", *[score.alias(f"rouge{n}") for n, score in scores.items()])
 
 
-def resample_weights(id_col: str, resamples: int, seed: int = 0) -> Column:
-    """For each resample, how often a row is drawn: Poisson counts with mean 1, from a hash of the row's id and the resample.
-
-    A hash gives the counts of four resamples. Whatever task holds the row, and however often, its counts are the same.
-    """
+def _draws(ids: Iterable[str | None], resamples: int, seed: int) -> np.ndarray:
+    """A row for each id: how often each resample draws it."""
     # Probabilities of at most k draws, for k = 0, 1, ...
     limits, term, total = [], math.exp(-1), 0.0
     for k in range(1, 13):
         total += term
         limits.append(total)
         term /= k
+    ends = [f"{four}:{seed}".encode() for four in range(-(-resamples // 4))]
+    starts = [b"" if x is None else x.encode() + b":" for x in ids]
+    digests = b"".join([hashlib.md5(start + end).digest() for start in starts for end in ends])
+    numbers = np.frombuffer(digests, dtype=">u4").reshape(len(starts), -1)[:, :resamples] / 2.0**32
+    return np.searchsorted(limits, numbers, side="right")
 
-    def counts(four: Column) -> Column:
-        digits = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), four.cast("string"), F.lit(str(seed))))
 
-        def draws(i: int) -> Column:
-            number = F.conv(F.substring(digits, 1 + 8 * i, 8), 16, 10).cast("double") / 2.0**32
-            return sum((F.when(number >= limit, 1).otherwise(0) for limit in limits), F.lit(0))
+def resample_weights(id_col: str, resamples: int, seed: int = 0) -> Column:
+    """For each resample, how often a row is drawn: Poisson counts with mean 1, from a hash of the row's id and the resample.
 
-        return F.array(*[draws(i) for i in range(4)])
+    A hash gives the counts of four resamples. Whatever task holds the row, and however often, its counts are the same.
+    """
 
-    fours = F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1))
-    return F.slice(F.flatten(F.transform(fours, counts)), 1, resamples)
+    @F.pandas_udf("array<int>")
+    def weights(ids: pd.Series) -> pd.Series:
+        return pd.Series(list(_draws(ids, resamples, seed).astype(np.int32)), dtype="object")
+
+    return weights(F.col(id_col).cast("string"))
 
 
 def bootstrap_means(scores: DataFrame, columns: tuple[str, ...], id_col: str = "pair_id", resamples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
@@ -152,12 +158,28 @@ def bootstrap_means(scores: DataFrame, columns: tuple[str, ...], id_col: str = "
     means over resamples of the rows.
 
     Rows are drawn by Poisson counts instead of with replacement, so every row is looked at once, wherever it lies, and a task passes on
-    one sum a resample, whatever the number of rows. Missing scores take part in neither sums nor counts.
+    one sum a resample and Arrow batch, whatever the number of rows. Missing scores take part in neither sums nor counts.
     """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = np.column_stack([batch.column(k + 1).to_numpy(zero_copy_only=False).astype(float) for k in range(len(columns))])
+            ids = batch.column(0).to_pylist()
+            total, drawn = np.zeros((2, len(columns), resamples))
+            for start in range(0, len(ids), 1024):
+                part = value[start : start + 1024]
+                real = ~np.isnan(part)
+                weights = _draws(ids[start : start + 1024], resamples, seed).astype(float)
+                total += np.where(real, part, 0.0).T @ weights
+                drawn += real.astype(float).T @ weights
+            found = [np.repeat(np.arange(len(columns)), resamples), np.tile(np.arange(resamples), len(columns)), total.ravel(), drawn.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["_metric", "_resample", "_total", "_drawn"])
+
+    rows = scores.select(F.col(id_col).cast("string").alias("_id"), *[F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate(columns)])
+    drawn = rows.mapInArrow(sums, "_metric long, _resample long, _total double, _drawn double").where("_drawn > 0")
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("_metric").cast("int"))
+    means = drawn.groupBy(name.alias("metric"), "_resample").agg((F.sum("_total") / F.sum("_drawn")).alias("mean"))
     values = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
-    weights = scores.select(values.alias("_values"), F.posexplode(resample_weights(id_col, resamples, seed)).alias("_resample", "_weight"))
-    rows = weights.where("_weight > 0").select("_resample", "_weight", F.inline("_values")).where("value is not null and not isnan(value)")
-    means = rows.groupBy("metric", "_resample").agg((F.sum(F.col("value") * F.col("_weight")) / F.sum("_weight")).alias("mean"))
     ends = F.array(*[F.lit(p) for p in ((1 - level) / 2, 0.5, (1 + level) / 2)])
     spread = means.groupBy("metric").agg(F.percentile("mean", ends).alias("_at"))
     real = scores.select(F.inline(values)).where("not isnan(value)").groupBy("metric").agg(F.avg("value").alias("mean"))

@@ -266,3 +266,25 @@ def test_bleu_tokens_in_one_pass(spark):
     assert all(found[i] == rule(x) for i, x in enumerate(lines))
     plan = df.select(ngram_scores.bleu_tokens(F.col("x")), ngram_scores.rouge_tokens(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan
+
+
+def test_resamples_are_summed_where_rows_lie(spark):
+    import hashlib
+
+    rows = [(1, 1.0), (1, 3.0), (None, 2.0), (7, None), (8, float("nan")), (9, 0.5)]
+    scores = spark.createDataFrame(rows, "pair_id long, a double")
+
+    def drawn(i, k):
+        digits = hashlib.md5(f"{'' if i is None else f'{i}:'}{k // 4}:0".encode()).hexdigest()
+        number, n, term, total = int(digits[k % 4 * 8 : k % 4 * 8 + 8], 16) / 2**32, 0, np.exp(-1), np.exp(-1)
+        while number >= total:
+            n, term = n + 1, term / (n + 1)
+            total += term
+        return n
+
+    real = [(i, x) for i, x in rows if x is not None and x == x]
+    means = [sum(x * drawn(i, k) for i, x in real) / n for k in range(30) if (n := sum(drawn(i, k) for i, _ in real))]
+    report = ngram_scores.bootstrap_means(scores, ("a",), resamples=30)
+    got = report.first()
+    assert (got.low, got.mid, got.high) == pytest.approx(tuple(np.percentile(means, [2.5, 50, 97.5])))
+    assert "posexplode" not in report._jdf.queryExecution().optimizedPlan().toString()
