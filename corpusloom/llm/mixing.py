@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import support
@@ -125,25 +125,42 @@ def rake_within(cells: DataFrame, targets: dict[str, DataFrame], keep: float, to
         shares = shares.withColumn("share", F.col("share") / F.lit(whole))
         level = _level(shares, budget)
         wanted[dimension] = held(shares.select(dimension, F.least("most", F.lit(level) * F.col("share")).alias("share")), "targets")
+    names = fitted.columns
     kept, open_ = F.least("weight", "most"), F.col("weight") < F.col("most")
+    sums_of = {"free": F.sum(F.when(open_, F.col("weight"))), "full": F.sum(F.when(~open_, F.col("most"))), "total": F.sum("weight")}
+    if compact:
+        # One partition: a value's sums are windows in it and its share is a column, so a sweep is one task, without broadcasts or shuffles,
+        # each of which would be a job and some threads of the driver.
+        fitted = fitted.dropna(subset=list(targets))
+        for dimension, shares in wanted.items():
+            fitted = fitted.join(shares.withColumnRenamed("share", f"_share_{dimension}"), dimension, "left")
+        fitted = held(fitted, "bounded")
     missed = 0.0
     for sweep in range(1, sweeps + 1):
         for dimension in targets:
-            sums = fitted.groupBy(dimension).agg(
-                F.coalesce(F.sum(F.when(open_, F.col("weight"))), F.lit(0.0)).alias("free"),
-                F.coalesce(F.sum(F.when(~open_, F.col("most"))), F.lit(0.0)).alias("full"),
-                F.sum("weight").alias("total"),
-            )
-            factor = sums.join(wanted[dimension], dimension, "left").select(dimension, _bounded_factor().alias("factor"))
+            if compact:
+                group = Window.partitionBy(dimension)
+                summed = fitted.withColumns({"share": F.col(f"_share_{dimension}")} | {name: F.coalesce(total.over(group), F.lit(0.0)) for name, total in sums_of.items()})
+                fitted = summed.withColumn("factor", _bounded_factor()).drop("share", *sums_of)
+            else:
+                sums = fitted.groupBy(dimension).agg(*[F.coalesce(total, F.lit(0.0)).alias(name) for name, total in sums_of.items()])
+                factor = sums.join(wanted[dimension], dimension, "left").select(dimension, _bounded_factor().alias("factor"))
+                fitted = fitted.join(factor, dimension)
             moved = F.least(F.col("weight") * F.col("factor"), F.col("most") * F.lit(BOUND))
-            fitted = fitted.join(factor, dimension).withColumn("weight", moved).drop("factor")
-        fitted = held(fitted, "raked")
+            fitted = fitted.withColumn("weight", moved).drop("factor")
         if sweep % 3 and sweep < sweeps:
+            # Windows follow each other; joins would double the plan with each dimension.
+            fitted = fitted if compact else held(fitted, "raked")
             continue
-        off = [
-            fitted.groupBy(d).agg(F.sum(kept).alias("held")).join(wanted[d], d).agg(F.max(F.abs(F.col("held") - F.col("share"))).alias("off"))
-            for d in targets
-        ]
+        fitted = held(fitted, "raked")
+        if compact:
+            sums = fitted.select(*[F.abs(F.sum(kept).over(Window.partitionBy(d)) - F.col(f"_share_{d}")).alias(d) for d in targets])
+            off = [sums.agg(F.greatest(*[F.coalesce(F.max(d), F.lit(0.0)) for d in targets], F.lit(0.0)).alias("off"))]
+        else:
+            off = [
+                fitted.groupBy(d).agg(F.sum(kept).alias("held")).join(wanted[d], d).agg(F.max(F.abs(F.col("held") - F.col("share"))).alias("off"))
+                for d in targets
+            ]
         worst = off[0]
         for more in off[1:]:
             worst = worst.union(more)
@@ -151,7 +168,7 @@ def rake_within(cells: DataFrame, targets: dict[str, DataFrame], keep: float, to
         if missed <= tolerance:
             break
     _warned(missed, tolerance)
-    return fitted.withColumn("weight", kept)
+    return fitted.withColumn("weight", kept).select(*names)
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> DataFrame:

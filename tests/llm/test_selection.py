@@ -216,6 +216,25 @@ def test_cells_kept_whole_leave_the_rest_to_the_others(spark):
         assert math.isclose(weight[cell], want, rel_tol=1e-6)
 
 
+def test_sweeps_over_few_cells_start_few_jobs(spark, monkeypatch):
+    cells = [(s, v, t, float(1 + (i * 7 + j * 3 + k * 11) % 13)) for i, s in enumerate("abc") for j, v in enumerate("xy") for k, t in enumerate("pq")]
+    table = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
+    wanted = {"source": {"a": 0.5, "b": 0.2, "c": 0.3}, "lang": {"x": 0.9, "y": 0.1}, "topic": {"p": 0.5, "q": 0.5}}
+    targets = {d: spark.createDataFrame(list(shares.items()), "value string, share double") for d, shares in wanted.items()}
+    context, jobs = spark.sparkContext, {}
+    for sweeps in (3, 6):
+        context.setJobGroup(f"rake {sweeps}", "")
+        fitted = mixing.rake_within(table, targets, 0.5, tolerance=1.0 if sweeps == 3 else -1.0, sweeps=sweeps)
+        jobs[sweeps] = len(context.statusTracker().getJobIdsForGroup(f"rake {sweeps}"))
+    context._jsc.clearJobGroup()
+    assert jobs[6] - jobs[3] <= 6
+    cell = lambda table: {tuple(r[d] for d in mixing.DIMENSIONS): r["weight"] for r in table.collect()}
+    found = cell(fitted)
+    monkeypatch.setattr(mixing.support, "small", lambda df: False)
+    spread = cell(mixing.rake_within(table, targets, 0.5, tolerance=-1.0, sweeps=6))
+    assert found.keys() == spread.keys() and all(abs(found[key] - spread[key]) < 1e-9 for key in found)
+
+
 def test_rows_without_id_draw_apart(spark):
     rows = [(i, f"{'word ' * 5}{'abcdefgh'[j % 8] * (j + 1)}", "en", "a", 25) for i in (None, 7) for j in range(400)]
     drawn = mixing.probabilities(plain(spark, rows)).collect()
