@@ -4,11 +4,12 @@ The index is a table of segments, built where the documents are read: postings b
 counted off in blocks; the postings of a term in a block lie together, and the largest of their impacts bounds what the
 term can add to any document of the block; the largest of these bounds it anywhere in the segment.
 
-A segment is searched as block-max WAND does it, a block at a time instead of a document: a cursor for each term of the query stands
-on the first block, not before the current one, that has the term. The pivot is the first block whose cursors' term maxima
-add up to the k-th best score so far; what lies before it is skipped. If the block maxima there do not add up to that, the
-block is skipped too, else its postings are scored. The score to beat is carried on from block to block and from segment
-to segment; where there is none yet, the blocks with the largest maxima give one first. Cursors of a whole segment are moved together: the sums of a block are sums over the terms that are in it.
+A segment is searched as block-max WAND does it, a group of blocks at a time instead of a document, and by many queries at once. A query whose
+term maxima in the segment do not add up to its k-th best score so far skips the segment. Terms that few documents hold are added up by
+document; the block maxima of the common ones, and the largest such sum in the block, bound what its documents can score. Blocks are
+passed in document order; the pivots of a query are those whose bound reaches its k-th best score, and a group of blocks is scored for
+the queries that have a pivot in it: common terms are a matrix, documents by terms, so a group is one product of matrices. The score to
+beat is carried on from group to group and from segment to segment.
 
 Segments are dealt to shards and queries to blocks of queries; a task holds a block of queries and opens the segments of its shard one
 after the other. The best of all shards are merged. Document frequencies, the number of documents and their mean length are
@@ -33,8 +34,9 @@ K1, B = 1.2, 0.75
 #: Documents and postings of a segment at most (one long document may exceed the second), documents of a block and of a shard, and about
 #: how many queries a task holds.
 SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK, SHARD_DOCS, QUERIES = 8192, 1_500_000, 32, 32768, 4096
-#: Pivots that are opened together: few at first, then more. Blocks that are opened to have a score to beat at all.
-FEWEST, MOST, SEEDS = 4, 64, 16
+#: Blocks that are passed together: few at first, then more. Terms in one of so many documents of a segment, or more, are common. Postings of
+#: other terms that a batch of queries adds up at most (one query may exceed it), and queries of a batch.
+FEWEST, MOST, COMMON, BATCH_POSTINGS, BATCH = 4, 64, 12, 2_000_000, 256
 #: Scores count as equal if they agree to so many decimals; then the smaller doc_id comes first.
 DECIMALS = 6
 NO_ID = np.iinfo(np.int64).max
@@ -148,8 +150,8 @@ class Query:
 
 
 class Segment:
-    """A segment opened for search: postings with their impacts, and the largest impact of each term in each block (single floats,
-    rounded up) and in the segment."""
+    """A segment opened for search: postings with their impacts, the largest impact of each term in the segment (rounded up), and, of
+    common terms, the impacts by document and the largest in each block (rounded up)."""
 
     def __init__(self, row: dict, mean: float, block: int = BLOCK) -> None:
         self.ids = np.array([NO_ID if i is None else i for i in row["ids"]], np.int64)
@@ -161,16 +163,21 @@ class Segment:
         counts = np.frombuffer(row["counts"], f"<u{len(row['counts']) // max(len(self.docs), 1) or 1}").astype(np.float64)
         norm = K1 * (1 - B + B * np.frombuffer(row["lengths"], "<i4") / mean)
         self.impacts = counts * (K1 + 1) / (counts + norm[self.docs])
-        self.blocks = -(-len(self.ids) // block)
-        place = np.repeat(np.arange(len(starts) - 1) * self.blocks, np.diff(starts)) + self.docs // block
-        first = np.flatnonzero(np.diff(place, prepend=-1))
-        self.entry_first = np.append(first, len(self.docs))
-        self.entry_block = (self.docs[first] // block).astype(np.uint16)
-        most = np.maximum.reduceat(self.impacts, first) if len(first) else np.empty(0)
-        self.entry_most = np.nextafter(most.astype(np.float32), np.float32(np.inf))
-        self.entries = np.searchsorted(first, starts)
-        held = np.minimum(self.entries[:-1], max(len(first) - 1, 0))
-        self.term_most = np.maximum.reduceat(self.entry_most, held) if len(first) else np.zeros(len(starts) - 1, np.float32)
+        self.starts, self.block, self.blocks = starts, block, -(-len(self.ids) // block)
+        sizes = np.diff(starts)
+        held = sizes > 0
+        self.term_most = np.zeros(len(sizes), np.float32)
+        if held.any():
+            self.term_most[held] = np.nextafter(np.maximum.reduceat(self.impacts, starts[:-1][held]).astype(np.float32), np.float32(np.inf))
+        # Common terms: a row each, impacts by document and their largest by block; the others are -1 here.
+        common = np.flatnonzero(sizes * COMMON >= len(self.ids))
+        self.row_of = np.full(len(sizes), -1)
+        self.row_of[common] = np.arange(len(common))
+        places = _ranges(starts[common], sizes[common])
+        self.matrix = np.zeros((len(common), self.blocks * block))
+        self.matrix[np.repeat(np.arange(len(common)), sizes[common]), self.docs[places]] = self.impacts[places]
+        most = self.matrix.reshape(len(common), self.blocks, block).max(axis=2, initial=0.0)
+        self.most = np.nextafter(most, np.inf)
 
     def cursors(self, query: Query) -> tuple[np.ndarray, np.ndarray]:
         """Numbers in this segment of the query's terms, and their weights."""
@@ -180,37 +187,55 @@ class Segment:
 
     def search(self, query: Query, k: int) -> int:
         """Merge the best documents of this segment into those of ``query``; returns how many blocks were opened."""
-        number, weight = self.cursors(query)
-        sizes = self.entries[number + 1] - self.entries[number]
-        entry = _ranges(self.entries[number], sizes)
-        block_of, by_entry = self.entry_block[entry], np.repeat(weight, sizes)
-        reach = np.bincount(block_of, np.repeat(weight * self.term_most[number], sizes), self.blocks)
-        most = np.bincount(block_of, by_entry * self.entry_most[entry], self.blocks)
-        order = np.argsort(block_of, kind="stable")
-        entry, by_entry = entry[order], by_entry[order]
-        upto = np.cumsum(np.bincount(block_of, minlength=self.blocks))
+        return self.search_all([query], k)
+
+    def search_all(self, queries: list[Query], k: int) -> int:
+        """As ``search``, for many queries, in batches whose postings are bounded."""
+        opened, batch, held = 0, [], 0
+        for query in queries:
+            number, weight = self.cursors(query)
+            if not len(number) or weight @ self.term_most[number] < query.floor(k):
+                continue
+            rare = self.row_of[number] < 0
+            size = int((self.starts[number[rare] + 1] - self.starts[number[rare]]).sum())
+            if batch and (held + size > BATCH_POSTINGS or len(batch) == BATCH):
+                opened += self._search_batch(batch, k)
+                batch, held = [], 0
+            batch.append((query, number, weight, rare))
+            held += size
+        return opened + (self._search_batch(batch, k) if batch else 0)
+
+    def _search_batch(self, batch: list[tuple[Query, np.ndarray, np.ndarray, np.ndarray]], k: int) -> int:
+        queries = [query for query, *_ in batch]
+        of = np.repeat(np.arange(len(batch)), [len(number) for _, number, *_ in batch])
+        number, weight, rare = (np.concatenate([row[i] for row in batch]) for i in (1, 2, 3))
+        weights = np.zeros((len(batch), len(self.matrix)))
+        weights[of[~rare], self.row_of[number[~rare]]] = weight[~rare]
+        width = self.blocks * self.block
+        begin = self.starts[number[rare]]
+        sizes = self.starts[number[rare] + 1] - begin
+        postings = _ranges(begin, sizes)
+        place = np.repeat(of[rare] * width, sizes) + self.docs[postings]
+        sums = np.bincount(place, np.repeat(weight[rare], sizes) * self.impacts[postings], len(batch) * width).reshape(len(batch), width)
+        bound = weights @ self.most + sums.reshape(len(batch), self.blocks, self.block).max(axis=2)
+        floors = np.array([query.floor(k) for query in queries])
         cursor, step, opened = 0, FEWEST, 0
         while cursor < self.blocks:
-            floor = query.floor(k)
-            if not opened and not floor:
-                # No score to beat yet: the blocks with the largest maxima give one, and are not met again.
-                pivots = np.sort(np.argsort(-most, kind="stable")[:SEEDS])
-                pivots = pivots[most[pivots] > 0]
-            else:
-                pivots = np.flatnonzero((reach[cursor:] >= floor) & (most[cursor:] >= floor) & (most[cursor:] > 0))[:step] + cursor
-                cursor, step = int(pivots[-1]) + 1 if len(pivots) else self.blocks, min(2 * step, MOST)
-            if not len(pivots):
-                break
-            opened += len(pivots)
-            most[pivots] = 0
-            before = np.where(pivots > 0, upto[pivots - 1], 0)
-            at = _ranges(before, upto[pivots] - before)
-            begin = self.entry_first[entry[at]]
-            many = self.entry_first[entry[at] + 1] - begin
-            postings = _ranges(begin, many)
-            scores = np.bincount(self.docs[postings], np.repeat(by_entry[at], many) * self.impacts[postings], len(self.ids))
-            docs = np.flatnonzero((scores > 0) & (scores >= floor))
-            query.scores, query.ids = top(np.concatenate([query.scores, scores[docs]]), np.concatenate([query.ids, self.ids[docs]]), k)
+            end = min(cursor + step, self.blocks)
+            pivots = (bound[:, cursor:end] >= floors[:, None]) & (bound[:, cursor:end] > 0)
+            asked = np.flatnonzero(pivots.any(axis=1))
+            if len(asked):
+                opened += int(pivots.sum())
+                docs = slice(cursor * self.block, end * self.block)
+                scores = weights[asked] @ self.matrix[:, docs] + sums[asked, docs]
+                row, doc = np.nonzero((scores > 0) & (scores >= floors[asked, None]))
+                cuts = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row)).tolist()
+                for first, last in zip(cuts, cuts[1:], strict=False):
+                    at, found = row[first], doc[first:last]
+                    query = queries[asked[at]]
+                    query.scores, query.ids = top(np.concatenate([query.scores, scores[at, found]]), np.concatenate([query.ids, self.ids[docs][found]]), k)
+                    floors[asked[at]] = query.floor(k)
+            cursor, step = end, min(2 * step, MOST)
         return opened
 
 
@@ -239,9 +264,7 @@ def _searched(k: int, mean: float):
                 if row["kind"] == 0:
                     queries.append(Query(row["query_id"], row["terms"], row["weights"]))
                 elif queries and row["terms"]:
-                    segment = Segment(row, mean)
-                    for query in queries:
-                        segment.search(query, k)
+                    Segment(row, mean).search_all(queries, k)
         yield results(queries)
 
     return run

@@ -431,6 +431,35 @@ def test_pruning_is_exact():
     search.FEWEST, search.MOST = 4, 64
 
 
+def test_queries_of_a_segment_are_searched_together(monkeypatch):
+    random = np.random.default_rng(2)
+    texts = [Counter(f"w{int(x)}" for x in random.zipf(1.2, 40) if x < 3000) for _ in range(500)]
+    number, flat, counts = {}, [], []
+    for text in texts:
+        flat += [number.setdefault(t, len(number)) for t in text]
+        counts += list(text.values())
+    order = np.argsort(flat, kind="stable")
+    docs, lengths = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[order], np.array([t.total() for t in texts])
+    starts = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(number)))])
+    row = {
+        "ids": list(range(len(texts))), "terms": " ".join(number), "starts": starts.astype("<i4").tobytes(), "docs": docs.astype("<u2").tobytes(),
+        "counts": np.array(counts)[order].astype("<u1").tobytes(), "lengths": lengths.astype("<i4").tobytes(),
+    }
+    segment = search.Segment(row, lengths.mean())
+    made = lambda: [search.Query(q, " ".join(texts[q]), [1.0 + n for n in texts[q].values()]) for q in range(0, 500, 7) if texts[q]]
+    alone, together = made(), made()
+    for query in alone:
+        segment.search(query, 5)
+    calls, inner = [], segment._search_batch
+    monkeypatch.setattr(search, "BATCH_POSTINGS", 2_000)
+    monkeypatch.setattr(segment, "_search_batch", lambda batch, k: calls.append(len(batch)) or inner(batch, k))
+    for _ in range(2):
+        segment.search_all(together, 5)
+        assert all(a.ids.tolist()[:5] == b.ids.tolist()[:5] and np.allclose(a.scores, b.scores) for a, b in zip(alone, together, strict=True))
+        together = made()
+    assert 2 < len(calls) < len(together) and sum(calls) == 2 * len(together)
+
+
 def chat_by_hand(rows):
     turns = [((r or ""), (t or "")) for _, r, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "", x[2] or ""))]
     learned = "".join(t for r, t in turns if r == "assistant")
