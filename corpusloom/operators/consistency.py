@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import entities as en
 from corpusloom.functions import text as tx
 from corpusloom.functions.vectors import softmax
-from corpusloom.shared import computed_once
+from corpusloom.shared import computed_once, stored
 
 # Thresholds of the verdict, pass marks and topic check.
 GOOD_PRECISION, GOOD_ENTAILMENT, GOOD_TOPIC = 0.7, 0.5, 0.5
@@ -144,10 +144,18 @@ def verdict(precision: Column, entailment: Column, topic: Column) -> Column:
 def consistency_report(scored: DataFrame, model: str, samples: int = 30) -> DataFrame:
     """One nested row: entity, entailment and topic sections, verdict, pass marks and the first ``samples`` pairs.
 
-    ``scored`` holds the columns of ``add_entity_scores``, ``add_topic_overlap`` and ``add_entailment``.
+    ``scored`` holds the columns of ``add_entity_scores``, ``add_topic_overlap`` and ``add_entailment``. All pairs are scored once: their
+    scores are stored without texts, and the pairs to list are found by their ids, which reach the scan as a filter.
     """
     n = F.greatest(F.count("entailment"), F.lit(1))
-    sums = scored.agg(
+    numbers = scored.select("pair_id", "entity_precision", "entity_recall", "entity_f1", "n_hallucinated", "n_entities", "entailment", "contradiction", "topic_overlap")
+    if samples:
+        numbers = stored(numbers, "scores")
+        ids = [row.pair_id for row in numbers.select("pair_id").orderBy("pair_id").limit(samples).collect()]
+        # Missing ids come first; then ids up to the last one listed.
+        known = [x for x in ids if x is not None]
+        scored = scored.where(F.isnull("pair_id") | (F.col("pair_id") <= F.lit(known[-1])) if known else F.isnull("pair_id"))
+    sums = numbers.agg(
         F.count("*").alias("num_samples"),
         F.avg("entity_precision").alias("precision"),
         F.avg("entity_recall").alias("recall"),

@@ -285,3 +285,26 @@ def test_resamples_are_summed_where_rows_lie(spark):
     got = report.first()
     assert (got.low, got.mid, got.high) == pytest.approx(tuple(np.percentile(means, [2.5, 50, 97.5])))
     assert "posexplode" not in report._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_report_scores_every_pair_once(spark):
+    scored_rows = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def precision(x):
+        scored_rows.add(1)
+        return 1.0 - (x or 0) / 1000
+
+    ids = [None, None, *range(600), 7]
+    base = spark.createDataFrame([(i, "Some text") for i in ids], "pair_id long, source string").repartition(4)
+    scored = base.select(
+        "*", F.col("source").alias("generated"), F.col("source").alias("reference"), precision("pair_id").alias("entity_precision"), F.lit(0.5).alias("entity_recall"),
+        F.lit(0.5).alias("entity_f1"), F.lit(1).alias("n_hallucinated"), F.lit(2).alias("n_entities"), F.array(F.lit("x")).alias("hallucinated"), F.lit(0.5).alias("entailment"),
+        F.lit(0.5).alias("contradiction"), F.lit(0.5).alias("topic_overlap"),
+    )
+    row = consistency.consistency_report(scored, "m", 12).collect()[0]
+    assert row["num_samples"] == len(ids)
+    assert sorted(s["id"] or -1 for s in row["samples"]) == sorted([-1, -1, -1, 1, 2, 3, 4, 5, 6, 7, 7, 8])
+    assert scored_rows.value <= len(ids) + 20
+    empty = consistency.consistency_report(scored.where("source = 'none'"), "m", 12).collect()[0]
+    assert empty["num_samples"] == 0 and not empty["samples"]
