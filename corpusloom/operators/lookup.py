@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.shared import DICTIONARY_BYTES, common_part, computed_once, dictionary, stored
+from corpusloom.shared import DICTIONARY_BYTES, ROWS, common_part, computed_once, dictionary, row_by_row, stored
 
 
 def _rare_tokens(known: Broadcast, min_len: int):
     """Arrow function: the distinct tokens of lines that the dictionary does not hold."""
 
-    @F.pandas_udf("array<string>")
-    def rare(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def rare(texts: pa.Array) -> pa.Array:
         table = known.value
-        return pd.Series([[t for t in set(text.replace("\n", " ").split(" ")) if t not in table and len(t) >= min_len and t] for text in texts], dtype="object")
+        return pa.array([[t for t in set(text.replace("\n", " ").split(" ")) if t not in table and len(t) >= min_len and t] for text, in row_by_row(texts)], pa.list_(pa.string()))
 
     return rare
 
@@ -35,11 +36,16 @@ def _replaced(known: Broadcast, kind: str, missing: Callable):
         found = [table[t] if t in table else value(t, own) for t in line.split(" ")] if line else []
         return found if ids else " ".join(found)
 
-    @F.pandas_udf("array<array<int>>" if ids else "array<string>")
-    def replaced(texts: pd.Series, keys: pd.Series, found: pd.Series) -> pd.Series:
-        table = known.value
-        owns = ({} if k is None else dict(zip(k, f.tolist())) for k, f in zip(keys, found))
-        return pd.Series([[line_of(line, table, own) for line in text.split("\n")] for text, own in zip(texts, owns)], dtype="object")
+    made = pa.list_(pa.list_(pa.int32()) if ids else pa.string())
+
+    @F.arrow_udf("array<array<int>>" if ids else "array<string>")
+    def replaced(texts: pa.Array, keys: pa.Array, found: pa.Array) -> pa.Array:
+        table, parts = known.value, [pa.array([], made)]
+        rows = row_by_row(texts, keys, found)
+        while part := list(islice(rows, ROWS)):
+            owns = ({} if k is None else dict(zip(k, f)) for _, k, f in part)
+            parts.append(pa.array([[line_of(line, table, own) for line in text.split("\n")] for (text, *_), own in zip(part, owns)], made))
+        return pa.concat_arrays(parts)
 
     return replaced
 

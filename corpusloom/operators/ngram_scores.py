@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.lookup import looked_up
-from corpusloom.shared import DICTIONARY_BYTES, SALTS, computed_once, cut_lineage, dictionary_bytes
+from corpusloom.shared import DICTIONARY_BYTES, SALTS, computed_once, cut_lineage, dictionary_bytes, row_by_row
 
 BLOCK = 64
 _BEST = T.StructType([T.StructField(side, T.ArrayType(T.DoubleType())) for side in ("gen", "ref")])
@@ -92,9 +92,9 @@ def ngram_matches(tokens: DataFrame, orders: tuple[int, ...]) -> DataFrame:
     Both sides of a pair lie on its row, so all orders are counted there, in Arrow batches, and nothing is shuffled.
     """
 
-    @F.pandas_udf("array<long>")
-    def matches(gen: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series([_clipped(g.split(" ") if g else [], r.split(" ") if r else [], orders) for g, r in zip(gen, ref)], dtype="object")
+    @F.arrow_udf("array<long>")
+    def matches(gen: pa.Array, ref: pa.Array) -> pa.Array:
+        return pa.array([_clipped(g.split(" ") if g else [], r.split(" ") if r else [], orders) for g, r in row_by_row(gen, ref)], pa.list_(pa.int64()))
 
     sizes = [F.size(side).cast("bigint").alias(f"{side}_len") for side in ("gen", "ref")]
     counted = computed_once(
@@ -207,10 +207,10 @@ def _common_subsequence(a: list, b: list) -> int:
     return len(b) - row.bit_count()
 
 
-@F.pandas_udf(T.LongType())
-def lcs_length(gen: pd.Series, ref: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def lcs_length(gen: pa.Array, ref: pa.Array) -> pa.Array:
     """Of two texts of blank-separated tokens."""
-    return pd.Series([_common_subsequence(a.split(), b.split()) for a, b in zip(gen, ref)], dtype="int64")
+    return pa.array([_common_subsequence(a.split(), b.split()) for a, b in row_by_row(gen, ref)], pa.int64())
 
 
 def rouge_l(tokens: DataFrame) -> DataFrame:
@@ -267,16 +267,20 @@ def corpus_bleu(tokens: DataFrame, max_order: int = 4) -> DataFrame:
     )
 
 
-@F.pandas_udf(_BEST)
-def _best_matches(gen: pd.Series, ref: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_BEST)
+def _best_matches(gen: pa.Array, ref: pa.Array) -> pa.Array:
     """Best cosine of every vector of a block with the vectors of the other block, both ways."""
 
     def unit(block) -> np.ndarray:
         matrix = np.stack([np.asarray(v, dtype=np.float64) for v in block])
         return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 
-    best = [(unit(g) @ unit(r).T) for g, r in zip(gen, ref)]
-    return pd.DataFrame({"gen": [m.max(axis=1).tolist() for m in best], "ref": [m.max(axis=0).tolist() for m in best]})
+    found = []
+    for g, r in row_by_row(gen, ref):
+        cosines = unit(g) @ unit(r).T
+        found.append((cosines.max(axis=1), cosines.max(axis=0)))
+    sides = [pa.array([pair[side] for pair in found], pa.list_(pa.float64())) for side in (0, 1)]
+    return pa.StructArray.from_arrays(sides, ["gen", "ref"])
 
 
 def greedy_vector_f1(vectors: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 #: Bytes of keys and values that a dictionary in every Python worker may hold; there it takes some five times as much.
 DICTIONARY_BYTES = 24_000_000
 SALTS = 16
+#: Rows of an Arrow batch that are Python objects at one time.
+ROWS = 128
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +51,12 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], made)
 
 
+def row_by_row(*columns: pa.Array) -> Iterator[tuple]:
+    """The rows of Arrow columns, few of them as Python objects at a time: what a worker needs goes with a batch's bytes, not with its objects."""
+    for start in range(0, len(columns[0]), ROWS):
+        yield from zip(*(column.slice(start, ROWS).to_pylist() for column in columns), strict=True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: computed once, and it survives the loss of executors.
 

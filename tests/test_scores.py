@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import shared
 from corpusloom.catalog import score_oracle
 from corpusloom.operators import consistency, ngram_scores, stemming
 from corpusloom.plans import evaluation
@@ -308,3 +309,18 @@ def test_report_scores_every_pair_once(spark):
     assert scored_rows.value <= len(ids) + 20
     empty = consistency.consistency_report(scored.where("source = 'none'"), "m", 12).collect()[0]
     assert empty["num_samples"] == 0 and not empty["samples"]
+
+
+def test_few_rows_of_a_batch_are_objects_at_a_time():
+    taken = []
+
+    class Column(list):
+        def slice(self, start, n):
+            taken.append(n)
+            return Column(self[start : start + n])
+
+        to_pylist = list
+
+    rows = shared.row_by_row(Column(range(1000)), Column("x" * 1000))
+    assert next(rows) == (0, "x") and len(taken) == 2 and max(taken) <= 1000 // 4
+    assert list(rows) == [(i, "x") for i in range(1, 1000)]
