@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import support
-from corpusloom.llm.token_ids import BATCH_BYTES, default_path, encoder
+from corpusloom.llm.token_ids import default_path, encoder
 
 SEQUENCE = 1024
 #: Tokens of a window of the mixture, of all sources together.
@@ -33,7 +33,7 @@ def token_store(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (part for batch in batches for part in support.slices(batch, "text", BATCH_BYTES)):
+        for part in (part for batch in batches for part in support.slices(batch, "text", support.BATCH_BYTES)):
             flat, sizes = encoder(path).batch(part.column("text"))
             found = np.split(flat, np.cumsum(sizes)[:-1])
             binary = [ids.astype("<u2").tobytes() if ids.max() < 65536 else ids.tobytes() for ids in found]
@@ -42,7 +42,7 @@ def token_store(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"))
     encoded = rows.mapInArrow(encode, "doc_id long, source string, n_tokens long, ids binary")
-    return support.staged(encoded.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    return support.staged(encoded.withColumn("row", F.monotonically_increasing_id()), "tokens", frugal=True)
 
 
 def served(queue: DataFrame, targets: DataFrame | None = None, window: int = WINDOW, sequence: int = SEQUENCE) -> DataFrame:
@@ -93,7 +93,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, targets: DataFrame | Non
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "doc_tokens", "ids", "start", "length", "sequence_id", "offset"]
-    for batch in batches:
+    for batch in (part for batch in batches for part in support.slices(batch, "ids", support.BATCH_BYTES)):
         pieces = batch.column("pieces")
         sizes = np.diff(pieces.offsets.to_numpy())
         flat = pieces.flatten()

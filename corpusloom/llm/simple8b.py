@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import shared
 from corpusloom.llm import support
-from corpusloom.llm.token_ids import BATCH_BYTES, default_path, encoder
+from corpusloom.llm.token_ids import default_path, encoder
 
 #: Ids a word by selector; 0 marks the escape.
 COUNTS = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -133,7 +133,7 @@ def _segments(path: str):
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for part in support.slices(batch, "text", BATCH_BYTES):
+            for part in support.slices(batch, "text", support.BATCH_BYTES):
                 found, sizes = encoder(path).batch(part.column("text"))
                 for doc_id, one in zip(part.column("doc_id").to_pylist(), np.split(found, np.cumsum(sizes)[:-1]), strict=True):
                     ids.append(one)

@@ -14,6 +14,8 @@ from corpusloom import shared
 
 #: Bytes that a table may have, counted over its rows, before it is shuffled instead of broadcast.
 BROADCAST_BYTES = 4_000_000
+#: Bytes of texts that a Python task works on at a time, whatever Spark's batches hold. Changes no result.
+BATCH_BYTES = 4_000_000
 #: Settings of a frugal write: its shuffle files go as soon as it has ended, and Arrow batches are bounded by bytes besides rows.
 FRUGAL = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 

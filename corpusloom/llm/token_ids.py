@@ -1,10 +1,9 @@
-"""Token ids of whole texts by a public tokenizer: each different piece of a batch is encoded once, then ids are gathered."""
+"""Token ids of whole texts by a public tokenizer: each different pre-token of a batch is encoded once, then ids are gathered."""
 
 from __future__ import annotations
 
 import os
 import re
-import struct
 from array import array
 
 import numpy as np
@@ -14,15 +13,12 @@ import pyarrow.compute as pc
 import regex
 
 END_ID = 0
-#: Pieces that a worker remembers at most (some 200 bytes each), beyond it starts again, and the longest that are kept. Bytes of
-#: text of a batch. Words that are encoded as one, the longest, in bytes, that are, and how many a worker remembers. None
-#: changes a result.
-MEMO, KEPT, BATCH_BYTES, CHUNK, LONGEST, WORDS = 50_000, 11, 10_000_000, 500, 200, 150_000
-#: Punctuation that may end a piece behind a word; a run of it is a pre-token of its own.
-ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
-#: The white space of Unicode, the word pattern and the alphabet of byte-level BPE vocabularies.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Bytes of the pre-tokens that are encoded in one call; pre-tokens that a worker remembers at most (some 50 bytes each), and the
+#: bytes of the longest that are kept. None changes a result.
+CHUNK, WORDS, KEPT = 4_000, 400_000, 64
+
+#: Kinds of characters in the pattern of byte-level pre-tokens, and the alphabet of byte-level BPE vocabularies.
+LETTER, NUMBER, SPACE = 1, 2, 3
 PRINTED = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
 
 _shared: dict[str, Encoder] = {}
@@ -39,12 +35,23 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _kinds() -> np.ndarray:
+    """The kind of every code point; 0 for what is neither letter, number nor white space."""
+    at = np.delete(np.arange(0x110000, dtype="<u4"), slice(0xD800, 0xE000))
+    text = at.tobytes().decode("utf-32-le")
+    kinds = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for run in regex.finditer(pattern, text):
+            kinds[at[run.start() : run.end()]] = kind
+    return kinds
+
+
 class Encoder:
     """Same ids as ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    A text may be cut in front of a blank that is not part of a longer run of white space: byte-level pre-tokens
-    never go over such a place. Pieces between blanks recur, so each different one of a batch is encoded once. A text where some blank stands in a longer run is cut into runs of white space with the word that follows. Other
-    kinds of tokenizer are called with the whole text.
+    The pre-tokens of byte-level tokenizers are found for all texts of a batch at once. They recur, so each different one of a batch
+    is encoded once, many in one call, and the frequent ones are remembered. Texts with added tokens, and those of other kinds of
+    tokenizer, are encoded as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,121 +62,161 @@ class Encoder:
         self.model = self.tokenizer.model
         kind = repr(self.tokenizer.pre_tokenizer)
         self.cuts = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and self.tokenizer.normalizer is None
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        spare = iter(range(256, 512))
-        self.alphabet = {b: chr(b) if b in PRINTED else chr(next(spare)) for b in range(256)}
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added) or r"(?!)")
-        self.run = re.compile(f"[{SPACE}] (?=[{SPACE}]|$)")
-        self.odd = "|".join([f"[{SPACE}] (?:[{SPACE}]|$)", *added])
-        self.units = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-        self.after_blank: dict[str, bytes] = _Memo(lambda piece: self._piece(" " + piece))
-        self.other: dict[str, bytes] = _Memo(self._piece)
-        self.tokens: dict[str, bytes] = _Memo(self._token)
-        self.kept: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab() if self.cuts else {}
-        self.blank = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.blank[[number for token, number in vocabulary.items() if token.startswith("\u0120")]] = True
-
-    def _piece(self, unit: str) -> bytes:
-        if self.added.search(unit):
-            return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(unit)))
-
-    def _token(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
-
-    def _words(self, words: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of different words of letters, each after a blank, and how many each has. Those that come ``often`` are remembered.
+        self.added = "|".join(added)
+        self.kept = pa.array([], pa.string())
+        self.flat, self.sizes, self.uses = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.cuts:
+            self._learn_alphabet()
 
-        No merge goes over a blank, so many words are encoded as one; a word begins at each id whose token begins with a blank."""
-        held = list(map(self.kept.get, words))
-        new = np.array([ids is None for ids in held], bool)
-        missing = [word for word, ids in zip(words, held, strict=True) if ids is None]
+    def _learn_alphabet(self) -> None:
+        spare = iter(range(256, 512))
+        self.alphabet = np.array([b if b in PRINTED else next(spare) for b in range(256)], "<u4")
+        self.kinds = _kinds()
+        blank, line = (chr(self.alphabet[ord(c)]) for c in " \n")
+        vocabulary = self.tokenizer.get_vocab()
+        self.blank = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.blank[[number for token, number in vocabulary.items() if token.startswith(blank)]] = True
+        self.line = vocabulary.get(line, -1)
+        byte = {chr(char): b for b, char in enumerate(self.alphabet.tolist())}
+        over = [token for token in vocabulary if (line in token or blank in token[1:]) and all(char in byte for char in token)]
+        #: No merge goes from a word to a blank or a line end, or from a line end to a word.
+        self.apart = self.line >= 0 and all(bytes(byte[char] for char in token).decode(errors="replace").isspace() for token in over)
+
+    def _starts(self, points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Where pre-tokens begin in the code points of texts, which begin at ``firsts``.
+
+        The pattern takes runs of one kind. The last character of white space before something else is cut off; a blank goes with what
+        follows. A lone quote that no blank precedes takes the ends of English contractions with it."""
+        n = len(points)
+        kinds = self.kinds[points]
+        opens = np.zeros(n + 1, bool)
+        opens[firsts] = opens[n] = True
+        begins = opens.copy()
+        begins[1:n] |= kinds[1:] != kinds[:-1]
+        runs = np.flatnonzero(begins)
+        starts, ends = runs[:-1], runs[1:]
+        kind, followed = kinds[starts], ~opens[ends]
+        space = ends[(kind == SPACE) & followed]
+        begins[space - 1] = True
+        begins[space[points[space - 1] == ord(" ")]] = False
+        quote = starts[(points[starts] == ord("'")) & (ends - starts == 1) & followed]
+        quote = quote[begins[quote]]
+        one = quote[np.isin(points[quote + 1], [ord(c) for c in "stmd"])]
+        more = quote[quote + 2 < n]
+        more = more[~opens[more + 2]]
+        pairs = points[more + 1].astype(np.int64) * 128 + points[more + 2]
+        two = more[np.isin(pairs, [ord(a) * 128 + ord(b) for a, b in ("re", "ve", "ll")]) & (points[more + 2] < 128)]
+        for found, length in ((one, 2), (two, 3)):
+            begins[found + 1] = False
+            begins[found + length] = True
+        return np.flatnonzero(begins[:n])
+
+    def _pre_tokens(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All pre-tokens of texts, one after the other, and how many each text has."""
+        data, cuts = _bytes(texts)
+        if not len(data):
+            return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+        text = str(data, "utf-8")
+        if len(text) == len(data):
+            places = self._starts(np.frombuffer(data, np.uint8), cuts[:-1][cuts[:-1] < len(data)])
+        else:
+            points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            at = np.flatnonzero(np.frombuffer(data, np.int8) >= -64)
+            places = at[self._starts(points, np.searchsorted(at, cuts[:-1][cuts[:-1] < len(data)]))]
+        many = np.diff(np.searchsorted(places, cuts))
+        offsets = pa.py_buffer(np.append(places, len(data)).astype(np.int32))
+        return pa.StringArray.from_buffers(len(places), offsets, pa.py_buffer(data)), many
+
+    def _called(self, words: pa.Array) -> np.ndarray:
+        """Ids of words that are written one after the other."""
         found = array("I")
-        for first in range(0, len(missing), CHUNK):
-            written = (" " + " ".join(missing[first : first + CHUNK])).encode().decode("latin-1").translate(self.alphabet)
-            found.extend([t.id for t in self.model.tokenize(written)])
-        flat = np.array(found, "<u4")
-        starts = np.flatnonzero(self.blank[flat])
-        sizes = np.diff(np.append(starts, len(flat)))
-        for i in np.flatnonzero(often[new])[: WORDS - len(self.kept)].tolist():
-            self.kept[missing[i]] = flat[starts[i] : starts[i] + sizes[i]].tobytes()
-        flat, sizes = _joined(flat, sizes, [ids for ids in held if ids is not None])
+        data, cuts = _bytes(words)
+        chars = self.alphabet[np.frombuffer(data, np.uint8)]
+        firsts = np.flatnonzero(np.diff(cuts[:-1] // CHUNK, prepend=-1))
+        for first, last in zip(cuts[firsts].tolist(), [*cuts[firsts[1:]].tolist(), len(data)], strict=False):
+            found.extend([t.id for t in self.model.tokenize(chars[first:last].tobytes().decode("utf-32-le"))])
+        return np.array(found, "<u4")
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pre-tokens, and how many each has.
+
+        Many are encoded in one call: words after a blank begin at each id whose token begins with one, others get a line end behind."""
+        blank, white = (x.to_numpy(zero_copy_only=False) for x in (pc.starts_with(words, " "), pc.utf8_is_space(words)))
+        group = np.where(white | (not self.apart), 2, np.where(blank, 0, 1))
+        parts = [np.flatnonzero(group == k) for k in range(3)]
+        spaced, bare, rest = (words.take(pa.array(part)) for part in parts)
+        flat = self._called(spaced)
+        sizes = np.diff(np.flatnonzero(np.append(self.blank[flat], True)))
+        lined = self._called(pc.binary_join_element_wise(bare, "", "\n"))
+        marks = np.flatnonzero(lined == self.line)
+        each = [self._called(rest.slice(i, 1)) for i in range(len(rest))]
+        flat = np.concatenate([flat, lined[lined != self.line], *each])
+        sizes = np.concatenate([sizes, np.diff(marks, prepend=-1) - 1, np.array([len(ids) for ids in each], np.int64)])
         order = np.empty(len(words), np.int64)
-        order[new], order[~new] = np.arange(len(missing)), np.arange(len(missing), len(words))
+        order[np.concatenate(parts)] = np.arange(len(words))
         return _gathered(flat, sizes, order)
 
-    def _pieces(self, pieces: pa.Array, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of different pieces, each after a blank, and how many each has. Most are a word of letters with or without punctuation
-        behind it, which is a pre-token of its own. ``times``: how often each piece comes."""
-        words = pc.utf8_rtrim(pieces, characters=ENDS)
-        plain = pc.and_(pc.utf8_is_alpha(words), pc.less(pc.binary_length(words), LONGEST)).to_numpy(zero_copy_only=False)
-        sizes, bare = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (pieces, words))
-        coded = words.filter(pa.array(plain)).dictionary_encode()
-        tailed = np.flatnonzero(plain & (bare < sizes))
-        tails = [piece[-n:] for piece, n in zip(pieces.take(pa.array(tailed)).to_pylist(), (sizes - bare)[tailed].tolist(), strict=True)]
-        number: dict[str, int] = {}
-        of_tail = np.array([number.setdefault(tail, len(number)) for tail in tails], np.int64)
-        odd = list(map(self.after_blank.__getitem__, pieces.filter(pa.array(~plain)).to_pylist()))
-        word = coded.indices.to_numpy()
-        flat, many = self._words(coded.dictionary.to_pylist(), np.bincount(word, times[plain], len(coded.dictionary)) > 1)
-        n = len(many)
-        flat, many = _joined(flat, many, [self.other[tail] for tail in number] + odd)
-        # A piece is one entry of these, or a word and its tail.
-        first = np.zeros(len(pieces), np.int64)
-        first[plain] = word
-        first[~plain] = n + len(number) + np.arange(len(odd))
-        entries = np.insert(first, tailed + 1, n + of_tail)
-        flat, taken = _gathered(flat, many, entries)
-        heads = np.arange(len(pieces)) + np.searchsorted(tailed, np.arange(len(pieces)))
-        return flat, np.add.reduceat(taken, heads) if len(heads) else taken
-
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, each with the id that ends a document, and how many each text has."""
-        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
-        plain = texts.filter(pa.array(~odd))
-        lists = pc.split_pattern(plain, " ")
-        pieces, cuts = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        odd = np.full(len(texts), not self.cuts)
+        if self.cuts and self.added:
+            odd = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
+        pieces, pieces_of = self._pre_tokens(texts.filter(pa.array(~odd)) if odd.any() else texts)
         coded = pieces.dictionary_encode()
-        firsts = pieces.take(pa.array(cuts[:-1])).to_pylist()
-        whole = texts.filter(pa.array(odd)).to_pylist()
-        flat, sizes = self._pieces(coded.dictionary, np.bincount(coded.indices.to_numpy())) if len(pieces) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
-        # Entries: the different pieces after a blank, the first piece of each text, texts that are not cut, the end.
-        n = len(sizes)
-        rest = [self.other[piece] for piece in firsts] + [self.ids(text, end=False).tobytes() for text in whole] + [struct.pack("<I", END_ID)]
-        flat, sizes = _joined(flat, sizes, rest)
-        index = coded.indices.to_numpy().astype(np.int64)
-        index[cuts[:-1]] = n + np.arange(len(plain))
+        words, index = coded.dictionary, coded.indices.to_numpy()
+        held = pc.fill_null(pc.index_in(words, value_set=self.kept), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(held < 0)
+        missing = words.take(pa.array(new))
+        flat, sizes = self._encoded(missing) if len(missing) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        whole = [self.tokenizer.encode(text, add_special_tokens=False).ids for text in texts.filter(pa.array(odd)).to_pylist()]
+        # Entries: what is remembered, the new pre-tokens, the texts that are encoded as a whole, the end.
+        n = len(self.sizes)
+        held[new] = n + np.arange(len(new))
+        rest = [*whole, [END_ID]]
+        all_ids = np.concatenate([self.flat, flat, *[np.array(ids, "<u4") for ids in rest]])
+        all_sizes = np.concatenate([self.sizes, sizes, [len(ids) for ids in rest]])
         many = np.ones(len(texts), np.int64)
-        many[~odd] = np.diff(cuts)
+        many[~odd] = pieces_of
         ends = np.cumsum(many + 1)
-        order = np.full(int(ends[-1]) if len(ends) else 0, len(sizes) - 1)
+        order = np.full(int(ends[-1]) if len(ends) else 0, len(all_sizes) - 1)
         inner = np.ones(len(order), bool)
         inner[ends - 1] = False
         cut = np.repeat(~odd, many)
         inner = np.flatnonzero(inner)
-        order[inner[cut]] = index
-        order[inner[~cut]] = n + len(plain) + np.arange(len(whole))
-        flat, taken = _gathered(flat, sizes, order)
-        return flat, np.diff(np.append(0, np.cumsum(taken)[ends - 1]))
+        order[inner[cut]] = held[index]
+        order[inner[~cut]] = n + len(new) + np.arange(len(whole))
+        self.uses[held[held < n]] += 1
+        self._remember(missing, flat, sizes)
+        found, taken = _gathered(all_ids, all_sizes, order)
+        return found, np.diff(np.append(0, np.cumsum(taken)[ends - 1]))
+
+    def _remember(self, words: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep the ids of new pre-tokens; when they are too many, those that no batch has met again are forgotten."""
+        short = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False) <= KEPT)
+        if len(self.kept) + len(short) > WORDS:
+            used = np.flatnonzero(self.uses)[: WORDS // 2]
+            self.kept, self.uses = self.kept.take(pa.array(used)), self.uses[used] // 2
+            self.flat, self.sizes = _gathered(self.flat, self.sizes, used)
+        short = short[: WORDS - len(self.kept)]
+        ids, many = _gathered(flat, sizes, short)
+        self.kept = pa.concat_arrays([self.kept, words.take(pa.array(short))])
+        self.uses = np.append(self.uses, np.zeros(len(short), np.int64))
+        self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, many])
 
     def ids(self, text: str, end: bool = True) -> np.ndarray:
         """Ids of ``text`` as unsigned 32-bit integers, with the id that ends a document."""
-        if not self.cuts:
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        elif self.run.search(text) or self.added.search(text):
-            found = b"".join(map(self.other.__getitem__, self.units.findall(text)))
-        else:
-            first, *pieces = text.split(" ")
-            found = self.other[first] + b"".join(map(self.after_blank.__getitem__, pieces))
-        return np.frombuffer(found + b"\0\0\0\0" if end else found, "<u4")
+        found = self.batch(pa.array([text], pa.string()))[0]
+        return found if end else found[:-1]
 
 
-def _joined(flat: np.ndarray, sizes: np.ndarray, more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of ids with further ones behind them."""
-    added = np.fromiter(map(len, more), np.int64, len(more)) // 4
-    return np.concatenate([flat, np.frombuffer(b"".join(more), "<u4")]), np.concatenate([sizes, added])
+def _bytes(texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of texts without nulls, and where each begins, with the end."""
+    if not len(texts):
+        return memoryview(b""), np.zeros(1, np.int64)
+    wide = pa.types.is_large_string(texts.type)
+    cuts = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return memoryview(texts.buffers()[2] or b"")[cuts[0] : cuts[-1]], cuts - cuts[0]
 
 
 def _gathered(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,16 +225,3 @@ def _gathered(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[n
     upto = np.cumsum(taken)
     places = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat((np.cumsum(sizes) - sizes)[order] - upto + taken, taken)
     return flat[places], taken
-
-
-class _Memo(dict):
-    def __init__(self, make) -> None:
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(key) <= KEPT:
-            if len(self) >= MEMO:
-                self.clear()
-            self[key] = value
-        return value

@@ -66,6 +66,47 @@ def test_batches_on_edges_and_long_words():
     assert encoder(default_path()).batch(pa.array([], pa.string()))[0].tolist() == []
 
 
+def test_pre_tokens_are_encoded_many_in_a_call(monkeypatch):
+    """Also those behind a line end, which were called one by one."""
+    coder, calls = encoder(default_path()), []
+    model = coder.model
+
+    class Counted:
+        def tokenize(self, text):
+            calls.append(text)
+            return model.tokenize(text)
+
+    monkeypatch.setattr(coder, "model", Counted())
+    texts = ["".join(f"qz{chr(97 + i // 26)}{chr(97 + i % 26)}{k}.\nWx{k}vé{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)) for k in "kjy"]
+    ids, _ = coder.batch(pa.array(texts))
+    assert ids.tolist() == [i for text in texts for i in plain_ids(text)]
+    assert len(calls) < 100
+
+
+def test_words_are_forgotten_when_they_are_too_many(monkeypatch):
+    from corpusloom.llm import token_ids
+
+    monkeypatch.setattr(token_ids, "WORDS", 50)
+    coder = token_ids.Encoder(default_path())
+    for k in range(6):
+        texts = [" ".join(f"often{i % 5} w{k}x{i}" for i in range(40)), "", " a\n\n b"]
+        ids, sizes = coder.batch(pa.array(texts))
+        assert ids.tolist() == [i for text in texts for i in plain_ids(text)]
+        assert len(coder.kept) == len(coder.sizes) == len(coder.uses) <= 50
+
+
+def test_pieces_leave_a_task_in_small_batches():
+    ids = np.arange(100_000, dtype="<u4").tobytes()
+    pieces = [[{"start": 0, "length": 60_000, "sequence_id": 0, "offset": 0}, {"start": 60_000, "length": 40_000, "sequence_id": 1, "offset": 0}]] * 60
+    kind = pa.list_(pa.struct([(name, pa.int64()) for name in ("start", "length", "sequence_id", "offset")]))
+    whole = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([100_000] * 60), pa.array([ids] * 60), pa.array(pieces, kind)], ["doc_id", "n_tokens", "ids", "pieces"])
+    found = list(packing._cut(iter([whole])))
+    assert max(part.nbytes for part in found) < 11_000_000
+    rows = [row for part in found for row in part.to_pylist()]
+    assert [(r["doc_id"], r["start"]) for r in rows] == [(i, start) for i in range(60) for start in (0, 60_000)]
+    assert all(r["ids"] == ids[4 * r["start"] : 4 * (r["start"] + r["length"])] for r in rows)
+
+
 def test_other_tokenizers_get_whole_texts():
     import public_tokenizers
 
