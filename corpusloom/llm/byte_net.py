@@ -193,7 +193,8 @@ def scores(docs: DataFrame, net: ByteNet) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        text_name = f"c{names.index('text')}"
+        for batch in (part for batch in batches for part in support.slices(batch, text_name, support.BATCH_BYTES)):
             found = [probability(model, text or b"") for text in support.bytes_of(batch.column(names.index("text")))]
             fields = [*batch.columns, pa.array(found, pa.float64())]
             yield pa.RecordBatch.from_arrays(fields, [f"c{i}" for i in range(place + 1)])

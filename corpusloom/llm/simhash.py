@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ()
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in support.slices(batch, "text", support.BATCH_BYTES)):
             values = np.array([_fingerprint(text, words) for text in support.bytes_of(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64)), *map(batch.column, keep)], ["doc_id", "fp", *keep])
 
