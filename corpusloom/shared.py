@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of a table that is sent to all tasks.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
-#: Bytes of keys and values that a dictionary in every Python worker may hold; there it takes some five times as much.
+#: Bytes of keys and values that a dictionary in every Python worker may hold; as a ``dict`` it takes there some four times as much.
 DICTIONARY_BYTES = 24_000_000
 SALTS = 16
 #: Rows of an Arrow batch that are Python objects at one time.

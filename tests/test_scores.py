@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import shared
 from corpusloom.catalog import score_oracle
-from corpusloom.operators import consistency, ngram_scores, stemming
+from corpusloom.operators import consistency, lookup, ngram_scores, stemming
 from corpusloom.plans import evaluation
 
 PAIRS = [
@@ -325,3 +325,39 @@ def test_few_rows_of_a_batch_are_objects_at_a_time():
     rows = shared.row_by_row(Column(range(1000)), Column("x" * 1000))
     assert next(rows) == (0, "x") and len(taken) == 2 and max(taken) <= 1000 // 4
     assert list(rows) == [(i, "x") for i in range(1, 1000)]
+
+
+def test_looked_up_tokens_of_random_lines(spark, monkeypatch):
+    """Against a rule a token, with the table as a dictionary, in part, and joined; in parts of a few bytes."""
+    monkeypatch.setattr(lookup, "PART_BYTES", 40)
+    draw = random.Random(5)
+    tokens = ["", "a", "bb", "ccc", "dddd", "äöüß", "日本語", *(f"w{i}" for i in range(60))]
+    texts = ["\n".join(" ".join(draw.choices(tokens, k=draw.randrange(5))) for _ in range(draw.randrange(1, 4))) for _ in range(200)]
+    df = spark.createDataFrame([(None if i % 9 == 0 else i // 2, x) for i, x in enumerate(texts)], "id long, x string")
+    ids = {t: (k, f"s{k}") for k, t in enumerate(tokens) if t and k % 3}
+    table = shared.cut_lineage(spark.createDataFrame([(t, *v, v[0]) for t, v in ids.items()], "token string, i int, s string, o int"))
+    for value, missing in (("i", lambda t: -len(t)), ("s", lambda t: t)):
+        at = "is".index(value)
+        lines = [[[ids[t][at] if t in ids else missing(t) for t in line.split(" ")] if line else [] for line in x.split("\n")] for x in texts]
+        want = lines if value == "i" else [[" ".join(line) for line in x] for x in lines]
+        want = sorted(str((None if i % 9 == 0 else i // 2, x)) for i, x in enumerate(want))
+        for most in (10**6, 500, 0):
+            got = lookup.looked_up(df, ["id"], {"found": F.col("x")}, table.select("token", value, "o"), missing, most)
+            assert sorted(str(tuple(r)) for r in got.collect()) == want
+
+
+def test_dictionary_in_a_task_takes_no_more_than_its_bytes(spark):
+    table = shared.cut_lineage(spark.range(20_000).selectExpr("concat('token', id) AS token", "concat('stem', id) AS stem"))
+    known = lookup._known(table).value
+    assert sum(column.nbytes for column in known) <= shared.dictionary_bytes(table)
+    assert dict(zip(*(column.to_pylist() for column in known), strict=True)) == {f"token{i}": f"stem{i}" for i in range(20_000)}
+
+
+def test_report_looks_tokens_up_once(spark):
+    pairs = spark.createDataFrame([(1, "the cats were running home", "a cat runs home"), (2, "", "x")], "pair_id long, generated string, reference string")
+    report = evaluation.score_report(pairs, "m")
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "lcs_length" in plan
+    tokens = evaluation.stemmed_tokens(pairs)
+    want = ngram_scores.rouge_l(tokens).agg(F.round(F.avg("f1"), 4)).first()[0]
+    assert report.first().scores.rougeL == want > 0
