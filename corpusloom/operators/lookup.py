@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from corpusloom.shared import DICTIONARY_BYTES, common_part, dictionary_bytes, stored
 
 #: Bytes of texts whose tokens a task holds at a time, whatever Spark's batches hold. Changes no result.
-PART_BYTES = 4_000_000
+PART_BYTES = 1_000_000
 
 
 def _known(table: DataFrame) -> Broadcast[tuple[pa.Array, pa.Array]]:
