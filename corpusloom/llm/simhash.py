@@ -114,27 +114,29 @@ def links(points: DataFrame, distance: int = DISTANCE, crowd: int = CROWD, block
     guests = met.groupBy("half", "cell").agg(F.count(F.lit(1)).alias("guests"))
     size = homes.join(guests, ["half", "cell"], "left").select("half", "cell", "residents", F.coalesce("guests", F.lit(0)).alias("guests"))
     size = support.staged(size.where("residents > 1 or guests > 0"), "meetings")
-    live = own.join(size, ["half", "cell"])
+    live = support.with_lookup(own, size, ["half", "cell"], "inner")
     few = F.col("residents") + F.col("guests") <= crowd
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance
     here = live.where(few).select("half", "cell", "fp")
     same = F.expr("x.half = y.half and x.cell = y.cell")
-    others = met.join(size.drop("residents"), ["half", "cell"]).where(few).select("half", "cell", "fp")
+    others = support.with_lookup(met, size.drop("residents"), ["half", "cell"], "inner").where(few).select("half", "cell", "fp")
     inside = here.alias("x").join(here.alias("y"), same & (F.col("x.fp") < F.col("y.fp")) & near)
     across = here.alias("x").join(others.alias("y"), same & near)
     pair = [F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")]
     direct = inside.select(*pair).union(across.select(*pair))
 
-    crowded = size.where(~few)
-    rows = own.join(crowded, ["half", "cell"])
+    crowded = support.staged(size.where(~few), "crowded")
+    rows = support.with_lookup(own, crowded, ["half", "cell"], "inner")
     blocks, all_blocks = F.ceil(F.col("residents") / block), F.ceil((F.col("residents") + F.col("guests")) / block)
     number = lambda n: F.pmod(F.xxhash64("fp"), n).cast("long")
     spread = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
     home = rows.select("half", "cell", "fp", F.lit(True).alias("home"), number(blocks).alias("i"), F.explode(spread(all_blocks)).alias("j"))
-    looking = met.drop("residents").join(crowded, ["half", "cell"])
+    looking = support.with_lookup(met.drop("residents"), crowded, ["half", "cell"], "inner")
     seen = rows.unionByName(looking.select(*rows.columns))
     guest = seen.select("half", "cell", "fp", F.lit(False).alias("home"), F.explode(spread(blocks)).alias("i"), number(all_blocks).alias("j"))
-    blocked = home.unionByName(guest).groupBy("half", "cell", "i", "j").applyInPandas(_links_of_blocks(distance), "a long, b long")
+    # Dealt here by the whole key: Spark takes a union of joins on a part of it for dealt already, and still runs its sides as tasks of their own.
+    dealt = home.unionByName(guest).repartition("half", "cell", "i", "j")
+    blocked = dealt.groupBy("half", "cell", "i", "j").applyInPandas(_links_of_blocks(distance), "a long, b long")
     return direct.unionByName(blocked).distinct()
 
 
@@ -167,11 +169,12 @@ def components(edges: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, words: int, distance: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``fp``, ``component_id``, ``label`` (a fingerprint that names the component) and ``keep`` of every row."""
     marked = support.staged(fingerprints(docs, words, keep), "fingerprints")
-    classes = support.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    labels = support.staged(components(links(classes.select("fp"), distance)), "labels")
-    members = classes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    lowest = members.join(labels.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("first").alias("lowest"))
-    known = support.staged(members.join(lowest, "label", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"), "label"), "components")
+    with support.settings(docs.sparkSession, support.COUNTED):
+        classes = support.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+        labels = support.staged(components(links(classes.select("fp"), distance)), "labels")
+        members = classes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+        lowest = members.join(labels.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("first").alias("lowest"))
+        known = support.staged(members.join(lowest, "label", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"), "label"), "components")
     return support.with_lookup(marked, known, ["fp"], "left").select("doc_id", "fp", "component_id", "label", *keep)
 
 

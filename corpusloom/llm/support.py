@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,21 @@ BROADCAST_BYTES = 4_000_000
 BATCH_BYTES = 4_000_000
 #: Settings of a frugal write: its shuffle files go as soon as it has ended, and Arrow batches are bounded by bytes besides rows.
 FRUGAL = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: Settings under which Spark broadcasts by bytes that it has counted, never by the size of files: narrow rows take some fifty times their files.
+COUNTED = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": str(BROADCAST_BYTES)}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """``values`` hold for the plans that run inside."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def staged(df: DataFrame, name: str, frugal: bool = False) -> DataFrame:
@@ -28,15 +44,8 @@ def staged(df: DataFrame, name: str, frugal: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     folder = shared.new_folder(spark, name)
-    settings = FRUGAL if frugal else {}
-    before = {key: spark.conf.get(key) for key in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
+    with settings(spark, FRUGAL if frugal else {}):
         df.write.option("compression", "zstd").parquet(folder)
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(folder)
 
 

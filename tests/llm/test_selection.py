@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from llm_frames import EMPTY, ROWS, frame, plain
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_net, chat, mixing, quality_rules, search, secret_scan, simhash
+from corpusloom.llm import byte_net, chat, mixing, quality_rules, search, secret_scan, simhash, support
 
 SF = "/root/testdata/sf0.01"
 nulls_first = lambda r: tuple((x is not None, x) for x in r)
@@ -64,6 +64,18 @@ def test_links_connect_what_is_near(spark, crowd, distance):
     assert got == [prints[i] for i in want]
 
 
+def test_crowded_cells_meet_without_broadcasts(spark, monkeypatch):
+    """As on tables that are too large to broadcast, where home and guests of a block come out of sort-merge joins."""
+    monkeypatch.setattr(support, "small", lambda *_: False)
+    random = np.random.default_rng(4)
+    seeds = random.integers(-(2**62), 2**62, 30).tolist()
+    prints = sorted({seed ^ (1 << int(bit)) for seed in seeds for bit in random.choice(62, 4, replace=False)})
+    points = spark.createDataFrame([(p,) for p in prints], "fp long")
+    with support.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        found = {r["fp"]: r["label"] for r in simhash.components(simhash.links(points, 3, 0, block=4)).collect()}
+    assert [found.get(p, p) for p in prints] == [prints[i] for i in groups([p % 2**64 for p in prints], 3)]
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = [tuple(r) for r in simhash.near_duplicates(frame(spark), 3).select("doc_id", "component_id").collect()]
     # Rows 1, 2, 2 share a text; the empty ones (3, 4, 7 and one without id) share fingerprint 0.
@@ -72,6 +84,29 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert simhash.near_duplicates(frame(spark, EMPTY)).count() == 0
 
 
+
+def test_near_duplicates_broadcast_nothing_by_the_size_of_files(spark, monkeypatch):
+    """Some of the staged tables hold fifty times their files in memory; Spark's own limit counts the files."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(40)]
+    docs = plain(spark, [(i, text, "en", "a", len(text)) for i, text in enumerate([*texts, *texts])])
+    expected = [tuple(r) for r in simhash.near_duplicates(docs, 3).collect()]
+    plans, staged = [], support.staged
+
+    def seen(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, *args, **kwargs)
+
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(key, None) for key in keys]
+    monkeypatch.setattr(support, "staged", seen)
+    monkeypatch.setattr(support, "small", lambda *_: False)
+    got = [tuple(r) for r in simhash.near_duplicates(docs, 3).collect()]
+    assert len(plans) > 5 and sum("Join" in plan for plan in plans) > 3
+    assert not [plan for plan in plans if "Broadcast" in plan]
+    assert sorted(got) == sorted(expected) and {r[2] for r in got} == set(range(40))
+    assert [spark.conf.get(key, None) for key in keys] == before
+
+
 def test_one_of_each_keeps_equal_rows_once(spark):
     rows = [(2, "one two three four", "en", "a", 1), (2, "one two three four", "en", "a", 1), (3, "one two three four", "en", "a", 1), (9, "x", "en", "a", 1)]
     got = simhash.one_of_each(plain(spark, rows), 3).collect()
