@@ -11,9 +11,10 @@ passed in document order; the pivots of a query are those whose bound reaches it
 the queries that have a pivot in it: common terms are a matrix, documents by terms, so a group is one product of matrices. The score to
 beat is carried on from group to group and from segment to segment.
 
-Segments are dealt to shards and queries to blocks of queries; a task holds a block of queries and opens the segments of its shard one
-after the other. The best of all shards are merged. Document frequencies, the number of documents and their mean length are
-those of the whole table.
+Segments are dealt to shards and queries to blocks of queries. Blocks take their turns: all tasks hold the same block, which the driver has
+sent them, and each opens the segments of its shard one after the other, where they were written. Neither segments nor queries are
+shuffled, however many blocks there are. The best of all shards are merged. Document frequencies, the number of documents and
+their mean length are those of the whole table.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +36,16 @@ from corpusloom.llm import support
 
 K1, B = 1.2, 0.75
 #: Documents and postings of a segment at most (one long document may exceed the second), documents of a block and of a shard, and about
-#: how many queries a task holds.
-SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK, SHARD_DOCS, QUERIES = 8192, 1_500_000, 32, 32768, 4096
+#: how many queries, and terms of them, a task holds.
+SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK, SHARD_DOCS, QUERIES, QUERY_TERMS = 8192, 1_000_000, 32, 32768, 4096, 1_250_000
 #: Blocks that are passed together: few at first, then more. Terms in one of so many documents of a segment, or more, are common. Postings of
 #: other terms that a batch of queries adds up at most (one query may exceed it), and queries of a batch.
-FEWEST, MOST, COMMON, BATCH_POSTINGS, BATCH = 4, 64, 12, 2_000_000, 256
+FEWEST, MOST, COMMON, BATCH_POSTINGS, BATCH = 4, 64, 12, 500_000, 256
 #: Scores count as equal if they agree to so many decimals; then the smaller doc_id comes first.
 DECIMALS = 6
 NO_ID = np.iinfo(np.int64).max
+#: Bytes of terms that are Python objects at one time, and rows of an Arrow batch of terms.
+PIECE, TERM_ROWS = 1 << 16, 100_000
 
 SEGMENT = "n_docs long, n_words long, ids array<long>, lengths binary, terms string, starts binary, docs binary, counts binary"
 
@@ -58,39 +64,53 @@ def build_index(docs: DataFrame, segment_docs: int = SEGMENT_DOCS) -> DataFrame:
     """Segments of all rows, of at most ``segment_docs`` (up to 65,536) each, in the shared folder. Null and empty texts are documents without words."""
     names = [part.split()[0] for part in SEGMENT.split(", ")]
 
+    def segment(parts: list[tuple], ids: list[int | None]) -> pa.RecordBatch:
+        """``parts``: terms, words of each document, terms of each document, and of each of those its number in the terms and its count."""
+        listed = pa.chunked_array([part[0] for part in parts], pa.string()).dictionary_encode().combine_chunks()
+        listed = listed.chunk(0) if isinstance(listed, pa.ChunkedArray) else listed
+        number, places = listed.indices.to_numpy(zero_copy_only=False), np.cumsum([0, *(len(part[0]) for part in parts)])
+        term = np.concatenate([number[first + part[3]] for first, part in zip(places.tolist(), parts, strict=False)])
+        lengths, sizes, count = (np.concatenate([part[i] for part in parts]) for i in (1, 2, 4))
+        order = np.argsort(term, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(listed.dictionary)))])
+        doc = np.repeat(np.arange(len(sizes), dtype="<u2"), sizes)[order]
+        terms = pc.binary_join(pa.ListArray.from_arrays([0, len(listed.dictionary)], listed.dictionary), " ")
+        values = [len(ids), int(lengths.sum()), ids, lengths.astype("<i4").tobytes(), terms[0].as_py(), starts.astype("<i4").tobytes(), doc.tobytes(), _narrow(count[order]).tobytes()]
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
+
+    def counted(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Terms, words and terms of each text, and of each of those its number and its count."""
+        words, lengths = support.words_of(pc.ascii_lower(texts))
+        coded = words.dictionary_encode()
+        width = max(len(coded.dictionary), 1)
+        key, count = np.unique(np.repeat(np.arange(len(lengths)), lengths) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        doc, term = np.divmod(key, width)
+        return coded.dictionary, lengths, np.bincount(doc, minlength=len(lengths)), term, count
+
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = {}
+        parts: list[tuple] = []
         ids: list[int | None] = []
-        lengths: list[int] = []
-        terms: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-
-        def segment() -> pa.RecordBatch:
-            sizes = [len(part) for part in terms]
-            term, count = np.concatenate(terms), np.concatenate(counts)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.argsort(term, kind="stable")
-            starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(number)))])
-            values = [len(ids), sum(lengths), ids, np.array(lengths, "<i4").tobytes(), b" ".join(number).decode(), starts.astype("<i4").tobytes(), doc[order].astype("<u2").tobytes(), _narrow(count[order]).tobytes()]
-            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.large_string(), pa.binary(), pa.binary(), pa.binary()]
-            types[4] = pa.string()
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
-
         held = 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), support.bytes_of(batch.column("text")), strict=True):
-                words = _words(text)
-                found = Counter(words)
-                ids.append(doc_id)
-                lengths.append(len(words))
-                terms.append(np.array([number.setdefault(word, len(number)) for word in found], np.int64))
-                counts.append(np.fromiter(found.values(), np.int64, len(found)))
-                held += len(found)
+        for batch in (part for batch in batches for part in support.slices(batch, "text", support.BATCH_BYTES)):
+            terms, lengths, sizes, term, count = counted(batch.column("text"))
+            numbers, ends = batch.column("doc_id").to_pylist(), np.concatenate([[0], np.cumsum(sizes)])
+            first = 0
+            while first < len(numbers):
+                # As many documents as the segment still takes; the one that fills it belongs to it.
+                full = int(np.searchsorted(ends, ends[first] + SEGMENT_POSTINGS - held, "left"))
+                last = min(len(numbers), first + segment_docs - len(ids), max(full, first + 1))
+                inside = slice(ends[first], ends[last])
+                used, own = np.unique(term[inside], return_inverse=True)
+                parts.append((terms.take(pa.array(used)), lengths[first:last], sizes[first:last], own, count[inside]))
+                ids += numbers[first:last]
+                held += int(ends[last] - ends[first])
+                first = last
                 if len(ids) == segment_docs or held >= SEGMENT_POSTINGS:
-                    yield segment()
-                    number, ids, lengths, terms, counts, held = {}, [], [], [], [], 0
+                    yield segment(parts, ids)
+                    parts, ids, held = [], [], 0
         if ids:
-            yield segment()
+            yield segment(parts, ids)
 
     rows = support.whole_texts(docs).mapInArrow(segments, SEGMENT)
     return support.staged(rows.withColumn("segment", F.monotonically_increasing_id()), "segments", frugal=True)
@@ -101,9 +121,11 @@ def _frequencies(index: DataFrame) -> DataFrame:
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for terms, starts in zip(batch.column("terms").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-                if terms:
-                    yield pa.RecordBatch.from_arrays([pa.array(terms.split(" ")), pa.array(np.diff(np.frombuffer(starts, "<i4")).astype(np.int64))], ["term", "df"])
+            for i in range(batch.num_rows):
+                terms = pc.split_pattern(batch.column("terms").slice(i, 1), " ").flatten()
+                df = pa.array(np.diff(np.frombuffer(batch.column("starts")[i].as_py(), "<i4")).astype(np.int64))
+                for first in range(0, len(df), TERM_ROWS):
+                    yield pa.RecordBatch.from_arrays([column.slice(first, TERM_ROWS) for column in (terms, df)], ["term", "df"])
 
     return index.select("terms", "starts").mapInArrow(listed, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
@@ -133,16 +155,28 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def _hashes(terms: list[str] | list[bytes]) -> np.ndarray:
-    """Two hashes of each term, a row each: together they tell terms apart."""
-    return np.array([[xxhash.xxh64_intdigest(t) for t in terms], [xxhash.xxh64_intdigest(t, 1) for t in terms]], np.uint64).reshape(2, -1)
+def _hashes(terms: str) -> np.ndarray:
+    """Two hashes of each of the terms, which blanks part, a row each: together they tell terms apart."""
+    raw = terms.encode()
+    found = np.empty((2, raw.count(b" ") + 1), np.uint64)
+    first = at = 0
+    while first <= len(raw):
+        last = raw.find(b" ", first + PIECE)
+        last = len(raw) if last < 0 else last
+        piece = raw[first:last].split(b" ")
+        for seed in (0, 1):
+            found[seed, at : at + len(piece)] = np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in piece), np.uint64, len(piece))
+        first, at = last + 1, at + len(piece)
+    return found
 
 
 class Query:
     """Terms by their hashes, weights, and the best ``k`` scores and ids so far."""
 
     def __init__(self, number: int, terms: str, weights: list[float]) -> None:
-        self.number, self.hashes, self.weights = number, _hashes(terms.split(" ")), np.array(weights)
+        hashes = _hashes(terms)
+        order = np.argsort(hashes[0], kind="stable")  # looked up faster than in any order
+        self.number, self.hashes, self.weights = number, hashes[:, order], np.asarray(weights)[order]
         self.scores, self.ids = np.empty(0), np.empty(0, np.int64)
 
     def floor(self, k: int) -> float:
@@ -155,14 +189,18 @@ class Segment:
 
     def __init__(self, row: dict, mean: float, block: int = BLOCK) -> None:
         self.ids = np.array([NO_ID if i is None else i for i in row["ids"]], np.int64)
-        hashes = _hashes(row["terms"].encode().split(b" "))
+        hashes = _hashes(row["terms"])
         self.order = np.argsort(hashes[0], kind="stable")
         self.hashes = hashes[:, self.order]
         starts = np.frombuffer(row["starts"], "<i4")
         self.docs = np.frombuffer(row["docs"], "<u2")
         counts = np.frombuffer(row["counts"], f"<u{len(row['counts']) // max(len(self.docs), 1) or 1}").astype(np.float64)
-        norm = K1 * (1 - B + B * np.frombuffer(row["lengths"], "<i4") / mean)
-        self.impacts = counts * (K1 + 1) / (counts + norm[self.docs])
+        norm = (K1 * (1 - B + B * np.frombuffer(row["lengths"], "<i4") / mean))[self.docs]
+        norm += counts
+        counts *= K1 + 1
+        counts /= norm
+        self.impacts = counts
+        del norm
         self.starts, self.block, self.blocks = starts, block, -(-len(self.ids) // block)
         sizes = np.diff(starts)
         held = sizes > 0
@@ -244,7 +282,7 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return scores[order], ids[order]
 
 
-def _searched(k: int, mean: float):
+def _searched(k: int, mean: float, asked: Broadcast[bytes]):
     def results(queries: list[Query]) -> pa.RecordBatch:
         sizes = [len(q.ids) for q in queries]
         number = np.repeat(np.array([q.number for q in queries], np.int64), sizes)
@@ -252,24 +290,32 @@ def _searched(k: int, mean: float):
         scores = np.concatenate([*(q.scores for q in queries), np.empty(0)])
         return pa.RecordBatch.from_arrays([pa.array(number), pa.array(ids, mask=ids == NO_ID), pa.array(scores)], ["query_id", "doc_id", "score"])
 
+    def held() -> Iterator[Query]:
+        for part in pa.ipc.open_stream(asked.value):
+            for number, terms, weights in zip(*part.columns, strict=True):
+                yield Query(number.as_py(), terms.as_py(), weights.values.to_numpy())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by task: first its queries, which are held, then its segments, of which one is open at a time."""
-        task, queries = None, []
+        """Rows are the segments of a shard, of which one is open at a time; the queries are held."""
+        queries: list[Query] = []
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                if row["task"] != task:
-                    yield results(queries)
-                    task, queries = row["task"], []
-                if row["kind"] == 0:
-                    queries.append(Query(row["query_id"], row["terms"], row["weights"]))
-                elif queries and row["terms"]:
-                    Segment(row, mean).search_all(queries, k)
+                if batch.column("terms")[i].as_py():
+                    queries = queries or list(held())
+                    Segment(batch.slice(i, 1).to_pylist()[0], mean).search_all(queries, k)
         yield results(queries)
 
     return run
 
 
+def _sent(queries: DataFrame) -> Broadcast[bytes]:
+    """Rows of ``queries`` as an Arrow stream that every task can read."""
+    rows, sink = queries.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as stream:
+        stream.write_table(rows, max_chunksize=1024)
+    return queries.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, segment_docs: int = SEGMENT_DOCS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """``query_id``, ``rank``, ``doc_id``, ``score``: the ``k`` best documents of ``docs`` for each row of ``queries`` (``doc_id``, ``text``).
 
@@ -281,17 +327,16 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, segment_docs: int =
     counted = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
     n_docs, mean = counted[0] or 0, max((counted[1] or 0) / max(counted[0] or 0, 1), 1e-9)
     asked = support.staged(_query_rows(queries.where("doc_id is not null"), _frequencies(index), n_docs), "queries", frugal=True)
-    shards, blocks = max(1, math.ceil(n_docs / shard_docs)), max(1, math.ceil(asked.count() / QUERIES))
-    # A segment's number is that of the task that wrote it and its place there; their sum deals them out evenly.
-    number = F.shiftright("segment", 33) + F.col("segment").bitwiseAND(F.lit((1 << 33) - 1))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    task = (F.col("shard") * blocks + F.col("block")).cast("long")
-    inside = index.withColumn("shard", F.pmod(number, F.lit(shards))).withColumn("block", every(blocks)).withColumn("kind", F.lit(1))
-    visits = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", every(shards)).withColumn("kind", F.lit(0))
-    rows = inside.drop("segment", "n_docs", "n_words").unionByName(visits, allowMissingColumns=True).withColumn("task", task).drop("shard", "block")
-    dealt = rows.repartitionByRange(shards * blocks, "task").sortWithinPartitions("task", "kind")
-    found = dealt.mapInArrow(_searched(k, mean), "query_id long, doc_id long, score double")
-    return ranked(support.staged(found, "found", frugal=True), k)
+    n_queries, n_terms = asked.agg(F.count(F.lit(1)), F.sum(F.size("weights"))).first()
+    shards, blocks = max(1, math.ceil(n_docs / shard_docs)), max(1, math.ceil(n_queries / QUERIES), math.ceil((n_terms or 0) / QUERY_TERMS))
+    parts = []
+    for block in range(blocks):
+        sent = _sent(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "terms", "weights"))
+        segments = index.select("ids", "lengths", "terms", "starts", "docs", "counts").coalesce(shards)
+        found = segments.mapInArrow(_searched(k, mean, sent), "query_id long, doc_id long, score double")
+        parts.append(support.staged(found, "found", frugal=True))
+        sent.destroy()
+    return ranked(reduce(DataFrame.union, parts), k)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

@@ -427,6 +427,25 @@ def test_search_of_awkward_rows(spark, segment_docs, shard_docs):
     assert search.top_k(frame(spark), frame(spark, EMPTY), 3).count() == 0
 
 
+def test_search_shuffles_neither_segments_nor_queries(spark, monkeypatch):
+    """However many blocks of queries there are, each is sent once to where the segments lie; parts of a segment hold whole documents."""
+    plans, staged = {}, support.staged
+
+    def seen(df, name, *args, **kwargs):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name, *args, **kwargs)
+
+    texts = [" ".join(f"w{i * j % 37}" for j in range(i % 11)) for i in range(90)]
+    docs = plain(spark, [(i, text.upper() if i % 2 else text, "en", "a", len(text)) for i, text in enumerate(texts)])
+    whole = [tuple(r) for r in search.top_k(docs, docs, 3).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(support, "staged", seen)
+    monkeypatch.setattr(search, "QUERIES", 9)
+    got = [tuple(r) for r in search.top_k(docs, docs, 3, 8, 20).orderBy("query_id", "rank").collect()]
+    assert len(plans["found"]) > 5 and not [plan for plan in plans["found"] if "Exchange" in plan]
+    assert [r[:3] for r in got] == [r[:3] for r in whole] and np.allclose([r[3] for r in got], [r[3] for r in whole], atol=2e-6)
+    assert {r[0] for r in got} == {i for i, text in enumerate(texts) if text}
+
+
 def test_pruning_is_exact():
     random = np.random.default_rng(1)
     texts = [" ".join(f"w{int(x)}" for x in random.zipf(1.3, random.integers(1, 60)) if x < 500) for _ in range(700)]
